@@ -39,6 +39,14 @@ def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(formatted(chain(rows)))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from latticework.llm.toxicity import THRESHOLD, fit, in_training, toxic_passages
+
+    docs = table(spark, sf_dir, "documents")
+    scored = toxic_passages(docs, fit(docs, table(spark, sf_dir, "labels"), in_training))
+    return scored.select("doc_id", (~in_training(F.col("doc_id"))).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), F.size("segments").cast("long").alias("n_passages"))
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from latticework.llm.secrets import digests, secret_spans
 
@@ -55,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op3_personal_data": op3_personal_data,
     "op4_chat_formatting": op4_chat_formatting,
+    "op5_toxicity": op5_toxicity,
     "op9_secrets": op9_secrets,
     "op10_decontamination": op10_decontamination,
 }
