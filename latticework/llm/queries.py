@@ -47,6 +47,18 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (~in_training(F.col("doc_id"))).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), F.size("segments").cast("long").alias("n_passages"))
 
 
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from latticework.llm.near_duplicates import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op7_embedding_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from latticework.llm.embedding_duplicates import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from latticework.llm.secrets import digests, secret_spans
 
@@ -64,6 +76,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_personal_data": op3_personal_data,
     "op4_chat_formatting": op4_chat_formatting,
     "op5_toxicity": op5_toxicity,
+    "op6_near_duplicates": op6_near_duplicates,
+    "op7_embedding_duplicates": op7_embedding_duplicates,
     "op9_secrets": op9_secrets,
     "op10_decontamination": op10_decontamination,
 }
