@@ -52,30 +52,38 @@ def chosen_paths(messages: DataFrame, per_tree: int = 1) -> DataFrame:
     nodes = messages.select("tree", "node", "parent", "score")
     parents = nodes.select(F.col("tree").alias("t"), F.col("node").alias("p"))
     known = nodes.join(parents, (F.col("tree").eqNullSafe(F.col("t"))) & (F.col("parent") == F.col("p")), "left")
-    jump = written(known.select("tree", "node", F.col("p").alias("up"), F.col("score").alias("sum"), F.lit(1).cast("long").alias("span")), "jump0")
-    jumps = [jump]
-    while not jump.where(F.col("up").isNotNull()).isEmpty():
-        if len(jumps) > 40:
-            break  # only rings are left
-        far = jump.select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("up").alias("up2"), F.col("sum").alias("sum2"), F.col("span").alias("span2"))
-        jump = written(
-            jump.join(far, F.col("tree").eqNullSafe(F.col("t")) & (F.col("up") == F.col("n")), "left").select("tree", "node", F.col("up2").alias("up"), (F.col("sum") + F.coalesce("sum2", F.lit(0.0))).alias("sum"), (F.col("span") + F.coalesce("span2", F.lit(0))).alias("span")),
-            f"jump{len(jumps)}",
+    # pointers that have passed the root (up is null) are done; only the others are joined again
+    open_, done = [], []
+    step = written(known.select("tree", "node", F.col("p").alias("up"), F.col("score").alias("sum"), F.lit(1).cast("long").alias("span")), "jump0")
+    while True:
+        done.append(step.where(F.col("up").isNull()))
+        open_.append(step.where(F.col("up").isNotNull()))
+        if open_[-1].isEmpty() or len(open_) > 40:  # then only rings are left
+            break
+        reach = open_[-1]
+        for d in done:
+            reach = reach.unionByName(d)
+        far = reach.select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("up").alias("up2"), F.col("sum").alias("sum2"), F.col("span").alias("span2"))
+        step = written(
+            open_[-1].join(far, F.col("tree").eqNullSafe(F.col("t")) & (F.col("up") == F.col("n"))).select("tree", "node", F.col("up2").alias("up"), (F.col("sum") + F.col("sum2")).alias("sum"), (F.col("span") + F.col("span2")).alias("span")),
+            f"jump{len(open_)}",
         )
-        jumps.append(jump)
+    jump = done[0]
+    for d in done[1:]:
+        jump = jump.unionByName(d)
     inner = nodes.where(F.col("parent").isNotNull()).select(F.col("tree").alias("t"), F.col("parent").alias("p")).distinct()
-    leaves = jump.where(F.col("up").isNull()).join(inner, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("p")), "left_anti")
+    leaves = jump.join(inner, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("p")), "left_anti")
     rank = Window.partitionBy("tree").orderBy(F.desc(F.col("sum") / F.col("span")), "node")
     paths = leaves.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= per_tree).select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("depth"))
-    for k in reversed(range(len(jumps) - 1)):
+    for k in reversed(range(len(open_) - 1)):
         # from the longest pointers down: each message found so far adds the one 2^k above it
-        step = jumps[k].where(F.col("up").isNotNull()).select(F.col("tree").alias("t"), F.col("node").alias("n"), "up")
+        step = open_[k].select(F.col("tree").alias("t"), F.col("node").alias("n"), "up")
         more = paths.join(step, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("n"))).select("tree", "leaf", F.col("up").alias("node"), (F.col("depth") + 2**k).alias("depth"))
         paths = paths.unionByName(more)
         if k:
             paths = written(paths, f"paths{k}")
     out = written(paths, "paths")
-    discard(*jumps)
+    discard(*open_)
     return out
 
 
