@@ -59,6 +59,12 @@ def op7_embedding_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from latticework.llm.pieces import PieceModel, piece_digests
+
+    return piece_digests(table(spark, sf_dir, "documents"), PieceModel(tokenizer_path("piece_bpe_32k.model")))
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from latticework.llm.secrets import digests, secret_spans
 
@@ -78,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_toxicity": op5_toxicity,
     "op6_near_duplicates": op6_near_duplicates,
     "op7_embedding_duplicates": op7_embedding_duplicates,
+    "op8_sentencepiece": op8_sentencepiece,
     "op9_secrets": op9_secrets,
     "op10_decontamination": op10_decontamination,
 }
