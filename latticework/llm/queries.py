@@ -25,6 +25,12 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+def op2_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from latticework.llm.language_model import in_training, scores
+
+    return scores(table(spark, sf_dir, "documents"), in_training)
+
+
 def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     from latticework.llm.pii import digests, personal_spans
 
@@ -79,6 +85,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
+    "op2_language_model": op2_language_model,
     "op3_personal_data": op3_personal_data,
     "op4_chat_formatting": op4_chat_formatting,
     "op5_toxicity": op5_toxicity,
