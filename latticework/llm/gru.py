@@ -217,8 +217,8 @@ def laid_out(words: np.ndarray, lengths: np.ndarray, lanes: int = LANES) -> tupl
     """(time, lane) of documents' words that lie end to end, -1 elsewhere; and each word's place in it, flattened."""
     lane, at, n, height = pack(lengths, lanes)
     first = np.cumsum(lengths) - lengths
-    time = np.arange(len(words)) - np.repeat(first - at, lengths)
-    place = time * n + np.repeat(lane, lengths)
+    place = (np.arange(len(words)) - np.repeat(first - at, lengths)) * n
+    place += np.repeat(lane, lengths)
     grid = np.full(height * n, -1, np.int32)
     grid[place] = words
     return grid.reshape(height, n), place

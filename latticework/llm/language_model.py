@@ -30,10 +30,10 @@ from latticework.llm.common import steps, written
 from latticework.llm.gru import END, Gru, laid_out, stream
 from latticework.llm.words import words_of
 
-VOCABULARY, CLASSES, EVERY, RATE = 2046, 64, 2, 0.3
+VOCABULARY, CLASSES, EVERY, RATE = 2046, 64, 4, 0.3
 #: Counted words sent to all tasks at most; tokens put into lanes at once; lanes when learning; parameters of a block.
-FREQUENT, BUFFER, LEARN_LANES, BLOCK = 1 << 17, 1 << 22, 96, 1 << 13
-FLUSH = 1 << 21
+FREQUENT, BUFFER, LEARN_LANES, BLOCK = 1 << 17, 1 << 21, 192, 1 << 13
+FLUSH = 1 << 20
 UNKNOWN = 1
 #: Stands for the end token among the hashes of words.
 END_HASH = np.int64(-0x61C8864680B583EB)
@@ -131,16 +131,22 @@ class Vocabulary:
         return math.log10(self.rest + 0.1 * self.rest_words)
 
 
-def _buffers(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary) -> Iterator[tuple[list, np.ndarray, np.ndarray, list]]:
-    """(keys, model words with the end of each document, lengths, per step (places, hashes, numbers of words)), by bounded size."""
+def _buffers(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary, each: Callable | None = None) -> Iterator[tuple[list, np.ndarray, np.ndarray, list] | pa.RecordBatch]:
+    """(keys, model words with the end of each document, lengths, what each() returned by step), by bounded size.
+
+    each(keys, places, hashes, numbers of words) gives (what to keep, record batches); the batches are passed on at once.
+    """
     keys, ids, lengths, kept, size = [], [], [], [], 0
     for k, hashes, counts in _texts(batches):
         at = vocabulary.places(hashes)
-        known = np.where(at >= 0, vocabulary.ids[at] if len(vocabulary.ids) else UNKNOWN, UNKNOWN).astype(np.int32)
+        known = np.where(at >= 0, vocabulary.ids[at] if len(vocabulary.ids) else UNKNOWN, UNKNOWN).astype(np.uint16)
         keys += k
         ids.append(np.insert(known, np.cumsum(counts), END))
         lengths.append(counts + 1)
-        kept.append((at, hashes, counts))
+        if each:
+            own, out = each(k, at, hashes, counts)
+            kept.append(own)
+            yield from out
         size += len(hashes) + len(k)
         if size > BUFFER:
             yield keys, np.concatenate(ids), np.concatenate(lengths), kept
@@ -214,40 +220,41 @@ def scores(docs: DataFrame, training: Callable[[Column], Column], id_col: str =
         words, gru = sent.value
         log_count = np.append(np.log10(words.counts + 0.1), 0.0)
         counted, unknown = np.append(np.ones(len(words.counts)), 0.0), np.append((words.ids == UNKNOWN).astype(float), 0.0)
+        def counted_words(keys: list, at: np.ndarray, hashes: np.ndarray, n: np.ndarray) -> tuple[tuple, list[pa.RecordBatch]]:
+            m = len(keys)
+            doc = np.repeat(np.arange(m), n)
+            # frequent words that the model does not know: their part of the unknown word is known here
+            sums = [np.bincount(doc, w, m) for w in (log_count[at], counted[at], log_count[at] * unknown[at])]
+            rare = np.flatnonzero(at < 0)
+            rare = rare[np.lexsort((hashes[rare], doc[rare]))]
+            out = []
+            if len(rare):
+                d, w = doc[rare], hashes[rare]
+                new = np.flatnonzero(np.append(True, (d[1:] != d[:-1]) | (w[1:] != w[:-1])))
+                times, d, w = np.diff(np.append(new, len(rare))), d[new], w[new]
+                row = np.array([k["row"] for k in keys], np.int64)
+                for i in range(0, len(d), 50_000):
+                    j = slice(i, i + 50_000)
+                    k = len(d[j])
+                    out.append(pa.RecordBatch.from_arrays([pa.array(row[d[j]]), pa.nulls(k, pa.int64()), pa.nulls(k, pa.bool_()), pa.array(times[j]), pa.nulls(k, pa.int64()), pa.nulls(k, pa.float64()), pa.nulls(k, pa.float64()), pa.array(w[j])], names=_PART))
+            return tuple(sums), out
+
         keyed = (pa.RecordBatch.from_arrays([b.select(["row", "doc_id", "training"]).to_struct_array(), b.column("text")], names=["key", "text"]) for b in batches)
-        for keys, ids, lengths, kept in _buffers(keyed, words):
+        for part in _buffers(keyed, words, counted_words):
+            if isinstance(part, pa.RecordBatch):
+                yield part
+                continue
+            keys, ids, lengths, kept = part
             lanes, place = laid_out(ids, lengths)
-            lp = gru.score(lanes).ravel()[place].astype(np.float64)
-            sums = np.add.reduceat(lp, np.cumsum(lengths) - lengths)
-            base, known, rest = (np.zeros(len(keys)) for _ in range(3))
-            other_doc, other_word, other_n, first = [], [], [], 0
-            for at, hashes, n in kept:
-                doc = np.repeat(np.arange(first, first + len(n)), n)
-                base += np.bincount(doc, log_count[at], len(keys))
-                known += np.bincount(doc, counted[at], len(keys))
-                # frequent words that the model does not know: their part of the unknown word is known here
-                rest += np.bincount(doc, log_count[at] * unknown[at], len(keys))
-                rare = np.flatnonzero(at < 0)
-                order = rare[np.lexsort((hashes[rare], doc[rare]))]
-                if len(order):
-                    new = np.flatnonzero((np.diff(doc[order], prepend=-1) != 0) | (np.diff(hashes[order], prepend=hashes[order[0]] - 1) != 0))
-                    other_doc.append(doc[order][new])
-                    other_word.append(hashes[order][new])
-                    other_n.append(np.diff(np.append(new, len(order))))
-                first += len(n)
-            unknowns = np.bincount(np.repeat(np.arange(len(keys)), lengths), ids == UNKNOWN, len(keys))
-            row = np.array([k["row"] for k in keys], np.int64)
+            first = np.cumsum(lengths) - lengths
+            sums = np.add.reduceat(gru.score(lanes).ravel()[place], first, dtype=np.float64)
+            base, known, rest = (np.concatenate([k[i] for k in kept]) for i in range(3))
+            unknowns = np.add.reduceat((ids == UNKNOWN).astype(np.int64), first)
+            score = sums + rest - unknowns * words.rest_room
             for i in range(0, len(keys), 10_000):
                 j = slice(i, i + 10_000)
                 part = keys[j]
-                k = len(part)
-                yield pa.RecordBatch.from_arrays([pa.array(row[j]), pa.array([x["doc_id"] for x in part], pa.int64()), pa.array([x["training"] for x in part], pa.bool_()), pa.array(lengths[j], pa.int64()), pa.array(known[j].astype(np.int64)), pa.array(base[j]), pa.array(sums[j] + rest[j] - unknowns[j] * words.rest_room), pa.nulls(k, pa.int64())], names=_PART)
-            if other_doc:
-                d, w, n = (np.concatenate(x) for x in (other_doc, other_word, other_n))
-                for i in range(0, len(d), 50_000):
-                    j = slice(i, i + 50_000)
-                    k = len(d[j])
-                    yield pa.RecordBatch.from_arrays([pa.array(row[d[j]]), pa.nulls(k, pa.int64()), pa.nulls(k, pa.bool_()), pa.array(n[j], pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.float64()), pa.nulls(k, pa.float64()), pa.array(w[j])], names=_PART)
+                yield pa.RecordBatch.from_arrays([pa.array([x["row"] for x in part], pa.int64()), pa.array([x["doc_id"] for x in part], pa.int64()), pa.array([x["training"] for x in part], pa.bool_()), pa.array(lengths[j]), pa.array(known[j].astype(np.int64)), pa.array(base[j]), pa.array(score[j]), pa.nulls(len(part), pa.int64())], names=_PART)
 
     rows = plain.select(F.monotonically_increasing_id().alias("row"), "doc_id", "training", "text").mapInArrow(run, "row long, doc_id long, training boolean, n long, known long, base double, score double, word long")
     # the words that the tasks did not know, a row for each in a document, and its sums there, meet their counts
