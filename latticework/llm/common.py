@@ -76,3 +76,20 @@ def steps(batches: Iterator[pa.RecordBatch], limit: int = STEP_BYTES) -> Iterato
 
 def record_batch(columns: dict, types: dict[str, pa.DataType]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[c], t) for c, t in types.items()], names=list(types))
+
+
+def filtered(docs: DataFrame, text_col: str, verdicts) -> DataFrame:
+    """The rows of docs, all columns as they are, for which verdicts(UTF-8 texts of a step) is true; no shuffle.
+
+    verdicts is made in each task, by calling it once without texts.
+    """
+    place = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep = verdicts()
+        for batch in batches:
+            numbered = iter([pa.RecordBatch.from_arrays([pa.array(range(batch.num_rows)), batch.column(place)], names=["key", "text"])])
+            mask = [bool(x) for _, texts in steps(numbered) for x in keep(texts)]
+            yield batch.filter(pa.array(mask, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

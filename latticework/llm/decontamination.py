@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from latticework.llm.common import record_batch, steps
+from latticework.llm.common import filtered, record_batch, steps
 from latticework.llm.words import ALNUM, Words, mix, windows, words_of
 
 WINDOW = 10
@@ -184,6 +184,19 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     return joined.select("doc_id", "n_words", union.alias("hits"), "items")
 
 
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The documents, with all their columns, in which no benchmark window occurs; a pass for each block of the benchmark."""
+    for block in _blocks(benchmark, item_col, item_text_col, block_bytes):
+        sent = docs.sparkSession.sparkContext.broadcast(block)
+
+        def verdicts(sent=sent):
+            searchers = compile_items(sent.value, window)
+            return lambda texts: [not r for r in search(searchers, texts)[1]]
+
+        docs = filtered(docs, text_col, verdicts)
+    return docs
+
+
 def digests(found: DataFrame) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated from contamination()."""
     hit = F.expr("aggregate(hits, 0L, (n, r) -> n + r[1] - r[0])")

@@ -30,14 +30,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from latticework.llm.common import written
+from latticework.llm.common import steps, written
 from latticework.llm.words import mix
 
 SPACE = "▁"
 MAX_ATOM = 60
 #: Atoms that are sent to all tasks, at most.
 FREQUENT = 1 << 17
-FLUSH = 300_000
+#: Distinct units that a task counts, or remembers, before it starts anew.
+FLUSH = 150_000
 
 
 class PieceModel:
@@ -65,32 +66,33 @@ class PieceModel:
         known = "".join(re.escape(p) for p in self.pieces if len(p) == 1 and p != SPACE)
         self._cutter = re.compile(f"{SPACE}*[{known}]+|{SPACE}+|.", re.S)
         self._pairs = {p[i : i + 2] for p in self.pieces for i in range(len(p) - 1)}
-        self._memo: dict[str, list[str]] = {}
 
-    def atoms(self, text: str) -> list[str]:
-        """The atoms of a text, in order; they make up the text with its spaces marked, after a leading mark."""
+    def units(self, text: str) -> list[str]:
+        """Stretches between spaces, which no piece crosses; they make up the text with its spaces marked, after a leading mark."""
         if not text:
             return []
+        if "  " in text or SPACE in text:  # marks of a run of spaces stay together
+            return re.findall(f"{SPACE}*[^{SPACE}]+|{SPACE}+", SPACE + text.replace(" ", SPACE))
+        return (SPACE + text.replace(" ", " " + SPACE)).split(" ")
+
+    def cut(self, unit: str) -> list[str]:
+        """The atoms of a unit, in order."""
         if self._cutter is None:
             self._prepare()
         out: list[str] = []
-        memo = self._memo
-        for unit in self._cutter.findall(SPACE + text.replace(" ", SPACE)):
-            cut = memo.get(unit)
-            if cut is None:
-                if len(memo) > FLUSH:
-                    memo.clear()
-                cut, start = [], 0
-                for i in range(1, len(unit)):
-                    if unit[i - 1 : i + 1] not in self._pairs:
-                        cut.append(unit[start:i])
-                        start = i
-                cut.append(unit[start:])
-                if len(unit) <= MAX_ATOM:
-                    memo[unit] = cut
-            out += cut
+        for part in self._cutter.findall(unit):
+            start = 0
+            for i in range(1, len(part)):
+                if part[i - 1 : i + 1] not in self._pairs:
+                    out.append(part[start:i])
+                    start = i
+            out.append(part[start:])
         return out
 
+    def outside(self, atom: str) -> bool:
+        """Whether an atom stays out of the lattice."""
+        return len(atom) > MAX_ATOM or len(atom) == 1 and atom not in self.pieces
+
     def direct(self, atom: str) -> list[int] | None:
         """Ids of an atom that stays out of the lattice, else None."""
         if len(atom) == 1 and atom not in self.pieces:
@@ -132,21 +134,24 @@ class PieceModel:
 
 
 def merge_fold(edges: Column, length: Column) -> Column:
-    """Ids of a BPE atom from its edges array<struct<rank,at,n,id>>; boundaries of symbols are bits of a number."""
-    one = F.lit(1).cast("long")
-    span = lambda n: F.call_function("shiftleft", one, n) - one
-    bit = lambda m, i: F.call_function("shiftright", m, i).bitwiseAND(one) == 1
-    symbols = lambda m, e: F.bit_count(F.call_function("shiftright", m, e["at"]).bitwiseAND(span(e["n"])))  # noqa: E731  that begin within the edge
-    whole = lambda m, e: bit(m, e["at"]) & bit(m, e["at"] + e["n"])
-    longer = F.filter(edges, lambda e: e["n"] > 1)
+    """Ids of a BPE atom from its edges array<struct<rank,at,n,id,ends,span>>.
+
+    Borders of symbols are bits of a number; ends and span are an edge's first and last bit, and all its bits. An edge can be
+    merged if its ends are borders with one more between them. Edges whose ends are gone are dropped on the way.
+    """
+    Edge = "array<struct<rank:double,at:int,n:int,id:int,ends:bigint,span:bigint>>"
 
-    def step(m: Column, _: Column) -> Column:
-        best = F.array_min(F.filter(longer, lambda e: (symbols(m, e) == 2) & whole(m, e)))
-        return F.coalesce(F.get(F.transform(F.array(best), lambda b: m.bitwiseAND(F.bitwise_not(F.call_function("shiftleft", span(b["n"] - 1), b["at"] + 1)))), F.lit(0)), m)
+    def step(state: Column, _: Column) -> Column:
+        def merged(best: Column) -> Column:
+            left = state["m"].bitwiseAND(F.bitwise_not(best["span"].bitwiseXOR(best["ends"])))
+            return F.transform(F.array(left), lambda m: F.struct(m.alias("m"), F.filter(state["edges"], lambda e: (m.bitwiseAND(e["ends"]) == e["ends"]) & (F.bit_count(m.bitwiseAND(e["span"])) > 2)).alias("edges")))
 
-    mask = F.when(length > 1, F.aggregate(F.sequence(F.lit(1), length - 1), span(length + 1), step)).otherwise(span(length + 1))
-    final = F.transform(F.array(mask), lambda m: F.transform(F.array_sort(F.transform(F.filter(edges, lambda e: (symbols(m, e) == 1) & whole(m, e)), lambda e: F.struct(e["at"], e["id"]))), lambda e: e["id"]))
-    return F.get(final, F.lit(0))
+        best = F.array_min(F.filter(state["edges"], lambda e: F.bit_count(state["m"].bitwiseAND(e["span"])) == 3))
+        return F.when(F.size(state["edges"]) == 0, state).otherwise(F.coalesce(F.get(F.flatten(F.transform(F.filter(F.array(best), lambda b: b.isNotNull()), merged)), F.lit(0)), F.struct(state["m"].alias("m"), F.array().cast(Edge).alias("edges"))))
+
+    every = F.call_function("shiftleft", F.lit(1).cast("long"), length + 1) - 1
+    mask = F.aggregate(F.sequence(F.lit(1), F.greatest(length - 1, F.lit(1))), F.struct(every.alias("m"), F.filter(edges, lambda e: e["n"] > 1).alias("edges")), step, lambda x: x["m"])
+    return F.get(F.transform(F.array(mask), lambda m: F.transform(F.array_sort(F.transform(F.filter(edges, lambda e: m.bitwiseAND(e["span"]) == e["ends"]), lambda e: F.struct(e["at"], e["id"]))), lambda e: e["id"])), F.lit(0))
 
 
 def viterbi_fold(edges: Column, length: Column) -> Column:
@@ -173,7 +178,10 @@ def encode_atoms(atoms: DataFrame, pieces: DataFrame, longest: int, fold=merge_f
     spans = starts.withColumn("n", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.length("atom") - F.col("at")))))
     known = pieces.where("piece IS NOT NULL").select(F.col("piece").alias("p"), "id", (-F.col("score")).alias("rank"))
     edges = spans.join(F.broadcast(known), F.substring("atom", F.col("at") + 1, F.col("n")) == F.col("p"))
-    grouped = edges.groupBy("atom").agg(*(F.first(c).alias(c) for c in others), F.collect_list(F.struct("rank", "at", "n", "id")).alias("edges"))
+    one = F.lit(1).cast("long")
+    ends = F.call_function("shiftleft", one, F.col("at")).bitwiseOR(F.call_function("shiftleft", one, F.col("at") + F.col("n"))).alias("ends")
+    span = F.call_function("shiftleft", F.call_function("shiftleft", one, F.col("n") + 1) - 1, F.col("at")).alias("span")
+    grouped = edges.groupBy("atom").agg(*(F.first(c).alias(c) for c in others), F.collect_list(F.struct("rank", "at", "n", "id", ends, span)).alias("edges"))
     return grouped.select("atom", *others, fold(F.col("edges"), F.length("atom")).alias("ids"))
 
 
@@ -194,17 +202,22 @@ def dictionary(plain: DataFrame, model: PieceModel, pieces: DataFrame) -> DataFr
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter[str] = Counter()
+        model = sent.value
 
         def flush() -> Iterator[pa.RecordBatch]:
-            keep = [(a, n) for a, n in counts.items() if len(a) <= MAX_ATOM and sent.value.direct(a) is None]
+            atoms: Counter[str] = Counter()
+            for unit, n in counts.items():
+                for a in model.cut(unit):
+                    atoms[a] += n
             counts.clear()
+            keep = [(a, n) for a, n in atoms.items() if len(a) <= MAX_ATOM and not model.outside(a)]
             for i in range(0, len(keep), 50_000):
                 part = keep[i : i + 50_000]
                 yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in part], pa.string()), pa.array([n for _, n in part], pa.int64())], names=["atom", "n"])
 
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                counts.update(sent.value.atoms(text))
+                counts.update(model.units(text))
                 if len(counts) > FLUSH:
                     yield from flush()
         yield from flush()
@@ -229,94 +242,137 @@ def frequent(words: DataFrame, limit: int = FREQUENT) -> dict[str, tuple[list[in
     if least is None:
         return {}
     chosen = words.where(F.floor(F.log2("count") * 8) >= least).select("atom", "ids", "exact")
-    return {r["atom"]: (r["ids"], r["exact"]) for r in chosen.toLocalIterator()}
-
-
-def _code(ids: list[int], at: int) -> int:
-    """Number that stands for ids from a place on; the code of a text is the exclusive or of those of its atoms."""
-    x = np.array(ids, np.uint64) + (np.arange(len(ids), dtype=np.uint64) << np.uint64(24)) + (np.uint64(at) << np.uint64(32))
-    return int(np.bitwise_xor.reduce(mix(x + np.uint64(1))))
+    return {r["atom"]: (r["ids"], r["exact"]) for r in chosen.collect()}
 
 
-def _codes(lists: list[list[int]], places: list[int]) -> np.ndarray:
-    """_code() of many atoms, at once."""
-    sizes = np.array([len(x) for x in lists])
-    if not sizes.sum():
-        return np.zeros(len(lists), np.uint64)
-    ids = np.fromiter((i for x in lists for i in x), np.uint64, int(sizes.sum()))
+def _codes(ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A number for each list of ids (flat, with the lists' sizes, none 0) and their order."""
     first = np.cumsum(sizes) - sizes
     inner = np.arange(len(ids)) - np.repeat(first, sizes)
-    x = ids + (inner.astype(np.uint64) << np.uint64(24)) + (np.repeat(np.array(places, np.uint64), sizes) << np.uint64(32))
-    return np.bitwise_xor.reduceat(mix(x + np.uint64(1)), first)
+    return np.bitwise_xor.reduceat(mix(ids.astype(np.uint64) + (inner.astype(np.uint64) << np.uint64(32)) + np.uint64(1)), first) if len(ids) else np.zeros(0, np.uint64)
+
+
+def _placed(codes: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Codes of atoms at places of a text; the exclusive or of them all is the code of the text."""
+    return mix(codes ^ places.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    return np.fromiter((i for x in lists for i in x), np.int64), np.array([len(x) for x in lists], np.int64)
+
+
+class Units:
+    """What a task knows of units: their atoms, by the number of the atom among those known here (-1: rare), and their places."""
+
+    def __init__(self, model: PieceModel, known: dict[str, tuple[list[int], bool]]) -> None:
+        self.model = model
+        self.number = {a: i for i, a in enumerate(known)}
+        ids, sizes = _flat([i for i, _ in known.values()])
+        self.known_codes, self.known_sizes = list(_codes(ids, sizes).tolist()), sizes.tolist()
+        self.exact = np.array([ok for _, ok in known.values()], bool)
+        self.reset()
+
+    def reset(self) -> None:
+        self.seen: dict[str, int] = {}
+        self.length: list[int] = []
+        self.first: list[int] = [0]
+        self.code: list[int] = []
+        self.size: list[int] = []
+        self.at: list[int] = []
+        self.rare: list[str | None] = []
+        self.good: list[bool] = []
+        self.arrays = None
+
+    def add(self, unit: str) -> int:
+        at = 0
+        for atom in self.model.cut(unit):
+            k = self.number.get(atom)
+            ids = self.model.direct(atom) if k is None else None
+            if k is not None:
+                self.code.append(self.known_codes[k])
+                self.size.append(self.known_sizes[k])
+                self.good.append(bool(self.exact[k]))
+            elif ids is not None:
+                self.code.append(int(_codes(np.array(ids), np.array([len(ids)]))[0]))
+                self.size.append(len(ids))
+                self.good.append(True)
+            else:
+                self.code.append(0)
+                self.size.append(0)
+                self.good.append(True)
+            self.rare.append(atom if k is None and ids is None else None)
+            self.at.append(at)
+            at += len(atom)
+        self.length.append(at)
+        self.first.append(len(self.at))
+        self.arrays = None
+        n = self.seen[unit] = len(self.length) - 1
+        return n
+
+    def of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[int, str, int]]]:
+        """Of each text: number of pieces, code, whether all is exact; and (text, atom, place) of the rare atoms."""
+        if len(self.seen) > FLUSH:
+            self.reset()
+        seen, numbers, counts = self.seen, [], []
+        for text in texts:
+            units = self.model.units(text)
+            counts.append(len(units))
+            numbers += [seen[u] if u in seen else self.add(u) for u in units]
+        u, counts = np.array(numbers, np.int64), np.array(counts)
+        if self.arrays is None:
+            self.arrays = (np.array(self.length, np.int64), np.array(self.first, np.int64), np.array(self.code, np.uint64), np.array(self.size, np.int64), np.array(self.at, np.int64), np.array([r is not None for r in self.rare], bool), np.array(self.good, bool))
+        length, first, code, size, at, is_rare, good = self.arrays
+        doc_of_unit = np.repeat(np.arange(len(texts)), counts)
+        before = np.cumsum(length[u]) - length[u]
+        starts = np.cumsum(counts) - counts
+        base = np.append(before, before[-1:] + length[u][-1:])[np.minimum(starts, len(before))] if len(u) else np.zeros(len(texts), np.int64)
+        n_atoms = first[u + 1] - first[u] if len(u) else np.zeros(0, np.int64)
+        which = np.arange(n_atoms.sum()) - np.repeat(np.cumsum(n_atoms) - n_atoms, n_atoms) + np.repeat(first[u] if len(u) else n_atoms, n_atoms)
+        doc = np.repeat(doc_of_unit, n_atoms)
+        place = np.repeat(before, n_atoms) + at[which] - base[doc]
+        known = ~is_rare[which]
+        n = np.bincount(doc, size[which], len(texts)).astype(np.int64)
+        codes = np.zeros(len(texts), np.uint64)
+        np.bitwise_xor.at(codes, doc[known], _placed(code[which[known]], place[known]))
+        exact = np.bincount(doc, ~good[which], len(texts)) == 0
+        rare = np.flatnonzero(~known)
+        return n, codes, exact & np.array([SPACE not in t for t in texts], bool), [(d, self.rare[w], p) for d, w, p in zip(doc[rare].tolist(), which[rare].tolist(), place[rare].tolist(), strict=True)]
 
 
 def piece_digests(docs: DataFrame, model: PieceModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_pieces, ids_code (of all ids with their atoms' places) and round_trip (whether the ids decode to the text)."""
+    """doc_id, n_pieces, ids_code (of all ids, with their atoms' places) and round_trip (whether the ids decode to the text)."""
     spark = docs.sparkSession
     plain = _plain(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id())
-    pieces = model.table(spark)
-    words = dictionary(plain, model, pieces)
+    words = dictionary(plain, model, model.table(spark))
     sent = spark.sparkContext.broadcast((model, frequent(words)))
-    signed = lambda x: x - (1 << 64) if x >> 63 else x
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row with the sums of each text, and one for each of its rare atoms, whose place is kept."""
-        model, known = sent.value
-
-        def rows(keys: list, n: list, code: list, exact: list, atom: list, at: list) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array(n, pa.int64()), pa.array(code, pa.int64()), pa.array(exact, pa.bool_()), pa.array(atom, pa.string()), pa.array(at, pa.int64())], names=["row", "doc_id", "n", "code", "exact", "atom", "at"])
+        """A row with the sums of each text, and one for each occurrence of a rare atom."""
+        units = Units(*sent.value)
+        keyed = (pa.RecordBatch.from_arrays([b.select(["row", "doc_id"]).to_struct_array(), b.column("text")], names=["key", "text"]) for b in batches)
+        for keys, texts in steps(keyed):
+            n, code, exact, rare = units.of([t.decode() for t in texts])
+            row, m = np.array([k["row"] for k in keys], np.int64), len(rare)
+            yield pa.RecordBatch.from_arrays([pa.array(row), pa.array([k["doc_id"] for k in keys], pa.int64()), pa.array(n), pa.array(code.view(np.int64)), pa.array(exact), pa.nulls(len(keys), pa.string()), pa.nulls(len(keys), pa.int64())], names=_PART)
+            for i in range(0, m, 20_000):
+                part = rare[i : i + 20_000]
+                k = len(part)
+                yield pa.RecordBatch.from_arrays([pa.array(row[[d for d, _, _ in part]]), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.bool_()), pa.array([a for _, a, _ in part], pa.string()), pa.array([p for _, _, p in part], pa.int64())], names=_PART)
 
-        for batch in batches:
-            for row, doc, text in zip(*(batch.column(c).to_pylist() for c in ("row", "doc_id", "text")), strict=True):
-                lists, places, rare, at, ok = [], [], [], 0, SPACE not in text
-                for atom in model.atoms(text):
-                    found = known.get(atom)
-                    if found is not None:
-                        lists.append(found[0])
-                        places.append(at)
-                        ok &= found[1]
-                    elif (ids := model.direct(atom)) is not None:
-                        lists.append(ids)
-                        places.append(at)
-                    else:
-                        rare.append((atom, at))
-                    at += len(atom)
-                code = int(np.bitwise_xor.reduce(_codes(lists, places))) if lists else 0
-                keys = [(row, doc)] * (1 + len(rare))
-                yield rows(keys, [sum(map(len, lists)), *[0] * len(rare)], [signed(code), *[0] * len(rare)], [ok, *[True] * len(rare)], [None, *(a for a, _ in rare)], [0, *(p for _, p in rare)])
-
-    parts = plain.mapInArrow(_packed(split), "row long, doc_id long, n long, code long, exact boolean, atom string, at long")
-    return _summed(parts, words)
-
-
-def _packed(split):
-    """split(), with its small batches put together."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
-        for b in split(batches):
-            held.append(b)
-            n += b.num_rows
-            if n >= 20_000:
-                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-                held, n = [], 0
-        if held:
-            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-
-    return run
-
-
-def _summed(parts: DataFrame, words: DataFrame) -> DataFrame:
     def rare_codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = b.column("ids").to_pylist()
-            code = _codes(ids, b.column("at").to_pylist()).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("doc_id"), pa.array([len(x) for x in ids], pa.int64()), pa.array(code), b.column("exact")], names=["row", "doc_id", "n", "code", "exact"])
+            ids = b.column("ids")
+            sizes = ids.value_lengths().to_numpy().astype(np.int64)
+            code = _placed(_codes(ids.flatten().to_numpy(), sizes), b.column("at").to_numpy()).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column("row"), pa.nulls(len(code), pa.int64()), pa.array(sizes), pa.array(code), b.column("exact")], names=_PART[:5])
+
+    parts = written(plain.mapInArrow(split, "row long, doc_id long, n long, code long, exact boolean, atom string, at long"), "parts")
+    rare = parts.where("atom IS NOT NULL").select("row", "at", "atom").join(words.select("atom", "ids", "exact"), "atom").select("row", "at", "ids", "exact").mapInArrow(rare_codes, "row long, doc_id long, n long, code long, exact boolean")
+    every = parts.where("atom IS NULL").select(*_PART[:5]).unionByName(rare)
+    return every.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.sum("n").alias("n_pieces"), F.bit_xor("code").alias("ids_code"), F.bool_and("exact").alias("round_trip")).drop("row")
 
-    parts = written(parts, "parts")
-    rare = parts.where("atom IS NOT NULL").select("row", "doc_id", "at", "atom").join(words.select("atom", "ids", F.col("exact")), "atom").select("row", "doc_id", "at", "ids", "exact").mapInArrow(rare_codes, "row long, doc_id long, n long, code long, exact boolean")
-    every = parts.where("atom IS NULL").select("row", "doc_id", "n", "code", "exact").unionByName(rare)
-    return every.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.sum("n").alias("n_pieces"), F.bit_xor("code").alias("ids_code"), F.bool_and("exact").alias("round_trip")).drop("row")
+
+_PART = ["row", "doc_id", "n", "code", "exact", "atom", "at"]
 
 
 def encode(docs: DataFrame, model: PieceModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -329,11 +385,14 @@ def encode(docs: DataFrame, model: PieceModel, id_col: str = "doc_id", text_col:
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """ids with -1 in place of every rare atom, and the rare atoms in order."""
         model, known = sent.value
+        memo: dict[str, list[str]] = {}
         for batch in batches:
             out, missing = [], []
             for text in batch.column("text").to_pylist():
                 ids, rare = [], []
-                for atom in model.atoms(text):
+                if len(memo) > FLUSH:
+                    memo.clear()
+                for atom in (a for u in model.units(text) for a in (memo.get(u) or memo.setdefault(u, model.cut(u)))):
                     found = known.get(atom)
                     part = found[0] if found is not None else model.direct(atom)
                     if part is None:

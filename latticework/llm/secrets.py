@@ -80,19 +80,24 @@ def _suspicious(span: Column) -> Column:
     return ~allowed & high
 
 
-def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text, and spans array<struct<start,kind,end,value>> in order of start, then kind (0..3, see KINDS)."""
-    base = docs.select(docs[id_col].alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
-    text = F.col("text")
+def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """doc_id, or the columns to keep, with scanned (the text, a null as empty) and spans array<struct<start,kind,end,value>>.
+
+    Spans are in order of start, then kind (0..3, see KINDS).
+    """
+    kept = [docs[c] for c in keep] if keep else [docs[id_col].alias("doc_id")]
+    names = keep or ["doc_id"]
+    base = docs.select(*kept, F.coalesce(docs[text_col], F.lit("")).alias("scanned"))
+    text = F.col("scanned")
     long_value = lambda s: F.length(F.regexp_extract(s["value"], ASSIGN, 1)) >= 6
-    found = base.select(
-        "doc_id", "text",
-        F.concat(_spans(text, ASSIGN, 0, long_value), _spans(text, ACCESS, 1, lambda s: F.length(s["value"]) >= 20), _spans(text, HEX, 2)).alias("base"),
-        _spans(text, CANDIDATE, 3).alias("candidates"),
-    )
-    apart = lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
+    found = base.withColumns({
+        "base_spans": F.concat(_spans(text, ASSIGN, 0, long_value), _spans(text, ACCESS, 1, lambda s: F.length(s["value"]) >= 20), _spans(text, HEX, 2)),
+        "candidates": _spans(text, CANDIDATE, 3),
+    })
+    apart = lambda c: ~F.exists("base_spans", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
     extra = F.filter("candidates", lambda c: apart(c) & _suspicious(c))
-    return found.select("doc_id", "text", F.array_sort(F.concat("base", F.when(F.size("candidates") > 0, extra).otherwise(F.col("candidates")))).alias("spans"))
+    spans = F.array_sort(F.concat("base_spans", F.when(F.size("candidates") > 0, extra).otherwise(F.col("candidates"))))
+    return found.select(*names, "scanned", spans.alias("spans"))
 
 
 def digests(found: DataFrame) -> DataFrame:

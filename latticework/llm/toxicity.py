@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from latticework.llm.common import record_batch, steps
+from latticework.llm.common import filtered, record_batch, steps
 from latticework.llm.words import ALNUM, Words, mix, words_of
 
 SAMPLE, FEATURES = 20_000, 20_000
@@ -264,5 +264,19 @@ def toxic_passages(docs: DataFrame, model: Model, id_col: str = "doc_id", text_c
     return _plain(docs, id_col, text_col).mapInArrow(run, "doc_id long, score double, segments array<struct<start:bigint,end:bigint,score:double,p_value:double>>")
 
 
+def without_toxic(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The documents, with all their columns, whose score is below the threshold."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def verdicts() -> Callable[[list[bytes]], list[bool]]:
+        def keep(texts: list[bytes]) -> list[bool]:
+            counts, segs = sent.value.segments(texts)
+            return (sent.value.score(np.array([sent.value.features(n, s) for n, s in zip(counts.tolist(), segs, strict=True)])) < threshold).tolist()
+
+        return keep
+
+    return filtered(docs, text_col, verdicts)
+
+
 def in_training(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string")) % 4 != 2
