@@ -62,14 +62,16 @@ def steps(batches: Iterator[pa.RecordBatch], limit: int = STEP_BYTES) -> Iterato
     texts: list[bytes] = []
     size = 0
     for batch in batches:
-        for key, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.large_binary()).to_pylist(), strict=True):
-            text = text or b""
-            if ids and size + len(text) > limit:
-                yield ids, texts
-                ids, texts, size = [], [], 0
-            ids.append(key)
-            texts.append(text)
-            size += len(text) + 16
+        for start in range(0, batch.num_rows, 256):
+            part = batch.slice(start, 256)
+            for key, text in zip(part.column(0).to_pylist(), part.column(1).cast(pa.binary()).to_pylist(), strict=True):
+                text = text or b""
+                if ids and size + len(text) > limit:
+                    yield ids, texts
+                    ids, texts, size = [], [], 0
+                ids.append(key)
+                texts.append(text)
+                size += len(text) + 16
     if ids:
         yield ids, texts
 

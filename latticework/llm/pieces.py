@@ -20,6 +20,7 @@ as with the library; repeated ids give repeated rows.
 
 from __future__ import annotations
 
+import contextlib
 import heapq
 import re
 from collections import Counter
@@ -27,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from latticework.llm.common import steps, written
@@ -38,7 +39,7 @@ MAX_ATOM = 60
 #: Atoms that are sent to all tasks, at most.
 FREQUENT = 1 << 17
 #: Distinct units that a task counts, or remembers, before it starts anew.
-FLUSH = 150_000
+FLUSH = 200_000
 
 
 class PieceModel:
@@ -65,6 +66,7 @@ class PieceModel:
     def _prepare(self) -> None:
         known = "".join(re.escape(p) for p in self.pieces if len(p) == 1 and p != SPACE)
         self._cutter = re.compile(f"{SPACE}*[{known}]+|{SPACE}+|.", re.S)
+        self._plain = re.compile(f"{SPACE}[{''.join(c for c in 'abcdefghijklmnopqrstuvwxyz' if c in self.pieces) or SPACE}]+")
         self._pairs = {p[i : i + 2] for p in self.pieces for i in range(len(p) - 1)}
 
     def units(self, text: str) -> list[str]:
@@ -79,6 +81,8 @@ class PieceModel:
         """The atoms of a unit, in order."""
         if self._cutter is None:
             self._prepare()
+        if self._plain.fullmatch(unit):
+            return [unit]
         out: list[str] = []
         for part in self._cutter.findall(unit):
             start = 0
@@ -170,19 +174,31 @@ def viterbi_fold(edges: Column, length: Column) -> Column:
     return F.when(length > 0, F.get(F.aggregate(F.sequence(F.lit(1), F.greatest(length, F.lit(1))), start, step), length)["ids"]).otherwise(F.array().cast("array<int>"))
 
 
-def encode_atoms(atoms: DataFrame, pieces: DataFrame, longest: int, fold=merge_fold) -> DataFrame:
+def encode_atoms(atoms: DataFrame, pieces: DataFrame, longest: int, unigram: bool = False) -> DataFrame:
     """atoms (atom, and other columns) with their ids; distinct atoms of at most MAX_ATOM characters, all with pieces."""
     others = [c for c in atoms.columns if c != "atom"]
     # all atoms of a partition stay there: explode, a broadcast join of the bounded piece table, and grouping by the same key
     starts = atoms.withColumn("at", F.explode(F.sequence(F.lit(0), F.length("atom") - 1)))
     spans = starts.withColumn("n", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.length("atom") - F.col("at")))))
-    known = pieces.where("piece IS NOT NULL").select(F.col("piece").alias("p"), "id", (-F.col("score")).alias("rank"))
-    edges = spans.join(F.broadcast(known), F.substring("atom", F.col("at") + 1, F.col("n")) == F.col("p"))
+    order = Window.orderBy(F.desc("score"))  # over the bounded piece table
+    known = pieces.where("piece IS NOT NULL").select(F.col("piece").alias("p"), "id", "score", F.dense_rank().over(order).cast("long").alias("rank"))
+    joined = spans.join(F.broadcast(known), F.substring("atom", F.col("at") + 1, F.col("n")) == F.col("p"))
+    first = [F.first(c).alias(c) for c in others]
+    if unigram:
+        paths = joined.groupBy("atom").agg(*first, F.collect_list(F.struct((-F.col("score")).alias("rank"), "at", "n", "id")).alias("edges"))
+        return paths.select("atom", *others, viterbi_fold(F.col("edges"), F.length("atom")).alias("ids"))
+    # an edge is one number, in the order of rank, then place: small to group and sort
+    code = F.shiftleft("rank", 36).bitwiseOR(F.shiftleft(F.col("at").cast("long"), 30)).bitwiseOR(F.shiftleft(F.col("n").cast("long"), 24)).bitwiseOR(F.col("id"))
+    grouped = joined.select("atom", *others, code.alias("code")).groupBy("atom").agg(*first, F.collect_list("code").alias("codes"))
     one = F.lit(1).cast("long")
-    ends = F.call_function("shiftleft", one, F.col("at")).bitwiseOR(F.call_function("shiftleft", one, F.col("at") + F.col("n"))).alias("ends")
-    span = F.call_function("shiftleft", F.call_function("shiftleft", one, F.col("n") + 1) - 1, F.col("at")).alias("span")
-    grouped = edges.groupBy("atom").agg(*(F.first(c).alias(c) for c in others), F.collect_list(F.struct("rank", "at", "n", "id", ends, span)).alias("edges"))
-    return grouped.select("atom", *others, fold(F.col("edges"), F.length("atom")).alias("ids"))
+
+    def unpacked(c: Column) -> Column:
+        at, n = F.shiftright(c, 30).bitwiseAND(F.lit(63)).cast("int"), F.shiftright(c, 24).bitwiseAND(F.lit(63)).cast("int")
+        ends = F.call_function("shiftleft", one, at).bitwiseOR(F.call_function("shiftleft", one, at + n))
+        span = F.call_function("shiftleft", F.call_function("shiftleft", one, n + 1) - 1, at)
+        return F.struct(F.shiftright(c, 36).cast("double").alias("rank"), at.alias("at"), n.alias("n"), c.bitwiseAND(F.lit((1 << 24) - 1)).cast("int").alias("id"), ends.alias("ends"), span.alias("span"))
+
+    return grouped.select("atom", *others, merge_fold(F.transform("codes", unpacked), F.length("atom")).alias("ids"))
 
 
 def decode(encoded: DataFrame, pieces: DataFrame, key: str, ids_col: str = "ids") -> DataFrame:
@@ -196,8 +212,20 @@ def _plain(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
 
 
+@contextlib.contextmanager
+def _grouped_in_memory(spark: SparkSession, groups: int = 1 << 17) -> Iterator[None]:
+    """Lists of so many groups are collected without a sort, which at some 500 bytes an atom is 64 MB a task; then it sorts."""
+    key = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(groups))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def dictionary(plain: DataFrame, model: PieceModel, pieces: DataFrame) -> DataFrame:
-    """(atom, count, ids, exact) of every atom of the corpus; exact: its ids decode to it again."""
+    """(atom, count, ids, exact) of every atom of the corpus; exact: its pieces make up the atom again."""
     sent = plain.sparkSession.sparkContext.broadcast(model)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,32 +234,54 @@ def dictionary(plain: DataFrame, model: PieceModel, pieces: DataFrame) -> DataFr
 
         def flush() -> Iterator[pa.RecordBatch]:
             atoms: Counter[str] = Counter()
-            for unit, n in counts.items():
+            while counts:
+                unit, n = counts.popitem()
                 for a in model.cut(unit):
                     atoms[a] += n
-            counts.clear()
             keep = [(a, n) for a, n in atoms.items() if len(a) <= MAX_ATOM and not model.outside(a)]
             for i in range(0, len(keep), 50_000):
                 part = keep[i : i + 50_000]
                 yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in part], pa.string()), pa.array([n for _, n in part], pa.int64())], names=["atom", "n"])
 
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                counts.update(model.units(text))
-                if len(counts) > FLUSH:
-                    yield from flush()
+        keyed = (pa.RecordBatch.from_arrays([pa.nulls(b.num_rows), b.column(0)], names=["key", "text"]) for b in batches)
+        for _, texts in steps(keyed):
+            for text in texts:
+                counts.update(model.units(text.decode()))
+            if len(counts) > FLUSH:
+                yield from flush()
         yield from flush()
 
+    def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        text_of = {i: p for p, (i, _) in sent.value.pieces.items()}
+        for b in batches:
+            exact = ["".join(map(text_of.__getitem__, ids)) == atom for atom, ids in zip(b.column("atom").to_pylist(), b.column("ids").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(exact, pa.bool_())], names=["atom", "count", "ids", "exact"])
+
     atoms = plain.select("text").mapInArrow(count, "atom string, n long").groupBy("atom").agg(F.sum("n").alias("count"))
-    encoded = encode_atoms(atoms, pieces, model.longest)
-    hexes = F.broadcast(pieces.select("id", "hex"))
-    # decoding at the atoms: still partitioned by atom, so no shuffle either
-    back = encoded.select("atom", "count", "ids", F.posexplode("ids").alias("pos", "id")).join(hexes, "id").groupBy("atom").agg(F.first("count").alias("count"), F.first("ids").alias("ids"), F.array_sort(F.collect_list(F.struct("pos", "hex"))).alias("parts"))
-    text = F.decode(F.unhex(F.array_join(F.transform("parts", lambda x: x["hex"]), "")), "UTF-8")
-    return written(back.select("atom", "count", "ids", (text == F.replace("atom", F.lit(SPACE), F.lit(" "))).alias("exact")), "atoms")
+    encoded = encode_atoms(atoms, pieces, model.longest).select("atom", "count", "ids")
+    with _grouped_in_memory(plain.sparkSession):
+        return written(encoded.mapInArrow(checked, "atom string, count long, ids array<int>, exact boolean"), "atoms")
+
 
+class Known:
+    """The atoms that are sent to all tasks, packed: their texts, and their ids end to end."""
 
-def frequent(words: DataFrame, limit: int = FREQUENT) -> dict[str, tuple[list[int], bool]]:
+    def __init__(self, rows: list) -> None:
+        self.texts = "\n".join(r["atom"] for r in rows)  # no piece has a line break
+        self.sizes = np.array([len(r["ids"]) for r in rows], np.int16)
+        self.ids = np.fromiter((i for r in rows for i in r["ids"]), np.int32)
+        self.exact = np.array([r["exact"] for r in rows], bool)
+
+    def numbers(self) -> dict[str, int]:
+        return {a: i for i, a in enumerate(self.texts.split("\n"))} if len(self.sizes) else {}
+
+    def lists(self) -> list[list[int]]:
+        ends = np.cumsum(self.sizes, dtype=np.int64).tolist()
+        flat = self.ids.tolist()
+        return [flat[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)] if ends else []
+
+
+def frequent(words: DataFrame, limit: int = FREQUENT) -> Known:
     """The atoms over the least count that leaves at most limit of them."""
     by_size = {r["size"]: r["n"] for r in words.groupBy(F.floor(F.log2("count") * 8).alias("size")).agg(F.count("*").alias("n")).collect()}
     total, least = 0, None
@@ -239,10 +289,7 @@ def frequent(words: DataFrame, limit: int = FREQUENT) -> dict[str, tuple[list[in
         if total + by_size[size] > limit:
             break
         total, least = total + by_size[size], size
-    if least is None:
-        return {}
-    chosen = words.where(F.floor(F.log2("count") * 8) >= least).select("atom", "ids", "exact")
-    return {r["atom"]: (r["ids"], r["exact"]) for r in chosen.collect()}
+    return Known(words.where(F.floor(F.log2("count") * 8) >= least).select("atom", "ids", "exact").collect() if least is not None else [])
 
 
 def _codes(ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -257,86 +304,73 @@ def _placed(codes: np.ndarray, places: np.ndarray) -> np.ndarray:
     return mix(codes ^ places.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
-def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    return np.fromiter((i for x in lists for i in x), np.int64), np.array([len(x) for x in lists], np.int64)
-
-
 class Units:
-    """What a task knows of units: their atoms, by the number of the atom among those known here (-1: rare), and their places."""
-
-    def __init__(self, model: PieceModel, known: dict[str, tuple[list[int], bool]]) -> None:
-        self.model = model
-        self.number = {a: i for i, a in enumerate(known)}
-        ids, sizes = _flat([i for i, _ in known.values()])
-        self.known_codes, self.known_sizes = list(_codes(ids, sizes).tolist()), sizes.tolist()
-        self.exact = np.array([ok for _, ok in known.values()], bool)
-        self.reset()
-
-    def reset(self) -> None:
-        self.seen: dict[str, int] = {}
-        self.length: list[int] = []
-        self.first: list[int] = [0]
-        self.code: list[int] = []
-        self.size: list[int] = []
-        self.at: list[int] = []
-        self.rare: list[str | None] = []
-        self.good: list[bool] = []
-        self.arrays = None
-
-    def add(self, unit: str) -> int:
-        at = 0
-        for atom in self.model.cut(unit):
-            k = self.number.get(atom)
-            ids = self.model.direct(atom) if k is None else None
-            if k is not None:
-                self.code.append(self.known_codes[k])
-                self.size.append(self.known_sizes[k])
-                self.good.append(bool(self.exact[k]))
-            elif ids is not None:
-                self.code.append(int(_codes(np.array(ids), np.array([len(ids)]))[0]))
-                self.size.append(len(ids))
-                self.good.append(True)
-            else:
-                self.code.append(0)
-                self.size.append(0)
-                self.good.append(True)
-            self.rare.append(atom if k is None and ids is None else None)
-            self.at.append(at)
-            at += len(atom)
-        self.length.append(at)
-        self.first.append(len(self.at))
-        self.arrays = None
-        n = self.seen[unit] = len(self.length) - 1
-        return n
+    """Sums over the atoms of texts, as far as they are known here."""
+
+    def __init__(self, model: PieceModel, known: Known) -> None:
+        self.model, self.number = model, known.numbers()
+        self.codes, self.sizes, self.exact = _codes(known.ids, known.sizes.astype(np.int64)), known.sizes.astype(np.int64), known.exact
+        self.cuts: dict[str, list[str]] = {}
+        self.direct: dict[str, tuple[int, int] | None] = {}
+
+    def _direct(self, atom: str) -> tuple[int, int] | None:
+        """Code and number of the ids of an atom outside the lattice."""
+        if atom not in self.direct:
+            ids = self.model.direct(atom)
+            found = None if ids is None else (int(_codes(np.array(ids), np.array([len(ids)]))[0]), len(ids))
+            if len(atom) > 1 or len(self.direct) > FLUSH:
+                return found
+            self.direct[atom] = found
+        return self.direct[atom]
 
     def of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[int, str, int]]]:
         """Of each text: number of pieces, code, whether all is exact; and (text, atom, place) of the rare atoms."""
-        if len(self.seen) > FLUSH:
-            self.reset()
-        seen, numbers, counts = self.seen, [], []
-        for text in texts:
+        get, cuts, cut = self.number.get, self.cuts, self.model.cut
+        numbers: list[int] = []  # of atoms known here, with their texts and places
+        docs, places = [], []
+        other_n, other_code = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.uint64)
+        rare: list[tuple[int, str, int]] = []
+        for d, text in enumerate(texts):
             units = self.model.units(text)
-            counts.append(len(units))
-            numbers += [seen[u] if u in seen else self.add(u) for u in units]
-        u, counts = np.array(numbers, np.int64), np.array(counts)
-        if self.arrays is None:
-            self.arrays = (np.array(self.length, np.int64), np.array(self.first, np.int64), np.array(self.code, np.uint64), np.array(self.size, np.int64), np.array(self.at, np.int64), np.array([r is not None for r in self.rare], bool), np.array(self.good, bool))
-        length, first, code, size, at, is_rare, good = self.arrays
-        doc_of_unit = np.repeat(np.arange(len(texts)), counts)
-        before = np.cumsum(length[u]) - length[u]
-        starts = np.cumsum(counts) - counts
-        base = np.append(before, before[-1:] + length[u][-1:])[np.minimum(starts, len(before))] if len(u) else np.zeros(len(texts), np.int64)
-        n_atoms = first[u + 1] - first[u] if len(u) else np.zeros(0, np.int64)
-        which = np.arange(n_atoms.sum()) - np.repeat(np.cumsum(n_atoms) - n_atoms, n_atoms) + np.repeat(first[u] if len(u) else n_atoms, n_atoms)
-        doc = np.repeat(doc_of_unit, n_atoms)
-        place = np.repeat(before, n_atoms) + at[which] - base[doc]
-        known = ~is_rare[which]
-        n = np.bincount(doc, size[which], len(texts)).astype(np.int64)
-        codes = np.zeros(len(texts), np.uint64)
-        np.bitwise_xor.at(codes, doc[known], _placed(code[which[known]], place[known]))
-        exact = np.bincount(doc, ~good[which], len(texts)) == 0
-        rare = np.flatnonzero(~known)
-        return n, codes, exact & np.array([SPACE not in t for t in texts], bool), [(d, self.rare[w], p) for d, w, p in zip(doc[rare].tolist(), which[rare].tolist(), place[rare].tolist(), strict=True)]
+            if not units:
+                continue
+            found = np.array([get(u, -1) for u in units])
+            ends = np.cumsum([len(u) for u in units])
+            at = np.concatenate([[0], ends[:-1]])
+            known = found >= 0
+            numbers.append(found[known])
+            places.append(at[known])
+            inner, inner_at = [], []
+            for i in np.flatnonzero(~known).tolist():
+                u, place = units[i], int(at[i])
+                atoms = cuts.get(u)
+                if atoms is None:
+                    if len(cuts) > FLUSH:
+                        cuts.clear()
+                    atoms = cuts[u] = cut(u)
+                for a in atoms:
+                    k = get(a)
+                    if k is not None:
+                        inner.append(k)
+                        inner_at.append(place)
+                    elif self.model.outside(a) and (x := self._direct(a)):
+                        other_n[d] += x[1]
+                        other_code[d] ^= _placed(np.array([x[0]], np.uint64), np.array([place]))[0]
+                    else:
+                        rare.append((d, a, place))
+                    place += len(a)
+            numbers.append(np.array(inner, np.int64))
+            places.append(np.array(inner_at, np.int64))
+            docs.append(np.full(int(known.sum()) + len(inner), d))
+        exact = np.array([SPACE not in t for t in texts], bool)
+        if not docs:
+            return other_n, other_code, exact, rare
+        doc, number, place = np.concatenate(docs), np.concatenate(numbers), np.concatenate(places)
+        n = other_n + np.bincount(doc, self.sizes[number], len(texts)).astype(np.int64) if len(number) else other_n
+        if len(number):
+            np.bitwise_xor.at(other_code, doc, _placed(self.codes[number], place))
+            exact &= np.bincount(doc, ~self.exact[number], len(texts)) == 0
+        return n, other_code, exact, rare
 
 
 def piece_digests(docs: DataFrame, model: PieceModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -385,6 +419,7 @@ def encode(docs: DataFrame, model: PieceModel, id_col: str = "doc_id", text_col:
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """ids with -1 in place of every rare atom, and the rare atoms in order."""
         model, known = sent.value
+        numbers, lists = known.numbers(), known.lists()
         memo: dict[str, list[str]] = {}
         for batch in batches:
             out, missing = [], []
@@ -393,8 +428,8 @@ def encode(docs: DataFrame, model: PieceModel, id_col: str = "doc_id", text_col:
                 if len(memo) > FLUSH:
                     memo.clear()
                 for atom in (a for u in model.units(text) for a in (memo.get(u) or memo.setdefault(u, model.cut(u)))):
-                    found = known.get(atom)
-                    part = found[0] if found is not None else model.direct(atom)
+                    found = numbers.get(atom)
+                    part = lists[found] if found is not None else model.direct(atom)
                     if part is None:
                         rare.append(atom)
                         ids.append(-1)
