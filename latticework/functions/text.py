@@ -6,41 +6,43 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Words that say nothing about a task (fixed values).
-STOP_WORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "into", "is", "it", "its", "of", "on", "or", "so", "that", "the", "this", "to", "was", "when", "with", "without", "we")
+STOP_WORDS = ("a", "an", "and", "as", "at", "be", "by", "code", "feature", "for", "from", "in", "into", "is", "it", "make", "of", "on", "or", "refactor", "safely", "support", "task", "that", "the", "this", "to", "with")
 
 MAX_TERMS, MAX_IDENTIFIERS = 64, 32
 
 
 def stem(term: Column) -> Column:
-    """ies → y, -ing and -ed (an undoubled consonant before -ing), -s but not -ss; short words stay."""
-    n = F.length(term)
-    ing = F.left(term, n - 3)
+    """ies → y, -ing (and one of a doubled last letter) and -ed gone, -s but not -ss; short words stay. Lengths are bytes."""
+    n = F.octet_length(term)
+    chars = F.length(term)
+    ing = F.left(term, chars - 3)
     m = F.length(ing)
-    undoubled = F.when((F.substring(ing, m, F.lit(1)) == F.substring(ing, m - 1, F.lit(1))) & ~F.substring(ing, m, F.lit(1)).isin("a", "e", "i", "o", "u", "l", "s"), F.left(ing, m - 1)).otherwise(ing)
+    undoubled = F.when((F.octet_length(ing) > 2) & (F.substring(ing, m, F.lit(1)) == F.substring(ing, m - 1, F.lit(1))), F.left(ing, m - 1)).otherwise(ing)
     return (
-        F.when((n > 4) & term.endswith("ies"), F.concat(F.left(term, n - 3), F.lit("y")))
+        F.when((n > 5) & term.endswith("ies"), F.concat(F.left(term, chars - 3), F.lit("y")))
         .when((n > 5) & term.endswith("ing"), undoubled)
-        .when((n > 4) & term.endswith("ed"), F.left(term, n - 2))
-        .when((n > 3) & term.endswith("s") & ~term.endswith("ss"), F.left(term, n - 1))
+        .when((n > 4) & term.endswith("ed"), F.left(term, chars - 2))
+        .when((n > 4) & term.endswith("s") & ~term.endswith("ss"), F.left(term, chars - 1))
         .otherwise(term)
     )
 
 
 def words(text: Column) -> Column:
-    """Lower-cased words of a text; words in camel case are split."""
+    """Words of a text, ASCII letters lower-cased; words in camel case are split."""
     split = F.regexp_replace(text, "([a-z0-9])([A-Z])", "$1 $2")
-    return F.filter(F.split(F.lower(split), "[^a-z0-9]+"), lambda w: F.length(w) > 1)
+    lower = F.translate(split, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return F.filter(F.split(lower, r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
 def terms(text: Column, limit: int = MAX_TERMS) -> Column:
-    """Distinct stems of a text's words without stop words, in order of appearance, limited."""
-    kept = F.filter(words(text), lambda w: ~w.isin(*STOP_WORDS))
-    return F.slice(F.array_distinct(F.transform(kept, stem)), 1, limit)
+    """Distinct stems of a text's words that are no stop words, in order of appearance, limited."""
+    kept = F.filter(F.transform(words(text), stem), lambda w: ~w.isin(*STOP_WORDS))
+    return F.slice(F.array_distinct(kept), 1, limit)
 
 
 def identifiers(text: Column, limit: int = MAX_IDENTIFIERS) -> Column:
     """Lower-cased identifiers: quoted, A::b, dotted, and capitalised words."""
-    patterns = (r"[`'\"]([^`'\"]+)[`'\"]", r"([A-Za-z_][\w\\]*::\w+)", r"\b([A-Za-z_]\w*(?:\.\w+)+)\b", r"\b([A-Z][A-Za-z0-9_]+)\b")
+    patterns = (r"[\"']([^\"']{1,512})[\"']", r"\b([A-Za-z_][A-Za-z0-9_\\]*::[A-Za-z_][A-Za-z0-9_]*)\b", r"\b([A-Za-z0-9_-]+(?:\.[A-Za-z0-9_-]+)+)\b", r"\b([A-Z][A-Za-z0-9_\\]{2,})\b")
     found = [F.regexp_extract_all(text, F.lit(p), F.lit(1)) for p in patterns]
     return F.slice(F.array_distinct(F.transform(F.concat(*found), F.lower)), 1, limit)
 

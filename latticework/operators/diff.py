@@ -72,28 +72,29 @@ def fair_details(diff: DataFrame, budget: int) -> DataFrame:
     return details(diff, budget).where(F.col("rank") <= share)
 
 
-#: Findings: (category, entity, type, kind) → (code, severity), the first that holds (fixed values); None holds for all.
+#: Findings: (category, types, kind) → (code, severity), the first that holds (fixed values); no types: all.
 RULES = (
-    ("routes", "node", "route", "removed", "route_removed", "high"),
-    ("routes", "edge", "routes_to", "removed", "route_target_removed", "high"),
-    ("routes", "edge", "passes_through", "removed", "middleware_removed", "high"),
-    ("routes", None, None, "added", "route_added", "medium"),
-    ("routes", None, None, "changed", "route_changed", "medium"),
-    ("writes", None, None, "added", "write_added", "high"),
-    ("writes", None, None, "changed", "write_changed", "high"),
-    ("writes", None, None, "removed", "write_removed", "medium"),
-    ("authorization", "edge", None, "removed", "authorization_removed", "high"),
-    ("authorization", "edge", None, "changed", "authorization_changed", "high"),
-    ("authorization", "node", None, "removed", "policy_removed", "high"),
-    ("authorization", None, None, "added", "authorization_added", "info"),
-    ("queues", "edge", "handled_by", "removed", "handler_removed", "high"),
-    ("queues", "node", None, "removed", "queue_role_removed", "high"),
-    ("queues", "edge", "dispatches", "changed", "dispatch_changed", "high"),
-    ("queues", "edge", "dispatches", "removed", "dispatch_removed", "medium"),
-    ("queues", None, None, "added", "queue_added", "medium"),
-    ("tests", "edge", "tests_route", "removed", "test_link_removed", "high"),
-    ("tests", "edge", "runtime_covers", "removed", "coverage_removed", "medium"),
-    ("tests", "node", "test", "removed", "test_removed", "medium"),
+    ("routes", ("route",), "removed", "route_removed", "high"),
+    ("routes", ("routes_to",), "removed", "route_action_removed", "high"),
+    ("routes", ("routes_to",), "added", "route_action_added", "medium"),
+    ("routes", ("passes_through",), "removed", "route_middleware_edge_removed", "high"),
+    ("routes", ("passes_through",), "added", "route_middleware_edge_added", "medium"),
+    ("routes", (), "changed", "route_semantics_changed", "medium"),
+    ("writes", (), "added", "write_surface_added", "high"),
+    ("writes", (), "changed", "write_semantics_changed", "high"),
+    ("writes", (), "removed", "write_surface_removed", "medium"),
+    ("authorization", ("authorizes_via",), "removed", "authorization_edge_removed", "high"),
+    ("authorization", ("authorizes_via",), "changed", "authorization_semantics_changed", "high"),
+    ("authorization", ("policy",), "removed", "policy_node_removed", "high"),
+    ("authorization", (), "added", "authorization_fact_added", "info"),
+    ("queues", ("handled_by", "listens_to", "observes"), "removed", "active_handler_edge_removed", "high"),
+    ("queues", ("event", "job"), "removed", "queue_or_event_node_removed", "high"),
+    ("queues", ("dispatches",), "changed", "dispatch_semantics_changed", "high"),
+    ("queues", ("dispatches",), "removed", "dispatch_edge_removed", "medium"),
+    ("queues", (), "added", "queue_fact_added", "medium"),
+    ("tests", ("tests_route",), "removed", "test_route_mapping_removed", "high"),
+    ("tests", ("runtime_covers",), "removed", "runtime_coverage_mapping_removed", "medium"),
+    ("tests", ("test",), "removed", "test_node_removed", "medium"),
 )
 SEVERITY = {"high": 0, "medium": 1, "low": 2, "info": 3}
 
@@ -101,10 +102,9 @@ SEVERITY = {"high": 0, "medium": 1, "low": 2, "info": 3}
 def findings(diff: DataFrame) -> DataFrame:
     """(code, severity, identity) of the changes that a rule names; a change counts only if it is semantic (unknown: it is)."""
     code, severity = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for c, entity, kind_of, kind, name, level in reversed(RULES):
+    for c, types, kind, name, level in reversed(RULES):
         hit = (F.col("category") == c) & (F.col("kind") == kind)
-        hit = hit & (F.col("entity") == entity) if entity else hit
-        hit = hit & (F.col("type") == kind_of) if kind_of else hit
+        hit = hit & F.col("type").isin(*types) if types else hit
         code, severity = F.when(hit, name).otherwise(code), F.when(hit, level).otherwise(severity)
     rows = diff.where((F.col("kind") != "changed") | F.coalesce("semantic", F.lit(True)))
     return rows.select(code.alias("code"), severity.alias("severity"), "identity").where("code IS NOT NULL")

@@ -11,13 +11,15 @@ from latticework.operators.traverse import product
 
 #: Groups of facts that a flow shows beside its methods: edge types of each (fixed values).
 RELATED = {
-    "requests": ("validates_with",),
+    "formRequests": ("validates_with",),
     "models": ("uses_model",),
-    "data_access": ("reads", "writes"),
+    "dataAccess": ("reads", "writes"),
     "dispatches": ("dispatches",),
-    "side_effects": schema.UPSTREAM_OTHER,
+    "sideEffects": ("reads_cache", "writes_cache", "reads_filesystem", "writes_filesystem", "calls_external"),
     "authorization": ("authorizes_via",),
+    "frontendConsumers": ("consumes_route",),
     "views": ("renders",),
+    "tests": ("tests_route",),
 }
 RELATED_FACTS = 10_000
 

@@ -137,12 +137,20 @@ def candidate_union(lists: list[DataFrame], limit: int) -> DataFrame:
 
 
 #: Types that typed anchors ask for (fixed values).
-ANCHORS = {"table": ("table",), "column": ("column",), "route": ("route",), "method": ("method",), "view": ("view",), "class": ("class", "trait", "model", "form_request", "policy", "event", "job", "middleware")}
+ANCHORS = {"table": ("table",), "column": ("column",), "route": ("route",), "method": ("method",), "view": ("view",), "class": ("class", "event", "form_request", "job", "model", "policy", "trait")}
 
 
 def resolve_anchor(nodes: DataFrame, anchor: str) -> DataFrame:
-    """An anchor 'kind:target' resolved among nodes of its kinds; 'file:path' gives the file's nodes."""
+    """An anchor 'kind:target': what it resolves to, resolved only if that is of the kind; 'file:path' gives the file's first node."""
     kind, _, target = anchor.partition(":")
     if kind == "file":
         return in_file(nodes, target, 1).select(F.lit(0).alias("rank"), "id", F.lit(True).alias("resolved"))
-    return resolve(nodes.where(F.col("type").isin(*ANCHORS.get(kind, (kind,)))), anchor if kind in ("table", "column", "route") else target)
+    kinds = ANCHORS.get(kind)
+    found = resolve(nodes, anchor)
+    if kinds and kind not in ("table", "column"):
+        # routes and views may be named by their whole id or without the kind
+        found = found.unionByName(resolve(nodes, target).withColumn("rank", F.col("rank") + 10))
+        found = _winners(found.where("resolved"), 10)
+    if not kinds:
+        return found
+    return found.join(nodes.select("id", "type"), "id").select("rank", "id", (F.col("resolved") & F.col("type").isin(*kinds)).alias("resolved"))

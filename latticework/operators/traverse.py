@@ -173,8 +173,8 @@ def neighbourhood(seeds: DataFrame, edges: DataFrame, depth: int = 2, least: flo
 
 
 def edge_evidence_kinds(evidence: Column) -> Column:
-    """Distinct sorted kinds of evidence records: rule, else source, inference, syntax, else 'static'."""
-    return F.array_sort(F.array_distinct(F.transform(evidence, lambda e: F.coalesce(e["rule"], e["source"], e["inference"], e["syntax"], F.lit("static")))))
+    """Distinct sorted kinds of evidence records: rule, else source, inference, syntax, else 'source_location'."""
+    return F.array_sort(F.array_distinct(F.transform(evidence, lambda e: F.coalesce(e["rule"], e["source"], e["inference"], e["syntax"], F.lit("source_location")))))
 
 
 def compact_evidence(evidence: Column, limit: int) -> Column:

@@ -330,7 +330,7 @@ def flow_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""{_FLOW}, facts AS (SELECT f.route, f.depth, f.path, e.src, e.dst, e.type, CASE WHEN e.type = 'uses_model' THEN 'models' WHEN e.type IN ('reads', 'writes') THEN 'data_access' ELSE 'dispatches' END AS grp, CAST(round(f.confidence * e.confidence, 4) AS DECIMAL(5,4)) AS score FROM flow f JOIN edges e ON f.node = e.src WHERE e.type IN ('uses_model', 'reads', 'writes', 'dispatches')),
+    f"""{_FLOW}, facts AS (SELECT f.route, f.depth, f.path, e.src, e.dst, e.type, CASE WHEN e.type = 'uses_model' THEN 'models' WHEN e.type IN ('reads', 'writes') THEN 'dataAccess' ELSE 'dispatches' END AS grp, CAST(round(f.confidence * e.confidence, 4) AS DECIMAL(5,4)) AS score FROM flow f JOIN edges e ON f.node = e.src WHERE e.type IN ('uses_model', 'reads', 'writes', 'dispatches')),
 spent AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY route ORDER BY score DESC, depth, path, src, dst, type) AS k FROM facts) WHERE k <= 40 AND score >= 0.5),
 best AS (SELECT route, grp, dst, depth, score FROM (SELECT *, row_number() OVER (PARTITION BY route, grp, dst ORDER BY score DESC, depth) AS b FROM spent) WHERE b = 1)
 SELECT route, grp AS "group", dst AS target, CAST(score AS DOUBLE) AS confidence, depth FROM (SELECT *, row_number() OVER (PARTITION BY route, grp ORDER BY score DESC, depth, dst) AS r FROM best) WHERE r <= 10"""
@@ -460,7 +460,7 @@ def diff_details(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""{_GENERATIONS}, f AS (SELECT CASE WHEN category = 'routes' AND entity = 'node' AND kind = 'removed' THEN 'route_removed' WHEN category = 'routes' AND type = 'routes_to' AND kind = 'removed' THEN 'route_target_removed' WHEN category = 'routes' AND kind = 'added' THEN 'route_added' WHEN category = 'routes' AND kind = 'changed' THEN 'route_changed' WHEN category = 'writes' THEN 'write_' || kind END AS code, CASE WHEN category = 'routes' THEN CASE kind WHEN 'removed' THEN 'high' ELSE 'medium' END ELSE CASE kind WHEN 'removed' THEN 'medium' ELSE 'high' END END AS severity FROM diff)
+    f"""{_GENERATIONS}, f AS (SELECT CASE WHEN category = 'routes' AND entity = 'node' AND kind = 'removed' THEN 'route_removed' WHEN type = 'routes_to' AND kind = 'removed' THEN 'route_action_removed' WHEN type = 'routes_to' AND kind = 'added' THEN 'route_action_added' WHEN category = 'routes' AND kind = 'changed' THEN 'route_semantics_changed' WHEN category = 'writes' THEN CASE kind WHEN 'changed' THEN 'write_semantics_changed' ELSE 'write_surface_' || kind END END AS code, CASE WHEN category = 'routes' THEN CASE kind WHEN 'removed' THEN 'high' ELSE 'medium' END ELSE CASE kind WHEN 'removed' THEN 'medium' ELSE 'high' END END AS severity FROM diff)
 SELECT code, severity, count(*) AS n FROM f WHERE code IS NOT NULL GROUP BY 1, 2"""
 )
 def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -644,12 +644,12 @@ def token_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "part").select("p_partkey", text.estimate_tokens(F.col("p_name")).alias("tokens")).join(F.broadcast(every))
 
 
-_STEM = "CASE WHEN length(w) > 4 AND ends_with(w, 'ies') THEN w[:-4] || 'y' WHEN length(w) > 5 AND ends_with(w, 'ing') THEN CASE WHEN w[-4] = w[-5] AND w[-4] NOT IN ('a', 'e', 'i', 'o', 'u', 'l', 's') THEN w[:-5] ELSE w[:-4] END WHEN length(w) > 4 AND ends_with(w, 'ed') THEN w[:-3] WHEN length(w) > 3 AND ends_with(w, 's') AND NOT ends_with(w, 'ss') THEN w[:-2] ELSE w END"
-_WORDS = "list_filter(regexp_split_to_array(lower(regexp_replace({}, '([a-z0-9])([A-Z])', '\\1 \\2', 'g')), '[^a-z0-9]+'), lambda x: length(x) > 1)"
+_STEM = "CASE WHEN strlen(w) > 5 AND ends_with(w, 'ies') THEN w[:-4] || 'y' WHEN strlen(w) > 5 AND ends_with(w, 'ing') THEN CASE WHEN w[-4] = w[-5] THEN w[:-5] ELSE w[:-4] END WHEN strlen(w) > 4 AND ends_with(w, 'ed') THEN w[:-3] WHEN strlen(w) > 4 AND ends_with(w, 's') AND NOT ends_with(w, 'ss') THEN w[:-2] ELSE w END"
+_WORDS = "list_filter(regexp_split_to_array(translate(regexp_replace({}, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
 
 
 @query(
-    f"WITH w AS (SELECT item_id, unnest({_WORDS.format('text')}) AS w, generate_subscripts({_WORDS.format('text')}, 1) AS i FROM benchmark), s AS (SELECT item_id, i, {_STEM} AS t FROM w WHERE w NOT IN ({', '.join(repr(x) for x in text.STOP_WORDS)})), d AS (SELECT item_id, t, min(i) AS i FROM s GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY i) AS k FROM d) SELECT item_id, string_agg(t, ' ' ORDER BY k) AS terms FROM k WHERE k <= 64 GROUP BY 1",
+    f"WITH w AS (SELECT item_id, unnest({_WORDS.format('text')}) AS w, generate_subscripts({_WORDS.format('text')}, 1) AS i FROM benchmark), s AS (SELECT item_id, i, {_STEM} AS t FROM w), d AS (SELECT item_id, t, min(i) AS i FROM s WHERE t NOT IN ({', '.join(repr(x) for x in text.STOP_WORDS)}) GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY i) AS k FROM d) SELECT item_id, string_agg(t, ' ' ORDER BY k) AS terms FROM k WHERE k <= 64 GROUP BY 1",
     on_graph=False,
 )
 def task_terms(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,8 @@ from latticework.operators import traverse
 #: Weight of a match by the field it is in, exact or partial (fixed values).
 WEIGHTS = {"id": (1.0, 0.8), "name": (0.98, 0.78), "label": (0.95, 0.70), "file": (0.6, 0.6)}
 SEEDS = 24
-ROLE_WEIGHT = {"route": 1.0, "method": 1.0, "form_request": 0.95, "policy": 0.95, "event": 0.9, "job": 0.9, "model": 0.9, "view": 0.85, "test": 0.85, "table": 0.75, "column": 0.75, "external": 0.70}
+#: Weight of a node type in a context's score (fixed values).
+ROLE_WEIGHT = {"route": 0.95, "method": 0.95, "form_request": 0.90, "test": 0.90, "model": 0.85, "event": 0.85, "job": 0.85, "view": 0.85, "table": 0.70, "column": 0.70, "cache": 0.70, "filesystem": 0.70, "external": 0.70}
 ROLE_OTHER = 0.80
 
 
