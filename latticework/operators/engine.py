@@ -79,11 +79,11 @@ def entry(edges: DataFrame, routes: DataFrame) -> DataFrame:
     return best.select(F.col("src").alias("route"), F.col("s.dst").alias("id"), (-F.col("s.c")).cast(schema.PATH_CONFIDENCE).alias("confidence"))
 
 
-def flow_methods(edges: DataFrame, routes: DataFrame, depth: int = 4, limit: int = 50, least: float = 0.0) -> DataFrame:
+def flow_methods(nodes: DataFrame, edges: DataFrame, routes: DataFrame, depth: int = 4, limit: int = 50, least: float = 0.0) -> DataFrame:
     """(route, node, depth, confidence, path): the methods a route executes, its action first."""
     actions = entry(edges, routes)
     hits = traverse.traverse(actions.select("id", "confidence"), edges, schema.EXECUTION, "out", depth, least)
-    hits = hits.where(F.col("node").startswith("method:"))
+    hits = hits.join(nodes.where("type = 'method'").select(F.col("id").alias("node")), "node", "left_semi")
     of_route = actions.select("route", F.col("id").alias("seed"))
     below = hits.join(of_route, "seed").select("route", "node", "depth", "confidence", "path")
     own = actions.select("route", F.col("id").alias("node"), F.lit(0).alias("depth"), "confidence", F.array("id").alias("path"))

@@ -326,7 +326,8 @@ _FLOW = f""", actions AS ({_ROUTES}){levels_sql("SELECT id, confidence FROM acti
 
 @query(f"{_FLOW} SELECT route, node, depth, CAST(confidence AS DOUBLE) AS confidence, array_to_string(path, '>') AS path FROM flow")
 def flow_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return path_text(engine.flow_methods(graph(spark, sf_dir).edges, some_routes(spark, sf_dir), 3))
+    g = graph(spark, sf_dir)
+    return path_text(engine.flow_methods(g.nodes, g.edges, some_routes(spark, sf_dir), 3))
 
 
 @query(
@@ -336,8 +337,8 @@ best AS (SELECT route, grp, dst, depth, score FROM (SELECT *, row_number() OVER
 SELECT route, grp AS "group", dst AS target, CAST(score AS DOUBLE) AS confidence, depth FROM (SELECT *, row_number() OVER (PARTITION BY route, grp ORDER BY score DESC, depth, dst) AS r FROM best) WHERE r <= 10"""
 )
 def flow_related(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = graph(spark, sf_dir).edges
-    return path_text(engine.flow_related(engine.flow_methods(edges, some_routes(spark, sf_dir), 3), edges, 10, 0.5, 40))
+    g = graph(spark, sf_dir)
+    return path_text(engine.flow_related(engine.flow_methods(g.nodes, g.edges, some_routes(spark, sf_dir), 3), g.edges, 10, 0.5, 40))
 
 
 def _neighbourhood_sql(seeds_sql: str, depth: int) -> str:

@@ -111,7 +111,7 @@ def test_cards_and_summaries(g):
 
 def test_flow(spark, g):
     routes = spark.createDataFrame([("route:PUT:notes/{note}",)], "id string")
-    methods = engine.flow_methods(g[1], routes)
+    methods = engine.flow_methods(*g, routes)
     assert {r["node"].split("::")[-1]: float(r["confidence"]) for r in methods.where("node LIKE '%::%'").collect()}["update"] == 1.0
     assert {(r["group"], r["target"]) for r in engine.flow_related(methods, g[1]).collect()} >= {("models", "App\\Models\\Note")}
 

@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from latticework.plans import catalog
+from latticework.plans import catalog, fact_queries  # noqa: F401
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
