@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from latticework.llm import oracles
 from latticework.llm.common import table
 
 TOKEN_LIMIT = 512
@@ -95,4 +96,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_secrets": op9_secrets,
     "op10_decontamination": op10_decontamination,
 }
-ORACLES: dict[str, str] = {}
+#: Only what SQL expresses at a bearable cost; the others are tested against brute force.
+ORACLES: dict[str, str] = {
+    "op4_chat_formatting": oracles.CHAT,
+    "op6_near_duplicates": oracles.NEAR_DUPLICATES,
+    "op7_embedding_duplicates": oracles.EMBEDDINGS,
+    "op10_decontamination": oracles.DECONTAMINATION,
+}
