@@ -29,12 +29,13 @@ def overlaps(ranges: DataFrame, spans: DataFrame, key: str, width: int = 256) ->
     Both are dealt to tiles of so many lines, so that the join is an equi-join on (key, tile); a pair counts in the first
     tile it shares. Long ranges cost a row a tile.
     """
-    tiles = lambda df, s, e: df.withColumn("tile", F.explode(F.sequence(F.floor(F.col(s) / width), F.floor(F.col(e) / width))))
-    r = tiles(ranges.select(F.col(key).alias("k"), F.col("start").alias("rs"), F.col("end").alias("re")), "rs", "re")
-    s = tiles(spans.select(F.col(key), "id", F.col("start").alias("ss"), F.col("end").alias("se")), "ss", "se")
-    j = s.join(r.withColumnRenamed("tile", "rt"), (F.col(key) == F.col("k")) & (F.col("tile") == F.col("rt")))
-    first = F.floor(F.greatest("rs", "ss") / width)
-    return j.where((F.col("rs") <= F.col("se")) & (F.col("re") >= F.col("ss")) & (F.col("tile") == first)).select(key, "id", F.greatest("rs", "ss").alias("start"), F.least("re", "se").alias("end"))
+    tiles = lambda df, s, e: df.withColumn("tile_", F.explode(F.sequence(F.floor(F.col(s) / width), F.floor(F.col(e) / width))))
+    r = tiles(ranges.select(F.col(key).alias("key_"), F.col("start").alias("rs_"), F.col("end").alias("re_")), "rs_", "re_").withColumnRenamed("tile_", "rt_")
+    s = tiles(spans.select(F.col(key).alias("own_"), F.col("id").alias("id_"), F.col("start").alias("ss_"), F.col("end").alias("se_")), "ss_", "se_")
+    j = s.join(r, (F.col("own_") == F.col("key_")) & (F.col("tile_") == F.col("rt_")))
+    first = F.floor(F.greatest("rs_", "ss_") / width)
+    met = j.where((F.col("rs_") <= F.col("se_")) & (F.col("re_") >= F.col("ss_")) & (F.col("tile_") == first))
+    return met.select(F.col("own_").alias(key), F.col("id_").alias("id"), F.greatest("rs_", "ss_").alias("start"), F.least("re_", "se_").alias("end"))
 
 
 def freshness(expected: Column, current: Column, known: Column) -> Column:
@@ -95,3 +96,54 @@ def capped(observations: DataFrame, per_test: int) -> DataFrame:
     """The first sources of each test: templates before other files, then by path."""
     order = Window.partitionBy("test").orderBy(F.desc("is_template"), "file")
     return observations.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_test).drop("rank")
+
+
+# import of captures ---------------------------------------------------------------------------------------------------------
+
+CAPTURE = "test string, file string, sha256 string, session string, captured_at long, sources array<struct<file:string,sha256:string,ranges:array<array<int>>>>, tables array<string>, components array<string>"
+
+
+def read_captures(spark, path: str) -> DataFrame:
+    """Captured tests from JSON lines, of this layout or not at all."""
+    return spark.read.schema(CAPTURE).option("mode", "FAILFAST").json(path)
+
+
+def captured_sources(captures: DataFrame) -> DataFrame:
+    """(test, test_file, session, captured_at, file, sha256, start, end): executed ranges of each test; malformed ranges are left out."""
+    each = captures.select("test", F.col("file").alias("test_file"), "session", "captured_at", F.explode("sources").alias("s"))
+    ranges = each.select("test", "test_file", "session", "captured_at", F.col("s.file").alias("file"), F.col("s.sha256").alias("sha256"), F.explode("s.ranges").alias("r"))
+    return ranges.where("size(r) = 2 AND r[0] >= 1 AND r[1] >= r[0]").select("test", "test_file", "session", "captured_at", "file", "sha256", F.col("r")[0].alias("start"), F.col("r")[1].alias("end"))
+
+
+def observed_edges(captures: DataFrame, manifest: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(src, dst, type, freshness, observation, confidence-ready): what tests were seen to execute.
+
+    File by file at the freshness of its hash against the manifest (path, hash), and symbol by symbol (id, file, start, end)
+    where an executed range meets the symbol's span. Captures of a test that are older than its last do not count.
+    """
+    last = captures.groupBy("test").agg(F.max(F.struct("captured_at", "session")).alias("k"))
+    now = captures.join(last, "test").where((F.col("captured_at") == F.col("k.captured_at")) & (F.col("session") == F.col("k.session"))).drop("k")
+    rows = captured_sources(now).join(manifest.select(F.col("path").alias("file"), F.col("hash").alias("current")), "file", "left")
+    rows = rows.withColumn("freshness", freshness(F.col("sha256"), F.col("current"), F.col("current").isNotNull()))
+    seen = F.concat_ws("#", "session", "test").alias("observation")
+    src = F.concat(F.lit("test:"), "test").alias("src")
+    files = rows.select(src, F.concat(F.lit("source_file:"), "file").alias("dst"), F.lit("runtime_covers").alias("type"), "freshness", seen).distinct()
+    keyed = rows.select(F.concat_ws("\u0001", "test", "session", "freshness", "file").alias("k"), "file", "start", "end").distinct()
+    spans = symbols.join(rows.select(F.concat_ws("\u0001", "test", "session", "freshness", "file").alias("k"), "file").distinct(), "file").select("k", "id", "start", "end")
+    met = overlaps(merge_ranges(keyed, ["k"]), spans, "k").select("k", "id").distinct()
+    part = F.split("k", "\u0001")
+    of_symbols = met.select(F.concat(F.lit("test:"), part[0]).alias("src"), F.col("id").alias("dst"), F.lit("runtime_covers").alias("type"), part[2].alias("freshness"), F.concat_ws("#", part[1], part[0]).alias("observation"))
+    tables = now.select(src, F.concat(F.lit("table:"), F.explode("tables")).alias("dst"), F.lit("runtime_touches_table").alias("type"), F.lit("unverified").alias("freshness"), seen).distinct()
+    return files.unionByName(of_symbols).unionByName(tables)
+
+
+def import_edges(observed: DataFrame, keep: int = 32) -> DataFrame:
+    """Observed edges put together, without those seen only in stale or missing files, at confidence 1 or 0.7."""
+    rows = buckets(observed, keep).where("verified + unverified > 0")
+    return rows.withColumn("confidence", edge_confidence(F.col("verified")))
+
+
+def page_component(response: Column) -> Column:
+    """Name of the page component in a response: JSON itself, or page data embedded in a document."""
+    embedded = F.replace(F.regexp_extract(response, r'data-page="([^"]*)"', 1), F.lit("&quot;"), F.lit('"'))
+    return F.coalesce(F.get_json_object(F.when(F.ltrim(response).startswith("{"), response), "$.component"), F.get_json_object(embedded, "$.component"))

@@ -119,3 +119,85 @@ def bounded_uncertainties(rows: DataFrame, limit: int = 50) -> DataFrame:
 def candidate_files(candidates: DataFrame, limit: int = 32) -> DataFrame:
     """(file, priority, relevance): the first files by (least priority, greatest relevance, path)."""
     return candidates.groupBy("file").agg(F.min("priority").alias("priority"), F.max("relevance").alias("relevance")).orderBy("priority", F.desc("relevance"), "file").limit(limit)
+
+
+def changed_file_nodes(nodes: DataFrame, matches: DataFrame, file: str, limit: int = 16) -> DataFrame:
+    """(id, relevance): nodes of a changed file: half of the limit by their match weights, the rest evenly spaced over the file."""
+    from latticework.operators import index
+
+    own = nodes.where(F.col("file") == file)
+    score = matches.groupBy("id").agg(F.sum("weight").alias("score"))
+    best = own.join(score, "id").orderBy(F.desc("score"), F.asc_nulls_last("line"), "id").limit(limit // 2).select("id")
+    spaced = index.sampled_in_file(own.join(best, "id", "left_anti"), file, limit - limit // 2).select("id")
+    return best.unionByName(spaced).select("id", F.lit(0.98).alias("relevance"))
+
+
+def identifier_seeds(nodes: DataFrame, identifiers: DataFrame) -> DataFrame:
+    """(id, relevance): nodes that an identifier of the task names, in any case, by id, label, name or last part of the id."""
+    keys = F.array_distinct(F.array_compact(F.array(F.lower("id"), F.lower("label"), F.lower("name"), F.lower(F.element_at(F.split("id", r"::|\\\\|:"), -1)))))
+    return nodes.select("id", F.explode(keys).alias("term")).join(F.broadcast(identifiers), "term", "left_semi").select("id").distinct().withColumn("relevance", F.lit(0.92))
+
+
+def discover(nodes: DataFrame, task: str, targets: DataFrame, files: list[str], limit: int = SEEDS) -> DataFrame:
+    """Seeds of a task: explicit targets (id) at 1, nodes of changed files at 0.98, named identifiers at 0.92, and lexical ones."""
+    spark = nodes.sparkSession
+    none = F.array().cast("array<string>")
+    rows = targets.select("id", F.lit(1.0).alias("relevance"), F.lit("explicit").alias("source"), none.alias("terms"))
+    terms = spark.range(1).select(F.explode(text.terms(F.lit(task))).alias("term"))
+    matches = match_weights(nodes, terms)
+    for f in files:
+        rows = rows.unionByName(changed_file_nodes(nodes, matches, f).select("id", "relevance", F.lit("changed_file").alias("source"), none.alias("terms")))
+    identifiers = spark.range(1).select(F.explode(text.identifiers(F.lit(task))).alias("term"))
+    rows = rows.unionByName(identifier_seeds(nodes, identifiers).select("id", "relevance", F.lit("identifier").alias("source"), none.alias("terms")))
+    rows = rows.unionByName(lexical_seeds(nodes, task).join(matches.groupBy("id").agg(F.array_sort(F.collect_set("term")).alias("terms")), "id").select("id", "relevance", F.lit("lexical").alias("source"), "terms"))
+    return ordered_seeds(merge_seeds(rows), nodes).limit(limit)
+
+
+def table_contexts(accesses: DataFrame, table: str, field: str | None) -> DataFrame:
+    """(caller, tier, rank): readers and writers of a table or column seed, proven before possible before structural."""
+    from latticework.operators.classify import classify
+
+    verdict = classify(F.col("operations"), F.lit(field), F.lit(table), 256) if field else F.lit("structural")
+    rows = accesses.where(F.col("tbl") == table).select("caller", verdict.alias("tier")).where("tier <> 'excluded'")
+    rank = F.when(F.col("tier") == "proven", 0).when(F.col("tier") == "possible", 1).otherwise(2)
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("tier").orderBy("caller"))).orderBy(rank, "caller")
+
+
+def shown_paths(hits: DataFrame, limit: int = 32, evidence: int = 64) -> DataFrame:
+    """The best paths, each (direction, path) once, as long as their evidence records fit the budget altogether."""
+    best = hits.withColumn("k", F.row_number().over(Window.partitionBy("direction", "path").orderBy(F.desc("confidence"), "depth"))).where("k = 1").drop("k")
+    top = best.orderBy(F.desc("confidence"), "depth", "path").limit(limit)
+    spent = F.sum(F.greatest(F.col("evidence"), F.lit(0))).over(Window.orderBy(F.desc("confidence"), "depth", "path").rowsBetween(Window.unboundedPreceding, 0))  # of a few rows
+    return top.withColumn("spent", spent).where(F.col("spent") <= evidence)
+
+
+def span_candidates(contexts: DataFrame, nodes: DataFrame, tests: DataFrame, files: list[str]) -> DataFrame:
+    """(file, start, end, priority, relevance): where to read: contexts, tests at 0.85 of their confidence, changed files at 1."""
+    spark = nodes.sparkSession
+    place = nodes.select("id", "file", F.col("line").alias("start"), F.col("end_line").alias("end")).where("file IS NOT NULL")
+    own = contexts.join(place, "id").select("file", "start", "end", F.when(F.col("direction") == "seed", 0).otherwise(2).alias("priority"), F.col("score").alias("relevance"))
+    of_tests = tests.join(place, F.col("test") == F.col("id")).select("file", "start", "end", F.lit(2).alias("priority"), (F.col("confidence").cast("double") * 0.85).alias("relevance"))
+    changed = spark.createDataFrame([(f, None, None, 1, 1.0) for f in files], "file string, start int, end int, priority int, relevance double")
+    vendor = F.col("file").rlike(r"(^|/)(vendor|node_modules)/")
+    return own.unionByName(of_tests).unionByName(changed).where(~vendor)
+
+
+def plan(nodes: DataFrame, edges: DataFrame, sources: dict[str, list[str]], task: str = "", targets: list[str] = (), files: list[str] = (), budget: int = 4000, depth: int = 2) -> dict:
+    """A reading plan: seeds, contexts, tests to run, and the spans that fit the budget. Sources: lines by file, of one project."""
+    from latticework.plans.packing import Candidate, pack
+
+    spark = nodes.sparkSession
+    explicit = spark.createDataFrame([(t,) for t in targets], "id string").join(nodes.select("id"), "id", "left_semi")
+    seeds = discover(nodes, task, explicit, list(files))
+    # at most 24 seeds: taken once, so that the walks below start from rows
+    chosen = spark.createDataFrame([(r["id"], r["relevance"]) for r in seeds.collect()], "id string, relevance double")
+    contexts = expand(chosen, nodes, edges, depth)
+    tests = mapped_tests(contexts, edges)
+    rows = span_candidates(contexts, nodes, tests, list(files)).orderBy("priority", F.desc("relevance"), "file").limit(512).collect()
+    spans, left_out = pack([Candidate(r["file"], r["start"], r["end"], r["priority"], r["relevance"]) for r in rows], sources, budget)
+    order = {r["id"]: r["read_rank"] for r in read_order(nodes.join(contexts.select("id"), "id", "left_semi"), edges).collect()}
+    shown = contexts.orderBy(F.desc("score"), "id").limit(64).collect()
+    return {
+        "contexts": [{"id": r["id"], "direction": r["direction"], "score": r["score"], "read": order.get(r["id"], schema.READ_OTHER)} for r in shown],
+        "tests": [r["test"] for r in tests.collect()], "spans": [{"file": f, "start": a, "end": b, "tokens": n} for f, a, b, n in spans], "omittedSpans": left_out,
+    }
