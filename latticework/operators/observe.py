@@ -133,7 +133,8 @@ def observed_edges(captures: DataFrame, manifest: DataFrame, symbols: DataFrame)
     met = overlaps(merge_ranges(keyed, ["k"]), spans, "k").select("k", "id").distinct()
     part = F.split("k", "\u0001")
     of_symbols = met.select(F.concat(F.lit("test:"), part[0]).alias("src"), F.col("id").alias("dst"), F.lit("runtime_covers").alias("type"), part[2].alias("freshness"), F.concat_ws("#", part[1], part[0]).alias("observation"))
-    tables = now.select(src, F.concat(F.lit("table:"), F.explode("tables")).alias("dst"), F.lit("runtime_touches_table").alias("type"), F.lit("unverified").alias("freshness"), seen).distinct()
+    touched = now.select("test", "session", F.explode("tables").alias("table"))
+    tables = touched.select(src, F.concat(F.lit("table:"), "table").alias("dst"), F.lit("runtime_touches_table").alias("type"), F.lit("unverified").alias("freshness"), seen).distinct()
     return files.unionByName(of_symbols).unionByName(tables)
 
 
