@@ -2,31 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-import zipfile
 from collections.abc import Iterator
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-#: Texts handed to one vectorised step at most, in bytes (a longer text is a step of its own).
-STEP_BYTES = 1 << 21
-
+from latticework.runtime import ship
 
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once a session; Spark's file server hands it out from the driver."""
-    sc = spark.sparkContext
-    if getattr(sc, "_latticework_sent", False):
-        return
-    root = Path(__file__).resolve().parents[1]
-    path = Path(tempfile.mkdtemp()) / "latticework.zip"
-    with zipfile.ZipFile(path, "w") as z:
-        for f in sorted(root.rglob("*.py")):
-            z.write(f, f.relative_to(root.parent))
-    sc.addPyFile(str(path))
-    sc._latticework_sent = True
+#: Texts handed to one vectorised step at most, in bytes (a longer text is a step of its own).
+STEP_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -95,3 +80,6 @@ def filtered(docs: DataFrame, text_col: str, verdicts) -> DataFrame:
             yield batch.filter(pa.array(mask, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
+
+
+__all__ = ["STEP_BYTES", "discard", "filtered", "record_batch", "shared_dir", "ship", "steps", "table", "written"]

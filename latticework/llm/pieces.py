@@ -22,9 +22,8 @@ from __future__ import annotations
 
 import contextlib
 import heapq
-import re
-from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -32,14 +31,16 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from latticework.llm.common import steps, written
-from latticework.llm.words import mix
+from latticework.llm.words import Lookup, _powers, mix
 
 SPACE = "▁"
 MAX_ATOM = 60
 #: Atoms that are sent to all tasks, at most.
 FREQUENT = 1 << 17
-#: Distinct units that a task counts, or remembers, before it starts anew.
-FLUSH = 200_000
+#: Distinct atoms that a task counts, or remembers, before it starts anew.
+FLUSH = 150_000
+#: Bytes of text cut at once.
+STEP = 1 << 19
 
 
 class PieceModel:
@@ -58,41 +59,6 @@ class PieceModel:
                 self.pieces[sp.id_to_piece(i)] = (i, float(sp.get_score(i)))
         self.unknown = sp.unk_id()
         self.longest = max(map(len, self.pieces))
-        self._cutter: re.Pattern | None = None
-
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"_cutter": None}
-
-    def _prepare(self) -> None:
-        known = "".join(re.escape(p) for p in self.pieces if len(p) == 1 and p != SPACE)
-        self._cutter = re.compile(f"{SPACE}*[{known}]+|{SPACE}+|.", re.S)
-        self._plain = re.compile(f"{SPACE}[{''.join(c for c in 'abcdefghijklmnopqrstuvwxyz' if c in self.pieces) or SPACE}]+")
-        self._pairs = {p[i : i + 2] for p in self.pieces for i in range(len(p) - 1)}
-
-    def units(self, text: str) -> list[str]:
-        """Stretches between spaces, which no piece crosses; they make up the text with its spaces marked, after a leading mark."""
-        if not text:
-            return []
-        if "  " in text or SPACE in text:  # marks of a run of spaces stay together
-            return re.findall(f"{SPACE}*[^{SPACE}]+|{SPACE}+", SPACE + text.replace(" ", SPACE))
-        return (SPACE + text.replace(" ", " " + SPACE)).split(" ")
-
-    def cut(self, unit: str) -> list[str]:
-        """The atoms of a unit, in order."""
-        if self._cutter is None:
-            self._prepare()
-        if self._plain.fullmatch(unit):
-            return [unit]
-        out: list[str] = []
-        for part in self._cutter.findall(unit):
-            start = 0
-            for i in range(1, len(part)):
-                if part[i - 1 : i + 1] not in self._pairs:
-                    out.append(part[start:i])
-                    start = i
-            out.append(part[start:])
-        return out
-
     def outside(self, atom: str) -> bool:
         """Whether an atom stays out of the lattice."""
         return len(atom) > MAX_ATOM or len(atom) == 1 and atom not in self.pieces
@@ -138,7 +104,7 @@ class PieceModel:
 
 
 def merge_fold(edges: Column, length: Column) -> Column:
-    """Ids of a BPE atom from its edges array<struct<rank,at,n,id,ends,span>>.
+    """struct<ids,exact> of a BPE atom from its edges array<struct<rank,at,n,id,ends,span>>; exact: its pieces cover it.
 
     Borders of symbols are bits of a number; ends and span are an edge's first and last bit, and all its bits. An edge can be
     merged if its ends are borders with one more between them. Edges whose ends are gone are dropped on the way.
@@ -155,7 +121,8 @@ def merge_fold(edges: Column, length: Column) -> Column:
 
     every = F.call_function("shiftleft", F.lit(1).cast("long"), length + 1) - 1
     mask = F.aggregate(F.sequence(F.lit(1), F.greatest(length - 1, F.lit(1))), F.struct(every.alias("m"), F.filter(edges, lambda e: e["n"] > 1).alias("edges")), step, lambda x: x["m"])
-    return F.get(F.transform(F.array(mask), lambda m: F.transform(F.array_sort(F.transform(F.filter(edges, lambda e: m.bitwiseAND(e["span"]) == e["ends"]), lambda e: F.struct(e["at"], e["id"]))), lambda e: e["id"])), F.lit(0))
+    final = lambda m: F.transform(F.array_sort(F.transform(F.filter(edges, lambda e: m.bitwiseAND(e["span"]) == e["ends"]), lambda e: F.struct(e["at"], e["id"]))), lambda e: e["id"])
+    return F.get(F.transform(F.array(mask), lambda m: F.get(F.transform(F.array(final(m)), lambda x: F.struct(x.alias("ids"), (F.size(x) == F.bit_count(m) - 1).alias("exact"))), F.lit(0))), F.lit(0))
 
 
 def viterbi_fold(edges: Column, length: Column) -> Column:
@@ -175,7 +142,7 @@ def viterbi_fold(edges: Column, length: Column) -> Column:
 
 
 def encode_atoms(atoms: DataFrame, pieces: DataFrame, longest: int, unigram: bool = False) -> DataFrame:
-    """atoms (atom, and other columns) with their ids; distinct atoms of at most MAX_ATOM characters, all with pieces."""
+    """atoms (atom, and other columns) with ids, and exact (whether these cover it); distinct atoms of at most MAX_ATOM characters."""
     others = [c for c in atoms.columns if c != "atom"]
     # all atoms of a partition stay there: explode, a broadcast join of the bounded piece table, and grouping by the same key
     starts = atoms.withColumn("at", F.explode(F.sequence(F.lit(0), F.length("atom") - 1)))
@@ -186,7 +153,7 @@ def encode_atoms(atoms: DataFrame, pieces: DataFrame, longest: int, unigram: boo
     first = [F.first(c).alias(c) for c in others]
     if unigram:
         paths = joined.groupBy("atom").agg(*first, F.collect_list(F.struct((-F.col("score")).alias("rank"), "at", "n", "id")).alias("edges"))
-        return paths.select("atom", *others, viterbi_fold(F.col("edges"), F.length("atom")).alias("ids"))
+        return paths.select("atom", *others, viterbi_fold(F.col("edges"), F.length("atom")).alias("ids")).withColumn("exact", F.col("ids").isNotNull())
     # an edge is one number, in the order of rank, then place: small to group and sort
     code = F.shiftleft("rank", 36).bitwiseOR(F.shiftleft(F.col("at").cast("long"), 30)).bitwiseOR(F.shiftleft(F.col("n").cast("long"), 24)).bitwiseOR(F.col("id"))
     grouped = joined.select("atom", *others, code.alias("code")).groupBy("atom").agg(*first, F.collect_list("code").alias("codes"))
@@ -198,7 +165,7 @@ def encode_atoms(atoms: DataFrame, pieces: DataFrame, longest: int, unigram: boo
         span = F.call_function("shiftleft", F.call_function("shiftleft", one, n + 1) - 1, at)
         return F.struct(F.shiftright(c, 36).cast("double").alias("rank"), at.alias("at"), n.alias("n"), c.bitwiseAND(F.lit((1 << 24) - 1)).cast("int").alias("id"), ends.alias("ends"), span.alias("span"))
 
-    return grouped.select("atom", *others, merge_fold(F.transform("codes", unpacked), F.length("atom")).alias("ids"))
+    return grouped.select("atom", *others, merge_fold(F.transform("codes", unpacked), F.length("atom")).alias("x")).select("atom", *others, "x.ids", "x.exact")
 
 
 def decode(encoded: DataFrame, pieces: DataFrame, key: str, ids_col: str = "ids") -> DataFrame:
@@ -229,38 +196,41 @@ def dictionary(plain: DataFrame, model: PieceModel, pieces: DataFrame) -> DataFr
     sent = plain.sparkSession.sparkContext.broadcast(model)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[str] = Counter()
-        model = sent.value
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            atoms: Counter[str] = Counter()
-            while counts:
-                unit, n = counts.popitem()
-                for a in model.cut(unit):
-                    atoms[a] += n
-            keep = [(a, n) for a, n in atoms.items() if len(a) <= MAX_ATOM and not model.outside(a)]
-            for i in range(0, len(keep), 50_000):
-                part = keep[i : i + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in part], pa.string()), pa.array([n for _, n in part], pa.int64())], names=["atom", "n"])
+        cutter = Cutter(sent.value)
+        held: list[tuple[np.ndarray, np.ndarray, list[str]]] = []
+
+        def put_together() -> tuple[np.ndarray, np.ndarray, list[str]]:
+            hashes, n = (np.concatenate([x[i] for x in held]) for i in (0, 1))
+            strings = [s for x in held for s in x[2]]
+            unique, first, place = np.unique(hashes, return_index=True, return_inverse=True)
+            return unique, np.bincount(place, weights=n).astype(np.int64), [strings[i] for i in first.tolist()]
+
+        def out() -> Iterator[pa.RecordBatch]:
+            _, n, strings = put_together()
+            held.clear()
+            for i in range(0, len(n), 50_000):
+                yield pa.RecordBatch.from_arrays([pa.array(strings[i : i + 50_000], pa.string()), pa.array(n[i : i + 50_000])], names=["atom", "n"])
 
         keyed = (pa.RecordBatch.from_arrays([pa.nulls(b.num_rows), b.column(0)], names=["key", "text"]) for b in batches)
-        for _, texts in steps(keyed):
-            for text in texts:
-                counts.update(model.units(text.decode()))
-            if len(counts) > FLUSH:
-                yield from flush()
-        yield from flush()
-
-    def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        text_of = {i: p for p, (i, _) in sent.value.pieces.items()}
-        for b in batches:
-            exact = ["".join(map(text_of.__getitem__, ids)) == atom for atom, ids in zip(b.column("atom").to_pylist(), b.column("ids").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(exact, pa.bool_())], names=["atom", "count", "ids", "exact"])
+        size = 0
+        for _, texts in steps(keyed, STEP):
+            atoms = cutter.cut([t.decode() for t in texts])
+            inside = np.flatnonzero((atoms.single == 0) & (atoms.end - atoms.start <= MAX_ATOM))
+            hashes, first, n = np.unique(atoms.hashes[inside], return_index=True, return_counts=True)
+            held.append((hashes, n, atoms.strings(inside[first])))
+            size += len(n)
+            if size > 2 * FLUSH:
+                held[:] = [put_together()]
+                size = len(held[0][1])
+                if size > FLUSH:
+                    yield from out()
+                    size = 0
+        if held:
+            yield from out()
 
     atoms = plain.select("text").mapInArrow(count, "atom string, n long").groupBy("atom").agg(F.sum("n").alias("count"))
-    encoded = encode_atoms(atoms, pieces, model.longest).select("atom", "count", "ids")
     with _grouped_in_memory(plain.sparkSession):
-        return written(encoded.mapInArrow(checked, "atom string, count long, ids array<int>, exact boolean"), "atoms")
+        return written(encode_atoms(atoms, pieces, model.longest), "atoms")
 
 
 class Known:
@@ -272,14 +242,6 @@ class Known:
         self.ids = np.fromiter((i for r in rows for i in r["ids"]), np.int32)
         self.exact = np.array([r["exact"] for r in rows], bool)
 
-    def numbers(self) -> dict[str, int]:
-        return {a: i for i, a in enumerate(self.texts.split("\n"))} if len(self.sizes) else {}
-
-    def lists(self) -> list[list[int]]:
-        ends = np.cumsum(self.sizes, dtype=np.int64).tolist()
-        flat = self.ids.tolist()
-        return [flat[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)] if ends else []
-
 
 def frequent(words: DataFrame, limit: int = FREQUENT) -> Known:
     """The atoms over the least count that leaves at most limit of them."""
@@ -292,6 +254,10 @@ def frequent(words: DataFrame, limit: int = FREQUENT) -> Known:
     return Known(words.where(F.floor(F.log2("count") * 8) >= least).select("atom", "ids", "exact").collect() if least is not None else [])
 
 
+#: Codes of texts are sums, modulo 2^64, of their atoms' codes times BASE to the power of the atom's place.
+BASE = np.uint64(0x9E3779B97F4A7C15)
+
+
 def _codes(ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """A number for each list of ids (flat, with the lists' sizes, none 0) and their order."""
     first = np.cumsum(sizes) - sizes
@@ -300,77 +266,129 @@ def _codes(ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 def _placed(codes: np.ndarray, places: np.ndarray) -> np.ndarray:
-    """Codes of atoms at places of a text; the exclusive or of them all is the code of the text."""
-    return mix(codes ^ places.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    return codes * np.power(BASE, places.astype(np.uint64))
+
+
+@dataclass
+class Atoms:
+    """The atoms of some texts, in order: their places in the marked texts, and those in their own text."""
+
+    marked: str
+    start: np.ndarray
+    end: np.ndarray
+    text: np.ndarray
+    place: np.ndarray
+    hashes: np.ndarray
+    single: np.ndarray  # the code point of a character without a piece, else 0
+
+    def string(self, i: int) -> str:
+        return self.marked[self.start[i] : self.end[i]]
+
+    def strings(self, which: np.ndarray) -> list[str]:
+        return [self.marked[a:b] for a, b in zip(self.start[which].tolist(), self.end[which].tolist(), strict=True)]
+
+
+class Cutter:
+    """Cuts texts into atoms by array operations over their code points."""
+
+    def __init__(self, model: PieceModel) -> None:
+        known = sorted(p for p in model.pieces if len(p) == 1)
+        self.kind = np.zeros(0x110000, np.int32)
+        self.kind[[ord(p) for p in known]] = np.arange(1, len(known) + 1)
+        self.n = len(known) + 1
+        self.mark = int(self.kind[ord(SPACE)])
+        pairs = {p[i : i + 2] for p in model.pieces for i in range(len(p) - 1)}
+        together = np.zeros(self.n * self.n, bool)
+        together[[int(self.kind[ord(a)]) * self.n + int(self.kind[ord(b)]) for a, b in pairs]] = True
+        together[: self.n] = together[:: self.n] = False
+        self.together = np.packbits(together, bitorder="little")
+
+    def cut(self, texts: list[str]) -> Atoms:
+        """Atoms of texts; an empty text has none."""
+        marked = "\n".join([SPACE + t.replace(" ", SPACE) if t else "" for t in texts])
+        points = np.frombuffer(marked.encode("utf-32-le"), np.uint32)
+        kind = self.kind[points]
+        pair = kind[:-1].astype(np.int64) * self.n + kind[1:]
+        joined = (self.together[pair >> 3] >> (pair & 7).astype(np.uint8)) & 1
+        border = np.concatenate([[True], joined == 0]) if len(points) else np.zeros(0, bool)
+        lengths = np.array([len(t) + 1 if t else 0 for t in texts], np.int64)
+        first = np.cumsum(lengths + 1) - lengths - 1
+        breaks = (first + lengths)[:-1]  # between texts
+        border[breaks] = True
+        border[breaks + 1] = True
+        start = np.flatnonzero(border)
+        end = np.append(start[1:], len(points))
+        own = np.ones(len(points) + 1, bool)
+        own[breaks] = False
+        keep = own[start]
+        start, end = start[keep], end[keep]
+        text = np.searchsorted(first + lengths, start, side="right")
+        there, back = _powers(max(16, int(len(points)).bit_length()))
+        total = np.zeros(len(points) + 1, np.uint64)
+        np.cumsum(mix(points.astype(np.uint64) + np.uint64(1)) * there[: len(points)], out=total[1:])
+        hashes = mix((total[end] - total[start]) * back[start] + (end - start).astype(np.uint64))
+        single = np.where((end - start == 1) & (kind[start] == 0), points[start], 0) if len(start) else np.zeros(0, np.uint32)
+        return Atoms(marked, start, end, text, start - first[text], hashes, single)
+
+
+class Encoder:
+    """Atoms by what is known of them here: a bank of ids end to end, for known atoms, single characters, long atoms; -1 is a rare one."""
 
+    def __init__(self, model: PieceModel, known: Known) -> None:
+        self.model, self.cutter = model, Cutter(model)
+        atoms = known.texts.split("\n") if len(known.sizes) else []
+        hashes = _hashes_of(self.cutter, atoms)
+        order = np.argsort(hashes)
+        self.lookup = Lookup(hashes[order])
+        self.of_key = order
+        sizes = known.sizes.astype(np.int64)
+        self.ids: list[np.ndarray] = [known.ids.astype(np.int64)]
+        self.sizes, self.codes, self.exact = sizes, _codes(self.ids[0], sizes), known.exact
+        self.extra: dict[int | str, int] = {}
+
+    def _add(self, key: int | str, ids: list[int]) -> int:
+        """The number of an entry for a character without a piece (by code point) or a long atom."""
+        if key not in self.extra:
+            self.extra[key] = len(self.sizes)
+            self.ids.append(np.array(ids, np.int64))
+            self.sizes = np.append(self.sizes, len(ids))
+            self.codes = np.append(self.codes, _codes(self.ids[-1], self.sizes[-1:]))
+            self.exact = np.append(self.exact, True)
+        return self.extra[key]
+
+    def number(self, atoms: Atoms) -> np.ndarray:
+        """The entry of each atom, -1 for rare ones."""
+        out = self.lookup.places(atoms.hashes)
+        out[out >= 0] = self.of_key[out[out >= 0]]
+        for point in np.unique(atoms.single[atoms.single > 0]).tolist():
+            if len(self.extra) > FLUSH:  # a bound on what is remembered; numbers given in this step stay valid
+                self.extra.clear()
+            out[atoms.single == point] = self._add(point, self.model.direct(chr(point)))
+        for i in np.flatnonzero(atoms.end - atoms.start > MAX_ATOM).tolist():
+            atom = atoms.string(i)
+            out[i] = self._add(f"{len(self.sizes)}", self.model.greedy(atom))
+        return out
 
-class Units:
-    """Sums over the atoms of texts, as far as they are known here."""
+    def trim(self) -> None:
+        """Forgets long atoms' entries (and the single characters') when there are many."""
+        if len(self.ids) > 4096:
+            n = len(self.lookup.keys)
+            self.ids, self.sizes, self.codes, self.exact, self.extra = self.ids[:1], self.sizes[:n], self.codes[:n], self.exact[:n], {}
 
-    def __init__(self, model: PieceModel, known: Known) -> None:
-        self.model, self.number = model, known.numbers()
-        self.codes, self.sizes, self.exact = _codes(known.ids, known.sizes.astype(np.int64)), known.sizes.astype(np.int64), known.exact
-        self.cuts: dict[str, list[str]] = {}
-        self.direct: dict[str, tuple[int, int] | None] = {}
-
-    def _direct(self, atom: str) -> tuple[int, int] | None:
-        """Code and number of the ids of an atom outside the lattice."""
-        if atom not in self.direct:
-            ids = self.model.direct(atom)
-            found = None if ids is None else (int(_codes(np.array(ids), np.array([len(ids)]))[0]), len(ids))
-            if len(atom) > 1 or len(self.direct) > FLUSH:
-                return found
-            self.direct[atom] = found
-        return self.direct[atom]
-
-    def of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[int, str, int]]]:
-        """Of each text: number of pieces, code, whether all is exact; and (text, atom, place) of the rare atoms."""
-        get, cuts, cut = self.number.get, self.cuts, self.model.cut
-        numbers: list[int] = []  # of atoms known here, with their texts and places
-        docs, places = [], []
-        other_n, other_code = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.uint64)
-        rare: list[tuple[int, str, int]] = []
-        for d, text in enumerate(texts):
-            units = self.model.units(text)
-            if not units:
-                continue
-            found = np.array([get(u, -1) for u in units])
-            ends = np.cumsum([len(u) for u in units])
-            at = np.concatenate([[0], ends[:-1]])
-            known = found >= 0
-            numbers.append(found[known])
-            places.append(at[known])
-            inner, inner_at = [], []
-            for i in np.flatnonzero(~known).tolist():
-                u, place = units[i], int(at[i])
-                atoms = cuts.get(u)
-                if atoms is None:
-                    if len(cuts) > FLUSH:
-                        cuts.clear()
-                    atoms = cuts[u] = cut(u)
-                for a in atoms:
-                    k = get(a)
-                    if k is not None:
-                        inner.append(k)
-                        inner_at.append(place)
-                    elif self.model.outside(a) and (x := self._direct(a)):
-                        other_n[d] += x[1]
-                        other_code[d] ^= _placed(np.array([x[0]], np.uint64), np.array([place]))[0]
-                    else:
-                        rare.append((d, a, place))
-                    place += len(a)
-            numbers.append(np.array(inner, np.int64))
-            places.append(np.array(inner_at, np.int64))
-            docs.append(np.full(int(known.sum()) + len(inner), d))
-        exact = np.array([SPACE not in t for t in texts], bool)
-        if not docs:
-            return other_n, other_code, exact, rare
-        doc, number, place = np.concatenate(docs), np.concatenate(numbers), np.concatenate(places)
-        n = other_n + np.bincount(doc, self.sizes[number], len(texts)).astype(np.int64) if len(number) else other_n
-        if len(number):
-            np.bitwise_xor.at(other_code, doc, _placed(self.codes[number], place))
-            exact &= np.bincount(doc, ~self.exact[number], len(texts)) == 0
-        return n, other_code, exact, rare
+
+def _hashes_of(cutter: Cutter, atoms: list[str]) -> np.ndarray:
+    """Hashes of atoms, as cut() gives them."""
+    points = np.frombuffer("".join(atoms).encode("utf-32-le"), np.uint32)
+    end = np.cumsum([len(a) for a in atoms], dtype=np.int64)
+    start = end - np.array([len(a) for a in atoms], np.int64)
+    there, back = _powers(max(16, int(len(points)).bit_length()))
+    total = np.zeros(len(points) + 1, np.uint64)
+    np.cumsum(mix(points.astype(np.uint64) + np.uint64(1)) * there[: len(points)], out=total[1:])
+    return mix((total[end] - total[start]) * back[start] + (end - start).astype(np.uint64))
+
+
+def _halves(code: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    return pa.array((code & np.uint64(0xFFFFFFFF)).astype(np.int64)), pa.array((code >> np.uint64(32)).astype(np.int64))
 
 
 def piece_digests(docs: DataFrame, model: PieceModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -382,31 +400,46 @@ def piece_digests(docs: DataFrame, model: PieceModel, id_col: str = "doc_id", te
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row with the sums of each text, and one for each occurrence of a rare atom."""
-        units = Units(*sent.value)
+        known = Encoder(*sent.value)
         keyed = (pa.RecordBatch.from_arrays([b.select(["row", "doc_id"]).to_struct_array(), b.column("text")], names=["key", "text"]) for b in batches)
-        for keys, texts in steps(keyed):
-            n, code, exact, rare = units.of([t.decode() for t in texts])
-            row, m = np.array([k["row"] for k in keys], np.int64), len(rare)
-            yield pa.RecordBatch.from_arrays([pa.array(row), pa.array([k["doc_id"] for k in keys], pa.int64()), pa.array(n), pa.array(code.view(np.int64)), pa.array(exact), pa.nulls(len(keys), pa.string()), pa.nulls(len(keys), pa.int64())], names=_PART)
-            for i in range(0, m, 20_000):
+        for keys, raw in steps(keyed, STEP):
+            texts = [t.decode() for t in raw]
+            atoms = known.cutter.cut(texts)
+            number = known.number(atoms)
+            m = len(texts)
+            told = np.flatnonzero(number >= 0)
+            n = np.bincount(atoms.text[told], known.sizes[number[told]], m).astype(np.int64)
+            exact = np.array([SPACE not in t for t in texts], bool) & (np.bincount(atoms.text[told], ~known.exact[number[told]], m) == 0)
+            code = np.zeros(m, np.uint64)
+            if len(told):
+                powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(int(atoms.place.max()), BASE, np.uint64)]), dtype=np.uint64)
+                first = np.flatnonzero(np.diff(atoms.text[told], prepend=-1))
+                code[atoms.text[told][first]] = np.add.reduceat(known.codes[number[told]] * powers[atoms.place[told]], first)
+            known.trim()
+            row, rare = np.array([k["row"] for k in keys], np.int64), np.flatnonzero(number < 0)
+            yield pa.RecordBatch.from_arrays([pa.array(row), pa.array([k["doc_id"] for k in keys], pa.int64()), pa.array(n), *_halves(code), pa.array(exact), pa.nulls(m, pa.string()), pa.nulls(m, pa.int64())], names=_PART)
+            for i in range(0, len(rare), 20_000):
                 part = rare[i : i + 20_000]
                 k = len(part)
-                yield pa.RecordBatch.from_arrays([pa.array(row[[d for d, _, _ in part]]), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.bool_()), pa.array([a for _, a, _ in part], pa.string()), pa.array([p for _, _, p in part], pa.int64())], names=_PART)
+                yield pa.RecordBatch.from_arrays([pa.array(row[atoms.text[part]]), *(pa.nulls(k, pa.int64()) for _ in range(4)), pa.nulls(k, pa.bool_()), pa.array(atoms.strings(part), pa.string()), pa.array(atoms.place[part])], names=_PART)
 
     def rare_codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = b.column("ids")
             sizes = ids.value_lengths().to_numpy().astype(np.int64)
-            code = _placed(_codes(ids.flatten().to_numpy(), sizes), b.column("at").to_numpy()).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("row"), pa.nulls(len(code), pa.int64()), pa.array(sizes), pa.array(code), b.column("exact")], names=_PART[:5])
+            code = _placed(_codes(ids.flatten().to_numpy(), sizes), b.column("at").to_numpy())
+            yield pa.RecordBatch.from_arrays([b.column("row"), pa.nulls(len(code), pa.int64()), pa.array(sizes), *_halves(code), b.column("exact")], names=_PART[:6])
 
-    parts = written(plain.mapInArrow(split, "row long, doc_id long, n long, code long, exact boolean, atom string, at long"), "parts")
-    rare = parts.where("atom IS NOT NULL").select("row", "at", "atom").join(words.select("atom", "ids", "exact"), "atom").select("row", "at", "ids", "exact").mapInArrow(rare_codes, "row long, doc_id long, n long, code long, exact boolean")
-    every = parts.where("atom IS NULL").select(*_PART[:5]).unionByName(rare)
-    return every.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.sum("n").alias("n_pieces"), F.bit_xor("code").alias("ids_code"), F.bool_and("exact").alias("round_trip")).drop("row")
+    parts = written(plain.mapInArrow(split, "row long, doc_id long, n long, low long, high long, exact boolean, atom string, at long"), "parts")
+    rare = parts.where("atom IS NOT NULL").select("row", "at", "atom").join(words.select("atom", "ids", "exact"), "atom").select("row", "at", "ids", "exact").mapInArrow(rare_codes, "row long, doc_id long, n long, low long, high long, exact boolean")
+    every = parts.where("atom IS NULL").select(*_PART[:6]).unionByName(rare)
+    total = every.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.sum("n").alias("n_pieces"), F.sum("low").alias("low"), F.sum("high").alias("high"), F.bool_and("exact").alias("round_trip"))
+    mask = F.lit(0xFFFFFFFF)
+    code = F.shiftleft((F.col("high") + F.shiftright("low", 32)).bitwiseAND(mask), 32).bitwiseOR(F.col("low").bitwiseAND(mask))
+    return total.select("doc_id", "n_pieces", code.alias("ids_code"), "round_trip")
 
 
-_PART = ["row", "doc_id", "n", "code", "exact", "atom", "at"]
+_PART = ["row", "doc_id", "n", "low", "high", "exact", "atom", "at"]
 
 
 def encode(docs: DataFrame, model: PieceModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -418,26 +451,21 @@ def encode(docs: DataFrame, model: PieceModel, id_col: str = "doc_id", text_col:
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """ids with -1 in place of every rare atom, and the rare atoms in order."""
-        model, known = sent.value
-        numbers, lists = known.numbers(), known.lists()
-        memo: dict[str, list[str]] = {}
-        for batch in batches:
-            out, missing = [], []
-            for text in batch.column("text").to_pylist():
-                ids, rare = [], []
-                if len(memo) > FLUSH:
-                    memo.clear()
-                for atom in (a for u in model.units(text) for a in (memo.get(u) or memo.setdefault(u, model.cut(u)))):
-                    found = numbers.get(atom)
-                    part = lists[found] if found is not None else model.direct(atom)
-                    if part is None:
-                        rare.append(atom)
-                        ids.append(-1)
-                    else:
-                        ids += part
-                out.append(np.array(ids, np.int32).tobytes())
-                missing.append(rare)
-            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), pa.array(out, pa.binary()), pa.array(missing, pa.list_(pa.string()))], names=["row", "doc_id", "code", "rare"])
+        known = Encoder(*sent.value)
+        keyed = (pa.RecordBatch.from_arrays([b.select(["row", "doc_id"]).to_struct_array(), b.column("text")], names=["key", "text"]) for b in batches)
+        for keys, raw in steps(keyed, STEP):
+            atoms = known.cutter.cut([t.decode() for t in raw])
+            number = known.number(atoms)
+            # the bank of ids, with one -1 at its end for rare atoms
+            bank = np.concatenate([*known.ids, [-1]])
+            sizes, starts = np.append(known.sizes, 1), np.append(np.cumsum(known.sizes) - known.sizes, len(bank) - 1)
+            size, start = sizes[number], starts[number]
+            flat = bank[np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(start, size)].astype(np.int32)
+            ends = np.cumsum(np.bincount(atoms.text, size, len(keys)).astype(np.int64))
+            rare = np.flatnonzero(number < 0)
+            strings, cuts = atoms.strings(rare), np.searchsorted(atoms.text[rare], np.arange(len(keys) + 1))
+            known.trim()
+            yield pa.RecordBatch.from_arrays([pa.array([k["row"] for k in keys], pa.int64()), pa.array([k["doc_id"] for k in keys], pa.int64()), pa.array([flat[a:b].tobytes() for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)], pa.binary()), pa.array([strings[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)], pa.list_(pa.string()))], names=["row", "doc_id", "code", "rare"])
 
     parts = written(plain.mapInArrow(split, "row long, doc_id long, code binary, rare array<string>"), "parts")
     found = parts.select("row", F.posexplode("rare").alias("k", "atom")).join(words.select("atom", "ids"), "atom").groupBy("row").agg(F.array_sort(F.collect_list(F.struct("k", "ids"))).alias("found"))

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from latticework.llm.common import filtered, record_batch, steps
-from latticework.llm.words import ALNUM, Words, mix, words_of
+from latticework.llm.words import ALNUM, Lookup, Words, mix, words_of
 
 SAMPLE, FEATURES = 20_000, 20_000
 PREFIXES = (4, 5, 6)
@@ -51,24 +51,6 @@ def features_of(words: Words) -> np.ndarray:
     return np.stack(cut, 1)
 
 
-class Lookup:
-    """Places of hashes in a sorted table, -1 for others; most others are told by a bit table alone."""
-
-    def __init__(self, keys: np.ndarray) -> None:
-        self.keys = keys
-        self.bits = np.zeros(1 << 20, bool)
-        self.bits[(keys >> np.uint64(44)).astype(np.int64)] = True
-
-    def places(self, hashes: np.ndarray) -> np.ndarray:
-        out = np.full(hashes.shape, -1, np.int64)
-        at = self.bits[(hashes >> np.uint64(44)).astype(np.int64)]
-        near = hashes[at]
-        if len(near):
-            k = np.minimum(np.searchsorted(self.keys, near), len(self.keys) - 1)
-            out[at] = np.where(self.keys[k] == near, k, -1)
-        return out
-
-
 def maximal_segments(places: list[int], scores: list[float], drift: float = DRIFT) -> list[tuple[int, int, float]]:
     """All maximal scoring segments (first place, last place, score) of a text whose words score drift but for those given.
 

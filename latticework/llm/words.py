@@ -77,3 +77,23 @@ def windows(hashes: np.ndarray, size: int) -> np.ndarray:
     for j in range(size):
         out = mix(out ^ hashes[j : j + n]) if j else hashes[:n] * np.uint64(_BASE)
     return out
+
+
+class Lookup:
+    """Places of hashes in a sorted table, -1 for others; most others are told by a bit table alone."""
+
+    def __init__(self, keys: np.ndarray) -> None:
+        self.keys = keys
+        self.bits = np.zeros(1 << 20, bool)
+        self.bits[(keys >> np.uint64(44)).astype(np.int64)] = True
+
+    def places(self, hashes: np.ndarray) -> np.ndarray:
+        out = np.full(hashes.shape, -1, np.int64)
+        if not len(self.keys):
+            return out
+        at = self.bits[(hashes >> np.uint64(44)).astype(np.int64)]
+        near = hashes[at]
+        if len(near):
+            k = np.minimum(np.searchsorted(self.keys, near), len(self.keys) - 1)
+            out[at] = np.where(self.keys[k] == near, k, -1)
+        return out
