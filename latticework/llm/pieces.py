@@ -39,6 +39,8 @@ MAX_ATOM = 60
 FREQUENT = 1 << 17
 #: Distinct atoms that a task counts, or remembers, before it starts anew.
 FLUSH = 150_000
+#: Code points below which pieces of one character are looked up in an array.
+SINGLES = 0x3000
 #: Bytes of text cut at once.
 STEP = 1 << 19
 
@@ -103,11 +105,12 @@ class PieceModel:
         return spark.createDataFrame(rows, "piece string, id int, score double, hex string")
 
 
-def merge_fold(edges: Column, length: Column) -> Column:
+def merge_fold(edges: Column, length: Column, atom: Column, singles: Column) -> Column:
     """struct<ids,exact> of a BPE atom from its edges array<struct<rank,at,n,id,ends,span>>; exact: its pieces cover it.
 
     Borders of symbols are bits of a number; ends and span are an edge's first and last bit, and all its bits. An edge can be
-    merged if its ends are borders with one more between them. Edges whose ends are gone are dropped on the way.
+    merged if its ends are borders with one more between them. Edges whose ends are gone are dropped on the way. singles has
+    the pieces of one character by code point; those of code points beyond it are edges.
     """
     Edge = "array<struct<rank:double,at:int,n:int,id:int,ends:bigint,span:bigint>>"
 
@@ -121,8 +124,16 @@ def merge_fold(edges: Column, length: Column) -> Column:
 
     every = F.call_function("shiftleft", F.lit(1).cast("long"), length + 1) - 1
     mask = F.aggregate(F.sequence(F.lit(1), F.greatest(length - 1, F.lit(1))), F.struct(every.alias("m"), F.filter(edges, lambda e: e["n"] > 1).alias("edges")), step, lambda x: x["m"])
-    final = lambda m: F.transform(F.array_sort(F.transform(F.filter(edges, lambda e: m.bitwiseAND(e["span"]) == e["ends"]), lambda e: F.struct(e["at"], e["id"]))), lambda e: e["id"])
-    return F.get(F.transform(F.array(mask), lambda m: F.get(F.transform(F.array(final(m)), lambda x: F.struct(x.alias("ids"), (F.size(x) == F.bit_count(m) - 1).alias("exact"))), F.lit(0))), F.lit(0))
+    point = lambda at: F.ascii(F.substring(atom, at + 1, F.lit(1)))
+
+    def final(m: Column) -> Column:
+        alone = F.filter(F.sequence(F.lit(0), length - 1), lambda at: (F.call_function("shiftright", m, at).bitwiseAND(F.lit(3)) == 3) & (point(at) < SINGLES))
+        chosen = F.filter(edges, lambda e: (m.bitwiseAND(e["span"]) == e["ends"]) & ((e["n"] > 1) | (point(e["at"]) >= SINGLES)))
+        every = F.concat(F.transform(alone, lambda at: F.struct(at.alias("at"), F.get(singles, point(at)).alias("id"))), F.transform(chosen, lambda e: F.struct(e["at"].alias("at"), e["id"].alias("id"))))
+        return F.transform(F.array_sort(every), lambda e: e["id"])
+
+    covers = lambda ids, m: (F.size(ids) == F.bit_count(m) - 1) & ~F.exists(ids, lambda i: i < 0)
+    return F.get(F.transform(F.array(mask), lambda m: F.get(F.transform(F.array(final(m)), lambda x: F.struct(x.alias("ids"), covers(x, m).alias("exact"))), F.lit(0))), F.lit(0))
 
 
 def viterbi_fold(edges: Column, length: Column) -> Column:
@@ -146,7 +157,10 @@ def encode_atoms(atoms: DataFrame, pieces: DataFrame, longest: int, unigram: boo
     others = [c for c in atoms.columns if c != "atom"]
     # all atoms of a partition stay there: explode, a broadcast join of the bounded piece table, and grouping by the same key
     starts = atoms.withColumn("at", F.explode(F.sequence(F.lit(0), F.length("atom") - 1)))
-    spans = starts.withColumn("n", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.length("atom") - F.col("at")))))
+    # single characters come from an array; one edge of them stays, so that every atom has a row
+    least = F.lit(1) if unigram else F.when((F.col("at") == 0) | (F.ascii(F.substring("atom", F.col("at") + 1, F.lit(1))) >= SINGLES), 1).otherwise(2)
+    most = F.least(F.lit(longest), F.length("atom") - F.col("at"))
+    spans = starts.withColumn("n", F.explode(F.when(most >= least, F.sequence(least, most))))
     order = Window.orderBy(F.desc("score"))  # over the bounded piece table
     known = pieces.where("piece IS NOT NULL").select(F.col("piece").alias("p"), "id", "score", F.dense_rank().over(order).cast("long").alias("rank"))
     joined = spans.join(F.broadcast(known), F.substring("atom", F.col("at") + 1, F.col("n")) == F.col("p"))
@@ -156,6 +170,9 @@ def encode_atoms(atoms: DataFrame, pieces: DataFrame, longest: int, unigram: boo
         return paths.select("atom", *others, viterbi_fold(F.col("edges"), F.length("atom")).alias("ids")).withColumn("exact", F.col("ids").isNotNull())
     # an edge is one number, in the order of rank, then place: small to group and sort
     code = F.shiftleft("rank", 36).bitwiseOR(F.shiftleft(F.col("at").cast("long"), 30)).bitwiseOR(F.shiftleft(F.col("n").cast("long"), 24)).bitwiseOR(F.col("id"))
+    # bounded by SINGLES
+    by_point = {ord(r["piece"]): r["id"] for r in pieces.where(f"length(piece) = 1 AND ascii(piece) < {SINGLES}").select("piece", "id").collect()}
+    singles = F.split(F.lit(",".join(str(by_point.get(i, -1)) for i in range(max([0, *by_point]) + 1))), ",").cast("array<int>")  # folded to a constant
     grouped = joined.select("atom", *others, code.alias("code")).groupBy("atom").agg(*first, F.collect_list("code").alias("codes"))
     one = F.lit(1).cast("long")
 
@@ -165,7 +182,7 @@ def encode_atoms(atoms: DataFrame, pieces: DataFrame, longest: int, unigram: boo
         span = F.call_function("shiftleft", F.call_function("shiftleft", one, n + 1) - 1, at)
         return F.struct(F.shiftright(c, 36).cast("double").alias("rank"), at.alias("at"), n.alias("n"), c.bitwiseAND(F.lit((1 << 24) - 1)).cast("int").alias("id"), ends.alias("ends"), span.alias("span"))
 
-    return grouped.select("atom", *others, merge_fold(F.transform("codes", unpacked), F.length("atom")).alias("x")).select("atom", *others, "x.ids", "x.exact")
+    return grouped.select("atom", *others, merge_fold(F.transform("codes", unpacked), F.length("atom"), F.col("atom"), singles).alias("x")).select("atom", *others, "x.ids", "x.exact")
 
 
 def decode(encoded: DataFrame, pieces: DataFrame, key: str, ids_col: str = "ids") -> DataFrame:
