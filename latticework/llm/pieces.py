@@ -61,9 +61,6 @@ class PieceModel:
                 self.pieces[sp.id_to_piece(i)] = (i, float(sp.get_score(i)))
         self.unknown = sp.unk_id()
         self.longest = max(map(len, self.pieces))
-    def outside(self, atom: str) -> bool:
-        """Whether an atom stays out of the lattice."""
-        return len(atom) > MAX_ATOM or len(atom) == 1 and atom not in self.pieces
 
     def direct(self, atom: str) -> list[int] | None:
         """Ids of an atom that stays out of the lattice, else None."""
@@ -296,7 +293,7 @@ class Atoms:
     text: np.ndarray
     place: np.ndarray
     hashes: np.ndarray
-    single: np.ndarray  # the code point of a character without a piece, else 0
+    single: np.ndarray  # one more than the code point of a character without a piece, else 0
 
     def string(self, i: int) -> str:
         return self.marked[self.start[i] : self.end[i]]
@@ -327,14 +324,14 @@ class Cutter:
         kind = self.kind[points]
         pair = kind[:-1].astype(np.int64) * self.n + kind[1:]
         joined = (self.together[pair >> 3] >> (pair & 7).astype(np.uint8)) & 1
-        border = np.concatenate([[True], joined == 0]) if len(points) else np.zeros(0, bool)
+        border = np.concatenate([[True], joined == 0, [True]]) if len(points) else np.zeros(1, bool)
         lengths = np.array([len(t) + 1 if t else 0 for t in texts], np.int64)
         first = np.cumsum(lengths + 1) - lengths - 1
         breaks = (first + lengths)[:-1]  # between texts
         border[breaks] = True
         border[breaks + 1] = True
-        start = np.flatnonzero(border)
-        end = np.append(start[1:], len(points))
+        edges = np.flatnonzero(border)
+        start, end = edges[:-1], edges[1:]
         own = np.ones(len(points) + 1, bool)
         own[breaks] = False
         keep = own[start]
@@ -344,7 +341,7 @@ class Cutter:
         total = np.zeros(len(points) + 1, np.uint64)
         np.cumsum(mix(points.astype(np.uint64) + np.uint64(1)) * there[: len(points)], out=total[1:])
         hashes = mix((total[end] - total[start]) * back[start] + (end - start).astype(np.uint64))
-        single = np.where((end - start == 1) & (kind[start] == 0), points[start], 0) if len(start) else np.zeros(0, np.uint32)
+        single = np.where((end - start == 1) & (kind[start] == 0), points[start].astype(np.int64) + 1, 0)
         return Atoms(marked, start, end, text, start - first[text], hashes, single)
 
 
@@ -380,10 +377,9 @@ class Encoder:
         for point in np.unique(atoms.single[atoms.single > 0]).tolist():
             if len(self.extra) > FLUSH:  # a bound on what is remembered; numbers given in this step stay valid
                 self.extra.clear()
-            out[atoms.single == point] = self._add(point, self.model.direct(chr(point)))
+            out[atoms.single == point] = self._add(point, self.model.direct(chr(point - 1)))
         for i in np.flatnonzero(atoms.end - atoms.start > MAX_ATOM).tolist():
-            atom = atoms.string(i)
-            out[i] = self._add(f"{len(self.sizes)}", self.model.greedy(atom))
+            out[i] = self._add(f"{len(self.sizes)}", self.model.greedy(atoms.string(i)))  # not remembered: a key of its own
         return out
 
     def trim(self) -> None:

@@ -17,7 +17,7 @@ from latticework.llm.queries import QUERIES, tokenizer_path
 
 ODD = [
     (1, None), (2, ""), (3, "   \n\t "), (4, "one"), (5, "one two three four"), (6, "Émile's  naïve café — ok? 漢字 \U0001F600 <|endoftext|> x"),
-    (7, "one two three four"), (8, "w " * 60_000), (9, "a" * 40_000), (10, "we'll they're I'd 'tis it's'd 12,345.67\r\n\r\n  end "), (11, "▁ mark"), (None, "no id here at all but words"),
+    (7, "one two three four"), (8, "w " * 60_000), (9, "a" * 40_000), (10, "we'll they're I'd 'tis it's'd 12,345.67\r\n\r\n  end "), (11, "▁ mark"), (12, "nul \0 x\0"), (13, ""), (None, "no id here at all but words"),
 ]
 
 
@@ -305,6 +305,18 @@ def test_pieces_equal_the_library_and_decode(spark, odd, nothing, model, sf_dir)
     assert pieces.piece_digests(nothing, model).collect() == []
 
 
+def test_atoms_make_up_their_texts(model):
+    c = pieces.Cutter(model)
+    for texts in (["a b", ""], ["", ""], ["", "x  y\n", "", "\0 z\0"], [], ["é漢😀" * 3, "▁▁ q "]):
+        atoms = c.cut(texts)
+        got = [""] * len(texts)
+        for i in range(len(atoms.start)):
+            assert atoms.place[i] == len(got[atoms.text[i]])
+            got[atoms.text[i]] += atoms.string(i)
+        assert got == [pieces.SPACE + t.replace(" ", pieces.SPACE) if t else "" for t in texts]
+        assert all(model.direct(atoms.string(i)) for i in range(len(atoms.start)) if atoms.single[i])
+
+
 def test_rare_atoms_give_the_same_as_known_ones(spark, model, sf_dir, monkeypatch):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     row = lambda df: sorted(tuple(r) for r in df.collect())
