@@ -30,7 +30,7 @@ from latticework.llm.common import steps, written
 from latticework.llm.gru import END, Gru, laid_out, stream
 from latticework.llm.words import words_of
 
-VOCABULARY, CLASSES, EVERY, RATE = 2046, 64, 4, 0.3
+VOCABULARY, CLASSES, EVERY, RATE = 2046, 64, 3, 0.3
 #: Counted words sent to all tasks at most; tokens put into lanes at once; lanes when learning; parameters of a block.
 FREQUENT, BUFFER, LEARN_LANES, BLOCK = 1 << 17, 1 << 21, 192, 1 << 13
 FLUSH = 1 << 20
