@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import uuid
 from collections.abc import Iterator
 
@@ -12,6 +14,8 @@ from latticework.runtime import ship
 
 #: Texts handed to one vectorised step at most, in bytes (a longer text is a step of its own).
 STEP_BYTES = 1 << 20
+#: Steps after which freed memory is given back.
+TRIM = 8
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,11 +45,26 @@ def discard(*frames: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@functools.cache
+def _libc():
+    try:
+        return ctypes.CDLL("libc.so.6")
+    except OSError:  # another C library
+        return None
+
+
+def trim() -> None:
+    """Give memory that was freed back to the system: workers live on, and their peaks would add up."""
+    pa.default_memory_pool().release_unused()
+    if _libc() is not None:
+        _libc().malloc_trim(0)
+
+
 def steps(batches: Iterator[pa.RecordBatch], limit: int = STEP_BYTES) -> Iterator[tuple[list, list[bytes]]]:
     """(ids, UTF-8 texts) of bounded size from Arrow batches of (id, text); a null text is empty."""
     ids: list = []
     texts: list[bytes] = []
-    size = 0
+    size = done = 0
     for batch in batches:
         for start in range(0, batch.num_rows, 256):
             part = batch.slice(start, 256)
@@ -53,12 +72,16 @@ def steps(batches: Iterator[pa.RecordBatch], limit: int = STEP_BYTES) -> Iterato
                 text = text or b""
                 if ids and size + len(text) > limit:
                     yield ids, texts
-                    ids, texts, size = [], [], 0
+                    ids, texts, size, done = [], [], 0, done + 1
+                    if done % TRIM == 0:
+                        trim()
                 ids.append(key)
                 texts.append(text)
                 size += len(text) + 16
     if ids:
         yield ids, texts
+    del ids, texts
+    trim()
 
 
 def record_batch(columns: dict, types: dict[str, pa.DataType]) -> pa.RecordBatch:
@@ -82,4 +105,4 @@ def filtered(docs: DataFrame, text_col: str, verdicts) -> DataFrame:
     return docs.mapInArrow(run, docs.schema)
 
 
-__all__ = ["STEP_BYTES", "discard", "filtered", "record_batch", "shared_dir", "ship", "steps", "table", "written"]
+__all__ = ["STEP_BYTES", "discard", "filtered", "record_batch", "shared_dir", "ship", "steps", "table", "trim", "written"]

@@ -32,8 +32,8 @@ from latticework.llm.words import words_of
 
 VOCABULARY, CLASSES, EVERY, RATE = 2046, 64, 3, 0.3
 #: Counted words sent to all tasks at most; tokens put into lanes at once; lanes when learning; parameters of a block.
-FREQUENT, BUFFER, LEARN_LANES, BLOCK = 1 << 17, 1 << 21, 192, 1 << 13
-FLUSH = 1 << 20
+FREQUENT, BUFFER, LEARN_LANES, BLOCK = 1 << 17, 3 << 19, 192, 1 << 13
+FLUSH = 1 << 19
 UNKNOWN = 1
 #: Stands for the end token among the hashes of words.
 END_HASH = np.int64(-0x61C8864680B583EB)
