@@ -35,7 +35,7 @@ SLOTS, ROWS = 128, 4
 #: Of 128 two-bit slots of two sketches, so many agree at a similarity of 0.4 on average; at 0.75, less than 1e-12 have fewer.
 SKETCH_AGREE = 70
 #: Members of a block when sketches and when sets are compared, and bytes of its sets.
-BLOCK, SET_BLOCK, SET_BYTES = 512, 256, 16 << 20
+BLOCK, SET_BLOCK, SET_BYTES = 256, 256, 8 << 20
 _C = np.uint64(0x9E3779B97F4A7C15)
 
 
