@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from latticework.llm.common import steps, written
+from latticework.llm.common import steps, trim, written
 from latticework.llm.words import Lookup, _powers, mix
 
 SPACE = "▁"
@@ -484,14 +484,21 @@ def encode(docs: DataFrame, model: PieceModel, id_col: str = "doc_id", text_col:
     found = parts.select("row", F.posexplode("rare").alias("k", "atom")).join(words.select("atom", "ids"), "atom").groupBy("row").agg(F.array_sort(F.collect_list(F.struct("k", "ids"))).alias("found"))
 
     def splice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids = []
-            for code, got in zip(b.column("code").to_pylist(), b.column("found").to_pylist(), strict=True):
-                known = np.frombuffer(code, np.int32)
-                if got:
-                    cuts = np.split(known, np.flatnonzero(known == -1))
-                    known = np.concatenate([cuts[0], *(np.concatenate([np.array(g["ids"], np.int32), c[1:]]) for g, c in zip(got, cuts[1:], strict=True))])
-                ids.append(known)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
+        """The ids of rare atoms, which come in the order of their places, put in for the -1."""
+        for i, b in enumerate(batches):
+            code = b.column("code").to_pylist()
+            known = np.frombuffer(b"".join(code), np.int32)
+            rare = known == -1
+            lists = b.column("found").flatten().field("ids")
+            size = np.ones(len(known), np.int64)
+            size[rare] = lists.value_lengths().to_numpy(zero_copy_only=False)
+            ids = np.repeat(known, size)
+            ids[np.repeat(rare, size)] = lists.flatten().to_numpy(zero_copy_only=False)
+            before = np.concatenate([[0], np.cumsum(size)])
+            cuts = before[np.concatenate([[0], np.cumsum([len(c) // 4 for c in code])]).astype(np.int64)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(ids, pa.int32()))], names=["doc_id", "ids"])
+            if i % 8 == 7:
+                trim()
+        trim()
 
     return parts.select("row", "doc_id", "code").join(found, "row", "left").select("doc_id", "code", "found").mapInArrow(splice, "doc_id long, ids array<int>")
