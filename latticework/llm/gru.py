@@ -51,11 +51,13 @@ class Gru:
     def run(self, x: np.ndarray, h: np.ndarray, keep: bool) -> tuple[np.ndarray, list]:
         """States after each input of a window (time, lane), and what backpropagation needs."""
         k = h.shape[1]
-        u, table = self.p["u"], self.p["e"] + self.p["b"] if not hasattr(self, "table") else self.table
+        u = self.p["u"]
+        inputs = (self.table if hasattr(self, "table") else self.p["e"] + self.p["b"])[x]
+        live = (x != END)[..., None]
         out, saved = np.empty((len(x), len(h), k), np.float32), []
-        for t, word in enumerate(x):
-            h = h * (word != END)[:, None]
-            a, g = table[word], h @ u
+        for t in range(len(x)):
+            h = h * live[t]
+            a, g = inputs[t], h @ u
             gates = a[:, : 2 * k] + g[:, : 2 * k]
             np.negative(gates, out=gates)
             np.exp(gates, out=gates)
@@ -69,7 +71,7 @@ class Gru:
             new *= z
             new += n
             if keep:
-                saved.append((word, h, z, r, n, g[:, 2 * k :]))
+                saved.append((x[t], h, gates, n, g[:, 2 * k :]))
             out[t] = h = new
         return out, saved
 
@@ -77,14 +79,18 @@ class Gru:
 
     def log_prob(self, hs: np.ndarray, y: np.ndarray, grad: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """Natural log probability of each next word; with grad, adds the output gradients and returns that of the states."""
+        # rows in the order of their class, so that each class is a slice
         cls = self.cls[y]
+        order = np.argsort(cls.astype(np.uint8 if len(self.size) < 256 else np.int32), kind="stable")
+        hs, cls = hs[order], cls[order]
+        place = y[order] - self.start[cls]
         logits = hs @ self.p["wc"]
         logits += self.p["bc"]
         at = np.arange(len(y))
         chosen = logits[at, cls]
         np.exp(logits, out=logits)
         total = logits.sum(1)
-        lp = chosen - np.log(total)
+        ordered = chosen - np.log(total)
         dh = None
         if grad is not None:
             logits /= total[:, None]
@@ -92,85 +98,106 @@ class Gru:
             grad["wc"] += hs.T @ logits
             grad["bc"] += logits.sum(0)
             dh = logits @ self.p["wc"].T
-        order = np.argsort(cls.astype(np.uint8 if len(self.size) < 256 else np.int32), kind="stable")
-        cuts = np.searchsorted(cls[order], np.arange(len(self.size) + 1))
+        cuts = np.searchsorted(cls, np.arange(len(self.size) + 1))
         for c in np.flatnonzero((np.diff(cuts) > 0) & (self.size > 1)).tolist():
-            i = order[cuts[c] : cuts[c + 1]]
+            i = slice(cuts[c], cuts[c + 1])
             a, b = self.start[c], self.start[c + 1]
             w, h = self.p["wo"][a:b], hs[i]
             inner = h @ w.T
             inner += self.p["bo"][a:b]
-            row, k = np.arange(len(i)), y[i] - a
+            row, k = at[: len(h)], place[i]
             mine = inner[row, k]
             np.exp(inner, out=inner)
             s = inner.sum(1)
-            lp[i] += mine - np.log(s)
+            ordered[i] += mine - np.log(s)
             if grad is not None:
                 inner /= s[:, None]
                 inner[row, k] -= 1
                 grad["wo"][a:b] += inner.T @ h
                 grad["bo"][a:b] += inner.sum(0)
                 dh[i] += inner @ w
+        lp = np.empty_like(ordered)
+        lp[order] = ordered
+        if dh is not None:
+            dh[order] = dh.copy()
         return lp, dh
 
     # learning ---------------------------------------------------------------------------------------------------------
 
-    def backward(self, saved: list, dhs: np.ndarray, grad: dict) -> None:
+    def backward(self, saved: list, dhs: np.ndarray, grad: dict) -> np.ndarray:
+        """Adds the gradients of a window; returns the words whose rows of e have any."""
         k = dhs.shape[2]
-        u = self.p["u"]
+        back = np.ascontiguousarray(self.p["u"].T)
+        x, h, gates, n, gn = (np.stack(v) for v in zip(*saved, strict=True))
+        z, r = gates[..., :k], gates[..., k:]
+        live = (x != END)[..., None]
+        # what the gradient of a state is multiplied by, for each gate, over the whole window
+        by = np.empty((*dhs.shape[:2], 3 * k), np.float32)
+        new = by[..., 2 * k :]
+        np.multiply(n, n, out=new)
+        np.subtract(1, new, out=new)
+        new *= 1 - z
+        np.multiply((h - n) * z, 1 - z, out=by[..., :k])
+        np.multiply(new * gn, r * (1 - r), out=by[..., k : 2 * k])
+        da, dg = np.empty_like(by), np.empty_like(by)
         carried = np.zeros_like(dhs[0])
-        words, gates = [], []
         for t in reversed(range(len(saved))):
-            word, h, z, r, n, gn = saved[t]
             d = dhs[t] + carried
-            dn = d * (1 - z) * (1 - n * n)
-            dz = d * (h - n) * z * (1 - z)
-            dr = dn * gn * r * (1 - r)
-            da = np.concatenate([dz, dr, dn], 1)
-            dg = np.concatenate([dz, dr, dn * r], 1)
-            grad["u"] += h.T @ dg
-            carried = (d * z + dg @ u.T) * (word != END)[:, None]
-            words.append(word)
-            gates.append(da)
-        w, da = np.concatenate(words), np.concatenate(gates)
+            np.multiply(by[t].reshape(-1, 3, k), d[:, None], out=da[t].reshape(-1, 3, k))
+            dg[t] = da[t]
+            dg[t, :, 2 * k :] *= r[t]
+            d *= z[t]
+            d += dg[t] @ back
+            d *= live[t]
+            carried = d
+        da, dg = da.reshape(-1, 3 * k), dg.reshape(-1, 3 * k)
+        grad["u"] += h.reshape(-1, k).T @ dg
         grad["b"] += da.sum(0)
-        order = np.argsort(w, kind="stable")
-        first = np.flatnonzero(np.diff(w[order], prepend=-1))
-        grad["e"][w[order][first]] += np.add.reduceat(da[order], first, axis=0)
+        w = x.ravel()
+        order = np.argsort(w.astype(np.uint16) if len(self.cls) <= 1 << 16 else w, kind="stable")
+        w = w[order]
+        first = np.flatnonzero(np.diff(w, prepend=-1))
+        grad["e"][w[first]] += np.add.reduceat(da[order], first, axis=0)
+        return w[first]
 
-    def train(self, lanes: np.ndarray, every: int, rate: float = 0.1, window: int = WINDOW) -> int:
+    def train(self, lanes: np.ndarray, rate: float = 0.1, window: int = WINDOW) -> int:
         """One pass over lanes (time, lane) of words, -1 where a lane is over; returns the words learned from.
 
-        The state runs through all windows; every so many are learned from, by Adagrad.
+        The state runs through all windows, and every window is learned from, by Adagrad.
         """
         h = np.zeros((lanes.shape[1], self.p["u"].shape[0]), np.float32)
         if not hasattr(self, "squares"):
             self.squares = {name: np.full_like(v, 0.1) for name, v in self.p.items()}
         seen, full = 0, 4 * np.sqrt(lanes.shape[1] * window)
         x_all = np.concatenate([np.full((1, lanes.shape[1]), END), lanes[:-1]])
-        for k, t in enumerate(range(0, len(lanes), window)):
+        for t in range(0, len(lanes), window):
             y = lanes[t : t + window]
             live = int((y[0] >= 0).sum())  # lanes are in order of length
             if not live:
                 break
             x, y, h = np.maximum(x_all[t : t + window, :live], 0), y[:, :live], h[:live]
-            hs, saved = self.run(x, h, k % every == 0)
+            hs, saved = self.run(x, h, True)
             h = hs[-1]
-            if k % every:
-                continue
             grad = {name: np.zeros_like(v) for name, v in self.p.items()}
             flat, ok = np.maximum(y, 0).ravel(), (y >= 0).ravel()
             _, dh = self.log_prob(hs.reshape(-1, hs.shape[2])[ok], flat[ok], grad)
             dhs = np.zeros((len(flat), hs.shape[2]), np.float32)
             dhs[ok] = dh
-            self.backward(saved, dhs.reshape(hs.shape), grad)
+            used = self.backward(saved, dhs.reshape(hs.shape), grad)
             n = int(ok.sum())
             seen += n
             for name, g in grad.items():
+                # rows of e without a gradient stay as they are
+                rows = used if name == "e" else slice(None)
+                g = g[rows]
                 g /= full  # the same for all windows, so that a few long lanes at the end weigh little
                 np.clip(g, -1, 1, out=g)
-                self.squares[name] += g * g
-                self.p[name] -= rate * g / np.sqrt(self.squares[name])
+                squares = self.squares[name][rows] + g * g
+                self.squares[name][rows] = squares
+                np.sqrt(squares, out=squares)
+                g *= rate
+                g /= squares
+                self.p[name][rows] -= g
         return seen
 
     def score(self, lanes: np.ndarray, window: int = 64) -> np.ndarray:

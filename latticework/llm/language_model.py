@@ -7,7 +7,7 @@ one word never seen, so that a text's score is the logarithm of a proper probabi
 Learning: every training document is read once. In a first round each task learns from an eighth of its documents (by a hash
 of their id), in a second from the others, beginning from the round's common parameters; after a round the parameters are
 averaged, weighted by the words learned from, in blocks that are summed by a shuffle. The state runs through whole documents;
-gradients run through every EVERY-th window of it.
+gradients run through every window of it.
 
 Scoring: frequent words' counts (a bounded number) are sent to all tasks; the other words of a document are joined with the
 counts. Long and short documents share lanes; the state of a document is carried to its end.
@@ -30,7 +30,7 @@ from latticework.llm.common import steps, written
 from latticework.llm.gru import END, Gru, laid_out, stream
 from latticework.llm.words import words_of
 
-VOCABULARY, CLASSES, EVERY, RATE = 2046, 64, 3, 0.3
+VOCABULARY, CLASSES, RATE = 2046, 64, 0.3
 #: Counted words sent to all tasks at most; tokens put into lanes at once; lanes when learning; parameters of a block.
 FREQUENT, BUFFER, LEARN_LANES, BLOCK = 1 << 17, 3 << 19, 192, 1 << 13
 FLUSH = 1 << 19
@@ -170,7 +170,7 @@ def learned(plain: DataFrame, vocabulary: Vocabulary) -> Gru:
             own.__dict__.update(common.__dict__, p={k: v.copy() for k, v in common.p.items()})
             seen = 0
             for _, ids, _, _ in _buffers(batches, words):
-                seen += own.train(stream(ids, LEARN_LANES), EVERY, RATE)
+                seen += own.train(stream(ids, LEARN_LANES), RATE)
             if seen:
                 flat = np.concatenate([own.p[n].ravel() for n in shapes]).astype(np.float64)
                 starts = range(0, len(flat), BLOCK)

@@ -110,6 +110,17 @@ def test_word_probabilities_sum_to_one_and_gradients_are_right():
         assert (up - down) / (2 * step) == pytest.approx(grad[name][i], rel=0.03, abs=0.02)
 
 
+def test_every_window_is_learned_from(spark):
+    text = " ".join(f"w{i}" for i in range(6 * gru.WINDOW))
+    plain = spark.createDataFrame([(1, text, True)], "doc_id long, text string, training boolean")
+    counts = [(r["word"], r["n"]) for r in language_model.word_counts(plain).collect()]
+    words = language_model.Vocabulary(counts, len(counts), len(counts), 1)
+    model, new = language_model.learned(plain, words), gru.Gru(words.model_counts, language_model.CLASSES)
+    changed = (model.p["e"] != new.p["e"]).any(1)
+    # every word is an input, and the end token the first one; the unknown word does not occur
+    assert changed.sum() == 6 * gru.WINDOW + 1 and not changed[language_model.UNKNOWN]
+
+
 def test_lanes_keep_documents_whole():
     lengths = np.array([5, 1, 9, 3, 2, 7])
     words = np.arange(lengths.sum())
