@@ -49,10 +49,10 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_pieces and ids of every document."""
+    """doc_id, n_pieces, ids and round_trip (whether the ids decode to the text) of every document."""
     ship(spark)
     encoded = encode(docs, PieceModel(tokenizer_path("piece_bpe_32k.model")))
-    return encoded.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids")
+    return encoded.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", "round_trip")
 
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]

@@ -27,6 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -61,6 +62,23 @@ class PieceModel:
                 self.pieces[sp.id_to_piece(i)] = (i, float(sp.get_score(i)))
         self.unknown = sp.unk_id()
         self.longest = max(map(len, self.pieces))
+        outputs = [b""] * (len(sp) + 1)  # the last for an id that is missing, -1
+        for piece, (i, _) in self.pieces.items():
+            outputs[i] = piece.replace(SPACE, " ").encode()
+        for byte, i in self.byte_ids.items():
+            outputs[i] = bytes([byte])
+        #: What ids decode to, end to end.
+        self.data = np.frombuffer(b"".join(outputs), np.uint8)
+        self.length = np.array([len(o) for o in outputs], np.int64)
+        self.first = np.cumsum(self.length) - self.length
+
+    def decoded(self, ids: np.ndarray, sizes: np.ndarray) -> pa.Array:
+        """The bytes that lists of ids (flat, with the lists' sizes) decode to; spaces are still leading."""
+        size = self.length[ids]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        at = np.arange(ends[-1]) + np.repeat(self.first[ids] - ends[:-1], size)
+        offsets = ends[np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)].astype(np.int32)
+        return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(self.data[at])])
 
     def direct(self, atom: str) -> list[int] | None:
         """Ids of an atom that stays out of the lattice, else None."""
@@ -103,7 +121,7 @@ class PieceModel:
 
 
 def merge_fold(edges: Column, length: Column, atom: Column, singles: Column) -> Column:
-    """struct<ids,exact> of a BPE atom from its edges array<struct<rank,at,n,id,ends,span>>; exact: its pieces cover it.
+    """Ids of a BPE atom from its edges array<struct<rank,at,n,id,ends,span>>.
 
     Borders of symbols are bits of a number; ends and span are an edge's first and last bit, and all its bits. An edge can be
     merged if its ends are borders with one more between them. Edges whose ends are gone are dropped on the way. singles has
@@ -129,8 +147,7 @@ def merge_fold(edges: Column, length: Column, atom: Column, singles: Column) ->
         every = F.concat(F.transform(alone, lambda at: F.struct(at.alias("at"), F.get(singles, point(at)).alias("id"))), F.transform(chosen, lambda e: F.struct(e["at"].alias("at"), e["id"].alias("id"))))
         return F.transform(F.array_sort(every), lambda e: e["id"])
 
-    covers = lambda ids, m: (F.size(ids) == F.bit_count(m) - 1) & ~F.exists(ids, lambda i: i < 0)
-    return F.get(F.transform(F.array(mask), lambda m: F.get(F.transform(F.array(final(m)), lambda x: F.struct(x.alias("ids"), covers(x, m).alias("exact"))), F.lit(0))), F.lit(0))
+    return F.get(F.transform(F.array(mask), final), F.lit(0))
 
 
 def viterbi_fold(edges: Column, length: Column) -> Column:
@@ -150,7 +167,7 @@ def viterbi_fold(edges: Column, length: Column) -> Column:
 
 
 def encode_atoms(atoms: DataFrame, pieces: DataFrame, longest: int, unigram: bool = False) -> DataFrame:
-    """atoms (atom, and other columns) with ids, and exact (whether these cover it); distinct atoms of at most MAX_ATOM characters."""
+    """atoms (atom, and other columns) with ids; distinct atoms of at most MAX_ATOM characters."""
     others = [c for c in atoms.columns if c != "atom"]
     # all atoms of a partition stay there: explode, a broadcast join of the bounded piece table, and grouping by the same key
     starts = atoms.withColumn("at", F.explode(F.sequence(F.lit(0), F.length("atom") - 1)))
@@ -164,7 +181,7 @@ def encode_atoms(atoms: DataFrame, pieces: DataFrame, longest: int, unigram: boo
     first = [F.first(c).alias(c) for c in others]
     if unigram:
         paths = joined.groupBy("atom").agg(*first, F.collect_list(F.struct((-F.col("score")).alias("rank"), "at", "n", "id")).alias("edges"))
-        return paths.select("atom", *others, viterbi_fold(F.col("edges"), F.length("atom")).alias("ids")).withColumn("exact", F.col("ids").isNotNull())
+        return paths.select("atom", *others, viterbi_fold(F.col("edges"), F.length("atom")).alias("ids"))
     # an edge is one number, in the order of rank, then place: small to group and sort
     code = F.shiftleft("rank", 36).bitwiseOR(F.shiftleft(F.col("at").cast("long"), 30)).bitwiseOR(F.shiftleft(F.col("n").cast("long"), 24)).bitwiseOR(F.col("id"))
     # bounded by SINGLES
@@ -179,7 +196,7 @@ def encode_atoms(atoms: DataFrame, pieces: DataFrame, longest: int, unigram: boo
         span = F.call_function("shiftleft", F.call_function("shiftleft", one, n + 1) - 1, at)
         return F.struct(F.shiftright(c, 36).cast("double").alias("rank"), at.alias("at"), n.alias("n"), c.bitwiseAND(F.lit((1 << 24) - 1)).cast("int").alias("id"), ends.alias("ends"), span.alias("span"))
 
-    return grouped.select("atom", *others, merge_fold(F.transform("codes", unpacked), F.length("atom"), F.col("atom"), singles).alias("x")).select("atom", *others, "x.ids", "x.exact")
+    return grouped.select("atom", *others, merge_fold(F.transform("codes", unpacked), F.length("atom"), F.col("atom"), singles).alias("ids"))
 
 
 def decode(encoded: DataFrame, pieces: DataFrame, key: str, ids_col: str = "ids") -> DataFrame:
@@ -206,7 +223,7 @@ def _grouped_in_memory(spark: SparkSession, groups: int = 1 << 17) -> Iterator[N
 
 
 def dictionary(plain: DataFrame, model: PieceModel, pieces: DataFrame) -> DataFrame:
-    """(atom, count, ids, exact) of every atom of the corpus; exact: its pieces make up the atom again."""
+    """(atom, count, ids, exact) of every atom of the corpus; exact: its ids decode to the atom."""
     sent = plain.sparkSession.sparkContext.broadcast(model)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,9 +259,16 @@ def dictionary(plain: DataFrame, model: PieceModel, pieces: DataFrame) -> DataFr
         if held:
             yield from out()
 
+    def decoding(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids = b.column("ids")
+            back = sent.value.decoded(pc.fill_null(ids.flatten(), -1).to_numpy(), ids.value_lengths().to_numpy())
+            exact = pc.equal(back, pc.replace_substring(b.column("atom"), SPACE, " ").cast(pa.binary()))
+            yield pa.RecordBatch.from_arrays([*b.columns, exact], names=["atom", "count", "ids", "exact"])
+
     atoms = plain.select("text").mapInArrow(count, "atom string, n long").groupBy("atom").agg(F.sum("n").alias("count"))
     with _grouped_in_memory(plain.sparkSession):
-        return written(encode_atoms(atoms, pieces, model.longest), "atoms")
+        return written(encode_atoms(atoms, pieces, model.longest).select("atom", "count", "ids").mapInArrow(decoding, "atom string, count long, ids array<int>, exact boolean"), "atoms")
 
 
 class Known:
@@ -360,14 +384,14 @@ class Encoder:
         self.sizes, self.codes, self.exact = sizes, _codes(self.ids[0], sizes), known.exact
         self.extra: dict[int | str, int] = {}
 
-    def _add(self, key: int | str, ids: list[int]) -> int:
+    def _add(self, key: int | str, ids: list[int], atom: str) -> int:
         """The number of an entry for a character without a piece (by code point) or a long atom."""
         if key not in self.extra:
             self.extra[key] = len(self.sizes)
             self.ids.append(np.array(ids, np.int64))
             self.sizes = np.append(self.sizes, len(ids))
             self.codes = np.append(self.codes, _codes(self.ids[-1], self.sizes[-1:]))
-            self.exact = np.append(self.exact, True)
+            self.exact = np.append(self.exact, self.model.decoded(self.ids[-1], self.sizes[-1:])[0].as_py() == atom.replace(SPACE, " ").encode())
         return self.extra[key]
 
     def number(self, atoms: Atoms) -> np.ndarray:
@@ -377,11 +401,17 @@ class Encoder:
         for point in np.unique(atoms.single[atoms.single > 0]).tolist():
             if len(self.extra) > FLUSH:  # a bound on what is remembered; numbers given in this step stay valid
                 self.extra.clear()
-            out[atoms.single == point] = self._add(point, self.model.direct(chr(point - 1)))
+            out[atoms.single == point] = self._add(point, self.model.direct(chr(point - 1)), chr(point - 1))
         for i in np.flatnonzero(atoms.end - atoms.start > MAX_ATOM).tolist():
-            out[i] = self._add(f"{len(self.sizes)}", self.model.greedy(atoms.string(i)))  # not remembered: a key of its own
+            atom = atoms.string(i)
+            out[i] = self._add(f"{len(self.sizes)}", self.model.greedy(atom), atom)  # not remembered: a key of its own
         return out
 
+    def round_trip(self, texts: list[str], atoms: Atoms, number: np.ndarray) -> np.ndarray:
+        """Whether the ids of each text's atoms, but for rare ones, decode to it; U+2581 decodes as a space."""
+        told = np.flatnonzero(number >= 0)
+        return np.array([SPACE not in t for t in texts], bool) & (np.bincount(atoms.text[told], ~self.exact[number[told]], len(texts)) == 0)
+
     def trim(self) -> None:
         """Forgets long atoms' entries (and the single characters') when there are many."""
         if len(self.ids) > 4096:
@@ -422,7 +452,7 @@ def piece_digests(docs: DataFrame, model: PieceModel, id_col: str = "doc_id", te
             m = len(texts)
             told = np.flatnonzero(number >= 0)
             n = np.bincount(atoms.text[told], known.sizes[number[told]], m).astype(np.int64)
-            exact = np.array([SPACE not in t for t in texts], bool) & (np.bincount(atoms.text[told], ~known.exact[number[told]], m) == 0)
+            exact = known.round_trip(texts, atoms, number)
             code = np.zeros(m, np.uint64)
             if len(told):
                 powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(int(atoms.place.max()), BASE, np.uint64)]), dtype=np.uint64)
@@ -456,7 +486,7 @@ _PART = ["row", "doc_id", "n", "low", "high", "exact", "atom", "at"]
 
 
 def encode(docs: DataFrame, model: PieceModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and ids array<int> of every text."""
+    """doc_id, ids array<int> and round_trip (whether the ids decode to the text) of every text."""
     spark = docs.sparkSession
     plain = _plain(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id())
     words = dictionary(plain, model, model.table(spark))
@@ -467,8 +497,10 @@ def encode(docs: DataFrame, model: PieceModel, id_col: str = "doc_id", text_col:
         known = Encoder(*sent.value)
         keyed = (pa.RecordBatch.from_arrays([b.select(["row", "doc_id"]).to_struct_array(), b.column("text")], names=["key", "text"]) for b in batches)
         for keys, raw in steps(keyed, STEP):
-            atoms = known.cutter.cut([t.decode() for t in raw])
+            texts = [t.decode() for t in raw]
+            atoms = known.cutter.cut(texts)
             number = known.number(atoms)
+            exact = known.round_trip(texts, atoms, number)
             # the bank of ids, with one -1 at its end for rare atoms
             bank = np.concatenate([*known.ids, [-1]])
             sizes, starts = np.append(known.sizes, 1), np.append(np.cumsum(known.sizes) - known.sizes, len(bank) - 1)
@@ -478,10 +510,10 @@ def encode(docs: DataFrame, model: PieceModel, id_col: str = "doc_id", text_col:
             rare = np.flatnonzero(number < 0)
             strings, cuts = atoms.strings(rare), np.searchsorted(atoms.text[rare], np.arange(len(keys) + 1))
             known.trim()
-            yield pa.RecordBatch.from_arrays([pa.array([k["row"] for k in keys], pa.int64()), pa.array([k["doc_id"] for k in keys], pa.int64()), pa.array([flat[a:b].tobytes() for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)], pa.binary()), pa.array([strings[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)], pa.list_(pa.string()))], names=["row", "doc_id", "code", "rare"])
+            yield pa.RecordBatch.from_arrays([pa.array([k["row"] for k in keys], pa.int64()), pa.array([k["doc_id"] for k in keys], pa.int64()), pa.array([flat[a:b].tobytes() for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)], pa.binary()), pa.array([strings[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)], pa.list_(pa.string())), pa.array(exact)], names=["row", "doc_id", "code", "rare", "exact"])
 
-    parts = written(plain.mapInArrow(split, "row long, doc_id long, code binary, rare array<string>"), "parts")
-    found = parts.select("row", F.posexplode("rare").alias("k", "atom")).join(words.select("atom", "ids"), "atom").groupBy("row").agg(F.array_sort(F.collect_list(F.struct("k", "ids"))).alias("found"))
+    parts = written(plain.mapInArrow(split, "row long, doc_id long, code binary, rare array<string>, exact boolean"), "parts")
+    found = parts.select("row", F.posexplode("rare").alias("k", "atom")).join(words.select("atom", "ids", F.col("exact").alias("decodes")), "atom").groupBy("row").agg(F.array_sort(F.collect_list(F.struct("k", "ids"))).alias("found"), F.bool_and("decodes").alias("decodes"))
 
     def splice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The ids of rare atoms, which come in the order of their places, put in for the -1."""
@@ -496,9 +528,10 @@ def encode(docs: DataFrame, model: PieceModel, id_col: str = "doc_id", text_col:
             ids[np.repeat(rare, size)] = lists.flatten().to_numpy(zero_copy_only=False)
             before = np.concatenate([[0], np.cumsum(size)])
             cuts = before[np.concatenate([[0], np.cumsum([len(c) // 4 for c in code])]).astype(np.int64)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(ids, pa.int32()))], names=["doc_id", "ids"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(ids, pa.int32())), b.column("round_trip")], names=["doc_id", "ids", "round_trip"])
             if i % 8 == 7:
                 trim()
         trim()
 
-    return parts.select("row", "doc_id", "code").join(found, "row", "left").select("doc_id", "code", "found").mapInArrow(splice, "doc_id long, ids array<int>")
+    whole = parts.select("row", "doc_id", "code", "exact").join(found, "row", "left")
+    return whole.select("doc_id", "code", "found", (F.col("exact") & F.coalesce("decodes", F.lit(True))).alias("round_trip")).mapInArrow(splice, "doc_id long, ids array<int>, round_trip boolean")

@@ -1,5 +1,6 @@
 """Each operator against a brute-force version, and on odd inputs: nulls, empty and very long texts, ties, repeats, no rows."""
 
+import copy
 import hashlib
 import math
 import random
@@ -316,6 +317,24 @@ def test_pieces_equal_the_library_and_decode(spark, odd, nothing, model, sf_dir)
     assert pieces.piece_digests(nothing, model).collect() == []
 
 
+def test_wrong_ids_of_the_right_number_do_not_round_trip(odd, model):
+    wrong = copy.deepcopy(model)
+    ids = [i for i, _ in model.pieces.values()]
+    wrong.pieces = {p: (j, s) for (p, (_, s)), j in zip(model.pieces.items(), ids[1:] + ids[:1], strict=True)}
+    wrong.byte_ids = {b: model.byte_ids[b ^ 1] for b in model.byte_ids}
+    empty = {str(i): not t for i, t in ODD}
+    for rows in (pieces.piece_digests(odd, wrong).collect(), pieces.encode(odd, wrong).collect()):
+        assert {str(r["doc_id"]): r["round_trip"] for r in rows} == empty
+    assert {str(r["doc_id"]): r["round_trip"] for r in pieces.encode(odd, model).collect()} == {str(i): i != 11 for i, _ in ODD}
+    # a character of bytes, and an atom over MAX_ATOM, by themselves
+    known = pieces.Encoder(wrong, pieces.Known([]))
+    of_bytes = next(c for c in map(chr, range(0x4E00, 0xA000)) if c not in model.pieces)
+    for text in (of_bytes, "a" * 100):
+        atoms = known.cutter.cut([text])
+        number = known.number(atoms)
+        assert (number >= 0).any() and not known.round_trip([text], atoms, number)[0]
+
+
 def test_atoms_make_up_their_texts(model):
     c = pieces.Cutter(model)
     for texts in (["a b", ""], ["", ""], ["", "x  y\n", "", "\0 z\0"], [], ["é漢😀" * 3, "▁▁ q "]):
