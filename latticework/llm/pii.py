@@ -37,12 +37,13 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 #: Looser ones, for candidates.
 _LOOSE = (
-    (0, re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{2,64}[ ]?(?:\[at\]|\(at\)|\{at\}|[ ]at[ ])[ ]?[A-Za-z0-9-]{2,63}(?:[ ]?(?:\[dot\]|\(dot\)|\{dot\}|[ ]dot[ ]|\.)[ ]?[A-Za-z]{2,24}){1,3}(?![A-Za-z0-9])"), re.compile(r"\[at\]|\(at\)|\{at\}| at [A-Za-z0-9-]{2,63} dot ")),
+    (0, re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{2,64}[ ]?(?:\[at\]|\(at\)|\{at\}|[ ]at[ ])[ ]?[A-Za-z0-9-]{2,63}(?:[ ]?(?:\[dot\]|\(dot\)|\{dot\}|[ ]dot[ ]|\.)[ ]?[A-Za-z]{2,24}){1,3}(?![A-Za-z0-9])"), re.compile(r"\[at\]|\(at\)|\{at\}| at [\x20]?[A-Za-z0-9-]{2,63}(?:\.|[ ]\.| {1,2}dot |[ ]?(?:\[dot\]|\(dot\)|\{dot\}))")),
     (1, re.compile(r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])"), re.compile(r"[0-9A-Fa-f]:[0-9A-Fa-f]{1,4}:")),
     (2, re.compile(r"(?<![0-9])[0-9]{4}(?:[.\x20-][0-9]{4}){3}(?![0-9])"), re.compile(r"[0-9]{4}[.\x20-][0-9]{4}")),
     (3, re.compile(r"(?<![0-9+.-])(?:\([0-9]{3}\)[ ]?|[0-9]{3}[ .-]|0[0-9]{1,4}[ /-])[0-9]{3,4}[ .-][0-9]{3,5}(?![0-9])"), re.compile(r"[0-9][ .-][0-9]{3}")),
 )
-_ANY = re.compile(r"[0-9@]|\[at\]|\(at\)|\{at\}")
+#: Every strict pattern needs a digit or '@', every looser one these or its hint.
+_ANY = re.compile("[0-9@]|" + "|".join(f"(?:{hint.pattern})" for _, _, hint in _LOOSE[:2]))
 
 TOP_LEVEL = frozenset("com org net edu gov de fr es uk io info eu ch at it nl".split())
 CALLING = ("1", "20", "27", "30", "31", "32", "33", "34", "39", "41", "43", "44", "45", "46", "47", "48", "49", "52", "54", "55", "61", "81", "86", "91")

@@ -143,6 +143,20 @@ def test_base_spans_equal_the_patterns(spark, odd, texts):
     assert len(pii.digests(pii.personal_spans(odd)).collect()) == len(ODD) + 1
 
 
+def test_prefilters_lose_no_candidate():
+    mails = ["jane at example dot com", "jane at example.com", "jane at  example  dot  com", "jane at example [dot] com", "jane at example(dot)com", "jane at example {dot}com", "jane at example .com", "jane[at]example.com", "jane {at} example dot com"]
+    for text in mails:
+        assert [(a, k, b) for a, k, b, _, _ in pii.candidates(f"write to {text}, please")] == [(9, 0, 9 + len(text))]
+    address = "abcd:ef:ab:cd:ef:a:b:c"
+    assert [(a, k, b) for a, k, b, _, _ in pii.candidates(f"host {address} up")] == [(5, 1, 5 + len(address))]
+    # a hint holds wherever its pattern matches
+    rng, parts = random.Random(4), ["jane", "ab", " ", " ", " at ", "[at]", "(at)", "{at}", " dot ", "[dot]", "(dot)", "{dot}", ".", "com", "a1:", "fe:", "4111", "555", "-", "123"]
+    for _ in range(20_000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randrange(2, 16)))
+        found = [(hint, m) for _, pattern, hint in pii._LOOSE if (m := pattern.search(text))]
+        assert all(hint.search(text) and pii._ANY.search(text) for hint, _ in found)
+
+
 def test_reliabilities_are_estimated(nothing):
     rng = np.random.default_rng(3)
     truth = rng.random(4000) < 0.3
