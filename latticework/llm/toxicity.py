@@ -8,7 +8,8 @@ Karlin and Altschul, fitted on clean documents, and the significant ones of a do
 which a logistic model, fitted on other labelled documents than the word scores, gives the document's score.
 
 Labelled documents used for fitting: the SAMPLE ones (a parameter) that come first by a hash of their id; the words'
-corpus frequencies are over all documents. At most FEATURES word features are kept, so what is broadcast is bounded.
+corpus frequencies are over all documents. Every feature of at least LEAST toxic documents of the sample is counted, so what is
+broadcast is bounded by the sample.
 
 Defined results: a null or empty text has no segments and the score of such a document; without labelled documents of both
 classes every score is the prior 0.05; repeated ids in the labels count as toxic if any row says so; repeated documents give
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from latticework.llm.common import filtered, record_batch, steps
 from latticework.llm.words import ALNUM, Lookup, Words, mix, words_of
 
-SAMPLE, FEATURES = 20_000, 20_000
+SAMPLE = 20_000
 PREFIXES = (4, 5, 6)
 THRESHOLD = 0.3
 #: Weight of the prior in documents, least number of toxic documents, least z of a feature, score of any other word.
@@ -175,8 +176,8 @@ def fit(docs: DataFrame, labels: DataFrame, use: Callable[[Column], Column], id_
             keys, n = np.unique(np.concatenate(seen), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], names=["key", "n"])
 
-    # bounded by the sample's toxic documents; the most frequent features are kept
-    frequent = plain.mapInArrow(toxic_features, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST).orderBy(F.desc("n"), "key").limit(FEATURES).collect()
+    # bounded by the sample's toxic documents
+    frequent = plain.mapInArrow(toxic_features, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST).select("key").collect()
     keys = np.sort(np.array([r["key"] for r in frequent], np.int64).view(np.uint64))
     sent = spark.sparkContext.broadcast(keys)
 

@@ -232,6 +232,17 @@ def test_toxicity_on_odd_texts(spark, odd, nothing):
     assert toxicity.toxic_passages(nothing, toxicity.fit(nothing, labels.limit(0), every)).collect() == []
 
 
+def test_rarer_telling_words_are_kept_beside_many_frequent_ones(spark):
+    rng = random.Random(6)
+    common = " ".join(f"{rng.getrandbits(40):010x}" for _ in range(7_000))  # a word and three prefixes each
+    toxic_docs = [(i, common + (" vilest" if i % 2 else "")) for i in range(48)]
+    docs = spark.createDataFrame(toxic_docs + [(i, "plain words of no harm") for i in range(48, 300)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i < 48) for i in range(300)], "doc_id long, toxic boolean")
+    model = toxicity.fit(docs, labels, lambda c: F.lit(True))
+    key = toxicity.features_of(toxicity.words_of([b"vilest"], toxicity.ALNUM))[0, 0]
+    assert len(model.keys) > 20_000 and key in model.keys
+
+
 # 6 ------------------------------------------------------------------------------------------------------------------------
 
 
