@@ -140,8 +140,8 @@ def ranked_edges_to(spark: SparkSession, sf_dir: str) -> DataFrame:
     """, s AS (SELECT src, dst, type, CAST(round(CAST(0.9 AS DECIMAL(5,4)) * confidence, 4) AS DECIMAL(5,4)) AS score FROM edges WHERE type IN ('reads', 'writes') AND src IN (SELECT 'method:' || o_orderkey FROM orders WHERE o_orderkey % 50 = 0))
 SELECT src, dst, type, CAST(score AS DOUBLE) AS score FROM s ORDER BY s.score DESC, src, dst, type LIMIT 100"""
 )
-def ranked_edges_from_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = some_methods(spark, sf_dir, 50).select("id", F.lit("0.9").cast(schema.PATH_CONFIDENCE).alias("confidence"), F.lit(1).alias("depth"), F.array(F.lit("a")).alias("path"))
+def ranked_edges_from_sources(spark: SparkSession, sf_dir: str, every: int = 50) -> DataFrame:
+    s = some_methods(spark, sf_dir, every).select("id", F.lit("0.9").cast(schema.PATH_CONFIDENCE).alias("confidence"), F.lit(1).alias("depth"), F.array(F.lit("a")).alias("path"))
     return path_text(index.ranked_from_sources(s, graph(spark, sf_dir).edges, ("reads", "writes"), 100).select("src", "dst", "type", "score"))
 
 
@@ -231,8 +231,8 @@ def callers_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"{levels_sql(_EVERY.format(100), ('calls', 'dispatches', 'handled_by'), 4, '0.6')} SELECT {_SHOWN} FROM hits")
-def traverse_min_conf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shown(traverse.traverse(seeds(some_methods(spark, sf_dir, 100)), graph(spark, sf_dir).edges, ("calls", "dispatches", "handled_by"), "out", 4, 0.6))
+def traverse_min_conf(spark: SparkSession, sf_dir: str, every: int = 100) -> DataFrame:
+    return shown(traverse.traverse(seeds(some_methods(spark, sf_dir, every)), graph(spark, sf_dir).edges, ("calls", "dispatches", "handled_by"), "out", 4, 0.6))
 
 
 _WEIGHTED = "SELECT 'route:' || c_custkey AS id, 1 - (c_custkey % 5) / 20.0 AS confidence FROM customer WHERE c_custkey % 25 = 0"
@@ -242,9 +242,9 @@ _WEIGHTED = "SELECT 'route:' || c_custkey AS id, 1 - (c_custkey % 5) / 20.0 AS c
     f"""{levels_sql(_WEIGHTED, ('routes_to', 'calls'), 3)}
 SELECT {_SHOWN} FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY confidence DESC, depth, path, node) AS k FROM hits WHERE starts_with(node, 'method:')) WHERE k <= 10"""
 )
-def traverse_multi_seed(spark: SparkSession, sf_dir: str) -> DataFrame:
+def traverse_multi_seed(spark: SparkSession, sf_dir: str, every: int = 25) -> DataFrame:
     g = graph(spark, sf_dir)
-    weighted = read(spark, sf_dir, "customer").where("c_custkey % 25 = 0").select(F.concat(F.lit("route:"), F.col("c_custkey").cast("string")).alias("id"), (1 - (F.col("c_custkey") % 5) / 20).cast(schema.PATH_CONFIDENCE).alias("confidence"))
+    weighted = read(spark, sf_dir, "customer").where(F.col("c_custkey") % every == 0).select(F.concat(F.lit("route:"), F.col("c_custkey").cast("string")).alias("id"), (1 - (F.col("c_custkey") % 5) / 20).cast(schema.PATH_CONFIDENCE).alias("confidence"))
     return shown(traverse.traverse(weighted, g.edges, ("routes_to", "calls"), "out", 3, limit=10, results=g.nodes.where("type = 'method'")))
 
 
@@ -254,8 +254,8 @@ def traverse_multi_seed(spark: SparkSession, sf_dir: str) -> DataFrame:
 kept AS (SELECT * FROM every ORDER BY confidence DESC, depth, path, node, via LIMIT 200)
 SELECT {_SHOWN} FROM (SELECT *, row_number() OVER (PARTITION BY seed, node ORDER BY confidence DESC, depth, path, via) AS k FROM kept WHERE NOT cycle AND node <> seed) WHERE k = 1"""
 )
-def traverse_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shown(traverse.budgeted(seeds(some_methods(spark, sf_dir, 200)), graph(spark, sf_dir).edges, ("calls", "dispatches", "handled_by"), 200, depth=3))
+def traverse_budget(spark: SparkSession, sf_dir: str, every: int = 200) -> DataFrame:
+    return shown(traverse.budgeted(seeds(some_methods(spark, sf_dir, every)), graph(spark, sf_dir).edges, ("calls", "dispatches", "handled_by"), 200, depth=3))
 
 
 @query(
@@ -287,26 +287,26 @@ def impact_sql(seeds_sql: str, depth: int) -> str:
 _COLUMNS = "SELECT 'column:' || p_brand || '.' || p_type AS id FROM part WHERE p_partkey % 400 = 0"
 
 
-def some_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "part").where("p_partkey % 400 = 0").select(F.concat(F.lit("column:"), "p_brand", F.lit("."), "p_type").alias("id")).distinct()
+def some_columns(spark: SparkSession, sf_dir: str, every: int) -> DataFrame:
+    return read(spark, sf_dir, "part").where(F.col("p_partkey") % every == 0).select(F.concat(F.lit("column:"), "p_brand", F.lit("."), "p_type").alias("id")).distinct()
 
 
 @query(
     f"""{impact_sql(_COLUMNS.replace("SELECT", "SELECT DISTINCT", 1), 3)}
 SELECT seed, node, type, depth, CAST(confidence AS DOUBLE) AS confidence, CAST(k AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY seed, type ORDER BY depth, node) AS k FROM impact) WHERE k <= 50"""
 )
-def impact_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+def impact_of(spark: SparkSession, sf_dir: str, every: int = 400) -> DataFrame:
     g = graph(spark, sf_dir)
-    return path_text(traverse.impact_groups(traverse.impact(some_columns(spark, sf_dir), g.nodes, g.edges, 3), 50))
+    return path_text(traverse.impact_groups(traverse.impact(some_columns(spark, sf_dir, every), g.nodes, g.edges, 3), 50))
 
 
 @query(
     f"""{impact_sql("SELECT DISTINCT 'table:' || p_brand AS id FROM part WHERE p_partkey % 500 = 0", 3)}
 SELECT seed, node, depth, CAST(confidence AS DOUBLE) AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY depth, node) AS k FROM impact WHERE type = 'route') WHERE k <= 50"""
 )
-def routes_touching(spark: SparkSession, sf_dir: str) -> DataFrame:
+def routes_touching(spark: SparkSession, sf_dir: str, every: int = 500) -> DataFrame:
     g = graph(spark, sf_dir)
-    tables = read(spark, sf_dir, "part").where("p_partkey % 500 = 0").select(F.concat(F.lit("table:"), "p_brand").alias("id")).distinct()
+    tables = read(spark, sf_dir, "part").where(F.col("p_partkey") % every == 0).select(F.concat(F.lit("table:"), "p_brand").alias("id")).distinct()
     found = traverse.impact(tables, g.nodes, g.edges, 3).where("type = 'route'")
     return path_text(traverse.impact_groups(found, 50).select("seed", "node", "depth", "confidence"))
 
@@ -314,8 +314,8 @@ def routes_touching(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ROUTES = "SELECT e.src AS route, e.dst AS id, e.confidence FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY confidence DESC, dst) AS k FROM edges WHERE type = 'routes_to') e WHERE k = 1 AND e.src IN (SELECT 'route:' || c_custkey FROM customer WHERE c_custkey % 30 = 0)"
 
 
-def some_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "customer").where("c_custkey % 30 = 0").select(F.concat(F.lit("route:"), F.col("c_custkey").cast("string")).alias("id"))
+def some_routes(spark: SparkSession, sf_dir: str, every: int) -> DataFrame:
+    return read(spark, sf_dir, "customer").where(F.col("c_custkey") % every == 0).select(F.concat(F.lit("route:"), F.col("c_custkey").cast("string")).alias("id"))
 
 
 _FLOW = f""", actions AS ({_ROUTES}){levels_sql("SELECT id, confidence FROM actions", schema.EXECUTION, 3)}
@@ -325,9 +325,9 @@ _FLOW = f""", actions AS ({_ROUTES}){levels_sql("SELECT id, confidence FROM acti
 
 
 @query(f"{_FLOW} SELECT route, node, depth, CAST(confidence AS DOUBLE) AS confidence, array_to_string(path, '>') AS path FROM flow")
-def flow_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
+def flow_methods(spark: SparkSession, sf_dir: str, every: int = 30) -> DataFrame:
     g = graph(spark, sf_dir)
-    return path_text(engine.flow_methods(g.nodes, g.edges, some_routes(spark, sf_dir), 3))
+    return path_text(engine.flow_methods(g.nodes, g.edges, some_routes(spark, sf_dir, every), 3))
 
 
 @query(
@@ -336,9 +336,9 @@ spent AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY route ORDER B
 best AS (SELECT route, grp, dst, depth, score FROM (SELECT *, row_number() OVER (PARTITION BY route, grp, dst ORDER BY score DESC, depth) AS b FROM spent) WHERE b = 1)
 SELECT route, grp AS "group", dst AS target, CAST(score AS DOUBLE) AS confidence, depth FROM (SELECT *, row_number() OVER (PARTITION BY route, grp ORDER BY score DESC, depth, dst) AS r FROM best) WHERE r <= 10"""
 )
-def flow_related(spark: SparkSession, sf_dir: str) -> DataFrame:
+def flow_related(spark: SparkSession, sf_dir: str, every: int = 30) -> DataFrame:
     g = graph(spark, sf_dir)
-    return path_text(engine.flow_related(engine.flow_methods(g.nodes, g.edges, some_routes(spark, sf_dir), 3), g.edges, 10, 0.5, 40))
+    return path_text(engine.flow_related(engine.flow_methods(g.nodes, g.edges, some_routes(spark, sf_dir, every), 3), g.edges, 10, 0.5, 40))
 
 
 def _neighbourhood_sql(seeds_sql: str, depth: int) -> str:
@@ -350,8 +350,8 @@ def _neighbourhood_sql(seeds_sql: str, depth: int) -> str:
 
 
 @query(f"{_neighbourhood_sql(_EVERY.format(500), 2)} SELECT seed, node, confidence FROM n2")
-def neighbourhood(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return traverse.neighbourhood(some_methods(spark, sf_dir, 500), graph(spark, sf_dir).edges, 2)
+def neighbourhood(spark: SparkSession, sf_dir: str, every: int = 500) -> DataFrame:
+    return traverse.neighbourhood(some_methods(spark, sf_dir, every), graph(spark, sf_dir).edges, 2)
 
 
 @query(
@@ -737,5 +737,19 @@ def streaming_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snapshot.read()
 
 
+def _whole(of: Callable[..., DataFrame]) -> None:
+    """Registers <query>_whole: the same over all keys as seeds. Its SQL is that of the query with the filter taken off."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return of(spark, sf_dir, every=1)
+
+    run.__name__ = f"{of.__name__}_whole"
+    query()(run)
+
+
+for _of in (ranked_edges_from_sources, traverse_min_conf, traverse_multi_seed, traverse_budget, impact_of, routes_touching, flow_methods, flow_related, neighbourhood):
+    _whole(_of)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return calls_from(spark, sf_dir)
