@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import functools
+import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -24,8 +25,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
-    return spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
+    """The folder that driver and executors share: spark.checkpoint.dir, or one of this machine where all run on it (tests).
+
+    On a cluster without the setting there is none, and this raises: a folder of each machine would lose rows.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir names no folder that driver and executors share")
+    return f"{tempfile.gettempdir()}/latticework-checkpoints"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -1,8 +1,14 @@
-"""Words of many texts at once: borders and 64-bit hashes by array operations over their bytes."""
+"""Words of many texts at once: borders and 64-bit hashes by array operations over their bytes.
+
+The hash of a word is a chain of bijections over its bytes, eight at a time; that of a very long word is a digest. (A
+polynomial modulo 2^64 would give equal hashes to some words whatever its base, such as those of the Thue-Morse sequence.) Two
+hashes with different tags stand for 128 bits where equality of texts is decided by them.
+"""
 
 from __future__ import annotations
 
 import functools
+import hashlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -15,8 +21,12 @@ NOT_BLANK[[0x20, *range(0x09, 0x0E)]] = False
 ALNUM = np.zeros(256, bool)
 ALNUM[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 
+#: Bytes of the longest words whose hash is chained by array operations; longer ones have a digest.
+CHAINED = 128
 _BASE = 0x9E3779B97F4A7C15 | 1
-_RANDOM = np.random.Generator(np.random.PCG64(20240229)).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
+_TAGS = np.array([0x6A09E667F3BCC909, 0xBB67AE8584CAA73B], np.uint64)
+_ODD = np.array([0xD1342543DE82EF95, 0xAF251AF3B0F025B5], np.uint64)
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 @functools.lru_cache(maxsize=2)
@@ -48,11 +58,25 @@ class Words:
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
 
-    def hashes(self) -> np.ndarray:
-        there, back = _powers(max(16, int(len(self.data)).bit_length()))
-        total = np.zeros(len(self.data) + 1, np.uint64)
-        np.cumsum(_RANDOM[self.data] * there[: len(self.data)], out=total[1:])
-        return mix((total[self.end] - total[self.start]) * back[self.start] + (self.end - self.start).astype(np.uint64))
+    def hashes(self, tag: int = 0) -> np.ndarray:
+        """Hashes of the words; those with another tag are independent."""
+        size = self.end - self.start
+        out = mix(size.astype(np.uint64) * np.uint64(_BASE) + _TAGS[tag])
+        long = np.flatnonzero(size > CHAINED)
+        if len(long):
+            out[long] = [self._digest(i, tag) for i in long.tolist()]
+        # eight bytes of a word at a time: words of up to eight bytes have different hashes
+        eight = np.ndarray(len(self.data) + 1, "<u8", np.concatenate([self.data, np.zeros(8, np.uint8)]).data, strides=(1,))
+        at = np.flatnonzero(size <= CHAINED)
+        begin, left = self.start[at], size[at]
+        while len(at):
+            out[at] = mix((out[at] ^ (eight[begin] & _MASKS[np.minimum(left, 8)])) * _ODD[tag])
+            more = left > 8
+            at, begin, left = at[more], begin[more] + 8, left[more] - 8
+        return out
+
+    def _digest(self, i: int, tag: int) -> int:
+        return int.from_bytes(hashlib.blake2b(self.word(i), digest_size=8, key=b"%d" % tag).digest(), "little")
 
     def word(self, i: int) -> bytes:
         return self.data[self.start[i] : self.end[i]].tobytes()
