@@ -47,25 +47,46 @@ def spanning(similar: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+#: Nodes that count as hubs at most, over all: a hub has more edges than this share of them, so that their table is small.
+HUBS, LEAST_HUB = 20_000, 256
+
+
+def _least(rows: DataFrame, n_edges: int) -> tuple[DataFrame, DataFrame]:
+    """(u, m) the least v of each u: of hubs, which have many rows, and of all others."""
+    least = rows.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+    most = max(LEAST_HUB, 2 * n_edges // HUBS)
+    return least.where(F.col("n") > most).select("u", "m"), least.where(F.col("n") <= most).select("u", "m")
+
+
+def _with_least(rows: DataFrame, hubs: DataFrame, others: DataFrame) -> DataFrame:
+    """(u, v, m): every row meets its least. Rows of hubs do so where they are (2 * n_edges / most hubs at most), others by a shuffle."""
+    marked = rows.join(F.broadcast(hubs.withColumnRenamed("m", "hub")), "u", "left")
+    of_hubs = marked.where("hub IS NOT NULL").select("u", "v", F.col("hub").alias("m"))
+    return of_hubs.unionByName(marked.where("hub IS NULL").select("u", "v").join(others, "u").select("u", "v", "m"))
+
+
+def _state(edges: DataFrame) -> tuple:
+    h = F.xxhash64("u", "v")
+    return tuple(edges.agg(F.count("*"), F.bit_xor(h), F.sum(h % 1_000_003)).first())
+
+
+def components(edges: DataFrame) -> DataFrame:
     """(node, component): for every node of edges (a, b), the smallest node that it is connected with.
 
     Large-star and small-star rounds: each hangs the larger neighbours of every node, then its smaller ones, onto the smallest,
-    until nothing changes. A round is two joins on nodes with pre-aggregated minima; its edges go to the shared folder.
+    until nothing changes. A round is two joins on nodes with pre-aggregated minima, in which a hub's edges stay where they are;
+    its edges go to the shared folder. The number of rounds grows with the logarithm of the nodes, and has no other limit.
     """
     e = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    state = e.agg(F.count("*"), F.sum((F.xxhash64("u", "v") % 1_000_003)), F.sum("v")).first()
-    for _ in range(max_rounds):
-        if not state[0]:
-            break
+    state = _state(e)
+    while state[0]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        down = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(down, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.u", "x.v").where("u <> v").distinct()
-        new = written(small, "edges")
-        seen = new.agg(F.count("*"), F.sum((F.xxhash64("u", "v") % 1_000_003)), F.sum("v")).first()
-        discard(e)
+        large = _with_least(both.where("v > u"), *_least(both, state[0])).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = written(large, "edges")
+        down = _with_least(large, *_least(large, state[0])).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x"))
+        new = written(down.select("x.u", "x.v").where("u <> v").distinct(), "edges")
+        seen = _state(new)
+        discard(e, large)
         e = new
         if seen == state:
             break

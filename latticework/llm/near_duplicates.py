@@ -1,14 +1,14 @@
 """MinHash near-duplicates of documents, by SuperMinHash signatures.
 
-1. Every text becomes its set of word shingles (64-bit hashes). Texts with equal sets are one class, whose smallest id
-   stands for it.
+1. Every text becomes its set of word shingles, each known by two independent 64-bit hashes of its words. Texts whose sets
+   are equal in both are one class, whose smallest id stands for it.
 2. Signatures: each shingle visits the signature's slots in an order of its own, with a value that grows by one a visit;
    a slot keeps the least. All texts of a step are advanced visit by visit, and a text stops as soon as no later visit can
    lower a slot, which for all but short texts is after two or three. Bands of slots are the keys of candidates.
 3. Classes that share a band key and whose sketches (two bits of each slot) are not far below the threshold are joined to
    clusters. A large bucket is dealt out in blocks; every pair of blocks is compared in its own task, which returns no more
    links than it has rows.
-4. Clusters are verified on full sets, again by pairs of blocks, and the confirmed links give the components.
+4. Clusters are verified on full sets of both hashes, again by pairs of blocks, and the confirmed links give the components.
 
 A pair at the threshold shares no band with probability 5e-6 or less; later steps lose none.
 
@@ -44,32 +44,38 @@ def _times(n: int) -> np.uint64:
 
 
 def shingle_sets(texts: list[bytes], size: int = SHINGLE) -> list[np.ndarray]:
-    """Ascending distinct shingle hashes of each text."""
+    """Distinct shingles of each text, as rows of two independent hashes, ascending by the first."""
     words = words_of(texts)
-    h = words.hashes()
-    n = len(h)
-    grams = np.zeros(n, np.uint64)
-    if n >= size:
-        part = h[: n - size + 1] * _C
-        for j in range(1, size):
-            part = mix(part ^ h[j : n - size + 1 + j])
-        grams[: n - size + 1] = part
+    n = words.counts
+    both = []
+    for tag in (0, 1):
+        h = words.hashes(tag)
+        grams = np.zeros(len(h), np.uint64)
+        if len(h) >= size:
+            part = h[: len(h) - size + 1] * _C
+            for j in range(1, size):
+                part = mix(part ^ h[j : len(h) - size + 1 + j])
+            grams[: len(part)] = part
+        # a short text's whole sequence, and its number of words, take the place of its first shingle
+        short = np.flatnonzero((n > 0) & (n < size))
+        if len(short):
+            x = n[short].astype(np.uint64)
+            for j in range(size - 1):
+                on = n[short] > j
+                x[on] = mix(x[on] * _C ^ h[words.first[:-1][short[on]] + j])
+            grams[words.first[:-1][short]] = x
+        both.append(grams)
+    grams = np.stack(both, 1)
     out = []
-    for a, b in zip(words.first[:-1].tolist(), words.first[1:].tolist(), strict=True):
-        if b - a >= size:
-            out.append(np.unique(grams[a : b - size + 1]))
-        elif b > a:
-            x = np.array([b - a], np.uint64)
-            for i in range(a, b):
-                x = mix(x * _C ^ h[i : i + 1])
-            out.append(x)
-        else:
-            out.append(np.zeros(0, np.uint64))
+    for a, k in zip(words.first[:-1].tolist(), n.tolist(), strict=True):
+        rows = grams[a : a + (k - size + 1 if k >= size else min(k, 1))]
+        _, first = np.unique(rows[:, 0], return_index=True)
+        out.append(rows[first])
     return out
 
 
 def super_min_hash(sets: list[np.ndarray], slots: int = SLOTS) -> np.ndarray:
-    """SuperMinHash signatures, a row each; those of empty sets are infinite."""
+    """SuperMinHash signatures of sets of hashes, a row each; those of empty sets are infinite."""
     sizes = np.array([len(s) for s in sets], np.int64)
     least = np.full((len(sets), slots), np.inf)
     flat = least.ravel()
@@ -117,13 +123,13 @@ def agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def linked(sets: list[np.ndarray], percent: int = PERCENT) -> np.ndarray:
-    """Whether 100 * intersection >= percent * union, for all pairs."""
+    """Whether 100 * intersection >= percent * union, for all pairs; elements are equal if both of their hashes are."""
     sizes = np.array([len(s) for s in sets], np.int64)
     n = len(sets)
     keys, member = np.concatenate(sets), np.repeat(np.arange(n), sizes)
-    order = np.argsort(keys, kind="stable")
+    order = np.lexsort((keys[:, 1], keys[:, 0]))
     keys, member = keys[order], member[order]
-    new = np.concatenate([[True], keys[1:] != keys[:-1]])
+    new = np.concatenate([[True], (keys[1:] != keys[:-1]).any(1)])
     group = np.cumsum(new) - 1
     shared = np.bincount(group)[group] > 1
     member, group = member[shared], group[shared]
@@ -147,10 +153,11 @@ def _signatures(docs: DataFrame, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in steps(batches):
             sets = shingle_sets(texts, size)
-            sig = super_min_hash(sets)
+            sig = super_min_hash([s[:, 0] for s in sets])
             full = [len(s) > 0 for s in sets]
-            f1 = [int(np.bitwise_xor.reduce(mix(s))) if len(s) else 0 for s in sets]
-            f2 = [int(mix(s ^ _C).sum(dtype=np.uint64)) if len(s) else 0 for s in sets]
+            # 128 bits of a set: from one hash of its elements, and from the other
+            f1 = [int(mix(s[:, 0]).sum(dtype=np.uint64)) if len(s) else 0 for s in sets]
+            f2 = [int(mix(s[:, 1] ^ _C).sum(dtype=np.uint64)) if len(s) else 0 for s in sets]
             keys, short = band_keys(sig).view(np.int64).tolist(), sketches(sig).view(np.int64).tolist()
             signed = lambda v: [x - (1 << 64) if x >> 63 else x for x in v]
             yield record_batch({"doc_id": ids, "n": [len(s) for s in sets], "f1": signed(f1), "f2": signed(f2), "bands": [k if f else [] for k, f in zip(keys, full, strict=True)], "sketch": [k if f else [] for k, f in zip(short, full, strict=True)]}, _SIGNED)
@@ -243,13 +250,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 t = pa.Table.from_batches(group)
                 ids = t.column("class").to_numpy()
                 if len(ids) > 1:
-                    sets = [np.frombuffer(x, np.uint64) for x in t.column("set").to_pylist()]
+                    sets = [np.frombuffer(x, np.uint64).reshape(-1, 2) for x in t.column("set").to_pylist()]
                     yield from ((int(ids[x]), int(ids[y])) for x, y in spanning(linked(sets, percent)))
 
         yield from _edge_batches(pairs())
 
     weighed = clusters.select(F.col("node").alias("class"), F.col("component").alias("cluster")).join(classes.select("class", "n"), "class")
-    load = weighed.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / SET_BLOCK), F.ceil(F.sum("n") * 8 / SET_BYTES)).cast("long").alias("nb"))
+    load = weighed.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / SET_BLOCK), F.ceil(F.sum("n") * 16 / SET_BYTES)).cast("long").alias("nb"))
     wanted = weighed.join(load, "cluster").select("class", "cluster", "nb")
     texts = plain.join(wanted, plain["doc_id"] == wanted["class"]).select("class", "cluster", "nb", "text")
     sets = texts.mapInArrow(set_rows, "class long, cluster long, nb long, set binary")
