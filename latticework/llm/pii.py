@@ -28,10 +28,10 @@ from latticework.llm.common import record_batch, steps, written
 KINDS = ("email", "ip", "card", "phone")
 
 #: The strict patterns.
-_LOCAL = "A-Za-z0-9._%+-"
-_DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_LOCAL_RUN = re.compile(rf"[{_LOCAL}]+\Z")
-_IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
+_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+_DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
+#: An address that does not begin at the first digit of a run does not begin at a later one either.
+_IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
@@ -68,23 +68,17 @@ def luhn(digits: str) -> bool:
 
 
 def _emails(text: str) -> Iterator[tuple[int, int]]:
-    cursor = 0
-    at = text.find("@")
+    """Matches of the mail pattern: back from every '@' over its own run of characters, which no other one shares."""
+    cursor, at = 0, text.find("@")
     while at >= 0:
-        run = _LOCAL_RUN.search(text, max(cursor, at - 4096), at)
-        if run and run.start() > cursor and run.start() == at - 4096:
-            start = at
-            while start > cursor and re.match(f"[{_LOCAL}]", text[start - 1]):
-                start -= 1
-        else:
-            start = run.start() if run else at
+        start = at
+        while start > cursor and text[start - 1] in _LOCAL:
+            start -= 1
         m = _DOMAIN.match(text, at + 1) if start < at else None
+        cursor = m.end() if m else at + 1
         if m:
             yield start, m.end()
-            cursor = m.end()
-            at = text.find("@", cursor)
-        else:
-            at = text.find("@", at + 1)
+        at = text.find("@", cursor)
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -120,18 +114,36 @@ def _votes(text: str, kind: int, start: int, end: int, strict: bool) -> tuple[in
     return (1 if strict else -1, known, 1 if CUES[kind].search(before) else 0, -1 if AGAINST.search(before[-16:]) else 0, shape)
 
 
+def _apart(found: Iterator[re.Match], taken: list[tuple[int, int]]) -> list[re.Match]:
+    """Matches, in order, that overlap none of the spans, which are in order and apart."""
+    out, i = [], 0
+    for m in found:
+        while i < len(taken) and taken[i][1] <= m.start():
+            i += 1
+        if i == len(taken) or m.end() <= taken[i][0]:
+            out.append(m)
+    return out
+
+
+def _joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans in order, overlapping ones as one."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a < out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
 def candidates(text: str) -> list[tuple[int, int, int, bool, int]]:
     """(start, kind, end, base, vote pattern) of every span to decide on. The pattern is a number in base 3."""
     if not _ANY.search(text):
         return []
     spans = [(a, k, b, True) for a, k, b in base_spans(text)]
-    taken = [(a, b) for a, _, b, _ in spans]
     for kind, pattern, hint in _LOOSE:
         if hint.search(text):
-            for m in pattern.finditer(text):
-                if all(m.end() <= a or b <= m.start() for a, b in taken):
-                    spans.append((m.start(), kind, m.end(), False))
-                    taken.append((m.start(), m.end()))
+            spans += [(m.start(), kind, m.end(), False) for m in _apart(pattern.finditer(text), _joined([(a, b) for a, _, b, _ in spans]))]
     out = []
     for a, k, b, strict in sorted(spans):
         code = 0
@@ -198,7 +210,7 @@ _TYPES = {"doc_id": pa.int64(), "spans": pa.list_(pa.struct([("start", pa.int64(
 
 
 def personal_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """doc_id and spans array<struct<start,kind,end,base,p>> of every text: the strict ones, and candidates with p over the threshold."""
+    """doc_id and spans array<struct<start,kind,end,base,code>> of every text: the strict ones, and candidates whose vote pattern (code) is over the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in steps(batches):
