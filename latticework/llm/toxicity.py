@@ -13,7 +13,7 @@ broadcast is bounded by the sample.
 
 Defined results: a null or empty text has no segments and the score of such a document; without labelled documents of both
 classes every score is the prior 0.05; repeated ids in the labels count as toxic if any row says so; repeated documents give
-repeated rows.
+repeated rows, and count as often as they occur in all frequencies and fits.
 """
 
 from __future__ import annotations
@@ -35,6 +35,8 @@ THRESHOLD = 0.3
 #: Weight of the prior in documents, least number of toxic documents, least z of a feature, score of any other word.
 PRIOR, LEAST, LEAST_Z, DRIFT = 100.0, 3, 2.5, -0.4
 SIGNIFICANT = 0.05
+#: Bins of segment scores in one unit; features that a task holds before it counts them.
+BINS, FLUSH = 64, 1 << 22
 _TAGS = np.array([0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179, 0x9B05688C2B3E6C1F, 0x510E527FADE682D1], np.uint64)
 
 
@@ -122,29 +124,35 @@ class Model:
             return np.full(len(features), 0.05)
         return 1 / (1 + np.exp(-np.clip(features @ self.weights, -30, 30)))
 
-    def calibrate(self, rows: list[tuple[int, list[tuple[int, int, float]], int]]) -> None:
-        """Fits the law to the clean rows and the logistic weights to all, of (words, segments, toxic)."""
-        clean = [(n, [s for _, _, s in segs]) for n, segs, y in rows if not y]
-        total = sum(n for n, _ in clean)
-        scores = np.sort(np.array([s for _, segs in clean for s in segs]))
-        if total and len(scores) >= 20:
-            # number of segments over s in n words: scale * n * exp(-decay * s); decay from the mean excess over the median
-            base = float(np.median(scores))
-            over = scores[scores >= base] - base
-            self.decay = float(np.clip(1 / max(over.mean(), 1e-3), 0.2, 3.0))
-            self.scale = float((len(over) + 0.5) / total * math.exp(self.decay * base))
+    def calibrate(self, words: int, scores: list[tuple[int, int, float]]) -> None:
+        """Fits the law to the segments of clean documents of so many words, from (bin, number, sum) of their scores."""
+        scores = sorted(scores)
+        n = sum(k for _, k, _ in scores)
+        if words and n >= 20:
+            # number of segments over s in n words: scale * n * exp(-decay * s); decay from the mean excess over the median's bin
+            seen, at = 0, 0
+            while 2 * (seen + scores[at][1]) < n:
+                seen += scores[at][1]
+                at += 1
+            base, over = scores[at][0] / BINS, sum(k for _, k, _ in scores[at:])
+            excess = sum(x for _, _, x in scores[at:]) / over - base
+            self.decay = float(np.clip(1 / max(excess, 1e-3), 0.2, 3.0))
+            self.scale = float((over + 0.5) / words * math.exp(self.decay * base))
         else:
-            self.decay, self.scale = 1.0, (len(scores) + 0.5) / (total + 1.0) * math.e
-        y = np.array([r[2] for r in rows], float)
-        if not len(y) or y.min() == y.max():
+            self.decay, self.scale = 1.0, (n + 0.5) / (words + 1.0) * math.e
+
+    def weigh(self, rows: list[tuple[list[float], int, int]]) -> None:
+        """Fits the logistic weights, from (features, toxic, number of such documents)."""
+        if len({y for _, y, _ in rows}) < 2:
             self.weights = None
             return
-        x = np.array([self.features(n, segs) for n, segs, _ in rows])
+        x, y, times = (np.array(v, float) for v in zip(*rows, strict=True))
+        times *= min(1.0, SAMPLE / times.sum())
         w = np.zeros(x.shape[1])
         for _ in range(30):
             p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-            h = (x * (p * (1 - p))[:, None]).T @ x + np.eye(len(w)) * 0.1
-            w += np.clip(np.linalg.solve(h, x.T @ (y - p) - 0.1 * w), -2, 2)
+            h = (x * (times * p * (1 - p))[:, None]).T @ x + np.eye(len(w)) * 0.1
+            w += np.clip(np.linalg.solve(h, x.T @ (times * (y - p)) - 0.1 * w), -2, 2)
         self.weights = w
 
 
@@ -162,45 +170,52 @@ def fit(docs: DataFrame, labels: DataFrame, use: Callable[[Column], Column], id_
     role = {r["doc_id"]: (2 if r["h"] % 4 else 0) + (1 if r["y"] else 0) for r in chosen}
     roles = spark.sparkContext.broadcast(role)
     plain = _plain(docs, id_col, text_col)
-    n_toxic, n_clean = (sum(v == k for v in role.values()) for k in (3, 2))
+    # at most as many ids as the sample; its documents alone go to Python
+    sampled = plain.join(F.broadcast(spark.createDataFrame(list(role.items()), "doc_id long, role int")), "doc_id")
 
     def toxic_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: list[np.ndarray] = []
-        for ids, texts in steps(batches):
-            mine = [t for i, t in zip(ids, texts, strict=True) if roles.value.get(i) == 3]
-            if mine:
-                words = words_of(mine, ALNUM)
-                f = features_of(words)
-                seen += [u[u != 0] for a, b in zip(words.first[:-1], words.first[1:], strict=True) if len(u := np.unique(f[a:b]))]
+        for _, texts in steps(batches):
+            words = words_of(texts, ALNUM)
+            f = features_of(words)
+            seen += [u[u != 0] for a, b in zip(words.first[:-1], words.first[1:], strict=True) if len(u := np.unique(f[a:b]))]
+            if sum(map(len, seen)) > FLUSH:
+                yield from counted(seen)
+                seen = []
         if seen:
-            keys, n = np.unique(np.concatenate(seen), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], names=["key", "n"])
+            yield from counted(seen)
+
+    def counted(seen: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        keys, n = np.unique(np.concatenate(seen), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], names=["key", "n"])
 
     # bounded by the sample's toxic documents
-    frequent = plain.mapInArrow(toxic_features, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST).select("key").collect()
+    frequent = sampled.where("role = 3").select("doc_id", "text").mapInArrow(toxic_features, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST).select("key").collect()
     keys = np.sort(np.array([r["key"] for r in frequent], np.int64).view(np.uint64))
     sent = spark.sparkContext.broadcast(keys)
 
     def corpus_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lookup, m = Lookup(sent.value), len(sent.value)
         total = np.zeros((3, m), np.int64)  # documents of the corpus, toxic ones, clean ones
-        n_docs = 0
+        docs_of = np.zeros(3, np.int64)  # the same for documents
         for ids, texts in steps(batches):
             words = words_of(texts, ALNUM)
-            n_docs += len(texts)
+            kinds = np.array([roles.value.get(i, -1) for i in ids])
+            docs_of += [len(ids), (kinds == 3).sum(), (kinds == 2).sum()]
             at = lookup.places(features_of(words))
             word, _ = np.nonzero(at >= 0)
             pairs = np.unique(words.doc[word] * m + at[at >= 0])
             doc, key = pairs // m, pairs % m
-            kind = np.array([roles.value.get(i, -1) for i in ids])[doc]
+            kind = kinds[doc]
             np.add.at(total[0], key, 1)
             np.add.at(total[1], key[kind == 3], 1)
             np.add.at(total[2], key[kind == 2], 1)
         some = np.flatnonzero(total[0])
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), *(pa.array(np.append(t[some], n_docs if i == 0 else 0)) for i, t in enumerate(total))], names=["key", "n", "toxic", "clean"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), *(pa.array(np.append(t[some], docs_of[i])) for i, t in enumerate(total))], names=["key", "n", "toxic", "clean"])
 
     rows = plain.mapInArrow(corpus_counts, "key long, n long, toxic long, clean long").groupBy("key").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).collect() if len(keys) else []
-    n_docs = sum(r["n"] for r in rows if r["key"] == -1)
+    # rows of documents, as the features are counted: a repeated document counts as often as it occurs
+    n_docs, n_toxic, n_clean = (sum(r[c] for r in rows if r["key"] == -1) for c in ("n", "toxic", "clean"))
     rows = sorted((r for r in rows if r["key"] >= 0), key=lambda r: r["key"])
     model = Model(np.zeros(0, np.uint64), np.zeros(0))
     if rows and n_clean and n_toxic:
@@ -213,16 +228,31 @@ def fit(docs: DataFrame, labels: DataFrame, use: Callable[[Column], Column], id_
         model = Model(keys[[r["key"] for r in rows]][keep], np.minimum(delta[keep], 6.0))
     fitted = spark.sparkContext.broadcast(model)
 
-    def sample_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in steps(batches):
-            mine = [(roles.value[i], t) for i, t in zip(ids, texts, strict=True) if roles.value.get(i, 9) < 2]
-            if mine:
-                n, segs = fitted.value.segments([t for _, t in mine])
-                yield record_batch({"n": n, "s": [[list(map(float, s)) for s in x] for x in segs], "y": [k for k, _ in mine]}, {"n": pa.int64(), "s": pa.list_(pa.list_(pa.float64())), "y": pa.int64()})
-
-    # at most as many rows as the sample; repeated documents as often as they occur
-    got = plain.mapInArrow(sample_segments, "n long, s array<array<double>>, y long").groupBy("n", "s", "y").count().collect()
-    model.calibrate([(r["n"], [(int(a), int(b), s) for a, b, s in r["s"]], r["y"]) for r in sorted(got, key=lambda r: (r["n"], r["y"], str(r["s"]))) for _ in range(r["count"])])
+    def clean_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(bin, n, sum): number and sum of segment scores by bin; the number of words under bin -1."""
+        n_words, bins = 0, {}
+        for _, texts in steps(batches):
+            counts, segs = fitted.value.segments(texts)
+            n_words += int(counts.sum())
+            for _, _, x in (s for found in segs for s in found):
+                k = int(x * BINS)
+                n, total = bins.get(k, (0, 0.0))
+                bins[k] = n + 1, total + x
+        yield record_batch({"bin": [-1, *bins], "n": [n_words, *(n for n, _ in bins.values())], "sum": [0.0, *(x for _, x in bins.values())]}, {"bin": pa.int64(), "n": pa.int64(), "sum": pa.float64()})
+
+    # scores are bounded by the best score times the words of the longest text of the sample; their bins come to the driver
+    found = sampled.where("role = 0").select("doc_id", "text").mapInArrow(clean_segments, "bin long, n long, sum double").groupBy("bin").agg(F.sum("n").alias("n"), F.sum("sum").alias("sum")).collect()
+    model.calibrate(sum(r["n"] for r in found if r["bin"] < 0), [(r["bin"], r["n"], r["sum"]) for r in found if r["bin"] >= 0])
+    lawful = spark.sparkContext.broadcast(model)
+
+    def sample_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, texts in steps(batches):
+            counts, segs = lawful.value.segments(texts)
+            yield record_batch({"x": [lawful.value.features(n, s) for n, s in zip(counts.tolist(), segs, strict=True)], "y": keys}, {"x": pa.list_(pa.float64()), "y": pa.int64()})
+
+    # at most as many rows as there are different texts in the sample
+    got = sampled.where("role < 2").select(F.col("role").cast("long").alias("y"), "text").mapInArrow(sample_features, "x array<double>, y long").groupBy("x", "y").count().collect()
+    model.weigh(sorted((list(r["x"]), r["y"], r["count"]) for r in got))
     return model
 
 
