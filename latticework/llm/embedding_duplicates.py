@@ -1,10 +1,12 @@
 """Exact range join of embeddings by cosine, as a metric join of unit vectors.
 
-cosine >= c is a distance of at most eps = sqrt(2 - 2c). Of each large label, some vectors are pivots; a vector's home is
-the cell of its nearest pivot, and by the triangle inequality every partner of the cell's vectors lies within eps of the
-cell's radius and no more than 2 eps farther from its pivot than from its own; such vectors visit the cell. Cells, in blocks
-of home vectors, then join independently: a task holds one block and streams the cell's vectors past it. Links of a vector
-are counted at its home alone, and a task returns a spanning forest of its links for the components.
+cosine >= c is a distance of at most eps = sqrt(2 - 2c). Of each label of more than a block, some vectors are pivots, as many as
+it has blocks or as the root of its size (fewer, in proportion, where those of all labels would be over PIVOTS; without any, a
+label is one cell, and the result is the same); a vector's home is the cell of its nearest pivot, and by the triangle
+inequality every partner of the cell's vectors lies within eps of the cell's radius and no more than 2 eps farther from its
+pivot than from its own; such vectors visit the cell. Cells, in blocks of home vectors, then join independently: a task holds
+one block and streams the cell's vectors past it. Links of a vector are counted at its home alone, and a task returns a
+spanning forest of its links for the components.
 
 Equal vectors of a label are one class that stands for all its copies, so a vector with many copies is compared once.
 
@@ -19,15 +21,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from latticework.llm.common import written
 from latticework.llm.components import UnionFind, components
 
 COSINE = 0.93
-#: Home vectors of a block, streamed vectors of a task, pivots of a label, and labels with pivots: 4096 pivots in all at most.
-BLOCK, STREAM, PIVOTS, LABELS = 1024, 1 << 17, 64, 64
+#: Home vectors of a block, streamed vectors of a task, and pivots sent, over all labels.
+BLOCK, STREAM, PIVOTS = 4096, 1 << 17, 4096
+#: Rows of a record batch of copies, and streamed vectors compared at once.
+BATCH, COMPARED = 4096, 1024
 _SLACK = 1e-9
 
 
@@ -73,16 +77,19 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, id_col: str = "vec_
     classes = good.groupBy("label", "v").agg(F.min("vec_id").alias("class"), F.count("*").alias("copies"))
     classes = written(classes.withColumn("dim", F.size("v").cast("long")), "vector_classes")
     counts = classes.groupBy("label", "dim").agg(F.count("*").alias("total"))
-    large = {(r["label"], r["dim"]): r["total"] for r in counts.where(F.col("total") > BLOCK).orderBy(F.desc("total"), "label", "dim").limit(LABELS).collect()}
     with_total = classes.join(counts, ["label", "dim"])
-    wanted = F.least(F.lit(PIVOTS), F.ceil(F.col("total") / BLOCK))
-    drawn = with_total.where((F.col("total") > BLOCK) & (F.pmod(F.xxhash64("class"), F.col("total")) < wanted)).select("label", "dim", "v", F.xxhash64("class").alias("h"))
+    # as many pivots as blocks or as the root of a label's size, all scaled down alike where they would be more than PIVOTS
+    large = counts.where(F.col("total") > BLOCK)
+    ideal = F.least(F.ceil(F.col("total") / BLOCK), F.ceil(F.sqrt("total")))
+    whole = large.agg(F.sum(ideal)).first()[0] or 0
+    wanted = F.floor(ideal * min(1.0, PIVOTS / max(whole, 1)))
+    drawn = classes.join(large.withColumn("wanted", wanted).where("wanted > 1"), ["label", "dim"]).withColumn("h", F.xxhash64("class"))
+    # twice as many candidates as are wanted, on average, so that the first by hash are enough
+    near = drawn.where(F.pmod("h", F.lit(1 << 30)) < F.lit(float(1 << 31)) * F.col("wanted") / F.col("total"))
+    ranked = near.withColumn("k", F.row_number().over(Window.partitionBy("label", "dim").orderBy("h", "class"))).where("k <= wanted")
     pivots: dict[tuple[int, int], list] = {}
-    if large:
-        for r in drawn.where(F.struct("label", "dim").isin([F.struct(F.lit(a).cast("long"), F.lit(b).cast("long")) for a, b in large])).orderBy("h").limit(2 * PIVOTS * LABELS).collect():
-            kept = pivots.setdefault((r["label"], r["dim"]), [])
-            if len(kept) < PIVOTS:
-                kept.append(r["v"])
+    for r in ranked.select("label", "dim", "k", "v").orderBy("label", "dim", "k").collect():
+        pivots.setdefault((r["label"], r["dim"]), []).append(r["v"])
     cells = spark.sparkContext.broadcast(Cells({k: unit(np.array(v)) for k, v in pivots.items()}))
 
     def homes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,75 +107,80 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, id_col: str = "vec_
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows (label, dim, cell, block, part, role): role 0 is held at home, role 1 streams past."""
         for batch in batches:
-            ids, total = batch.column("class").to_numpy(), batch.column("total").to_numpy()
-            place, cell, block, part, role = [], [], [], [], []
-            salt = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
-            for key, at in _by_label(batch):
-                parts = int(-(-total[at[0]] // STREAM))
-                if key in cells.value.pivots:
-                    d = cells.value.distances(key, unit(_matrix(batch.column("v").take(pa.array(at)))))
-                    home = d.argmin(1)
-                    near = d[np.arange(len(at)), home]
-                    in_cell = [(c, *extents.value.get((*key, c), (-1.0, 0))) for c in range(d.shape[1])]
-                else:
-                    d = near = home = np.zeros(len(at), int)
-                    in_cell = [(0, math.inf, int(total[at[0]]))]
-                for c, radius, n in in_cell:
-                    if not n:
-                        continue
-                    blocks = -(-n // BLOCK)
-                    mine = at[home == c]
-                    comes = at[(d[:, c] <= near + 2 * eps + _SLACK) & (d[:, c] <= radius + eps + _SLACK)] if key in cells.value.pivots else at
-                    for p in range(parts):
-                        place.append(mine)
-                        block.append((salt[mine] % np.uint64(blocks)).astype(np.int64))
-                        part.append(np.full(len(mine), p))
-                        role.append(np.zeros(len(mine), np.int64))
-                        cell.append(np.full(len(mine), c))
-                    for b in range(blocks):
-                        place.append(comes)
-                        block.append(np.full(len(comes), b))
-                        part.append((salt[comes] // np.uint64(7919) % np.uint64(parts)).astype(np.int64))
-                        role.append(np.ones(len(comes), np.int64))
-                        cell.append(np.full(len(comes), c))
-            if place:
-                at = pa.array(np.concatenate(place))
-                extra = {"cell": cell, "block": block, "part": part, "role": role}
-                whole = pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in ("label", "dim")), *(pa.array(np.concatenate(x)) for x in extra.values()), *(batch.column(c).take(at) for c in ("class", "copies", "v"))], names=["label", "dim", *extra, "class", "copies", "v"])
-                for start in range(0, whole.num_rows, 10_000):
-                    yield whole.slice(start, 10_000)
+            held, size = [], 0
+            for copies in places(batch):
+                held.append(copies)
+                size += len(copies[0])
+                if size >= BATCH:
+                    yield from copied(batch, held)
+                    held, size = [], 0
+            if held:
+                yield from copied(batch, held)
+
+    def places(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
+        """(places, cells, blocks, parts, roles) of the copies of a batch's rows, one block at a time."""
+        ids, total = batch.column("class").to_numpy(), batch.column("total").to_numpy()
+        salt = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
+        for key, at in _by_label(batch):
+            parts = int(-(-total[at[0]] // STREAM))
+            if key in cells.value.pivots:
+                d = cells.value.distances(key, unit(_matrix(batch.column("v").take(pa.array(at)))))
+                home = d.argmin(1)
+                near = d[np.arange(len(at)), home]
+                in_cell = [(c, *extents.value.get((*key, c), (-1.0, 0))) for c in range(d.shape[1])]
+            else:
+                d = near = home = np.zeros(len(at), int)
+                in_cell = [(0, math.inf, int(total[at[0]]))]
+            for c, radius, n in in_cell:
+                if not n:
+                    continue
+                blocks = -(-n // BLOCK)
+                mine = at[home == c]
+                comes = at[(d[:, c] <= near + 2 * eps + _SLACK) & (d[:, c] <= radius + eps + _SLACK)] if key in cells.value.pivots else at
+                own, guest = (salt[mine] % np.uint64(blocks)).astype(np.int64), (salt[comes] // np.uint64(7919) % np.uint64(parts)).astype(np.int64)
+                for p in range(parts if len(mine) else 0):
+                    yield mine, np.full(len(mine), c), own, np.full(len(mine), p), np.zeros(len(mine), np.int64)
+                for k in range(blocks if len(comes) else 0):
+                    yield comes, np.full(len(comes), c), np.full(len(comes), k), guest, np.ones(len(comes), np.int64)
+
+    def copied(batch: pa.RecordBatch, held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+        at, *extra = (np.concatenate(x) for x in zip(*held, strict=True))
+        for i in range(0, len(at), BATCH):
+            j = slice(i, i + BATCH)
+            rows = pa.array(at[j])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(rows) for c in ("label", "dim")), *(pa.array(x[j]) for x in extra), *(batch.column(c).take(rows) for c in ("class", "copies", "v"))], names=["label", "dim", "cell", "block", "part", "role", "class", "copies", "v"])
 
     dealt = with_total.mapInArrow(deal, "label long, dim long, cell long, block long, part long, role long, class long, copies long, v array<double>")
     dealt = dealt.repartition("label", "dim", "cell", "block", "part").sortWithinPartitions("label", "dim", "cell", "block", "part", "role", "class")
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows (a, b, links): a link for the components, or (home, null, number of links)."""
-        held_key, ids, x, links, uf = None, np.zeros(0, np.int64), None, None, UnionFind(0)
+        held_key, ids, x, links, root = None, np.zeros(0, np.int64), None, None, np.zeros(0, np.int64)
 
         def done() -> Iterator[pa.RecordBatch]:
             if len(ids):
-                roots = np.array([uf.find(i) for i in range(len(ids))])
-                tied = np.flatnonzero(roots != np.arange(len(ids)))
-                yield _links(np.append(ids[tied], ids), np.append(ids[roots[tied]], np.full(len(ids), -1)), np.append(np.full(len(tied), -1), links), len(tied))
+                tied = np.flatnonzero(root != np.arange(len(ids)))
+                yield _links(np.append(ids[tied], ids), np.append(ids[root[tied]], np.full(len(ids), -1)), np.append(np.full(len(tied), -1), links), len(tied))
 
         for part in _runs(batches, 6):
             key = tuple(part.column(c)[0].as_py() for c in range(5))
             if key != held_key:
                 yield from done()
-                held_key, ids, x, links, uf = key, np.zeros(0, np.int64), None, np.zeros(0, np.int64), UnionFind(0)
+                held_key, ids, x, links, root = key, np.zeros(0, np.int64), None, np.zeros(0, np.int64), np.zeros(0, np.int64)
             mine, y = part.column("class").to_numpy(), unit(_matrix(part.column("v")))
             if part.column("role")[0].as_py() == 0:
                 ids, x = np.append(ids, mine), y if x is None else np.concatenate([x, y])
-                links, uf = np.append(links, np.zeros(len(mine), np.int64)), UnionFind(len(ids))
+                links, root = np.append(links, np.zeros(len(mine), np.int64)), np.arange(len(ids))
             elif x is not None:
                 near = (x @ y.T >= cosine) & (ids[:, None] != mine[None])
                 links += near @ part.column("copies").to_numpy()
                 guests = np.flatnonzero(near.any(0))
                 first = near[:, guests].argmax(0)
                 yield _links(ids[first], mine[guests], np.full(len(guests), -1), len(guests))
-                for g, f in zip(guests.tolist(), first.tolist(), strict=True):
-                    for h in np.flatnonzero(near[:, g]).tolist():
-                        uf.join(f, h)
+                for g in guests.tolist():  # homes that a guest is linked with are one component
+                    roots = root[near[:, g]]
+                    if (roots != roots[0]).any():
+                        root[np.isin(root, roots)] = roots.min()
         yield from done()
 
     joined = written(dealt.mapInArrow(join, "a long, b long, links long"), "vector_links")
@@ -181,7 +193,7 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, id_col: str = "vec_
     return result.withColumn("kept", F.col("component_id").eqNullSafe(F.col("vec_id")))
 
 
-def _runs(batches: Iterator[pa.RecordBatch], keys: int, rows: int = 4096) -> Iterator[pa.RecordBatch]:
+def _runs(batches: Iterator[pa.RecordBatch], keys: int, rows: int = COMPARED) -> Iterator[pa.RecordBatch]:
     """Slices of bounded length in which the leading columns are equal."""
     for b in batches:
         change = np.zeros(b.num_rows, bool)
