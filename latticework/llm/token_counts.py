@@ -7,7 +7,9 @@ A byte-level BPE vocabulary is compiled to two deterministic machines:
   chunk knows its true start state and emits its borders independently of the others;
 * the *counter*, over the bytes of a pre-token, whose transitions carry the change of the number of emitted tokens. Its
   states hold, for each vocabulary prefix that is still open, the token that ends before it and the count there; a token
-  may follow another exactly if merging could not have crossed their border. States are built when first reached.
+  may follow another exactly if merging could not have crossed their border. States are built when first reached. Every
+  border leads back to its first state, so the map of a pre-token is one number, which is remembered by its text; a long
+  pre-token is cut into chunks, whose maps (state to state and added tokens) are remembered and compose.
 
 Defined results: a null or empty text has 0 tokens; the special string of the vocabulary counts as one token wherever it
 stands; repeated ids give repeated rows; other columns of the input are ignored.
@@ -15,8 +17,8 @@ stands; repeated ids give repeated rows; other columns of the input are ignored.
 
 from __future__ import annotations
 
+import functools
 import json
-import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,20 +36,26 @@ C_OTHER, C_LETTER, C_DIGIT, C_BLANK, C_SPACE, C_QUOTE, C_ONE, C_R, C_V, C_E, C_L
 BEFORE, BEFORE_LAST = 1, 2
 CHUNK = 512
 #: Bounds of what a worker remembers; beyond them it starts anew, with the same results.
-MAX_STATES, MAX_WORDS = 200_000, 400_000
+MAX_STATES, MAX_WORDS, MAX_MAPS = 200_000, 400_000, 10_000
+#: Characters of the longest pre-token whose count is remembered.
+REMEMBERED = 256
 
 
-def _classes() -> np.ndarray:
-    """Class of every code point, by Unicode's general category and White_Space."""
+@functools.cache
+def classes() -> np.ndarray:
+    """Class of every code point, as the installed library's pattern engine knows letters, numbers and white space.
+
+    (Python's own tables are of another version of Unicode.) Made once, on the driver. The planes from the fourth on have none
+    of these, but marks, tags and private characters.
+    """
+    from tokenizers import Regex, pre_tokenizers
+
+    points = np.array([c for c in range(1, 0x40000) if not 0xD800 <= c < 0xE000])
+    every = points.astype("<u4").tobytes().decode("utf-32-le")
     kind = np.zeros(0x110000, np.uint8)
-    for c in range(0x110000):
-        top = unicodedata.category(chr(c))[0]
-        if top == "L":
-            kind[c] = C_LETTER
-        elif top == "N":
-            kind[c] = C_DIGIT
-    for a, b in ((0x09, 0x0D), (0x85, 0x85), (0xA0, 0xA0), (0x1680, 0x1680), (0x2000, 0x200A), (0x2028, 0x2029), (0x202F, 0x202F), (0x205F, 0x205F), (0x3000, 0x3000)):
-        kind[a : b + 1] = C_BLANK
+    for pattern, c in ((r"\p{L}+", C_LETTER), (r"\p{N}+", C_DIGIT), (r"\s+", C_BLANK)):
+        for _, (a, b) in pre_tokenizers.Split(Regex(pattern), "removed", invert=True).pre_tokenize_str(every):
+            kind[points[a:b]] = c
     kind[0x20] = C_SPACE
     for chars, c in (("'", C_QUOTE), ("stmd", C_ONE), ("r", C_R), ("v", C_V), ("e", C_E), ("l", C_L)):
         for x in chars:
@@ -110,8 +118,8 @@ def compose_scan(maps: np.ndarray) -> np.ndarray:
 
 
 class Splitter:
-    def __init__(self) -> None:
-        self.kind = _classes()
+    def __init__(self, kind: np.ndarray) -> None:
+        self.kind = kind
         self.to, self.out = _splitter()
 
     def borders(self, kinds: np.ndarray, chunk: int = CHUNK) -> np.ndarray:
@@ -162,11 +170,13 @@ class Counter:
                     self.ends.append(-1)
                 node = self.children[node][x]
             self.ends[node] = i
-        self.follows: dict[tuple[int, int], bool] = {}
         self.reset()
 
     def reset(self) -> None:
         start = ((0, -1, 0),)
+        self.follows: dict[tuple[int, int], bool] = {}
+        #: State maps of chunks of long pre-tokens, as far as they are known: the state after it, and the tokens that it adds.
+        self.maps: dict[bytes, dict[int, tuple[int, int]]] = {}
         self.states = {start: 0}
         self.opened = [start]
         self.arcs: list[dict[int, tuple[int, int]]] = [{}]
@@ -214,14 +224,29 @@ class Counter:
         made = self.arcs[state][byte] = (to, count)
         return made
 
-    def count(self, word: bytes) -> int:
-        if len(self.opened) > MAX_STATES:
-            self.reset()
-        state, total, arcs = 0, 0, self.arcs
+    def run(self, state: int, word: bytes) -> tuple[int, int]:
+        """The state after some bytes, and the tokens that they add."""
+        total, arcs = 0, self.arcs
         for byte in word:
             found = arcs[state].get(byte)
             state, change = found if found is not None else self.arc(state, byte)
             total += change
+        return state, total
+
+    def count(self, word: bytes) -> int:
+        if len(self.opened) > MAX_STATES or len(self.follows) > MAX_STATES or len(self.maps) > MAX_MAPS:
+            self.reset()
+        if len(word) <= CHUNK:
+            return self.run(0, word)[1]
+        # a long pre-token's chunks: the map of each is extended to the state that it is met in, and the maps compose
+        state = total = 0
+        for i in range(0, len(word), CHUNK):
+            chunk = word[i : i + CHUNK]
+            known = self.maps.setdefault(chunk, {})
+            if state not in known:
+                known[state] = self.run(state, chunk)
+            state, change = known[state]
+            total += change
         return total
 
 
@@ -244,16 +269,18 @@ class Words(dict):
         self.counter = counter
 
     def __missing__(self, word: str) -> int:
-        if len(self) > MAX_WORDS:
-            self.clear()
-        n = self[word] = self.counter.count(word.encode())
+        n = self.counter.count(word.encode())
+        if len(word) <= REMEMBERED:
+            if len(self) > MAX_WORDS:
+                self.clear()
+            self[word] = n
         return n
 
 
 class TokenCounter:
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, kind: np.ndarray) -> None:
         counter, self.special = load(path)
-        self.words, self.splitter = Words(counter), Splitter()
+        self.words, self.splitter = Words(counter), Splitter(kind)
 
     def counts(self, texts: list[str]) -> list[int]:
         """Number of tokens of each text."""
@@ -294,9 +321,11 @@ _loaded: dict[str, TokenCounter] = {}
 def token_counts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes and n_tokens of every text; one pass without a shuffle, in memory bounded by one text or step."""
 
+    kind = docs.sparkSession.sparkContext.broadcast(classes())
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if tokenizer_path not in _loaded:
-            _loaded[tokenizer_path] = TokenCounter(tokenizer_path)
+            _loaded[tokenizer_path] = TokenCounter(tokenizer_path, kind.value)
         counter = _loaded[tokenizer_path]
         for ids, texts in steps(batches):
             yield record_batch({"doc_id": ids, "n_bytes": [len(t) for t in texts], "n_tokens": counter.counts([t.decode() for t in texts])}, _TYPES)
