@@ -23,33 +23,59 @@ KINDS = ("assign", "access", "hex", "entropy")
 CLASSES = {"hex": "0123456789abcdefABCDEF", "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"}
 CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+"
 WINDOW = 20
+#: Spans of a block.
+BLOCK = 64
 THRESHOLDS = {"hex": 3.0, "base64": 3.9}
 ALLOWED = (
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
     r"(?i)example|sample|placeholder|changeme|dummy|redacted|lorem",
-    r"^/|//|^www",
+    r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//|^www",
+    r"^/?(?:(?:[A-Z]?[a-z]{2,}+[0-9]{0,4}+|[A-Z]{2,}+)(?:[_=-](?:[a-z]{2,}+|[0-9]{1,4}+))*+/){2,}+[A-Za-z0-9_=-]*$",
     r"^(.)\1+$",
     r"^[0-9+/_=-]+$",
     r"^[A-Za-z/_=-]+$",
 )
 
 
+_SPANS = "array<struct<start:bigint,kind:int,end:bigint,value:string>>"
+
+
+def _blocks(n: Column) -> Column:
+    """Numbers of the blocks of so many elements."""
+    return F.when(n > 0, F.sequence(F.lit(0), ((n - 1) / BLOCK).cast("int"))).otherwise(F.array().cast("array<int>"))
+
+
+def _part(elements: Column, block: Column) -> Column:
+    return F.slice(elements, block * BLOCK + 1, F.lit(BLOCK))
+
+
 def _spans(text: Column, pattern: str, kind: int, keep=None) -> Column:
-    """array<struct<start,kind,end,value>> of the pattern's matches, from the text around and in them."""
+    """array<struct<start,kind,end,value>> of the pattern's matches, from the text around and in them.
+
+    Places are running sums, within blocks of matches and over the blocks, so that many matches do not cost their square.
+    """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     rest = F.split(text, pattern, -1)
-    folded = F.aggregate(
-        F.arrays_zip(found.alias("m"), F.slice(rest, 1, F.size(found)).alias("g")),
-        F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,kind:int,end:bigint,value:string>>").alias("out")),
-        lambda a, x: F.struct(
-            (a["at"] + F.length(x["g"]) + F.length(x["m"])).alias("at"),
-            F.concat(a["out"], F.array(F.struct((a["at"] + F.length(x["g"])).alias("start"), F.lit(kind).alias("kind"), (a["at"] + F.length(x["g"]) + F.length(x["m"])).alias("end"), x["m"].alias("value")))).alias("out"),
-        ),
-        lambda a: a["out"],
-    )
-    empty = F.array().cast("array<struct<start:bigint,kind:int,end:bigint,value:string>>")
-    spans = F.filter(folded, keep) if keep else folded
-    return F.when(text.rlike(pattern), spans).otherwise(empty)
+    pairs = F.transform(F.arrays_zip(found.alias("m"), F.slice(rest, 1, F.size(found)).alias("g")), lambda x: F.struct(x["m"].alias("m"), F.length(x["g"]).cast("long").alias("gap"), F.length(x["m"]).cast("long").alias("n")))
+
+    def placed(of: Column) -> Column:
+        total = lambda block: F.aggregate(_part(of, block), F.lit(0).cast("long"), lambda a, x: a + x["gap"] + x["n"])
+        nothing = F.array().cast("array<struct<block:int,at:bigint>>")
+        begins = F.aggregate(
+            _blocks(F.size(of)), F.struct(F.lit(0).cast("long").alias("at"), nothing.alias("out")),
+            lambda a, k: F.struct((a["at"] + total(k)).alias("at"), F.concat(a["out"], F.array(F.struct(k.alias("block"), a["at"].alias("at")))).alias("out")), lambda a: a["out"],
+        )
+        return F.flatten(F.transform(begins, lambda b: F.aggregate(
+            _part(of, b["block"]), F.struct(b["at"].alias("at"), F.array().cast(_SPANS).alias("out")),
+            lambda a, x: F.struct(
+                (a["at"] + x["gap"] + x["n"]).alias("at"),
+                F.concat(a["out"], F.array(F.struct((a["at"] + x["gap"]).alias("start"), F.lit(kind).alias("kind"), (a["at"] + x["gap"] + x["n"]).alias("end"), x["m"].alias("value")))).alias("out"),
+            ), lambda a: a["out"],
+        )))
+
+    # bound once, so that the matches are not sought anew for every use
+    spans = F.get(F.transform(F.array(pairs), placed), F.lit(0))
+    return F.when(text.rlike(pattern), F.filter(spans, keep) if keep else spans).otherwise(F.array().cast(_SPANS))
 
 
 def max_window_entropy(value: Column, alphabet: str, window: int) -> Column:
@@ -57,16 +83,33 @@ def max_window_entropy(value: Column, alphabet: str, window: int) -> Column:
     weight = lambda c: F.when(c > 1, c * F.log2(c.cast("double"))).otherwise(F.lit(0.0))
     at = lambda i: F.instr(F.lit(alphabet), F.substring(value, i, F.lit(1)))  # noqa: E731  0: outside the class
     size = F.least(F.length(value), F.lit(window))
+    # the counts of several characters are bits of one number, so that a step changes two numbers and not a list
+    bits = window.bit_length()
+    each = 63 // bits
+    words = [f"c{k}" for k in range(-(-(len(alphabet) + 1) // each))]
+    one = F.lit(1).cast("long")
+    place = lambda c: (F.pmod(c, F.lit(each)) * bits).cast("int")
+    owner = lambda c: F.floor(c / each).cast("int")
+
+    def count(a: Column, c: Column) -> Column:
+        held = F.get(F.array(*(a[w] for w in words)), owner(c))
+        return F.call_function("shiftright", held, place(c)).bitwiseAND(F.lit((1 << bits) - 1)).cast("int")
 
     def slide(a: Column, i: Column) -> Column:
         enters, leaves = at(i), F.when(i > window, at(i - window)).otherwise(F.lit(-1))
-        came, left = F.get(a["counts"], enters), F.when(leaves >= 0, F.get(a["counts"], leaves))
-        total = F.when(enters == leaves, a["total"]).otherwise(a["total"] + weight(came + 1) - weight(came) + F.when(leaves >= 0, weight(left - 1) - weight(left)).otherwise(F.lit(0.0)))
-        counts = F.transform(a["counts"], lambda c, k: c + (k == enters).cast("int") - (k == leaves).cast("int"))
-        entropy = F.log2(size.cast("double")) - total / size
-        return F.struct(counts.alias("counts"), total.alias("total"), F.when(i >= size, F.greatest(a["best"], entropy)).otherwise(a["best"]).alias("best"))
 
-    start = F.struct(F.array_repeat(F.lit(0), len(alphabet) + 1).alias("counts"), F.lit(0.0).alias("total"), F.lit(0.0).alias("best"))
+        def moved(x: Column) -> Column:
+            new, old = x["enters"], x["leaves"]
+            came, left = count(a, new), F.when(old >= 0, count(a, old))
+            total = F.when(new == old, a["total"]).otherwise(a["total"] + weight(came + 1) - weight(came) + F.when(old >= 0, weight(left - 1) - weight(left)).otherwise(F.lit(0.0)))
+            change = lambda k, c: F.when(owner(c) == k, F.call_function("shiftleft", one, place(c))).otherwise(F.lit(0).cast("long"))
+            counts = [(a[w] + change(k, new) - F.when(old >= 0, change(k, old)).otherwise(F.lit(0).cast("long"))).alias(w) for k, w in enumerate(words)]
+            entropy = F.log2(size.cast("double")) - total / size
+            return F.struct(*counts, total.alias("total"), F.when(i >= size, F.greatest(a["best"], entropy)).otherwise(a["best"]).alias("best"))
+
+        return F.get(F.transform(F.array(F.struct(enters.alias("enters"), leaves.alias("leaves"))), moved), F.lit(0))
+
+    start = F.struct(*(F.lit(0).cast("long").alias(w) for w in words), F.lit(0.0).alias("total"), F.lit(0.0).alias("best"))
     return F.when(F.length(value) > 0, F.aggregate(F.sequence(F.lit(1), F.length(value)), start, slide, lambda a: a["best"])).otherwise(F.lit(0.0))
 
 
@@ -94,9 +137,15 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         "base_spans": F.concat(_spans(text, ASSIGN, 0, long_value), _spans(text, ACCESS, 1, lambda s: F.length(s["value"]) >= 20), _spans(text, HEX, 2)),
         "candidates": _spans(text, CANDIDATE, 3),
     })
-    apart = lambda c: ~F.exists("base_spans", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
+    # base spans in order, by blocks with their first start and last end: a candidate looks into the blocks that it meets
+    ordered = F.array_sort("base_spans")
+    grouped = F.transform(_blocks(F.size(ordered)), lambda k: F.struct(F.array_min(F.transform(_part(ordered, k), lambda s: s["start"])).alias("low"), F.array_max(F.transform(_part(ordered, k), lambda s: s["end"])).alias("high"), _part(ordered, k).alias("spans")))
+    meets = lambda s, c: (s["start"] < c["end"]) & (c["start"] < s["end"])
+    apart = lambda c: ~F.exists("groups", lambda g: (g["low"] < c["end"]) & (c["start"] < g["high"]) & F.exists(g["spans"], lambda s: meets(s, c)))
+    some = F.size("candidates") > 0
+    found = found.withColumn("groups", F.when(some, grouped))
     extra = F.filter("candidates", lambda c: apart(c) & _suspicious(c))
-    spans = F.array_sort(F.concat("base_spans", F.when(F.size("candidates") > 0, extra).otherwise(F.col("candidates"))))
+    spans = F.array_sort(F.concat("base_spans", F.when(some, extra).otherwise(F.col("candidates"))))
     return found.select(*names, "scanned", spans.alias("spans"))
 
 
@@ -110,14 +159,26 @@ def digests(found: DataFrame) -> DataFrame:
 
 
 def redacted(spans: Column, text: Column, mark: str = "[SECRET]") -> Column:
-    """The text with every span, overlapping ones as one, replaced by a mark."""
+    """The text with every span, overlapping ones as one, replaced by a mark. Spans are in order of their start.
+
+    A block of spans at a time is cut from the text, and its spans from that cut.
+    """
+
+    def block(a: Column, k: Column) -> Column:
+        part = _part(spans, k)
+        return F.get(F.transform(F.array(F.greatest(a["at"], F.array_max(F.transform(part, lambda s: s["end"])))), lambda to: F.get(F.transform(
+            F.array(F.substring(text, (a["at"] + 1).cast("int"), (to - a["at"]).cast("int"))),
+            lambda cut: F.struct(to.alias("at"), F.concat(a["out"], F.aggregate(
+                part, F.struct(a["at"].alias("at"), F.lit("").alias("out")),
+                lambda b, s: F.struct(
+                    F.greatest(b["at"], s["end"]).alias("at"),
+                    F.when(s["start"] < b["at"], b["out"]).otherwise(F.concat(b["out"], F.substring(cut, (b["at"] - a["at"] + 1).cast("int"), (s["start"] - b["at"]).cast("int")), F.lit(mark))).alias("out"),
+                ), lambda b: b["out"],
+            )).alias("out")),
+        ), F.lit(0))), F.lit(0))
+
     done = F.aggregate(
-        spans,
-        F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out")),
-        lambda a, s: F.struct(
-            F.greatest(a["at"], s["end"]).alias("at"),
-            F.when(s["start"] < a["at"], a["out"]).otherwise(F.concat(a["out"], F.substring(text, (a["at"] + 1).cast("int"), (s["start"] - a["at"]).cast("int")), F.lit(mark))).alias("out"),
-        ),
+        _blocks(F.size(spans)), F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out")), block,
         lambda a: F.concat(a["out"], F.substring(text, (a["at"] + 1).cast("int"), F.length(text))),
-    )
+    )
     return F.when(F.size(spans) > 0, done).otherwise(text)
