@@ -38,10 +38,21 @@ def unescaped(text: Column) -> Column:
 
 
 def chain(messages: DataFrame, tree_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """A linear conversation as a tree: each row's parent is the row before it (by turn; ties by role, then text)."""
-    order = Window.partitionBy("tree").orderBy("turn", "role", "text")
+    """A linear conversation as a tree: each row's parent is the row before it (by turn; ties by role, then text).
+
+    Rows are sorted over all tasks by ranges, which cut a long conversation, and numbered within each range; a row's place is
+    that number and the rows of its conversation in the ranges before.
+    """
+    order = ["tree", "turn", "role", "text"]
     rows = messages.select(messages[tree_col].alias("tree"), messages[turn_col].alias("turn"), F.coalesce(messages[role_col], F.lit("")).alias("role"), F.coalesce(messages[text_col], F.lit("")).alias("text"))
-    return rows.select("tree", F.row_number().over(order).cast("long").alias("node"), "role", "text", F.lit(0.0).alias("score")).withColumn("parent", F.when(F.col("node") > 1, F.col("node") - 1))
+    # equal rows may fall into several ranges, in any order
+    ranged = written(rows.withColumn("tie", F.xxhash64(F.monotonically_increasing_id())).repartitionByRange(*order, "tie").withColumn("part", F.spark_partition_id()), "ranges")
+    inner = Window.partitionBy("tree", "part").orderBy("turn", "role", "text", "tie")
+    sizes = ranged.groupBy("tree", "part").agg(F.count("*").alias("n"))
+    # a row for each range that a conversation has rows in
+    before = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("tree").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    numbered = ranged.withColumn("i", F.row_number().over(inner)).join(before.select(F.col("tree").alias("t"), F.col("part").alias("p"), "before"), F.col("tree").eqNullSafe(F.col("t")) & (F.col("part") == F.col("p")))
+    return numbered.select("tree", (F.col("i") + F.col("before")).cast("long").alias("node"), "role", "text", F.lit(0.0).alias("score")).withColumn("parent", F.when(F.col("node") > 1, F.col("node") - 1))
 
 
 def chosen_paths(messages: DataFrame, per_tree: int = 1) -> DataFrame:
@@ -54,11 +65,13 @@ def chosen_paths(messages: DataFrame, per_tree: int = 1) -> DataFrame:
     known = nodes.join(parents, (F.col("tree").eqNullSafe(F.col("t"))) & (F.col("parent") == F.col("p")), "left")
     # pointers that have passed the root (up is null) are done; only the others are joined again
     open_, done = [], []
+    # a pointer that spans more messages than there are goes round a ring
+    total = nodes.count()
     step = written(known.select("tree", "node", F.col("p").alias("up"), F.col("score").alias("sum"), F.lit(1).cast("long").alias("span")), "jump0")
     while True:
         done.append(step.where(F.col("up").isNull()))
         open_.append(step.where(F.col("up").isNotNull()))
-        if open_[-1].isEmpty() or len(open_) > 40:  # then only rings are left
+        if 2 ** (len(open_) - 1) > total or open_[-1].isEmpty():
             break
         reach = open_[-1]
         for d in done:
@@ -74,6 +87,7 @@ def chosen_paths(messages: DataFrame, per_tree: int = 1) -> DataFrame:
     inner = nodes.where(F.col("parent").isNotNull()).select(F.col("tree").alias("t"), F.col("parent").alias("p")).distinct()
     leaves = jump.join(inner, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("p")), "left_anti")
     rank = Window.partitionBy("tree").orderBy(F.desc(F.col("sum") / F.col("span")), "node")
+    used = []
     paths = leaves.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= per_tree).select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("depth"))
     for k in reversed(range(len(open_) - 1)):
         # from the longest pointers down: each message found so far adds the one 2^k above it
@@ -81,9 +95,10 @@ def chosen_paths(messages: DataFrame, per_tree: int = 1) -> DataFrame:
         more = paths.join(step, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("n"))).select("tree", "leaf", F.col("up").alias("node"), (F.col("depth") + 2**k).alias("depth"))
         paths = paths.unionByName(more)
         if k:
-            paths = written(paths, f"paths{k}")
+            used.append(written(paths, f"paths{k}"))
+            paths = used[-1]
     out = written(paths, "paths")
-    discard(*open_)
+    discard(*open_, *used)
     return out
 
 
