@@ -11,8 +11,9 @@ best path is not what a BPE model means, whose library merges greedily; there th
 each step takes the edge of the best score (then the leftmost) that spans exactly two present symbols, until none is left.
 
 Frequent atoms (a bounded number, by a threshold on their counts) are sent to all tasks, the occurrences of the others are
-joined with the encoded atoms. Characters without a piece are encoded by their bytes where they stand, and so are atoms of
-over MAX_ATOM characters, by the same greedy merging.
+joined with the encoded atoms. Characters without a piece are encoded by their bytes where they stand. Atoms of over MAX_ATOM
+characters, whose borders a number has no bits for, are encoded where they stand too, by the same merging order or the same
+best sum.
 
 Defined results: null and empty texts have no pieces and round-trip to the empty text; U+2581 in a text decodes as a space,
 as with the library; repeated ids give repeated rows.
@@ -46,13 +47,48 @@ SINGLES = 0x3000
 STEP = 1 << 19
 
 
+def _fields(message: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """(number, value) of the fields of a protocol buffer's message, for varints and byte strings."""
+    i = 0
+
+    def varint() -> int:
+        nonlocal i
+        value = shift = 0
+        while True:
+            byte = message[i]
+            i += 1
+            value |= (byte & 127) << shift
+            shift += 7
+            if byte < 128:
+                return value
+
+    while i < len(message):
+        tag = varint()
+        if tag & 7 == 0:
+            yield tag >> 3, varint()
+        elif tag & 7 == 2:
+            n = varint()
+            yield tag >> 3, message[i : i + n]
+            i += n
+        else:
+            i += 8 if tag & 7 == 1 else 4
+
+
+#: Kinds of models, as the trainer's part of a model file numbers them.
+UNIGRAM, BPE = 1, 2
+
+
 class PieceModel:
-    """Pieces, scores and kind of a SentencePiece model file."""
+    """Pieces, scores and kind (UNIGRAM or BPE; others are refused) of a SentencePiece model file."""
 
     def __init__(self, path: str) -> None:
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
+        trainer = next((v for k, v in _fields(sp.serialized_model_proto()) if k == 2), b"")
+        self.kind = next((v for k, v in _fields(trainer) if k == 3), UNIGRAM)
+        if self.kind not in (UNIGRAM, BPE):
+            raise ValueError(f"{path}: neither a unigram nor a BPE model")
         self.pieces: dict[str, tuple[int, float]] = {}
         self.byte_ids: dict[int, int] = {}
         for i in range(len(sp)):
@@ -70,6 +106,10 @@ class PieceModel:
         #: What ids decode to, end to end.
         self.data = np.frombuffer(b"".join(outputs), np.uint8)
         self.length = np.array([len(o) for o in outputs], np.int64)
+        #: Characters of each piece; the bytes of a character have none.
+        self.chars = np.zeros(len(sp) + 1, np.int64)
+        for piece, (i, _) in self.pieces.items():
+            self.chars[i] = len(piece)
         self.first = np.cumsum(self.length) - self.length
 
     def decoded(self, ids: np.ndarray, sizes: np.ndarray) -> pa.Array:
@@ -84,7 +124,23 @@ class PieceModel:
         """Ids of an atom that stays out of the lattice, else None."""
         if len(atom) == 1 and atom not in self.pieces:
             return [self.byte_ids.get(b, self.unknown) for b in atom.encode()] if self.byte_ids else [self.unknown]
-        return self.greedy(atom) if len(atom) > MAX_ATOM else None
+        if len(atom) <= MAX_ATOM:
+            return None
+        return self.best(atom) if self.kind == UNIGRAM else self.greedy(atom)
+
+    def best(self, atom: str) -> list[int]:
+        """Viterbi's path through an atom of any length; ties go to the longer last piece, as in viterbi_fold()."""
+        cost, back = [0.0], [(0, 0)]
+        for end in range(1, len(atom) + 1):
+            into = [(cost[at] - found[1], at, found[0]) for at in range(max(0, end - self.longest), end) if cost[at] < np.inf and (found := self.pieces.get(atom[at:end]))]
+            least = min(into, default=(np.inf, 0, 0))
+            cost.append(least[0])
+            back.append(least[1:])
+        out, end = [], len(atom)
+        while end:
+            end, i = back[end]
+            out.append(i)
+        return out[::-1]
 
     def greedy(self, atom: str) -> list[int]:
         """Merges by a queue of neighbours, for atoms of any length."""
@@ -268,7 +324,7 @@ def dictionary(plain: DataFrame, model: PieceModel, pieces: DataFrame) -> DataFr
 
     atoms = plain.select("text").mapInArrow(count, "atom string, n long").groupBy("atom").agg(F.sum("n").alias("count"))
     with _grouped_in_memory(plain.sparkSession):
-        return written(encode_atoms(atoms, pieces, model.longest).select("atom", "count", "ids").mapInArrow(decoding, "atom string, count long, ids array<int>, exact boolean"), "atoms")
+        return written(encode_atoms(atoms, pieces, model.longest, model.kind == UNIGRAM).select("atom", "count", "ids").mapInArrow(decoding, "atom string, count long, ids array<int>, exact boolean"), "atoms")
 
 
 class Known:
@@ -292,21 +348,43 @@ def frequent(words: DataFrame, limit: int = FREQUENT) -> Known:
     return Known(words.where(F.floor(F.log2("count") * 8) >= least).select("atom", "ids", "exact").collect() if least is not None else [])
 
 
-#: Codes of texts are sums, modulo 2^64, of their atoms' codes times BASE to the power of the atom's place.
+#: Codes of texts are sums, modulo 2^64, of a number for each id times BASE to the power of its piece's place in the marked text.
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _codes(ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """A number for each list of ids (flat, with the lists' sizes, none 0) and their order."""
+def _codes(ids: np.ndarray, sizes: np.ndarray, chars: np.ndarray) -> np.ndarray:
+    """A number for each list of ids (flat, with the lists' sizes, none 0) of one atom, from ids, places and bytes' order."""
+    if not len(ids):
+        return np.zeros(0, np.uint64)
     first = np.cumsum(sizes) - sizes
-    inner = np.arange(len(ids)) - np.repeat(first, sizes)
-    return np.bitwise_xor.reduceat(mix(ids.astype(np.uint64) + (inner.astype(np.uint64) << np.uint64(32)) + np.uint64(1)), first) if len(ids) else np.zeros(0, np.uint64)
+    n = chars[ids]
+    before = np.cumsum(n) - n
+    place = (before - np.repeat(before[first], sizes)).astype(np.uint64)
+    # bytes of one character share its place and are told apart by their order, which is that in their atom
+    order = np.where(n == 0, np.arange(len(ids)) - np.repeat(first, sizes), 0).astype(np.uint64)
+    return np.add.reduceat(_placed(mix(ids.astype(np.uint64) + (order << np.uint64(32)) + np.uint64(1)), place), first)
 
 
 def _placed(codes: np.ndarray, places: np.ndarray) -> np.ndarray:
     return codes * np.power(BASE, places.astype(np.uint64))
 
 
+def ids_code(ids: list[int], model: PieceModel) -> int:
+    """The code of one text's ids, as piece_digests() gives it: what another encoder's ids are compared by."""
+    x = np.array(ids, np.int64)
+    if not len(x):
+        return 0
+    n = model.chars[x]
+    # a character of bytes takes one place; a new one begins after a piece, or with a byte that leads a sequence
+    lead = (n == 0) & np.array([not 0x80 <= model.data[f] < 0xC0 for f in model.first[x]])
+    steps_ = np.where(n > 0, n, lead)
+    start = (n > 0) | lead
+    place = (np.cumsum(steps_) - steps_)[start][np.cumsum(start) - 1]
+    order = np.where(n == 0, np.arange(len(x)) - np.flatnonzero(start)[np.cumsum(start) - 1], 0).astype(np.uint64)
+    code = int(_placed(mix(x.astype(np.uint64) + (order << np.uint64(32)) + np.uint64(1)), place).sum(dtype=np.uint64))
+    return code - (1 << 64) if code >> 63 else code
+
+
 @dataclass
 class Atoms:
     """The atoms of some texts, in order: their places in the marked texts, and those in their own text."""
@@ -381,7 +459,7 @@ class Encoder:
         self.of_key = order
         sizes = known.sizes.astype(np.int64)
         self.ids: list[np.ndarray] = [known.ids.astype(np.int64)]
-        self.sizes, self.codes, self.exact = sizes, _codes(self.ids[0], sizes), known.exact
+        self.sizes, self.codes, self.exact = sizes, _codes(self.ids[0], sizes, model.chars), known.exact
         self.extra: dict[int | str, int] = {}
 
     def _add(self, key: int | str, ids: list[int], atom: str) -> int:
@@ -390,7 +468,7 @@ class Encoder:
             self.extra[key] = len(self.sizes)
             self.ids.append(np.array(ids, np.int64))
             self.sizes = np.append(self.sizes, len(ids))
-            self.codes = np.append(self.codes, _codes(self.ids[-1], self.sizes[-1:]))
+            self.codes = np.append(self.codes, _codes(self.ids[-1], self.sizes[-1:], self.model.chars))
             self.exact = np.append(self.exact, self.model.decoded(self.ids[-1], self.sizes[-1:])[0].as_py() == atom.replace(SPACE, " ").encode())
         return self.extra[key]
 
@@ -404,7 +482,7 @@ class Encoder:
             out[atoms.single == point] = self._add(point, self.model.direct(chr(point - 1)), chr(point - 1))
         for i in np.flatnonzero(atoms.end - atoms.start > MAX_ATOM).tolist():
             atom = atoms.string(i)
-            out[i] = self._add(f"{len(self.sizes)}", self.model.greedy(atom), atom)  # not remembered: a key of its own
+            out[i] = self._add(f"{len(self.sizes)}", self.model.direct(atom), atom)  # not remembered: a key of its own
         return out
 
     def round_trip(self, texts: list[str], atoms: Atoms, number: np.ndarray) -> np.ndarray:
@@ -435,7 +513,7 @@ def _halves(code: np.ndarray) -> tuple[pa.Array, pa.Array]:
 
 
 def piece_digests(docs: DataFrame, model: PieceModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_pieces, ids_code (of all ids, with their atoms' places) and round_trip (whether the ids decode to the text)."""
+    """doc_id, n_pieces, ids_code (ids_code() of all ids) and round_trip (whether the ids decode to the text)."""
     spark = docs.sparkSession
     plain = _plain(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id())
     words = dictionary(plain, model, model.table(spark))
@@ -470,7 +548,7 @@ def piece_digests(docs: DataFrame, model: PieceModel, id_col: str = "doc_id", te
         for b in batches:
             ids = b.column("ids")
             sizes = ids.value_lengths().to_numpy().astype(np.int64)
-            code = _placed(_codes(ids.flatten().to_numpy(), sizes), b.column("at").to_numpy())
+            code = _placed(_codes(ids.flatten().to_numpy(), sizes, sent.value[0].chars), b.column("at").to_numpy())
             yield pa.RecordBatch.from_arrays([b.column("row"), pa.nulls(len(code), pa.int64()), pa.array(sizes), *_halves(code), b.column("exact")], names=_PART[:6])
 
     parts = written(plain.mapInArrow(split, "row long, doc_id long, n long, low long, high long, exact boolean, atom string, at long"), "parts")
