@@ -26,10 +26,14 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def minhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, once; rows without an id stay."""
+    """One document of each group of near-duplicates, once; rows without an id stay.
+
+    Repeated rows (equal id and text) stay once. Different texts of one id are one document to the operator, whose links are
+    those of all of them: they stay together, or go together.
+    """
     ship(spark)
     kept = near_duplicates(docs).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("kept_id")).distinct()
-    one = docs.join(kept, docs["doc_id"] == kept["kept_id"], "left_semi").dropDuplicates(["doc_id"])
+    one = docs.join(kept, docs["doc_id"] == kept["kept_id"], "left_semi").dropDuplicates(["doc_id", "text"])
     return one.unionByName(docs.where("doc_id IS NULL")).select(*docs.columns)
 
 
