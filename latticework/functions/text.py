@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Words that say nothing about a task (fixed values).
@@ -79,6 +79,29 @@ def uri_pattern(template: Column) -> Column:
     return F.concat(F.lit("^/?"), F.regexp_replace(optional, r"\{\w+\}", "[^/]+"), F.lit("/?$"))
 
 
+def with_segments(paths: DataFrame, path: str) -> DataFrame:
+    """paths with the number of segments of each path, and its first segment."""
+    parts = F.filter(F.split(path, "/"), lambda x: x != "")
+    return paths.withColumns({"segments": F.size(parts), "head": F.coalesce(F.get(parts, F.lit(0)), F.lit(""))})
+
+
+def with_shapes(templates: DataFrame, template: str) -> DataFrame:
+    """templates with each number of segments that a path of theirs may have, and the first segment, null unless it is literal.
+
+    A segment may be left out where it is optional, or where its optional parameter has text around it that ends in a slash.
+    """
+    parts = F.filter(F.split(template, "/"), lambda x: x != "")
+    optional = F.size(F.filter(parts, lambda x: x.rlike(r"\{\w+\?\}")))
+    first = F.coalesce(F.get(parts, F.lit(0)), F.lit(""))
+    return templates.withColumn("segments", F.explode(F.sequence(F.size(parts) - optional, F.size(parts)))).withColumn("head", F.when(~first.contains("{"), first))
+
+
+def shape_join(paths: DataFrame, templates: DataFrame, keys: list[str]) -> DataFrame:
+    """Pairs of equal keys, segments and first segment, if the template's is literal, to be compared by pattern: two equi-joins."""
+    literal = paths.join(templates.where("head IS NOT NULL"), [*keys, "segments", "head"])
+    return literal.unionByName(paths.join(templates.where("head IS NULL").drop("head"), [*keys, "segments"]).select(*literal.columns))
+
+
 def path_of(url: Column) -> Column:
     """The path of a requested URL, without host, query and fragment."""
     return F.regexp_replace(F.regexp_replace(url, r"^[a-zA-Z][a-zA-Z0-9+.\-]*://[^/]+", ""), r"[?#].*$", "")

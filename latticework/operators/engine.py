@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from latticework import schema
 from latticework.operators import index, traverse
 from latticework.operators.traverse import product
+from latticework.runtime import written
 
 #: Groups of facts that a flow shows beside its methods: edge types of each (fixed values).
 RELATED = {
@@ -81,7 +82,7 @@ def entry(edges: DataFrame, routes: DataFrame) -> DataFrame:
 
 def flow_methods(nodes: DataFrame, edges: DataFrame, routes: DataFrame, depth: int = 4, limit: int = 50, least: float = 0.0) -> DataFrame:
     """(route, node, depth, confidence, path): the methods a route executes, its action first."""
-    actions = entry(edges, routes)
+    actions = written(entry(edges, routes), "actions")
     hits = traverse.traverse(actions.select("id", "confidence"), edges, schema.EXECUTION, "out", depth, least)
     hits = hits.join(nodes.where("type = 'method'").select(F.col("id").alias("node")), "node", "left_semi")
     of_route = actions.select("route", F.col("id").alias("seed"))
@@ -119,3 +120,16 @@ def summarize_warnings(warnings: DataFrame, samples: int, budget: int) -> DataFr
     order = Window.partitionBy("code").orderBy("message")
     rows = warnings.withColumn("n", F.count("*").over(Window.partitionBy("code"))).withColumn("k", F.row_number().over(order)).withColumn("bytes", F.sum(F.octet_length("message")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
     return rows.groupBy("code").agg(F.max("n").alias("n"), F.expr(f"array_sort(collect_list(message) FILTER (WHERE k <= {samples} AND bytes <= {budget}))").alias("samples"))
+
+
+def flow_warnings(methods: DataFrame, by_caller: DataFrame, samples: DataFrame) -> DataFrame:
+    """(caller, reason, n): unresolved calls of the methods (id) in a flow; without any, the samples of theirs.
+
+    by_caller: (caller, n); samples: (caller, reason).
+    """
+    own = methods.select(F.col("id").alias("caller")).distinct()
+    summed = by_caller.join(own, "caller", "left_semi").select("caller", F.lit("unresolved_calls").alias("reason"), F.col("n").cast("long").alias("n"), F.lit(0).alias("tier"))
+    sampled = samples.join(own, "caller", "left_semi").groupBy("caller", "reason").agg(F.count("*").alias("n")).withColumn("tier", F.lit(1))
+    rows = summed.unionByName(sampled)
+    least = rows.agg(F.min("tier").alias("best"))  # one row
+    return rows.join(F.broadcast(least), F.col("tier") == F.col("best")).select("caller", "reason", "n")

@@ -154,3 +154,9 @@ def resolve_anchor(nodes: DataFrame, anchor: str) -> DataFrame:
     if not kinds:
         return found
     return found.join(nodes.select("id", "type"), "id").select("rank", "id", (F.col("resolved") & F.col("type").isin(*kinds)).alias("resolved"))
+
+
+def index_mismatches(nodes: DataFrame, searched: DataFrame) -> DataFrame:
+    """Nodes (id, reason) that a search index (id, label) lacks or has under another label; none: the index is that of the nodes."""
+    rows = nodes.select("id", "label").join(searched.select("id", F.col("label").alias("indexed"), F.lit(True).alias("known")), "id", "left")
+    return rows.where(F.col("known").isNull() | ~F.col("label").eqNullSafe(F.col("indexed"))).select("id", F.when(F.col("known").isNull(), "missing").otherwise("label").alias("reason"))

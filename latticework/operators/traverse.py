@@ -2,7 +2,9 @@
 
 The best path to a node by (confidence falling, depth, path) is found without a priority queue: confidences are at most 1, so
 a path never outranks its own beginning, and keeping the best state of each (seed, node) at every depth keeps every best
-path. One level is one join with the edges and one top-1; all levels are one plan, which Catalyst sees whole.
+path. One level is one join with the edges and one top-1. The edges that a traversal follows and every level are written to the
+shared folder, so a level is computed once however often it is used, plans do not grow with the depth, and a frontier whose
+size is known to be small is sent to the edges instead of the edges to it.
 """
 
 from __future__ import annotations
@@ -11,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from latticework import schema
+from latticework.runtime import written
 
 _STATE = ["seed", "node", "depth", "confidence", "path", "via"]
 
@@ -49,10 +52,10 @@ def best_states(rows: DataFrame, keys: tuple[str, ...] = ("seed", "node")) -> Da
 
 def levels(seeds: DataFrame, steps: DataFrame, depth: int, least: float = 0.0) -> list[DataFrame]:
     """The frontier of each depth, 0 to depth."""
-    out = [start(seeds)]
+    out = [written(start(seeds), "frontier")]
     for _ in range(depth):
         rows = transitions(out[-1], steps).where(~F.col("cycle") & (F.col("confidence") >= F.lit(str(least)).cast(schema.PATH_CONFIDENCE)))
-        out.append(best_states(rows))
+        out.append(written(best_states(rows), "frontier"))
     return out
 
 
@@ -76,7 +79,7 @@ def traverse(seeds: DataFrame, edges: DataFrame, types: tuple[str, ...] | None,
     results (id): only these nodes are results. truncated: of a seed, that nodes are left out, by the limit, or because a
     state at the last depth has an admissible step left.
     """
-    steps = directed(edges, types, direction)
+    steps = written(directed(edges, types, direction), "steps")
     by_depth = levels(seeds, steps, depth, least)
     hits = best_hits(_union(by_depth[1:])) if depth else by_depth[0].limit(0)
     if results is not None:
@@ -95,7 +98,7 @@ def budgeted(seeds: DataFrame, edges: DataFrame, types: tuple[str, ...], budget:
 
     Transitions that are rejected by the least confidence or as cycles count towards the budget.
     """
-    steps = directed(edges, types, direction)
+    steps = written(directed(edges, types, direction), "steps")
     by_depth = levels(seeds, steps, depth, least)
     every = _union([transitions(f, steps) for f in by_depth[:-1]])
     kept = every.orderBy(F.desc("confidence"), "depth", "path", "node", "via").limit(budget)
@@ -104,11 +107,11 @@ def budgeted(seeds: DataFrame, edges: DataFrame, types: tuple[str, ...], budget:
 
 def top_paths(source: DataFrame, target: str, edges: DataFrame, types: tuple[str, ...], k: int, depth: int = 4, least: float = 0.0) -> DataFrame:
     """The best simple paths from the source (id, confidence) to the target, by (confidence falling, depth, path)."""
-    steps = directed(edges, types, "out")
+    steps = written(directed(edges, types, "out"), "steps")
     floor = F.lit(str(least)).cast(schema.PATH_CONFIDENCE)
     frontier, found = start(source), []
     for _ in range(depth):
-        frontier = transitions(frontier, steps).where(~F.col("cycle") & (F.col("confidence") >= floor)).drop("cycle")
+        frontier = written(transitions(frontier, steps).where(~F.col("cycle") & (F.col("confidence") >= floor)).drop("cycle"), "frontier")
         found.append(frontier.where(F.col("node") == target))
         frontier = frontier.where(F.col("node") != target)
     return _union(found).orderBy(F.desc("confidence"), "depth", "path").limit(k)
@@ -131,17 +134,15 @@ def impact(seeds: DataFrame, nodes: DataFrame, edges: DataFrame, depth: int = 4,
     What a node lets pass depends on its type. A node is kept at a depth only if its confidence there is above that at every
     smaller depth; a seed dominates itself.
     """
-    steps = _ruled(directed(edges, None, "in"), nodes, schema.IMPACT)
+    steps = written(_ruled(directed(edges, tuple(sorted({t for v in schema.IMPACT.values() for t in v})), "in"), nodes, schema.IMPACT), "steps")
     floor = F.lit(str(least)).cast(schema.PATH_CONFIDENCE)
-    frontier = seeds.select(F.col("id").alias("seed"), F.col("id").alias("node"), F.lit(0).alias("depth"), F.lit("1").cast(schema.PATH_CONFIDENCE).alias("confidence"))
-    known = frontier.select("seed", "node", F.col("confidence").alias("best"))
-    kept = []
+    kept = [written(seeds.select(F.col("id").alias("seed"), F.col("id").alias("node"), F.lit(0).alias("depth"), F.lit("1").cast(schema.PATH_CONFIDENCE).alias("confidence")), "frontier")]
     for d in range(1, depth + 1):
-        reached = frontier.join(steps, F.col("node") == F.col("near")).select("seed", F.col("far").alias("node"), product(F.col("confidence"), F.col("weight")).alias("confidence")).where(F.col("confidence") >= floor)
+        reached = kept[-1].join(steps, F.col("node") == F.col("near")).select("seed", F.col("far").alias("node"), product(F.col("confidence"), F.col("weight")).alias("confidence")).where(F.col("confidence") >= floor)
         level = reached.groupBy("seed", "node").agg(F.max("confidence").alias("confidence"))
-        frontier = level.join(known, ["seed", "node"], "left").where("best IS NULL OR confidence > best").select("seed", "node", F.lit(d).alias("depth"), "confidence")
-        kept.append(frontier)
-        known = known.unionByName(frontier.select("seed", "node", F.col("confidence").alias("best"))).groupBy("seed", "node").agg(F.max("best").alias("best"))
+        known = _union(kept).groupBy("seed", "node").agg(F.max("confidence").alias("best"))
+        kept.append(written(level.join(known, ["seed", "node"], "left").where("best IS NULL OR confidence > best").select("seed", "node", F.lit(d).alias("depth"), "confidence"), "frontier"))
+    kept = kept[1:]
     best = _union(kept).groupBy("seed", "node").agg(F.min(F.struct((-F.col("confidence")).alias("c"), "depth")).alias("s"))
     named = best.join(nodes.select(F.col("id").alias("node"), "type"), "node")
     return named.select("seed", "node", "type", F.col("s.depth").alias("depth"), (-F.col("s.c")).cast(schema.PATH_CONFIDENCE).alias("confidence"))
@@ -160,16 +161,16 @@ def neighbourhood(seeds: DataFrame, edges: DataFrame, depth: int = 2, least: flo
     bridge = F.col("type").isin(*schema.BRIDGES)
     ahead = edges.select(F.col("src").alias("near"), F.col("dst").alias("far"), weight.alias("weight"), bridge.alias("goes_on"), F.lit(False).alias("back"), bridge.alias("bridge"))
     behind = edges.select(F.col("dst").alias("near"), F.col("src").alias("far"), weight.alias("weight"), F.lit(True).alias("goes_on"), F.lit(True).alias("back"), bridge.alias("bridge"))
-    steps = ahead.unionByName(behind)
-    frontier = seeds.select(F.col("id").alias("seed"), F.col("id").alias("node"), F.lit(1.0).alias("confidence"))
-    known = frontier.withColumn("expanded", F.col("confidence"))
+    steps = written(ahead.unionByName(behind), "steps")
+    start_at = seeds.select(F.col("id").alias("seed"), F.col("id").alias("node"), F.lit(1.0).alias("confidence"))
+    kept = [written(start_at.withColumns({"expanded": F.col("confidence"), "fresh": F.lit(True)}), "frontier")]
     for d in range(depth):
-        rows = frontier.join(steps, F.col("node") == F.col("near")).where(~F.col("back") | F.col("bridge") | F.lit(d == 0)).select("seed", F.col("far").alias("node"), (F.col("confidence") * F.col("weight")).alias("confidence"), F.when(F.col("goes_on"), F.col("confidence") * F.col("weight")).alias("expanded")).where(F.col("confidence") >= least)
+        frontier = kept[-1].where("fresh").select("seed", "node", F.col("expanded").alias("reach"))
+        rows = frontier.join(steps, F.col("node") == F.col("near")).where(~F.col("back") | F.col("bridge") | F.lit(d == 0)).select("seed", F.col("far").alias("node"), (F.col("reach") * F.col("weight")).alias("confidence"), F.when(F.col("goes_on"), F.col("reach") * F.col("weight")).alias("expanded")).where(F.col("confidence") >= least)
         level = rows.groupBy("seed", "node").agg(F.max("confidence").alias("confidence"), F.max("expanded").alias("expanded"))
-        before = known.select("seed", "node", F.col("expanded").alias("was"))
-        frontier = level.where("expanded IS NOT NULL").join(before, ["seed", "node"], "left").where("was IS NULL OR expanded > was").select("seed", "node", F.col("expanded").alias("confidence"))
-        known = known.unionByName(level).groupBy("seed", "node").agg(F.max("confidence").alias("confidence"), F.max("expanded").alias("expanded"))
-    return known.select("seed", "node", "confidence")
+        before = _union(kept).groupBy("seed", "node").agg(F.max("expanded").alias("was"))
+        kept.append(written(level.join(before, ["seed", "node"], "left").withColumn("fresh", F.expr("coalesce(expanded IS NOT NULL AND (was IS NULL OR expanded > was), false)")).drop("was"), "frontier"))
+    return _union(kept).groupBy("seed", "node").agg(F.max("confidence").alias("confidence"))
 
 
 def edge_evidence_kinds(evidence: Column) -> Column:
@@ -204,7 +205,7 @@ def dispatched(seeds: DataFrame, edges: DataFrame, depth: int = 4) -> DataFrame:
     edges: (src, dst, type, confidence, roles array<string>, role, causal). A dispatch needs a role and records it in the
     state; a handler edge must not be disproved and must match it; any other edge clears it.
     """
-    steps = edges.where(F.col("type").isin(*schema.EXECUTION)).select(F.col("src").alias("near"), F.col("dst").alias("far"), F.col("type").alias("kind"), F.col("confidence").alias("weight"), "roles", "role", "causal")
+    steps = written(edges.where(F.col("type").isin(*schema.EXECUTION)).select(F.col("src").alias("near"), F.col("dst").alias("far"), F.col("type").alias("kind"), F.col("confidence").alias("weight"), "roles", "role", "causal"), "steps")
     nothing = F.array().cast("array<string>")
     frontier = start(seeds).withColumn("state", nothing)
     out = []
@@ -214,6 +215,6 @@ def dispatched(seeds: DataFrame, edges: DataFrame, depth: int = 4) -> DataFrame:
         rows = rows.where(F.when(dispatch, F.size("roles") > 0).when(handle, F.coalesce("causal", F.lit(True)) & ((F.size("state") == 0) | F.array_contains("state", F.col("role")))).otherwise(True)).where(~F.array_contains("path", F.col("far")))
         rows = rows.select("seed", F.col("far").alias("node"), (F.col("depth") + 1).alias("depth"), product(F.col("confidence"), F.col("weight")).alias("confidence"), F.concat("path", F.array("far")).alias("path"), F.col("kind").alias("via"), F.when(dispatch, F.col("roles")).otherwise(nothing).alias("state"))
         best = rows.groupBy("seed", "node", "state", "depth").agg(F.min(F.struct((-F.col("confidence")).alias("c"), "path", "via")).alias("s"))
-        frontier = best.select("seed", "node", "depth", (-F.col("s.c")).cast(schema.PATH_CONFIDENCE).alias("confidence"), F.col("s.path").alias("path"), F.col("s.via").alias("via"), "state")
+        frontier = written(best.select("seed", "node", "depth", (-F.col("s.c")).cast(schema.PATH_CONFIDENCE).alias("confidence"), F.col("s.path").alias("path"), F.col("s.via").alias("via"), "state"), "frontier")
         out.append(frontier.drop("state"))
     return best_hits(_union(out))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from latticework import schema
 from latticework.functions import text
 from latticework.operators import traverse
+from latticework.runtime import written
 
 #: Weight of a match by the field it is in, exact or partial (fixed values).
 WEIGHTS = {"id": (1.0, 0.8), "name": (0.98, 0.78), "label": (0.95, 0.70), "file": (0.6, 0.6)}
@@ -38,7 +39,8 @@ def lexical_seeds(nodes: DataFrame, task: Column | str, limit: int = SEEDS) -> D
     spark = nodes.sparkSession
     task = F.lit(task) if isinstance(task, str) else task
     terms = spark.range(1).select(F.explode(text.terms(task)).alias("term"))
-    found = match_weights(nodes, terms)
+    # only nodes that have a term, with a few numbers each
+    found = written(match_weights(nodes, terms), "matches")
     total = nodes.agg(F.count("*").alias("n"))
     # at most 64 terms
     df = terms.join(found.groupBy("term").agg(F.count("*").alias("df")), "term", "left").join(F.broadcast(total)).select("term", (F.ln((F.col("n") + 1) / (F.coalesce("df", F.lit(0)) + 1)) + 1).alias("idf"))
@@ -79,7 +81,7 @@ def expand(seeds: DataFrame, nodes: DataFrame, edges: DataFrame, depth: int = 2,
     """(id, type, direction, depth, confidence, score): seeds with what lies downstream and upstream, the best context of each node."""
 
     def walk(direction: str, rules: dict, other: tuple[str, ...] | None) -> DataFrame:
-        steps = traverse._ruled(traverse.directed(edges, None, direction), nodes, rules, other)
+        steps = written(traverse._ruled(traverse.directed(edges, tuple(sorted({t for v in rules.values() for t in v} | set(other or ()))), direction), nodes, rules, other), "steps")
         by_depth = traverse.levels(seeds.select("id", F.col("relevance").alias("confidence")), steps, depth, least)
         return traverse.best_hits(traverse._union(by_depth[1:]))
 
@@ -191,13 +193,36 @@ def plan(nodes: DataFrame, edges: DataFrame, sources: dict[str, list[str]], task
     seeds = discover(nodes, task, explicit, list(files))
     # at most 24 seeds: taken once, so that the walks below start from rows
     chosen = spark.createDataFrame([(r["id"], r["relevance"]) for r in seeds.collect()], "id string, relevance double")
-    contexts = expand(chosen, nodes, edges, depth)
+    contexts = written(expand(chosen, nodes, edges, depth), "contexts")
     tests = mapped_tests(contexts, edges)
     rows = span_candidates(contexts, nodes, tests, list(files)).orderBy("priority", F.desc("relevance"), "file").limit(512).collect()
     spans, left_out = pack([Candidate(r["file"], r["start"], r["end"], r["priority"], r["relevance"]) for r in rows], sources, budget)
-    order = {r["id"]: r["read_rank"] for r in read_order(nodes.join(contexts.select("id"), "id", "left_semi"), edges).collect()}
-    shown = contexts.orderBy(F.desc("score"), "id").limit(64).collect()
+    first = contexts.orderBy(F.desc("score"), "id").limit(64)
+    shown = first.collect()
+    order = {r["id"]: r["read_rank"] for r in read_order(nodes.join(first.select("id"), "id", "left_semi"), edges).collect()}
     return {
         "contexts": [{"id": r["id"], "direction": r["direction"], "score": r["score"], "read": order.get(r["id"], schema.READ_OTHER)} for r in shown],
         "tests": [r["test"] for r in tests.collect()], "spans": [{"file": f, "start": a, "end": b, "tokens": n} for f, a, b, n in spans], "omittedSpans": left_out,
     }
+
+
+def call_uncertainties(contexts: DataFrame, diagnostics: DataFrame, reasons: int = 16) -> DataFrame:
+    """(caller, n, reasons, truncated): unresolved calls of the methods in context, by reason: the first reasons by name.
+
+    contexts: (id, type); diagnostics: (caller, reason, n).
+    """
+    methods = contexts.where("type = 'method'").select(F.col("id").alias("caller")).distinct()
+    rows = diagnostics.join(methods, "caller", "left_semi").groupBy("caller", "reason").agg(F.sum("n").alias("n"))
+    ranked = rows.withColumn("k", F.row_number().over(Window.partitionBy("caller").orderBy("reason")))
+    kept = F.expr(f"collect_list(struct(reason, n)) FILTER (WHERE k <= {reasons})")
+    return ranked.groupBy("caller").agg(F.sum("n").alias("n"), F.array_sort(kept).alias("reasons"), (F.max("k") > reasons).alias("truncated"))
+
+
+def supplemental_tokens(fields: list[Column], values: int = 16, value_bytes: int = 512, limit: int = 128) -> Column:
+    """Distinct terms of a node's further fields (signature, summary, selected metadata), given as strings or arrays of strings.
+
+    At most so many values, each cut to so many bytes, and so many terms.
+    """
+    every = F.filter(F.flatten(F.array(*fields)), lambda v: v.isNotNull())
+    cut = F.transform(F.slice(every, 1, values), lambda v: text.truncate_bytes(v, value_bytes))
+    return F.slice(F.array_distinct(F.flatten(F.transform(cut, lambda v: text.terms(v, limit)))), 1, limit)
