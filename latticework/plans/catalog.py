@@ -14,6 +14,7 @@ from latticework import schema
 from latticework.functions import text
 from latticework.operators import classify, diff, engine, index, merge, observe, store, traverse
 from latticework.plans import planner
+from latticework.runtime import written
 from latticework.sources import bench_graph
 from latticework.sources.bench_graph import graph, read
 
@@ -137,10 +138,10 @@ def ranked_edges_to(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """, s AS (SELECT src, dst, type, CAST(round(CAST(0.9 AS DECIMAL(5,4)) * confidence, 4) AS DECIMAL(5,4)) AS score FROM edges WHERE type IN ('reads', 'writes') AND src IN (SELECT 'method:' || o_orderkey FROM orders WHERE o_orderkey % 50 = 0))
+    """, s AS (SELECT src, dst, type, CAST(round(CAST(0.9 AS DECIMAL(5,4)) * confidence, 4) AS DECIMAL(5,4)) AS score FROM edges WHERE type IN ('reads', 'writes') AND src IN (SELECT 'method:' || o_orderkey FROM orders WHERE o_orderkey % 20 = 0))
 SELECT src, dst, type, CAST(score AS DOUBLE) AS score FROM s ORDER BY s.score DESC, src, dst, type LIMIT 100"""
 )
-def ranked_edges_from_sources(spark: SparkSession, sf_dir: str, every: int = 50) -> DataFrame:
+def ranked_edges_from_sources(spark: SparkSession, sf_dir: str, every: int = 20) -> DataFrame:
     s = some_methods(spark, sf_dir, every).select("id", F.lit("0.9").cast(schema.PATH_CONFIDENCE).alias("confidence"), F.lit(1).alias("depth"), F.array(F.lit("a")).alias("path"))
     return path_text(index.ranked_from_sources(s, graph(spark, sf_dir).edges, ("reads", "writes"), 100).select("src", "dst", "type", "score"))
 
@@ -230,31 +231,31 @@ def callers_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(traverse.traverse(seeds(some_methods(spark, sf_dir, 20)), graph(spark, sf_dir).edges, ("calls",), "in", 4, limit=50))
 
 
-@query(f"{levels_sql(_EVERY.format(100), ('calls', 'dispatches', 'handled_by'), 4, '0.6')} SELECT {_SHOWN} FROM hits")
-def traverse_min_conf(spark: SparkSession, sf_dir: str, every: int = 100) -> DataFrame:
+@query(f"{levels_sql(_EVERY.format(20), ('calls', 'dispatches', 'handled_by'), 4, '0.6')} SELECT {_SHOWN} FROM hits")
+def traverse_min_conf(spark: SparkSession, sf_dir: str, every: int = 20) -> DataFrame:
     return shown(traverse.traverse(seeds(some_methods(spark, sf_dir, every)), graph(spark, sf_dir).edges, ("calls", "dispatches", "handled_by"), "out", 4, 0.6))
 
 
-_WEIGHTED = "SELECT 'route:' || c_custkey AS id, 1 - (c_custkey % 5) / 20.0 AS confidence FROM customer WHERE c_custkey % 25 = 0"
+_WEIGHTED = "SELECT 'route:' || c_custkey AS id, 1 - (c_custkey % 5) / 20.0 AS confidence FROM customer WHERE c_custkey % 20 = 0"
 
 
 @query(
     f"""{levels_sql(_WEIGHTED, ('routes_to', 'calls'), 3)}
 SELECT {_SHOWN} FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY confidence DESC, depth, path, node) AS k FROM hits WHERE starts_with(node, 'method:')) WHERE k <= 10"""
 )
-def traverse_multi_seed(spark: SparkSession, sf_dir: str, every: int = 25) -> DataFrame:
+def traverse_multi_seed(spark: SparkSession, sf_dir: str, every: int = 20) -> DataFrame:
     g = graph(spark, sf_dir)
     weighted = read(spark, sf_dir, "customer").where(F.col("c_custkey") % every == 0).select(F.concat(F.lit("route:"), F.col("c_custkey").cast("string")).alias("id"), (1 - (F.col("c_custkey") % 5) / 20).cast(schema.PATH_CONFIDENCE).alias("confidence"))
     return shown(traverse.traverse(weighted, g.edges, ("routes_to", "calls"), "out", 3, limit=10, results=g.nodes.where("type = 'method'")))
 
 
 @query(
-    f"""{levels_sql(_EVERY.format(200), ('calls', 'dispatches', 'handled_by'), 3)}
+    f"""{levels_sql(_EVERY.format(20), ('calls', 'dispatches', 'handled_by'), 3)}
 , every AS ({" UNION ALL ".join(f"SELECT l.seed, s.far AS node, {d} AS depth, {_PRODUCT} AS confidence, l.path || [s.far] AS path, s.kind AS via, list_contains(l.path, s.far) AS cycle FROM l{d - 1} l JOIN steps s ON l.node = s.near" for d in (1, 2, 3))}),
 kept AS (SELECT * FROM every ORDER BY confidence DESC, depth, path, node, via LIMIT 200)
 SELECT {_SHOWN} FROM (SELECT *, row_number() OVER (PARTITION BY seed, node ORDER BY confidence DESC, depth, path, via) AS k FROM kept WHERE NOT cycle AND node <> seed) WHERE k = 1"""
 )
-def traverse_budget(spark: SparkSession, sf_dir: str, every: int = 200) -> DataFrame:
+def traverse_budget(spark: SparkSession, sf_dir: str, every: int = 20) -> DataFrame:
     return shown(traverse.budgeted(seeds(some_methods(spark, sf_dir, every)), graph(spark, sf_dir).edges, ("calls", "dispatches", "handled_by"), 200, depth=3))
 
 
@@ -284,7 +285,7 @@ def impact_sql(seeds_sql: str, depth: int) -> str:
     return out + f", impact AS (SELECT i.seed, i.node, n.type, i.depth, i.confidence FROM (SELECT *, row_number() OVER (PARTITION BY seed, node ORDER BY confidence DESC, depth) AS k FROM ({every})) i JOIN nodes n ON i.node = n.id WHERE k = 1)"
 
 
-_COLUMNS = "SELECT 'column:' || p_brand || '.' || p_type AS id FROM part WHERE p_partkey % 400 = 0"
+_COLUMNS = "SELECT 'column:' || p_brand || '.' || p_type AS id FROM part WHERE p_partkey % 20 = 0"
 
 
 def some_columns(spark: SparkSession, sf_dir: str, every: int) -> DataFrame:
@@ -295,23 +296,23 @@ def some_columns(spark: SparkSession, sf_dir: str, every: int) -> DataFrame:
     f"""{impact_sql(_COLUMNS.replace("SELECT", "SELECT DISTINCT", 1), 3)}
 SELECT seed, node, type, depth, CAST(confidence AS DOUBLE) AS confidence, CAST(k AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY seed, type ORDER BY depth, node) AS k FROM impact) WHERE k <= 50"""
 )
-def impact_of(spark: SparkSession, sf_dir: str, every: int = 400) -> DataFrame:
+def impact_of(spark: SparkSession, sf_dir: str, every: int = 20) -> DataFrame:
     g = graph(spark, sf_dir)
     return path_text(traverse.impact_groups(traverse.impact(some_columns(spark, sf_dir, every), g.nodes, g.edges, 3), 50))
 
 
 @query(
-    f"""{impact_sql("SELECT DISTINCT 'table:' || p_brand AS id FROM part WHERE p_partkey % 500 = 0", 3)}
+    f"""{impact_sql("SELECT DISTINCT 'table:' || p_brand AS id FROM part WHERE p_partkey % 20 = 0", 3)}
 SELECT seed, node, depth, CAST(confidence AS DOUBLE) AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY depth, node) AS k FROM impact WHERE type = 'route') WHERE k <= 50"""
 )
-def routes_touching(spark: SparkSession, sf_dir: str, every: int = 500) -> DataFrame:
+def routes_touching(spark: SparkSession, sf_dir: str, every: int = 20) -> DataFrame:
     g = graph(spark, sf_dir)
     tables = read(spark, sf_dir, "part").where(F.col("p_partkey") % every == 0).select(F.concat(F.lit("table:"), "p_brand").alias("id")).distinct()
     found = traverse.impact(tables, g.nodes, g.edges, 3).where("type = 'route'")
     return path_text(traverse.impact_groups(found, 50).select("seed", "node", "depth", "confidence"))
 
 
-_ROUTES = "SELECT e.src AS route, e.dst AS id, e.confidence FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY confidence DESC, dst) AS k FROM edges WHERE type = 'routes_to') e WHERE k = 1 AND e.src IN (SELECT 'route:' || c_custkey FROM customer WHERE c_custkey % 30 = 0)"
+_ROUTES = "SELECT e.src AS route, e.dst AS id, e.confidence FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY confidence DESC, dst) AS k FROM edges WHERE type = 'routes_to') e WHERE k = 1 AND e.src IN (SELECT 'route:' || c_custkey FROM customer WHERE c_custkey % 20 = 0)"
 
 
 def some_routes(spark: SparkSession, sf_dir: str, every: int) -> DataFrame:
@@ -325,7 +326,7 @@ _FLOW = f""", actions AS ({_ROUTES}){levels_sql("SELECT id, confidence FROM acti
 
 
 @query(f"{_FLOW} SELECT route, node, depth, CAST(confidence AS DOUBLE) AS confidence, array_to_string(path, '>') AS path FROM flow")
-def flow_methods(spark: SparkSession, sf_dir: str, every: int = 30) -> DataFrame:
+def flow_methods(spark: SparkSession, sf_dir: str, every: int = 20) -> DataFrame:
     g = graph(spark, sf_dir)
     return path_text(engine.flow_methods(g.nodes, g.edges, some_routes(spark, sf_dir, every), 3))
 
@@ -336,7 +337,7 @@ spent AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY route ORDER B
 best AS (SELECT route, grp, dst, depth, score FROM (SELECT *, row_number() OVER (PARTITION BY route, grp, dst ORDER BY score DESC, depth) AS b FROM spent) WHERE b = 1)
 SELECT route, grp AS "group", dst AS target, CAST(score AS DOUBLE) AS confidence, depth FROM (SELECT *, row_number() OVER (PARTITION BY route, grp ORDER BY score DESC, depth, dst) AS r FROM best) WHERE r <= 10"""
 )
-def flow_related(spark: SparkSession, sf_dir: str, every: int = 30) -> DataFrame:
+def flow_related(spark: SparkSession, sf_dir: str, every: int = 20) -> DataFrame:
     g = graph(spark, sf_dir)
     return path_text(engine.flow_related(engine.flow_methods(g.nodes, g.edges, some_routes(spark, sf_dir, every), 3), g.edges, 10, 0.5, 40))
 
@@ -349,8 +350,8 @@ def _neighbourhood_sql(seeds_sql: str, depth: int) -> str:
     return out
 
 
-@query(f"{_neighbourhood_sql(_EVERY.format(500), 2)} SELECT seed, node, confidence FROM n2")
-def neighbourhood(spark: SparkSession, sf_dir: str, every: int = 500) -> DataFrame:
+@query(f"{_neighbourhood_sql(_EVERY.format(20), 2)} SELECT seed, node, confidence FROM n2")
+def neighbourhood(spark: SparkSession, sf_dir: str, every: int = 20) -> DataFrame:
     return traverse.neighbourhood(some_methods(spark, sf_dir, every), graph(spark, sf_dir).edges, 2)
 
 
@@ -634,9 +635,9 @@ SELECT k, template FROM p JOIN t ON regexp_matches(path, pattern)""",
 )
 def uri_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     url = F.expr("CASE o_orderkey % 5 WHEN 0 THEN concat('/orders/', o_orderkey) WHEN 1 THEN concat('https://h.example/orders/', o_orderkey, '/notes?x=1') WHEN 2 THEN concat('/orders/1/notes/', o_orderkey, '/') WHEN 3 THEN concat('/customers/', o_custkey, '/orders#top') ELSE '/searchxhtml' END")
-    templates = spark.createDataFrame([(t,) for t in _TEMPLATE_ROWS], "template string").withColumn("pattern", text.uri_pattern(F.col("template")))
-    # the routes of one application; joined by a pattern, so broadcast
-    return read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), text.path_of(url).alias("path")).join(F.broadcast(templates), F.expr("path RLIKE pattern")).select("k", "template")
+    templates = text.with_shapes(spark.createDataFrame([(t,) for t in _TEMPLATE_ROWS], "template string"), "template").withColumn("pattern", text.uri_pattern(F.col("template")))
+    paths = text.with_segments(read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), text.path_of(url).alias("path")), "path")
+    return text.shape_join(paths, templates, []).where(F.expr("path RLIKE pattern")).select("k", "template")
 
 
 @query("SELECT p_partkey, CAST(ceil(strlen(p_name) / 4.0) AS BIGINT) AS tokens, (SELECT CAST(ceil(sum(strlen(text)) / 4.0) AS BIGINT) FROM documents) AS every FROM part", on_graph=False)
@@ -703,52 +704,63 @@ def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return of(read(spark, sf_dir, "events")).withColumns({"start": F.col("start").cast("timestamp_ntz"), "end": F.col("end").cast("timestamp_ntz")})
 
 
-# without SQL --------------------------------------------------------------------------------------------------------------
+# planner and packing ------------------------------------------------------------------------------------------------------
 
 
-@query()
+def ruled_levels_sql(seeds_sql: str, rules: dict, other: tuple[str, ...], direction: str, depth: int, prefix: str) -> str:
+    """levels_sql whose steps are admitted by the type of their near node."""
+    end = "src" if direction == "out" else "dst"
+    allowed = " OR ".join([f"(n.type = '{k}' AND e.type IN ({', '.join(repr(t) for t in v)}))" for k, v in rules.items() if v] + ([f"(n.type NOT IN ({', '.join(repr(k) for k in rules)}) AND e.type IN ({', '.join(repr(t) for t in other)}))"] if other else []))
+    plain = levels_sql(seeds_sql, ("?",), depth, direction=direction, prefix=prefix)
+    return plain.replace("FROM edges WHERE type IN ('?')", f"FROM (SELECT e.* FROM edges e JOIN nodes n ON e.{end} = n.id WHERE {allowed})", 1)
+
+
+_SEEDS8 = "SELECT id, CAST(relevance AS DECIMAL(5,4)) AS confidence FROM r ORDER BY relevance DESC, id LIMIT 8"
+_ROLE = "CASE {} " + " ".join(f"WHEN '{k}' THEN {w}" for k, w in planner.ROLE_WEIGHT.items()) + f" ELSE {planner.ROLE_OTHER} END"
+
+
+@query(
+    f""", {_MATCHES}, idf AS (SELECT term, ln(((SELECT count(*) FROM nodes) + 1) / (coalesce(n, 0) + 1)) + 1 AS idf FROM task LEFT JOIN (SELECT term, count(*) AS n FROM hit GROUP BY 1) USING (term)), r AS (SELECT id, round(least(0.90, 0.55 + 0.35 * sum(weight * idf) / (SELECT sum(idf) FROM idf)), 6) AS relevance FROM hit JOIN idf USING (term) GROUP BY id), chosen AS MATERIALIZED ({_SEEDS8})
+{ruled_levels_sql("SELECT * FROM chosen", schema.DOWNSTREAM, (), "out", 2, "d")}{ruled_levels_sql("SELECT * FROM chosen", schema.UPSTREAM, schema.UPSTREAM_OTHER, "in", 2, "u")}
+, every AS (SELECT id, 'seed' AS direction, 0 AS o, 0 AS depth, confidence FROM chosen UNION ALL SELECT node, 'downstream', 1, depth, confidence FROM dhits UNION ALL SELECT node, 'upstream', 2, depth, confidence FROM uhits),
+scored AS (SELECT e.*, n.type, round(least(1.0, e.confidence::DOUBLE * pow(0.9, e.depth) * {_ROLE.format("n.type")}), 6) AS score FROM every e JOIN nodes n USING (id))
+SELECT id, type, direction, depth, confidence::DOUBLE AS confidence, score FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, o, depth) AS k FROM scored) WHERE k = 1"""
+)
 def planner_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = graph(spark, sf_dir)
-    return path_text(planner.expand(planner.lexical_seeds(g.nodes, _TASK, 8), g.nodes, g.edges, 2))
+    return path_text(planner.expand(written(planner.lexical_seeds(g.nodes, _TASK, 8), "seeds"), g.nodes, g.edges, 2))
 
 
 @query()
 def span_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from latticework.plans.packing import Candidate, pack
-
-    top = read(spark, sf_dir, "documents").orderBy("doc_id").limit(8).collect()
-    sources = {str(r["doc_id"]): r["text"].split("\n") for r in top}
-    spans, left_out = pack([Candidate(str(r["doc_id"]), 1 + i, 3 + i, i % 3, 1 / (1 + i)) for i, r in enumerate(top)], sources, 4000)
+    """The spans that a budget lets read of all documents: candidates by priority, of which the packing reads 32 files."""
+    from latticework.plans.packing import FILES, Candidate, pack
+
+    lines = read(spark, sf_dir, "documents").select("doc_id", F.col("doc_id").cast("string").alias("file"), "text")
+    candidates = lines.select("file", (F.col("doc_id") % 7 + 1).cast("int").alias("start"), (F.col("doc_id") % 7 + 3).cast("int").alias("end"), (F.col("doc_id") % 3).cast("int").alias("priority"), (1 / (1 + F.col("doc_id") % 11)).alias("relevance"))
+    # the packing takes the first files by its own order; only their candidates and texts come to the driver
+    first = planner.candidate_files(candidates, FILES).select("file")
+    rows = candidates.join(first, "file", "left_semi").collect()
+    sources = {r["file"]: (r["text"] or "").split("\n") for r in lines.join(first, "file", "left_semi").collect()}
+    spans, left_out = pack([Candidate(r["file"], r["start"], r["end"], r["priority"], r["relevance"]) for r in rows], sources, 4000)
     return spark.createDataFrame([(*s, left_out) for s in spans], "file string, start int, end int, tokens int, left_out int")
 
 
-@query()
+@query("WITH x AS (SELECT user_id % 100 AS test, event_type AS file, epoch_us(ts) // 86400000000 AS captured_at, user_id AS session, event_id % 10 AS line FROM events), b AS (SELECT test, file, max((captured_at, session)) AS best FROM x GROUP BY test, file) SELECT test::VARCHAR AS test, file, captured_at, session, array_to_string(list_sort(list(DISTINCT line)), ',') AS lines FROM x JOIN b USING (test, file) WHERE (captured_at, session) = best GROUP BY ALL", on_graph=False)
 def streaming_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events as a stream of batches, upserted; the snapshot equals latest_capture over all of them."""
+    """The events as a stream of files, followed and upserted batch by batch; the snapshot has the last capture of each test."""
     import uuid
 
+    from latticework.runtime import shared_dir
     from latticework.streaming.observations import Snapshot
 
-    root = f"{spark.conf.get('spark.checkpoint.dir', None) or '/tmp/checkpoints'}/observations-{uuid.uuid4().hex}"
-    snapshot = Snapshot(spark, root)
-    events = read(spark, sf_dir, "events").select(F.col("event_type").alias("file"), (F.col("user_id") % 100).cast("string").alias("test"), F.expr("datediff(cast(ts AS date), date'1970-01-01')").cast("long").alias("captured_at"), F.col("user_id").alias("session"), F.array(F.col("event_id") % 10).alias("lines"), "event_id")
-    for part in range(3):
-        snapshot.upsert(events.where(F.col("event_id") % 3 == part))
-    return snapshot.read()
-
-
-def _whole(of: Callable[..., DataFrame]) -> None:
-    """Registers <query>_whole: the same over all keys as seeds. Its SQL is that of the query with the filter taken off."""
-
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return of(spark, sf_dir, every=1)
-
-    run.__name__ = f"{of.__name__}_whole"
-    query()(run)
-
-
-for _of in (ranked_edges_from_sources, traverse_min_conf, traverse_multi_seed, traverse_budget, impact_of, routes_touching, flow_methods, flow_related, neighbourhood):
-    _whole(_of)
+    root = f"{shared_dir(spark)}/observations-{uuid.uuid4().hex}"
+    events = read(spark, sf_dir, "events").select(F.col("event_type").alias("file"), (F.col("user_id") % 100).cast("string").alias("test"), F.expr("datediff(cast(ts AS date), date'1970-01-01')").cast("long").alias("captured_at"), F.col("user_id").alias("session"), F.array(F.col("event_id") % 10).alias("lines"))
+    events.repartition(3).write.parquet(f"{root}/in")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    snapshot = Snapshot(spark, f"{root}/out")
+    snapshot.follow(stream, f"{root}/checkpoint").awaitTermination()
+    return snapshot.read().withColumn("lines", F.array_join("lines", ","))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

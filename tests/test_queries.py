@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from latticework.plans import catalog, fact_queries  # noqa: F401
+from latticework.plans import catalog, engine_queries, fact_queries, source_queries  # noqa: F401
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -35,27 +35,3 @@ def test_query(spark, con, sf_dir, name):
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.SQL)))
 def test_query_without_sql(spark, sf_dir, name):
     assert catalog.QUERIES[name](spark, sf_dir).count() > 0
-
-
-WHOLE = {
-    "ranked_edges_from_sources": "% 50 = 0", "traverse_min_conf": "% 100 = 0", "traverse_multi_seed": "% 25 = 0", "traverse_budget": "% 200 = 0", "impact_of": "% 400 = 0",
-    "routes_touching": "% 500 = 0", "flow_methods": "% 30 = 0", "flow_related": "% 30 = 0", "neighbourhood": "% 500 = 0",
-}
-
-
-@pytest.mark.parametrize("name", sorted(WHOLE))
-def test_query_over_all_seeds(spark, con, sf_dir, name):
-    df = catalog.QUERIES[f"{name}_whole"](spark, sf_dir)
-    cols = sorted(df.columns)
-    assert catalog.SQL[name].count(WHOLE[name]) == 1
-    got = con.execute(catalog.SQL[name].replace(WHOLE[name], "% 1 = 0"))
-    names = [d[0] for d in got.description]
-    want = [[r[names.index(c)] for c in cols] for r in got.fetchall()]
-    assert rows([[r[c] for c in cols] for r in df.collect()]) == rows(want)
-
-
-def test_upserts_equal_the_last_captures(spark, sf_dir):
-    got = catalog.streaming_upsert(spark, sf_dir).collect()
-    want = catalog.latest_capture(spark, sf_dir).collect()
-    key = lambda r, c: (str(r["test"]), r["file"], r[c], r["session"])
-    assert sorted((*key(r, "captured_at"), ",".join(map(str, r["lines"]))) for r in got) == sorted((*key(r, "captured"), r["lines"]) for r in want)
