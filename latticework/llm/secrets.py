@@ -54,9 +54,8 @@ def _spans(text: Column, pattern: str, kind: int, keep=None) -> Column:
 
     Places are running sums, within blocks of matches and over the blocks, so that many matches do not cost their square.
     """
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     rest = F.split(text, pattern, -1)
-    pairs = F.transform(F.arrays_zip(found.alias("m"), F.slice(rest, 1, F.size(found)).alias("g")), lambda x: F.struct(x["m"].alias("m"), F.length(x["g"]).cast("long").alias("gap"), F.length(x["m"]).cast("long").alias("n")))
+    pairs = F.transform(F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.slice(rest, 1, F.size(rest) - 1).alias("g")), lambda x: F.struct(x["m"].alias("m"), F.length(x["g"]).cast("long").alias("gap"), F.length(x["m"]).cast("long").alias("n")))
 
     def placed(of: Column) -> Column:
         total = lambda block: F.aggregate(_part(of, block), F.lit(0).cast("long"), lambda a, x: a + x["gap"] + x["n"])
@@ -137,15 +136,16 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         "base_spans": F.concat(_spans(text, ASSIGN, 0, long_value), _spans(text, ACCESS, 1, lambda s: F.length(s["value"]) >= 20), _spans(text, HEX, 2)),
         "candidates": _spans(text, CANDIDATE, 3),
     })
-    # base spans in order, by blocks with their first start and last end: a candidate looks into the blocks that it meets
-    ordered = F.array_sort("base_spans")
-    grouped = F.transform(_blocks(F.size(ordered)), lambda k: F.struct(F.array_min(F.transform(_part(ordered, k), lambda s: s["start"])).alias("low"), F.array_max(F.transform(_part(ordered, k), lambda s: s["end"])).alias("high"), _part(ordered, k).alias("spans")))
+    # base spans in order, by blocks with their first start and last end: a candidate looks into the blocks that it meets.
+    # Both are bound as arguments, since a column that is used once is put in where it stands, and computed for every candidate
     meets = lambda s, c: (s["start"] < c["end"]) & (c["start"] < s["end"])
-    apart = lambda c: ~F.exists("groups", lambda g: (g["low"] < c["end"]) & (c["start"] < g["high"]) & F.exists(g["spans"], lambda s: meets(s, c)))
-    some = F.size("candidates") > 0
-    found = found.withColumn("groups", F.when(some, grouped))
-    extra = F.filter("candidates", lambda c: apart(c) & _suspicious(c))
-    spans = F.array_sort(F.concat("base_spans", F.when(some, extra).otherwise(F.col("candidates"))))
+    bounds = lambda part: F.struct(F.array_min(F.transform(part, lambda s: s["start"])).alias("low"), F.array_max(F.transform(part, lambda s: s["end"])).alias("high"), part.alias("spans"))
+    grouped = lambda ordered: F.transform(_blocks(F.size(ordered)), lambda k: bounds(_part(ordered, k)))
+    apart = lambda groups, c: ~F.exists(groups, lambda g: (g["low"] < c["end"]) & (c["start"] < g["high"]) & F.exists(g["spans"], lambda s: meets(s, c)))
+    chosen = lambda groups: F.filter("candidates", lambda c: apart(groups, c) & _suspicious(c))
+    once = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))
+    extra = once(F.array_sort("base_spans"), lambda ordered: once(grouped(ordered), chosen))
+    spans = F.array_sort(F.concat("base_spans", F.when(F.size("candidates") > 0, extra).otherwise(F.col("candidates"))))
     return found.select(*names, "scanned", spans.alias("spans"))
 
 
