@@ -13,7 +13,7 @@ broadcast is bounded by the sample.
 
 Defined results: a null or empty text has no segments and the score of such a document; without labelled documents of both
 classes every score is the prior 0.05; repeated ids in the labels count as toxic if any row says so; repeated documents give
-repeated rows, and count as often as they occur in all frequencies and fits.
+repeated rows, and count as often as they occur in the corpus frequencies, but once (the least of several texts) as labelled ones.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from latticework.llm.common import filtered, record_batch, steps
+from latticework.llm.common import filtered, record_batch, steps, written
 from latticework.llm.words import ALNUM, Lookup, Words, mix, words_of
 
 SAMPLE = 20_000
@@ -141,18 +141,17 @@ class Model:
         else:
             self.decay, self.scale = 1.0, (n + 0.5) / (words + 1.0) * math.e
 
-    def weigh(self, rows: list[tuple[list[float], int, int]]) -> None:
-        """Fits the logistic weights, from (features, toxic, number of such documents)."""
-        if len({y for _, y, _ in rows}) < 2:
+    def weigh(self, rows: list[tuple[list[float], int]]) -> None:
+        """Fits the logistic weights, from (features, toxic) of documents."""
+        if len({y for _, y in rows}) < 2:
             self.weights = None
             return
-        x, y, times = (np.array(v, float) for v in zip(*rows, strict=True))
-        times *= min(1.0, SAMPLE / times.sum())
+        x, y = (np.array(v, float) for v in zip(*rows, strict=True))
         w = np.zeros(x.shape[1])
         for _ in range(30):
             p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-            h = (x * (times * p * (1 - p))[:, None]).T @ x + np.eye(len(w)) * 0.1
-            w += np.clip(np.linalg.solve(h, x.T @ (times * (y - p)) - 0.1 * w), -2, 2)
+            h = (x * (p * (1 - p))[:, None]).T @ x + np.eye(len(w)) * 0.1
+            w += np.clip(np.linalg.solve(h, x.T @ (y - p) - 0.1 * w), -2, 2)
         self.weights = w
 
 
@@ -168,10 +167,10 @@ def fit(docs: DataFrame, labels: DataFrame, use: Callable[[Column], Column], id_
     chosen = known.withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(sample).collect()
     # three quarters for the words' scores, one for the calibration
     role = {r["doc_id"]: (2 if r["h"] % 4 else 0) + (1 if r["y"] else 0) for r in chosen}
-    roles = spark.sparkContext.broadcast(role)
     plain = _plain(docs, id_col, text_col)
-    # at most as many ids as the sample; its documents alone go to Python
-    sampled = plain.join(F.broadcast(spark.createDataFrame(list(role.items()), "doc_id long, role int")), "doc_id")
+    # at most as many ids as the sample, each of them once
+    wanted = F.broadcast(spark.createDataFrame(list(role.items()), "doc_id long, role int"))
+    sampled = written(plain.join(wanted, "doc_id").groupBy("doc_id", "role").agg(F.min("text").alias("text")).select("doc_id", "role", "text"), "labelled")
 
     def toxic_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: list[np.ndarray] = []
@@ -194,38 +193,38 @@ def fit(docs: DataFrame, labels: DataFrame, use: Callable[[Column], Column], id_
     keys = np.sort(np.array([r["key"] for r in frequent], np.int64).view(np.uint64))
     sent = spark.sparkContext.broadcast(keys)
 
-    def corpus_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(key, n): in how many documents each feature is; the number of documents under key -1."""
         lookup, m = Lookup(sent.value), len(sent.value)
-        total = np.zeros((3, m), np.int64)  # documents of the corpus, toxic ones, clean ones
-        docs_of = np.zeros(3, np.int64)  # the same for documents
-        for ids, texts in steps(batches):
+        total, n_docs = np.zeros(m, np.int64), 0
+        for _, texts in steps(batches):
             words = words_of(texts, ALNUM)
-            kinds = np.array([roles.value.get(i, -1) for i in ids])
-            docs_of += [len(ids), (kinds == 3).sum(), (kinds == 2).sum()]
+            n_docs += len(texts)
             at = lookup.places(features_of(words))
             word, _ = np.nonzero(at >= 0)
-            pairs = np.unique(words.doc[word] * m + at[at >= 0])
-            doc, key = pairs // m, pairs % m
-            kind = kinds[doc]
-            np.add.at(total[0], key, 1)
-            np.add.at(total[1], key[kind == 3], 1)
-            np.add.at(total[2], key[kind == 2], 1)
-        some = np.flatnonzero(total[0])
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), *(pa.array(np.append(t[some], docs_of[i])) for i, t in enumerate(total))], names=["key", "n", "toxic", "clean"])
-
-    rows = plain.mapInArrow(corpus_counts, "key long, n long, toxic long, clean long").groupBy("key").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).collect() if len(keys) else []
-    # rows of documents, as the features are counted: a repeated document counts as often as it occurs
-    n_docs, n_toxic, n_clean = (sum(r[c] for r in rows if r["key"] == -1) for c in ("n", "toxic", "clean"))
-    rows = sorted((r for r in rows if r["key"] >= 0), key=lambda r: r["key"])
+            total += np.bincount(np.unique(words.doc[word] * m + at[at >= 0]) % m, minlength=m)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(total[some], n_docs))], names=["key", "n"])
+
+    def counted_in(rows: DataFrame) -> tuple[np.ndarray, int]:
+        # as many rows as there are features, and one
+        found = rows.select("doc_id", "text").mapInArrow(counts, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).collect()
+        n = np.zeros(len(keys))
+        for r in found:
+            if r["key"] >= 0:
+                n[r["key"]] = r["n"]
+        return n, sum(r["n"] for r in found if r["key"] < 0)
+
     model = Model(np.zeros(0, np.uint64), np.zeros(0))
-    if rows and n_clean and n_toxic:
-        corpus, toxic, clean = (np.array([r[c] for r in rows], float) for c in ("n", "toxic", "clean"))
-        share = PRIOR * corpus / n_docs + 0.01
-        odds = lambda y, n: np.log((y + share) / (n + PRIOR + 0.02 - y - share))
-        delta = odds(toxic, n_toxic) - odds(clean, n_clean)
-        z = delta / np.sqrt(1 / (toxic + share) + 1 / (clean + share))
-        keep = (z >= LEAST_Z) & (delta > -DRIFT)
-        model = Model(keys[[r["key"] for r in rows]][keep], np.minimum(delta[keep], 6.0))
+    if len(keys):
+        (corpus, n_docs), (toxic, n_toxic), (clean, n_clean) = (counted_in(d) for d in (plain, sampled.where("role = 3"), sampled.where("role = 2")))
+        if n_clean and n_toxic:
+            share = PRIOR * corpus / n_docs + 0.01
+            odds = lambda y, n: np.log((y + share) / (n + PRIOR + 0.02 - y - share))
+            delta = odds(toxic, n_toxic) - odds(clean, n_clean)
+            z = delta / np.sqrt(1 / (toxic + share) + 1 / (clean + share))
+            keep = (z >= LEAST_Z) & (delta > -DRIFT)
+            model = Model(keys[keep], np.minimum(delta[keep], 6.0))
     fitted = spark.sparkContext.broadcast(model)
 
     def clean_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,9 +249,9 @@ def fit(docs: DataFrame, labels: DataFrame, use: Callable[[Column], Column], id_
             counts, segs = lawful.value.segments(texts)
             yield record_batch({"x": [lawful.value.features(n, s) for n, s in zip(counts.tolist(), segs, strict=True)], "y": keys}, {"x": pa.list_(pa.float64()), "y": pa.int64()})
 
-    # at most as many rows as there are different texts in the sample
-    got = sampled.where("role < 2").select(F.col("role").cast("long").alias("y"), "text").mapInArrow(sample_features, "x array<double>, y long").groupBy("x", "y").count().collect()
-    model.weigh(sorted((list(r["x"]), r["y"], r["count"]) for r in got))
+    # at most as many rows as the sample, of six numbers
+    got = sampled.where("role < 2").select(F.col("role").cast("long").alias("y"), "text").mapInArrow(sample_features, "x array<double>, y long").collect()
+    model.weigh(sorted((list(r["x"]), r["y"]) for r in got))
     return model
 
 
