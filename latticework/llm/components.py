@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from latticework.llm.common import discard, written
@@ -65,9 +65,11 @@ def _with_least(rows: DataFrame, hubs: DataFrame, others: DataFrame) -> DataFram
     return of_hubs.unionByName(marked.where("hub IS NULL").select("u", "v").join(others, "u").select("u", "v", "m"))
 
 
-def _state(edges: DataFrame) -> tuple:
-    h = F.xxhash64("u", "v")
-    return tuple(edges.agg(F.count("*"), F.bit_xor(h), F.sum(h % 1_000_003)).first())
+def _edges(rows: DataFrame) -> tuple[DataFrame, tuple]:
+    """Edges (u, v), each once, written, and what tells whether they changed, observed on the way."""
+    h, seen = F.xxhash64("u", "v"), Observation()
+    out = written(rows.where("u <> v").distinct().observe(seen, F.count("*").alias("n"), F.bit_xor(h).alias("x"), F.sum(h % 1_000_003).alias("s")), "edges")
+    return out, (seen.get["n"], seen.get["x"], seen.get["s"])
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -77,15 +79,13 @@ def components(edges: DataFrame) -> DataFrame:
     until nothing changes. A round is two joins on nodes with pre-aggregated minima, in which a hub's edges stay where they are;
     its edges go to the shared folder. The number of rounds grows with the logarithm of the nodes, and has no other limit.
     """
-    e = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    state = _state(e)
+    e, state = _edges(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")))
     while state[0]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _with_least(both.where("v > u"), *_least(both, state[0])).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = _with_least(both.where("v > u"), *_least(both, state[0])).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         large = written(large, "edges")
-        down = _with_least(large, *_least(large, state[0])).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x"))
-        new = written(down.select("x.u", "x.v").where("u <> v").distinct(), "edges")
-        seen = _state(new)
+        small = _with_least(large, *_least(large, state[0])).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x"))
+        new, seen = _edges(small.select("x.u", "x.v"))
         discard(e, large)
         e = new
         if seen == state:

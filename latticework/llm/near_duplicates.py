@@ -8,7 +8,9 @@
 3. Classes that share a band key and whose sketches (two bits of each slot) are not far below the threshold are joined to
    clusters. A large bucket is dealt out in blocks; every pair of blocks is compared in its own task, which returns no more
    links than it has rows.
-4. Clusters are verified on full sets of both hashes, again by pairs of blocks, and the confirmed links give the components.
+4. Clusters are verified on full sets of both hashes, and the confirmed links give the components. A cluster of one block is
+   compared whole. In a larger one each class is first compared with one other, which settles it if those links make it one
+   component; what is left is compared by pairs of blocks.
 
 A pair at the threshold shares no band with probability 5e-6 or less; later steps lose none.
 
@@ -146,6 +148,15 @@ def linked(sets: list[np.ndarray], percent: int = PERCENT) -> np.ndarray:
     return (100 * common >= percent * union) & (common > 0)
 
 
+def similar(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
+    """Whether 100 * intersection >= percent * union, for two sets."""
+    if not len(a) or not len(b):
+        return False
+    at = np.minimum(np.searchsorted(a[:, 0], b[:, 0]), len(a) - 1)
+    common = int((a[at] == b).all(1).sum())
+    return common > 0 and 100 * common >= percent * (len(a) + len(b) - common)
+
+
 _SIGNED = {"doc_id": pa.int64(), "n": pa.int64(), "f1": pa.int64(), "f2": pa.int64(), "bands": pa.list_(pa.int64()), "sketch": pa.list_(pa.int64())}
 
 
@@ -236,13 +247,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sizes = bands.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
     members = bands.join(sizes, "band").join(classes.select("class", "n", "sketch"), "class")
     dealt = _block_pairs(members, "band", "class", F.ceil(F.col("size") / BLOCK)).select("band", "i", "j", "own", "class", "n", "sketch")
-    clusters = written(components(dealt.mapInArrow(_sketch_links, "a long, b long")), "clusters")
+    links = written(dealt.mapInArrow(_sketch_links, "a long, b long").distinct(), "links")
+    clusters = written(components(links), "clusters")
+
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        """wanted (class, and other long columns) with the set of each class's text."""
+        names = wanted.columns
 
-    def set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keyed = (pa.RecordBatch.from_arrays([b.select(["class", "cluster", "nb"]).to_struct_array(), b.column("text")], names=["key", "text"]) for b in batches)
-        for keys, texts in steps(keyed):
-            sets = [s.tobytes() for s in shingle_sets(texts, size)]
-            yield record_batch({"class": [k["class"] for k in keys], "cluster": [k["cluster"] for k in keys], "nb": [k["nb"] for k in keys], "set": sets}, {"class": pa.int64(), "cluster": pa.int64(), "nb": pa.int64(), "set": pa.binary()})
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            keyed = (pa.RecordBatch.from_arrays([b.select(names).to_struct_array(), b.column("text")], names=["key", "text"]) for b in batches)
+            for keys, texts in steps(keyed):
+                out = {c: [k[c] for k in keys] for c in names} | {"set": [s.tobytes() for s in shingle_sets(texts, size)]}
+                yield record_batch(out, {c: pa.int64() for c in names} | {"set": pa.binary()})
+
+        texts = plain.join(wanted, plain["doc_id"] == wanted["class"]).select(*names, "text")
+        return texts.mapInArrow(run, ", ".join(f"{c} long" for c in names) + ", set binary")
 
     def set_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def pairs() -> Iterator[tuple[int, int]]:
@@ -255,12 +274,34 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
         yield from _edge_batches(pairs())
 
+    def star_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (parent, salt, role, class, set), the parent's own (role 0) before the others of its group, which stream past."""
+
+        def pairs() -> Iterator[tuple[int, int]]:
+            group, own = None, np.zeros((0, 2), np.uint64)
+            for b in batches:
+                for parent, salt, role, x, raw in zip(*(b.column(c).to_pylist() for c in ("parent", "salt", "role", "class", "set")), strict=True):
+                    rows = np.frombuffer(raw, np.uint64).reshape(-1, 2)
+                    if role == 0:
+                        group, own = (parent, salt), rows
+                    elif group == (parent, salt) and similar(own, rows, percent):
+                        yield x, parent
+
+        yield from _edge_batches(pairs())
+
     weighed = clusters.select(F.col("node").alias("class"), F.col("component").alias("cluster")).join(classes.select("class", "n"), "class")
-    load = weighed.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / SET_BLOCK), F.ceil(F.sum("n") * 16 / SET_BYTES)).cast("long").alias("nb"))
-    wanted = weighed.join(load, "cluster").select("class", "cluster", "nb")
-    texts = plain.join(wanted, plain["doc_id"] == wanted["class"]).select("class", "cluster", "nb", "text")
-    sets = texts.mapInArrow(set_rows, "class long, cluster long, nb long, set binary")
-    verified = _block_pairs(sets, "cluster", "class", F.col("nb")).select("cluster", "i", "j", "own", "class", "set").mapInArrow(set_links, "a long, b long")
+    load = weighed.groupBy("cluster").agg(F.count_distinct("class").alias("members"), F.greatest(F.ceil(F.count("*") / SET_BLOCK), F.ceil(F.sum("n") * 16 / SET_BYTES)).cast("long").alias("nb"))
+    placed = written(weighed.join(load, "cluster").select("class", "cluster", "nb", "members"), "placed")
+    # In a cluster of several blocks each class is first compared with the least one that it has a link to. If all but one of
+    # its classes are confirmed so, the links are a tree, for all lead to smaller ones, and the cluster is one component.
+    up = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy(F.col("a").alias("class")).agg(F.min("b").alias("parent")).where("parent < class")
+    star = up.join(placed.where("nb > 1"), "class").select("class", "parent", F.pmod(F.xxhash64("class"), F.col("nb")).alias("salt")).distinct()
+    needs = star.withColumn("role", F.lit(1).cast("long")).unionByName(star.select(F.col("parent").alias("class"), "parent", "salt").distinct().withColumn("role", F.lit(0).cast("long")))
+    starred = written(sets_of(needs).repartition("parent", "salt").sortWithinPartitions("parent", "salt", "role").select("parent", "salt", "role", "class", "set").mapInArrow(star_links, "a long, b long").distinct(), "starred")
+    trees = starred.select(F.col("a").alias("class")).join(placed.select("class", "cluster", "members").distinct(), "class").groupBy("cluster").agg(F.count("*").alias("edges"), F.first("members").alias("of")).where("edges = of - 1").select("cluster")
+    wanted = placed.join(trees, "cluster", "left_anti").select("class", "cluster", "nb")
+    compared = _block_pairs(sets_of(wanted), "cluster", "class", F.col("nb")).select("cluster", "i", "j", "own", "class", "set").mapInArrow(set_links, "a long, b long")
+    verified = compared.unionByName(starred)
     found = written(components(verified), "components")
     of_class = classes.select("f1", "f2", "n", "class").join(found.select(F.col("node").alias("class"), "component"), "class", "left").select("f1", "f2", "n", F.coalesce("component", "class").alias("component"))
     out = signed.select("doc_id", "n", "f1", "f2").join(of_class, ["f1", "f2", "n"], "left")
