@@ -209,7 +209,8 @@ def merge_fold(edges: Column, length: Column, atom: Column, singles: Column) ->
 def viterbi_fold(edges: Column, length: Column) -> Column:
     """Ids of the path of the best sum of scores, from edges array<struct<rank,at,n,id>> (rank: score negated).
 
-    The state is the best path to each end position so far; ties go to the longer last edge.
+    The state is the best path to each end position so far; ties go to the longer last edge. (The library adds in single
+    precision over a whole text, and may choose another of several paths whose sums are equal but for that.)
     """
     state = "array<struct<cost:double,ids:array<int>>>"
 
