@@ -409,7 +409,7 @@ def nodes_for_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verify.nodes_for_files(graph(spark, sf_dir).nodes, spark.createDataFrame([("app/F.src",), ("app/O.src",), ("app/none",)], "path string"), 1000)
 
 
-@query(f"{_GENERATIONS}, total AS (SELECT category, count(*) AS n FROM diff GROUP BY 1), o AS (SELECT category, n, row_number() OVER (ORDER BY CASE category WHEN 'writes' THEN 2 WHEN 'routes' THEN 4 WHEN 'nodes' THEN 6 ELSE 7 END) AS i, count(*) OVER () AS m FROM total), r AS (SELECT d.*, row_number() OVER (PARTITION BY category ORDER BY entity, identity, CASE kind WHEN 'removed' THEN 0 WHEN 'changed' THEN 1 ELSE 2 END) AS rank FROM diff d), share AS (SELECT category, least(n, ceil(24.0 / m)) AS s, min(n) OVER () AS least FROM o) SELECT category, entity, identity, kind, rank::INTEGER AS rank FROM r JOIN share USING (category) WHERE rank <= s")
+@query(f"{_GENERATIONS}, total AS (SELECT category, count(*) AS n FROM diff GROUP BY 1), turns AS (SELECT category, n, row_number() OVER (ORDER BY CASE category WHEN 'writes' THEN 2 WHEN 'routes' THEN 4 WHEN 'nodes' THEN 6 ELSE 7 END) AS i, count(*) OVER () AS m FROM total), r AS (SELECT d.*, row_number() OVER (PARTITION BY category ORDER BY entity, identity, CASE kind WHEN 'removed' THEN 0 WHEN 'changed' THEN 1 ELSE 2 END) AS rank FROM diff d), share AS (SELECT category, least(n, ceil(24.0 / m)) AS s FROM turns) SELECT category, entity, identity, kind, rank::INTEGER AS rank FROM r JOIN share USING (category) WHERE rank <= s")
 def fair_details(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diff.fair_details(diff.changes(*generations(spark, sf_dir)), 24).select("category", "entity", "identity", "kind", "rank")
 

@@ -100,14 +100,17 @@ def relationships(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facts.relationships(calls, known).withColumn("methods", F.array_join("methods", ","))
 
 
+_SHORT = "'S' || CASE WHEN p_partkey % 3 = 2 THEN p_partkey - 1 ELSE p_partkey END"
+
+
 @query(
-    "WITH m AS (SELECT p_type AS short, min(p_partkey) AS model, count(*) AS n FROM part WHERE p_size < 3 GROUP BY 1), c AS (SELECT s_suppkey AS policy, (SELECT p_type FROM part WHERE p_partkey = s_suppkey) AS short FROM supplier) SELECT model, min(policy) AS policy FROM c JOIN m USING (short) WHERE n = 1 GROUP BY model",
+    f"WITH m AS (SELECT {_SHORT} AS short, min(p_partkey) AS model FROM part GROUP BY 1 HAVING count(*) = 1), c AS (SELECT s_suppkey AS policy, 'S' || s_suppkey % 60 AS short FROM supplier) SELECT model, min(policy) AS policy FROM c JOIN m USING (short) GROUP BY model",
     on_graph=False,
 )
 def convention_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = read(spark, sf_dir, "part")
-    classes = read(spark, sf_dir, "supplier").join(part, F.col("s_suppkey") == F.col("p_partkey")).select(F.col("s_suppkey").alias("class"), F.concat("p_type", F.lit("Policy")).alias("short"))
-    return facts.convention_policies(classes, part.where("p_size < 3").select(F.col("p_partkey").alias("class"), F.col("p_type").alias("short")))
+    short = F.concat(F.lit("S"), (F.col("p_partkey") - (F.col("p_partkey") % 3 == 2).cast("long")).cast("string"))
+    classes = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("class"), F.concat(F.lit("S"), (F.col("s_suppkey") % 60).cast("string"), F.lit("Policy")).alias("short"))
+    return facts.convention_policies(classes, read(spark, sf_dir, "part").select(F.col("p_partkey").alias("class"), short.alias("short")))
 
 
 @query(
@@ -156,3 +159,16 @@ def schema_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     sql = F.concat(F.lit("-- a; comment\nCREATE TABLE `t"), key, F.lit("` (\n  `id` bigint unsigned NOT NULL AUTO_INCREMENT,\n  `name` varchar(25) DEFAULT 'x;''y', /* c */\n  r int NOT NULL COMMENT 'a, b',\n  PRIMARY KEY (`id`),\n  CONSTRAINT fk"), region, F.lit(" FOREIGN KEY (r) REFERENCES region (id) ON DELETE CASCADE\n);\nCREATE UNIQUE INDEX by_name ON t"), key, F.lit(" (name);"))
     dumps = read(spark, sf_dir, "nation").select(key.alias("source"), sql.alias("sql"))
     return schema_dump.graph(schema_dump.parsed(dumps))[1]
+
+
+_DUMP = r"""SELECT 't' || n_nationkey AS tbl, 'a' AS name, 'varchar(' || n_nationkey + 1 || ')' AS type, true AS nullable, 'it\''s, (' || n_regionkey AS "default", false AS auto_increment, NULL AS comment FROM nation UNION ALL SELECT 't' || n_nationkey, 'b', 'int', n_nationkey % 2 = 0, NULL, n_nationkey % 2 = 1, 'o''k, ' || n_regionkey FROM nation UNION ALL SELECT 't' || n_nationkey, 'c', 'int', true, '(x #> y)', false, NULL FROM nation"""
+
+
+@query(_DUMP, on_graph=False)
+def schema_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attributes of the columns of dumps with escapes, brackets and number signs inside of values."""
+    key, region = F.col("n_nationkey").cast("string"), F.col("n_regionkey").cast("string")
+    odd = F.when(F.col("n_nationkey") % 2 == 1, " NOT NULL AUTO_INCREMENT").otherwise("")
+    sql = F.concat(F.lit("/* t; */ CREATE TABLE t"), key, F.lit(" (a varchar("), (F.col("n_nationkey") + 1).cast("string"), F.lit(") DEFAULT 'it\\'s, ("), region, F.lit("', b int"), odd, F.lit(" COMMENT 'o\\'k, "), region, F.lit("', c int DEFAULT (x #> y));"))
+    tables = schema_dump.parsed(read(spark, sf_dir, "nation").select(key.alias("source"), sql.alias("sql")))
+    return tables.select(F.col("name").alias("tbl"), F.explode("columns").alias("c")).select("tbl", "c.*")

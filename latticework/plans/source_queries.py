@@ -325,13 +325,6 @@ def callable_semantics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return requests.callable_semantics(calls, rules).select("p_partkey", "kind", "meaning")
 
 
-@query("SELECT class AS model, min(policy) AS policy FROM (SELECT 'm' || min(p_partkey) AS class, p_name AS short FROM part GROUP BY p_name HAVING count(*) = 1) m JOIN (SELECT 'p' || s_suppkey AS policy, (SELECT p_name FROM part WHERE p_partkey = s_suppkey) AS short FROM supplier) USING (short) GROUP BY class", on_graph=False)
-def named_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p, s = read(spark, sf_dir, "part"), read(spark, sf_dir, "supplier")
-    classes = s.join(p, F.col("s_suppkey") == F.col("p_partkey")).select(name("p", "s_suppkey").alias("class"), F.concat("p_name", F.lit("Policy")).alias("short"))
-    return facts.convention_policies(classes, p.select(name("m", "p_partkey").alias("class"), F.col("p_name").alias("short")))
-
-
 # accesses -----------------------------------------------------------------------------------------------------------------
 
 _EXPRESSIONS = """WITH RECURSIVE e AS (SELECT o_orderkey AS id, o_custkey % 30 AS scope, 'C' || o_custkey % 30 AS class, CASE WHEN o_orderkey > 20 AND o_orderkey % 3 = 0 THEN 'method' ELSE ['this', 'variable', 'property', 'new', 'container', 'collect', 'validator', 'static'][o_orderkey % 8 + 1] END AS kind, CASE WHEN o_orderkey % 8 IN (3, 4) AND NOT (o_orderkey > 20 AND o_orderkey % 3 = 0) THEN 'C' || o_orderkey % 40 ELSE 'n' || o_orderkey % 4 END AS name, o_orderkey // 2 AS receiver FROM orders),
