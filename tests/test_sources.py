@@ -10,7 +10,20 @@ from latticework.sources import facts, files, schema_dump
 
 
 def test_statements_respect_quotes_and_comments():
-    assert schema_dump.statements("a 'x;y' -- b;\n; /* c; */ d \"e;\"\";\" ;; # f;\n g") == ["a 'x;y'", "d \"e;\"\";\"", "g"]
+    assert schema_dump.statements("a 'x;y' -- b;\n; /* c; */ d \"e;\"\";\" ;; -- f;\r g") == ["a 'x;y'", "d \"e;\"\";\"", "g"]
+
+
+def test_dumps_with_escapes_and_number_signs():
+    one, two = schema_dump.parse(r"""CREATE TABLE t (a varchar(9) DEFAULT 'it\'s, (x', b int COMMENT 'o\'k, b', c int DEFAULT (x #> y), d int DEFAULT "q;"); CREATE TABLE u (e int NOT NULL); -- x; y""")
+    assert [(c["name"], c["default"], c["comment"]) for c in one["columns"]] == [("a", r"it\'s, (x", None), ("b", None, "o'k, b"), ("c", "(x #> y)", None), ("d", "q;", None)]
+    assert [c["name"] for c in two["columns"]] == ["e"]
+
+
+def test_directive_arguments():
+    read = lambda s: files.directive_arguments(s, s.index("("))
+    assert read("x('a, (b', [1, 2], f(3)) tail") == ["'a, (b'", "[1, 2]", "f(3)"]
+    assert read(r"x('it\'s, ok', \"(\")".replace('\\"', '"')) == [r"'it\'s, ok'", '"("']
+    assert read("x('open, ") is None and read("x()") == [""]
 
 
 def test_schema_dump():
