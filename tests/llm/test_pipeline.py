@@ -4,7 +4,7 @@ import re
 
 import corpus_pipeline
 import pytest
-from latticework.llm import decontamination, near_duplicates, secrets
+from latticework.llm import decontamination, near_duplicates, secrets, toxicity
 from latticework.llm.common import written
 from latticework.llm.queries import tokenizer_path
 
@@ -34,6 +34,21 @@ def test_toxicity_drops_and_keeps_whole_rows(stages):
     assert after.items() <= before.items() and len(after) > 0.8 * len(before)
 
 
+def test_toxicity_keeps_what_scores_below_the_threshold(spark, sf_dir, stages):
+    docs, after = stages["toxicity"]
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), toxicity.in_training)
+    scores = {r["doc_id"]: r["score"] for r in toxicity.toxic_passages(docs, model).collect()}
+    assert set(texts(after)) == {i for i, x in scores.items() if x < toxicity.THRESHOLD}
+
+
+def test_minhash_keeps_rows_of_one_id_together(spark):
+    words = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, words, "en"), (2, words + " more", "en"), (3, "quite another text of six words", "en"), (3, "and a second text under that id", "en"), (3, "and a second text under that id", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = sorted((r["doc_id"], r["text"]) for r in corpus_pipeline.minhash(spark, docs, "").collect())
+    assert kept == sorted({(i, t) for i, t, _ in rows if i != 2})
+
+
 def test_minhash_keeps_the_first_of_each_group(stages):
     before, after = map(texts, stages["minhash"])
     groups = near_duplicates.brute_force(list(before.items()))
