@@ -48,32 +48,38 @@ class Gru:
 
     # the recurrence ---------------------------------------------------------------------------------------------------
 
-    def run(self, x: np.ndarray, h: np.ndarray, keep: bool) -> tuple[np.ndarray, list]:
+    def run(self, x: np.ndarray, h: np.ndarray, keep: bool) -> tuple[np.ndarray, tuple]:
         """States after each input of a window (time, lane), and what backpropagation needs."""
         k = h.shape[1]
         u = self.p["u"]
-        inputs = (self.table if hasattr(self, "table") else self.p["e"] + self.p["b"])[x]
+        if hasattr(self, "table"):
+            inputs = self.table[x]
+        else:
+            inputs = self.p["e"][x]
+            inputs += self.p["b"]
         live = (x != END)[..., None]
-        out, saved = np.empty((len(x), len(h), k), np.float32), []
+        shape = (len(x), len(h), k) if keep else (1, len(h), k)
+        # a row for each time where backpropagation follows, else one that is written over
+        before, candidate, gates, inner = np.empty(shape, np.float32), np.empty(shape, np.float32), np.empty((*shape[:2], 2 * k), np.float32), np.empty((*shape[:2], 3 * k), np.float32)
+        out = np.empty((len(x), len(h), k), np.float32)
         for t in range(len(x)):
-            h = h * live[t]
-            a, g = inputs[t], h @ u
-            gates = a[:, : 2 * k] + g[:, : 2 * k]
-            np.negative(gates, out=gates)
-            np.exp(gates, out=gates)
-            gates += 1
-            np.reciprocal(gates, out=gates)
-            z, r = gates[:, :k], gates[:, k:]
-            n = r * g[:, 2 * k :]
+            i = t if keep else 0
+            a, b, n, g = inputs[t], before[i], candidate[i], inner[i]
+            np.multiply(h, live[t], out=b)
+            np.matmul(b, u, out=g)
+            gate = np.add(a[:, : 2 * k], g[:, : 2 * k], out=gates[i])
+            np.negative(gate, out=gate)
+            np.exp(gate, out=gate)
+            gate += 1
+            np.reciprocal(gate, out=gate)
+            np.multiply(gate[:, k:], g[:, 2 * k :], out=n)
             n += a[:, 2 * k :]
             np.tanh(n, out=n)
-            new = h - n
-            new *= z
+            new = np.subtract(b, n, out=out[t])
+            new *= gate[:, :k]
             new += n
-            if keep:
-                saved.append((x[t], h, gates, n, g[:, 2 * k :]))
-            out[t] = h = new
-        return out, saved
+            h = new
+        return out, (x, before, gates, candidate, inner[..., 2 * k :])
 
     # the output -------------------------------------------------------------------------------------------------------
 
@@ -124,11 +130,11 @@ class Gru:
 
     # learning ---------------------------------------------------------------------------------------------------------
 
-    def backward(self, saved: list, dhs: np.ndarray, grad: dict) -> np.ndarray:
-        """Adds the gradients of a window; returns the words whose rows of e have any."""
+    def backward(self, saved: tuple, dhs: np.ndarray, grad: dict) -> tuple[np.ndarray, np.ndarray]:
+        """Adds the gradients of a window; returns the words whose rows of e have any, and these rows."""
         k = dhs.shape[2]
         back = np.ascontiguousarray(self.p["u"].T)
-        x, h, gates, n, gn = (np.stack(v) for v in zip(*saved, strict=True))
+        x, h, gates, n, gn = saved
         z, r = gates[..., :k], gates[..., k:]
         live = (x != END)[..., None]
         # what the gradient of a state is multiplied by, for each gate, over the whole window
@@ -141,7 +147,7 @@ class Gru:
         np.multiply(new * gn, r * (1 - r), out=by[..., k : 2 * k])
         da, dg = np.empty_like(by), np.empty_like(by)
         carried = np.zeros_like(dhs[0])
-        for t in reversed(range(len(saved))):
+        for t in reversed(range(len(x))):
             d = dhs[t] + carried
             np.multiply(by[t].reshape(-1, 3, k), d[:, None], out=da[t].reshape(-1, 3, k))
             dg[t] = da[t]
@@ -157,8 +163,7 @@ class Gru:
         order = np.argsort(w.astype(np.uint16) if len(self.cls) <= 1 << 16 else w, kind="stable")
         w = w[order]
         first = np.flatnonzero(np.diff(w, prepend=-1))
-        grad["e"][w[first]] += np.add.reduceat(da[order], first, axis=0)
-        return w[first]
+        return w[first], np.add.reduceat(da[order], first, axis=0)
 
     def train(self, lanes: np.ndarray, rate: float = 0.1, window: int = WINDOW) -> int:
         """One pass over lanes (time, lane) of words, -1 where a lane is over; returns the words learned from.
@@ -178,18 +183,17 @@ class Gru:
             x, y, h = np.maximum(x_all[t : t + window, :live], 0), y[:, :live], h[:live]
             hs, saved = self.run(x, h, True)
             h = hs[-1]
-            grad = {name: np.zeros_like(v) for name, v in self.p.items()}
+            grad = {name: np.zeros_like(v) for name, v in self.p.items() if name != "e"}
             flat, ok = np.maximum(y, 0).ravel(), (y >= 0).ravel()
             _, dh = self.log_prob(hs.reshape(-1, hs.shape[2])[ok], flat[ok], grad)
             dhs = np.zeros((len(flat), hs.shape[2]), np.float32)
             dhs[ok] = dh
-            used = self.backward(saved, dhs.reshape(hs.shape), grad)
+            used, grad["e"] = self.backward(saved, dhs.reshape(hs.shape), grad)
             n = int(ok.sum())
             seen += n
             for name, g in grad.items():
                 # rows of e without a gradient stay as they are
                 rows = used if name == "e" else slice(None)
-                g = g[rows]
                 g /= full  # the same for all windows, so that a few long lanes at the end weigh little
                 np.clip(g, -1, 1, out=g)
                 squares = self.squares[name][rows] + g * g

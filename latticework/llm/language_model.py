@@ -6,8 +6,10 @@ one word never seen, so that a text's score is the logarithm of a proper probabi
 
 Learning: every training document is read once. In a first round each task learns from an eighth of its documents (by a hash
 of their id), in a second from the others, beginning from the round's common parameters; after a round the parameters are
-averaged, weighted by the words learned from, in blocks that are summed by a shuffle. The state runs through whole documents;
-gradients run through every window of it.
+averaged, weighted by the words learned from, in blocks that are summed by two shuffles (by block and salt, then by block). The
+state runs through whole documents; gradients run through every window of it. Which documents a task learns from follows the
+splits of the table, so the score of the same rows in other files differs by what tasks learn apart; the counts and base_score
+do not.
 
 Scoring: frequent words' counts (a bounded number) are sent to all tasks; the other words of a document are joined with the
 counts. Long and short documents share lanes; the state of a document is carried to its end.
@@ -30,10 +32,12 @@ from latticework.llm.common import steps, written
 from latticework.llm.gru import END, Gru, laid_out, stream
 from latticework.llm.words import words_of
 
-VOCABULARY, CLASSES, RATE = 2046, 64, 0.3
+VOCABULARY, CLASSES, RATE = 2046, 40, 0.3
 #: Counted words sent to all tasks at most; tokens put into lanes at once; lanes when learning; parameters of a block.
 FREQUENT, BUFFER, LEARN_LANES, BLOCK = 1 << 17, 3 << 19, 192, 1 << 13
 FLUSH = 1 << 19
+#: Shares that the sum of a block of parameters is computed in first.
+SALTS = 64
 UNKNOWN = 1
 #: Stands for the end token among the hashes of words.
 END_HASH = np.int64(-0x61C8864680B583EB)
@@ -177,7 +181,7 @@ def learned(plain: DataFrame, vocabulary: Vocabulary) -> Gru:
                 yield pa.RecordBatch.from_arrays([pa.array(range(len(starts)), pa.int32()), pa.array([seen] * len(starts), pa.int64()), pa.array([(flat[i : i + BLOCK] * seen).tobytes() for i in starts], pa.binary())], names=["block", "seen", "sum"])
 
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            """Sums of the rows of each block in a task; applied before the shuffle's end and after it."""
+            """Sums of the rows of each block in a task; applied to every block's salted shares, then to their sums."""
             sums: dict[int, list] = {}
             for b in batches:
                 for block, seen, raw in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
@@ -193,7 +197,8 @@ def learned(plain: DataFrame, vocabulary: Vocabulary) -> Gru:
         schema = "block int, seen long, sum binary"
         made = plain.where(F.col("training") & chosen).select("doc_id", "text").mapInArrow(learn, schema)
         # as many rows as the model has blocks come to the driver
-        rows = written(made, "learned").repartition("block").mapInArrow(add, schema).collect()
+        shares = written(made.withColumn("salt", F.spark_partition_id() % SALTS), "learned").repartition("block", "salt").drop("salt").mapInArrow(add, schema)
+        rows = shares.repartition("block").mapInArrow(add, schema).collect()
         if rows:
             total: dict[int, tuple[int, np.ndarray]] = {r["block"]: (r["seen"], np.frombuffer(r["sum"], np.float64)) for r in rows}
             flat = np.concatenate([total[k][1] / total[k][0] for k in sorted(total)]).astype(np.float32)
