@@ -128,24 +128,55 @@ def _ruled(steps: DataFrame, nodes: DataFrame, rules: dict[str, tuple[str, ...]]
     return steps.join(nodes.select(F.col("id").alias("near"), "type"), "near").where(allowed).drop("type")
 
 
+def _impact(seeds: DataFrame, nodes: DataFrame, edges: DataFrame, depth: int, least: float) -> tuple[DataFrame, DataFrame]:
+    """(start, node, type, depth, confidence) of all that each start reaches, and the start of each seed (seed, start).
+
+    Seeds whose only step leads to the same node at the same confidence share all that follows, and start as one; a seed's own
+    row is among theirs if a path leads back to it.
+    """
+    steps = written(_ruled(directed(edges, tuple(sorted({t for v in schema.IMPACT.values() for t in v})), "in"), nodes, schema.IMPACT), "steps")
+    floor = F.lit(str(least)).cast(schema.PATH_CONFIDENCE)
+    one = F.lit("1").cast(schema.PATH_CONFIDENCE)
+
+    def level(frontier: DataFrame) -> DataFrame:
+        reached = frontier.join(steps, F.col("node") == F.col("near")).select("start", F.col("far").alias("node"), product(F.col("confidence"), F.col("weight")).alias("confidence")).where(F.col("confidence") >= floor)
+        return reached.groupBy("start", "node").agg(F.max("confidence").alias("confidence"))
+
+    ids = seeds.select(F.col("id").alias("seed")).distinct()
+    own = ids.select(F.col("seed").alias("start"), F.col("seed").alias("node"), F.lit(0).alias("depth"), one.alias("confidence"))
+    first = written(level(own).where("node <> start"), "frontier")
+    only = first.groupBy("start").agg(F.count("*").alias("n"), F.min("node").alias("to"), F.min("confidence").alias("at"))
+    starts = written(ids.join(only.withColumnRenamed("start", "seed"), "seed").select("seed", F.when(F.col("n") == 1, F.concat_ws("\u0001", "to", F.col("at").cast("string"))).otherwise(F.col("seed")).alias("start")), "starts")
+    shared = F.col("start") != F.col("seed")
+    kept = [
+        written(starts.where(~shared).select("start", F.col("seed").alias("node"), F.lit(0).alias("depth"), one.alias("confidence")), "frontier"),
+        written(first.withColumnRenamed("start", "seed").join(starts, "seed").select("start", "node", F.lit(1).alias("depth"), "confidence").distinct(), "frontier"),
+    ]
+    for d in range(2, depth + 1):
+        known = _union(kept).groupBy("start", "node").agg(F.max("confidence").alias("best"))
+        kept.append(written(level(kept[-1]).join(known, ["start", "node"], "left").where("best IS NULL OR confidence > best").select("start", "node", F.lit(d).alias("depth"), "confidence"), "frontier"))
+    best = _union(kept[1 : depth + 1] if depth else [kept[0].limit(0)]).groupBy("start", "node").agg(F.min(F.struct((-F.col("confidence")).alias("c"), "depth")).alias("s"))
+    named = best.join(nodes.select(F.col("id").alias("node"), "type"), "node")
+    return named.select("start", "node", "type", F.col("s.depth").alias("depth"), (-F.col("s.c")).cast(schema.PATH_CONFIDENCE).alias("confidence")), starts
+
+
 def impact(seeds: DataFrame, nodes: DataFrame, edges: DataFrame, depth: int = 4, least: float = 0.0) -> DataFrame:
     """seed, node, type, depth, confidence of everything that a seed's change can reach, against the edges.
 
     What a node lets pass depends on its type. A node is kept at a depth only if its confidence there is above that at every
     smaller depth; a seed dominates itself.
     """
-    steps = written(_ruled(directed(edges, tuple(sorted({t for v in schema.IMPACT.values() for t in v})), "in"), nodes, schema.IMPACT), "steps")
-    floor = F.lit(str(least)).cast(schema.PATH_CONFIDENCE)
-    kept = [written(seeds.select(F.col("id").alias("seed"), F.col("id").alias("node"), F.lit(0).alias("depth"), F.lit("1").cast(schema.PATH_CONFIDENCE).alias("confidence")), "frontier")]
-    for d in range(1, depth + 1):
-        reached = kept[-1].join(steps, F.col("node") == F.col("near")).select("seed", F.col("far").alias("node"), product(F.col("confidence"), F.col("weight")).alias("confidence")).where(F.col("confidence") >= floor)
-        level = reached.groupBy("seed", "node").agg(F.max("confidence").alias("confidence"))
-        known = _union(kept).groupBy("seed", "node").agg(F.max("confidence").alias("best"))
-        kept.append(written(level.join(known, ["seed", "node"], "left").where("best IS NULL OR confidence > best").select("seed", "node", F.lit(d).alias("depth"), "confidence"), "frontier"))
-    kept = kept[1:]
-    best = _union(kept).groupBy("seed", "node").agg(F.min(F.struct((-F.col("confidence")).alias("c"), "depth")).alias("s"))
-    named = best.join(nodes.select(F.col("id").alias("node"), "type"), "node")
-    return named.select("seed", "node", "type", F.col("s.depth").alias("depth"), (-F.col("s.c")).cast(schema.PATH_CONFIDENCE).alias("confidence"))
+    found, starts = _impact(seeds, nodes, edges, depth, least)
+    return found.join(starts, "start").where("node <> seed").select("seed", "node", "type", "depth", "confidence")
+
+
+def impact_top(seeds: DataFrame, nodes: DataFrame, edges: DataFrame, limit: int, depth: int = 4, least: float = 0.0, kind: str | None = None) -> DataFrame:
+    """impact_groups(impact(...), limit): the ranks are taken by start, with one row more for the seed itself, before starts become seeds."""
+    found, starts = _impact(seeds, nodes, edges, depth, least)
+    found = found.where(F.col("type") == kind) if kind else found
+    order = Window.partitionBy("start", "type").orderBy("depth", "node")
+    few = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit + 1).drop("rank")
+    return impact_groups(few.join(starts, "start").where("node <> seed").select("seed", "node", "type", "depth", "confidence"), limit)
 
 
 def impact_groups(found: DataFrame, limit: int) -> DataFrame:

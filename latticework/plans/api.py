@@ -81,8 +81,8 @@ QUERIES = {
     "callers-of": lambda e, t, d, n, c: traverse.traverse(e._seed(t), e.edges, ("calls",), "in", d, c, n),
     "calls-from": lambda e, t, d, n, c: traverse.traverse(e._seed(t), e.edges, ("calls",), "out", d, c, n),
     "flow-from": lambda e, t, d, n, c: flow(e, t, d, n, c),
-    "impact-of": lambda e, t, d, n, c: traverse.impact_groups(traverse.impact(e._seed(t), e.nodes, e.edges, d, c), n).orderBy("type", "depth", "node"),
-    "routes-touching": lambda e, t, d, n, c: traverse.impact_groups(traverse.impact(e._seed(t), e.nodes, e.edges, d, c).where("type = 'route'"), n),
+    "impact-of": lambda e, t, d, n, c: traverse.impact_top(e._seed(t), e.nodes, e.edges, n, d, c).orderBy("type", "depth", "node"),
+    "routes-touching": lambda e, t, d, n, c: traverse.impact_top(e._seed(t), e.nodes, e.edges, n, d, c, "route"),
     "models": lambda e, t, d, n, c: engine.models(e.nodes, e.edges, n),
     "tables": lambda e, t, d, n, c: engine.tables(e.nodes, e.edges, n),
     "context": lambda e, t, d, n, c: planner.expand(planner.lexical_seeds(e.nodes, t), e.nodes, e.edges, min(d, 4), c).orderBy(F.desc("score"), "id").limit(n),

@@ -1,6 +1,6 @@
 """The engine's queries over the relational tables, each with the SQL that gives the same rows.
 
-The graph is that of sources.bench_graph. Parameters are those of the reference entry points: depths of up to 4, limits of 50.
+The graph is that of sources.bench_graph. Parameters are those of the named queries: depths of up to 4, limits of 50.
 """
 
 from __future__ import annotations
@@ -298,7 +298,7 @@ SELECT seed, node, type, depth, CAST(confidence AS DOUBLE) AS confidence, CAST(k
 )
 def impact_of(spark: SparkSession, sf_dir: str, every: int = 20) -> DataFrame:
     g = graph(spark, sf_dir)
-    return path_text(traverse.impact_groups(traverse.impact(some_columns(spark, sf_dir, every), g.nodes, g.edges, 3), 50))
+    return path_text(traverse.impact_top(some_columns(spark, sf_dir, every), g.nodes, g.edges, 50, 3))
 
 
 @query(
@@ -308,8 +308,8 @@ SELECT seed, node, depth, CAST(confidence AS DOUBLE) AS confidence FROM (SELECT
 def routes_touching(spark: SparkSession, sf_dir: str, every: int = 20) -> DataFrame:
     g = graph(spark, sf_dir)
     tables = read(spark, sf_dir, "part").where(F.col("p_partkey") % every == 0).select(F.concat(F.lit("table:"), "p_brand").alias("id")).distinct()
-    found = traverse.impact(tables, g.nodes, g.edges, 3).where("type = 'route'")
-    return path_text(traverse.impact_groups(found, 50).select("seed", "node", "depth", "confidence"))
+    found = traverse.impact_top(tables, g.nodes, g.edges, 50, 3, kind="route")
+    return path_text(found.select("seed", "node", "depth", "confidence"))
 
 
 _ROUTES = "SELECT e.src AS route, e.dst AS id, e.confidence FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY confidence DESC, dst) AS k FROM edges WHERE type = 'routes_to') e WHERE k = 1 AND e.src IN (SELECT 'route:' || c_custkey FROM customer WHERE c_custkey % 20 = 0)"

@@ -269,8 +269,8 @@ def capped_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """, h AS (SELECT CASE o_orderkey % 2 WHEN 0 THEN 'downstream' ELSE 'upstream' END AS direction, 'p' || o_custkey % 60 || '>' || 'q' || o_orderkey % 2 AS path, max(round(o_totalprice / 1000000, 4)) AS confidence, 2 AS depth, o_custkey % 60 % 5 AS evidence FROM orders GROUP BY ALL),
-t AS (SELECT * FROM h ORDER BY confidence DESC, depth, path LIMIT 32) SELECT direction, path, confidence, evidence::INTEGER AS evidence FROM (SELECT *, sum(evidence) OVER (ORDER BY confidence DESC, depth, path ROWS UNBOUNDED PRECEDING) AS spent FROM t) WHERE spent <= 40"""
+    """, h AS (SELECT CASE o_orderkey % 2 WHEN 0 THEN 'downstream' ELSE 'upstream' END AS direction, ['p' || o_custkey % 60, 'q' || o_orderkey % 2] AS path, max(round(o_totalprice / 1000000, 4)) AS confidence, 2 AS depth, o_custkey % 60 % 5 AS evidence FROM orders GROUP BY ALL),
+t AS (SELECT * FROM h ORDER BY confidence DESC, depth, path LIMIT 32) SELECT direction, array_to_string(path, '>') AS path, confidence, evidence::INTEGER AS evidence FROM (SELECT *, sum(evidence) OVER (ORDER BY confidence DESC, depth, path ROWS UNBOUNDED PRECEDING) AS spent FROM t) WHERE spent <= 40"""
 )
 def shown_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, c = F.col("o_orderkey"), F.col("o_custkey") % 60
