@@ -36,7 +36,7 @@ C_OTHER, C_LETTER, C_DIGIT, C_BLANK, C_SPACE, C_QUOTE, C_ONE, C_R, C_V, C_E, C_L
 BEFORE, BEFORE_LAST = 1, 2
 CHUNK = 512
 #: Bounds of what a worker remembers; beyond them it starts anew, with the same results.
-MAX_STATES, MAX_WORDS, MAX_MAPS = 200_000, 400_000, 10_000
+MAX_STATES, MAX_WORDS, MAX_MAPS, MAX_FOLLOWS = 200_000, 400_000, 10_000, 500_000
 #: Characters of the longest pre-token whose count is remembered.
 REMEMBERED = 256
 
@@ -174,7 +174,7 @@ class Counter:
 
     def reset(self) -> None:
         start = ((0, -1, 0),)
-        self.follows: dict[tuple[int, int], bool] = {}
+        self.follows: dict[int, bool] = {}
         #: State maps of chunks of long pre-tokens, as far as they are known: the state after it, and the tokens that it adds.
         self.maps: dict[bytes, dict[int, tuple[int, int]]] = {}
         self.states = {start: 0}
@@ -185,7 +185,8 @@ class Counter:
         """Whether no merge of the two tokens' parts across their border precedes the merges that made them."""
         if left < 0:
             return True
-        known = self.follows.get((left, right))
+        key = left << 32 | right
+        known = self.follows.get(key)
         if known is None:
             a, b, newest = left, right, len(self.parts)
             known = True
@@ -202,7 +203,9 @@ class Counter:
                     newest, b = b + 1, self.parts[b][0]
                 else:
                     newest, a = a, self.parts[a][1]
-            self.follows[left, right] = known
+            if len(self.follows) > MAX_FOLLOWS:
+                self.follows.clear()
+            self.follows[key] = known
         return known
 
     def arc(self, state: int, byte: int) -> tuple[int, int]:
@@ -234,7 +237,7 @@ class Counter:
         return state, total
 
     def count(self, word: bytes) -> int:
-        if len(self.opened) > MAX_STATES or len(self.follows) > MAX_STATES or len(self.maps) > MAX_MAPS:
+        if len(self.opened) > MAX_STATES or len(self.maps) > MAX_MAPS:
             self.reset()
         if len(word) <= CHUNK:
             return self.run(0, word)[1]
