@@ -450,6 +450,13 @@ def test_words_of_equal_polynomials_differ(spark):
     assert [near_duplicates.similar(sets[i], sets[j]) for i, j in ((0, 1), (0, 2), (1, 2), (0, 0))] == [False, True, False, True]
 
 
+def test_documents_without_links(spark):
+    docs = spark.createDataFrame([(i, " ".join(f"w{i}x{j}" for j in range(30))) for i in range(40)], "doc_id long, text string").repartition(3)
+    rows = near_duplicates.near_duplicates(docs).collect()
+    assert len(rows) == 40 and all(r["kept"] and r["component_id"] == r["doc_id"] for r in rows)
+    assert components(docs.select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b"))).collect() == []
+
+
 def test_large_buckets_are_compared_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(near_duplicates, "BLOCK", 8)
     monkeypatch.setattr(near_duplicates, "SET_BLOCK", 6)
