@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from latticework.llm.common import record_batch, steps, written
-from latticework.llm.components import components, spanning
+from latticework.llm.components import HUBS, LEAST_HUB, components, spanning
 from latticework.llm.words import mix, words_of
 
 SHINGLE, PERCENT = 5, 75
@@ -291,15 +291,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     weighed = clusters.select(F.col("node").alias("class"), F.col("component").alias("cluster")).join(classes.select("class", "n"), "class")
     load = weighed.groupBy("cluster").agg(F.count_distinct("class").alias("members"), F.greatest(F.ceil(F.count("*") / SET_BLOCK), F.ceil(F.sum("n") * 16 / SET_BYTES)).cast("long").alias("nb"))
-    placed = written(weighed.join(load, "cluster").select("class", "cluster", "nb", "members"), "placed")
+    # clusters of more than most members are few, and their rows stay where they are; all others are shuffled
+    most = max(LEAST_HUB, clusters.count() // HUBS)
+    load = written(load, "load")
+    heavy = F.broadcast(load.where(F.col("members") > most))
+    rest = weighed.join(heavy.select("cluster"), "cluster", "left_anti").join(load.where(F.col("members") <= most), "cluster")
+    placed = written(weighed.join(heavy, "cluster").unionByName(rest).select("class", "cluster", "nb", "members"), "placed")
     # In a cluster of several blocks each class is first compared with the least one that it has a link to. If all but one of
     # its classes are confirmed so, the links are a tree, for all lead to smaller ones, and the cluster is one component.
     up = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy(F.col("a").alias("class")).agg(F.min("b").alias("parent")).where("parent < class")
     star = up.join(placed.where("nb > 1"), "class").select("class", "parent", F.pmod(F.xxhash64("class"), F.col("nb")).alias("salt")).distinct()
     needs = star.withColumn("role", F.lit(1).cast("long")).unionByName(star.select(F.col("parent").alias("class"), "parent", "salt").distinct().withColumn("role", F.lit(0).cast("long")))
     starred = written(sets_of(needs).repartition("parent", "salt").sortWithinPartitions("parent", "salt", "role").select("parent", "salt", "role", "class", "set").mapInArrow(star_links, "a long, b long").distinct(), "starred")
-    trees = starred.select(F.col("a").alias("class")).join(placed.select("class", "cluster", "members").distinct(), "class").groupBy("cluster").agg(F.count("*").alias("edges"), F.first("members").alias("of")).where("edges = of - 1").select("cluster")
-    wanted = placed.join(trees, "cluster", "left_anti").select("class", "cluster", "nb")
+    trees = starred.select(F.col("a").alias("class")).join(placed.select("class", "cluster", "members").distinct(), "class").groupBy("cluster").agg(F.count("*").alias("edges"), F.first("members").alias("of")).where("edges = of - 1").select("cluster", "of")
+    trees = written(trees, "trees")
+    of_heavy = placed.where(F.col("members") > most).join(F.broadcast(trees.where(F.col("of") > most)), "cluster", "left_anti")
+    wanted = placed.where(F.col("members") <= most).join(trees.where(F.col("of") <= most), "cluster", "left_anti").unionByName(of_heavy).select("class", "cluster", "nb")
     compared = _block_pairs(sets_of(wanted), "cluster", "class", F.col("nb")).select("cluster", "i", "j", "own", "class", "set").mapInArrow(set_links, "a long, b long")
     verified = compared.unionByName(starred)
     found = written(components(verified), "components")

@@ -460,6 +460,7 @@ def test_documents_without_links(spark):
 def test_large_buckets_are_compared_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(near_duplicates, "BLOCK", 8)
     monkeypatch.setattr(near_duplicates, "SET_BLOCK", 6)
+    monkeypatch.setattr(near_duplicates, "LEAST_HUB", 20)
     rows = list(enumerate(near_copies(random.Random(9), 70)))
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_duplicates.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == near_duplicates.brute_force(rows)
