@@ -32,6 +32,8 @@ WINDOW = 10
 #: Bytes of benchmark text searched for in one pass.
 BLOCK_BYTES = 8 << 20
 STRETCH = 256
+#: Bytes of the smallest block whose searchers a worker keeps for its next task.
+KEPT = 1 << 20
 #: Bytes compared directly at a time.
 COMPARED = 1 << 20
 
@@ -163,7 +165,9 @@ _compiled: dict[str, list[Searcher]] = {}
 
 
 def compiled(block: tuple[str, list[tuple[int, bytes]]], window: int) -> list[Searcher]:
-    """Searchers of a named block of items, made once a worker, which takes its tasks in turn."""
+    """Searchers of a named block of items, made once a worker, which takes its tasks in turn; those of a small block are not kept."""
+    if sum(len(t) for _, t in block[1]) < KEPT:
+        return compile_items(block[1], window)
     key = f"{block[0]} {window}"
     if key not in _compiled:
         _compiled.clear()
