@@ -52,6 +52,11 @@ def expression_types(expressions: DataFrame, variables: DataFrame, properties: D
     return out.where("type IS NOT NULL")
 
 
+def _hundredths(c: Column) -> Column:
+    """Two places of a product of doubles as SQL engines round it: 0.3 * 0.95 is below 0.285, which its decimal digits hide."""
+    return F.round(c * 100) / 100
+
+
 def access_steps(roots: DataFrame, steps: DataFrame, relationships: DataFrame, depth: int = 8) -> DataFrame:
     """(id, operation, kind, class, tbl, relationship, confidence): the access at each step of call chains on models and tables.
 
@@ -70,7 +75,7 @@ def access_steps(roots: DataFrame, steps: DataFrame, relationships: DataFrame, d
         ends = F.col("operation").isin(*READ_OPERATIONS, *WRITE_OPERATIONS)
         at = at.where(F.col("of").isNotNull() | passes | ends)
         kind = F.when(F.col("of").isNotNull(), "relationship").when(passes & (F.col("kind") == "model"), "model_query").otherwise(F.col("kind"))
-        confidence = F.when(F.col("of").isNotNull(), F.round(F.col("confidence") * F.coalesce("r", F.lit(0.7)), 2)).when(passes, F.round(F.col("confidence") * F.when(F.col("scope"), 0.95).otherwise(1.0), 2)).otherwise(F.col("confidence"))
+        confidence = F.when(F.col("of").isNotNull(), _hundredths(F.col("confidence") * F.coalesce("r", F.lit(0.7)))).when(passes, _hundredths(F.col("confidence") * F.when(F.col("scope"), 0.95).otherwise(1.0))).otherwise(F.col("confidence"))
         row = at.select("id", "operation", kind.alias("kind"), "class", "tbl", F.coalesce("of", "relationship").alias("relationship"), confidence.alias("confidence"), (F.col("of").isNotNull() | passes).alias("open"))
         shown = row.drop("open").withColumn("position", F.lit(k))
         out = shown if out is None else out.unionByName(shown)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from latticework.operators import store, verify
 from latticework.plans import api
-from latticework.sources import facts, files, schema_dump
+from latticework.sources import accesses, facts, files, schema_dump
 
 
 def test_statements_respect_quotes_and_comments():
@@ -55,6 +55,13 @@ def test_methods_are_found_up_the_hierarchy(spark):
     assert [(r["caller"], r["reason"], r["n"], r["first"]) for r in facts.diagnostics(missing).collect()] == [("y", "unresolved_method", 1, ["none"])]
 
 
+def test_confidences_of_access_steps_round_as_sql(spark):
+    roots = spark.createDataFrame([(1, "variable", "C", "t", 0.3)], "id int, kind string, class string, tbl string, confidence double")
+    steps = spark.createDataFrame([(1, 1, "active", True)], "id int, position int, operation string, scope boolean")
+    relationships = spark.createDataFrame([], "class string, method string, target_table string, pivot_table string, confidence double")
+    assert [r["confidence"] for r in accesses.access_steps(roots, steps, relationships).collect()] == [0.28]  # SQL's round(0.3 * 0.95, 2)
+
+
 def test_listeners_handlers_and_modes(spark):
     rows = spark.createDataFrame([("L", "handle", "E", 0.85, 0.9, True), ("M", "handle", "E", 1.0, 1.0, False)], "listener string, method string, event string, confidence double, binding double, proven boolean")
     listens, handled = facts.listeners(rows)
