@@ -370,7 +370,9 @@ SELECT id, position, op AS operation, kind, class, tbl, relationship, confidence
 def access_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col("o_custkey")
     roots = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), pick(("this", "new", "static", "variable", "table"), c % 5).alias("kind"), name("C", c % 20).alias("class"), name("t", c % 9).alias("tbl"), F.lit(0.7).alias("confidence"))
-    steps = read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("position")).agg(F.min_by("l_suppkey", "l_partkey").alias("s"))
+    # SQL's order leaves items of the same part open; here the least supplier counts, wherever the rows lie. Nulls come last
+    first = F.min(F.struct(F.col("l_partkey").isNull().alias("none"), "l_partkey", "l_suppkey"))
+    steps = read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("position")).agg(first["l_suppkey"].alias("s"))
     operation = pick(("where", "rel", "active", "first", "unknown", "orderBy", "save"), F.col("s") % 7)
     return accesses.access_steps(roots, steps.select("id", "position", operation.alias("operation"), (F.col("s") % 7 == 2).alias("scope")), _relations(spark))
 

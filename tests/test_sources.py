@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from latticework.operators import store, verify
-from latticework.plans import api
+from latticework.plans import api, source_queries
 from latticework.sources import accesses, facts, files, schema_dump
 
 
@@ -62,6 +62,14 @@ def test_confidences_of_access_steps_round_as_sql(spark):
     assert [r["confidence"] for r in accesses.access_steps(roots, steps, relationships).collect()] == [0.28]  # SQL's round(0.3 * 0.95, 2)
 
 
+def test_access_steps_of_items_in_any_order(spark, tmp_path):
+    spark.createDataFrame([(1, 10), (2, 10)], "o_orderkey long, o_custkey long").write.parquet(str(tmp_path / "orders.parquet"))
+    items = [(1, 1, 5, 7), (1, 1, 5, 9), (2, 1, None, 7), (2, 1, 6, 9)]
+    for i in (1, -1):
+        spark.createDataFrame(items[::i], "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long").coalesce(1).write.mode("overwrite").parquet(str(tmp_path / "lineitem.parquet"))
+        assert {(r["id"], r["operation"]) for r in source_queries.access_steps(spark, str(tmp_path)).collect()} == {(1, "where"), (2, "active")}
+
+
 def test_listeners_handlers_and_modes(spark):
     rows = spark.createDataFrame([("L", "handle", "E", 0.85, 0.9, True), ("M", "handle", "E", 1.0, 1.0, False)], "listener string, method string, event string, confidence double, binding double, proven boolean")
     listens, handled = facts.listeners(rows)
