@@ -23,19 +23,20 @@ def merge_ranges(ranges: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys, "island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("island")
 
 
-def overlaps(ranges: DataFrame, spans: DataFrame, key: str, width: int = 256) -> DataFrame:
-    """Ranges cut to the spans of the same key that they meet: (key, id, start, end).
+def overlaps(ranges: DataFrame, spans: DataFrame, key: str, width: int = 256, keep: str | None = None) -> DataFrame:
+    """Ranges cut to the spans of the same key that they meet: (key, id, start, end), and keep of the range, if given.
 
     Both are dealt to tiles of so many lines, so that the join is an equi-join on (key, tile); a pair counts in the first
     tile it shares. Long ranges cost a row a tile.
     """
     tiles = lambda df, s, e: df.withColumn("tile_", F.explode(F.sequence(F.floor(F.col(s) / width), F.floor(F.col(e) / width))))
-    r = tiles(ranges.select(F.col(key).alias("key_"), F.col("start").alias("rs_"), F.col("end").alias("re_")), "rs_", "re_").withColumnRenamed("tile_", "rt_")
+    also = [keep] if keep else []
+    r = tiles(ranges.select(F.col(key).alias("key_"), F.col("start").alias("rs_"), F.col("end").alias("re_"), *also), "rs_", "re_").withColumnRenamed("tile_", "rt_")
     s = tiles(spans.select(F.col(key).alias("own_"), F.col("id").alias("id_"), F.col("start").alias("ss_"), F.col("end").alias("se_")), "ss_", "se_")
     j = s.join(r, (F.col("own_") == F.col("key_")) & (F.col("tile_") == F.col("rt_")))
     first = F.floor(F.greatest("rs_", "ss_") / width)
     met = j.where((F.col("rs_") <= F.col("se_")) & (F.col("re_") >= F.col("ss_")) & (F.col("tile_") == first))
-    return met.select(F.col("own_").alias(key), F.col("id_").alias("id"), F.greatest("rs_", "ss_").alias("start"), F.least("re_", "se_").alias("end"))
+    return met.select(F.col("own_").alias(key), F.col("id_").alias("id"), F.greatest("rs_", "ss_").alias("start"), F.least("re_", "se_").alias("end"), *also)
 
 
 def freshness(expected: Column, current: Column, known: Column) -> Column:
@@ -128,11 +129,10 @@ def observed_edges(captures: DataFrame, manifest: DataFrame, symbols: DataFrame)
     seen = F.concat_ws("#", "session", "test").alias("observation")
     src = F.concat(F.lit("test:"), "test").alias("src")
     files = rows.select(src, F.concat(F.lit("source_file:"), "file").alias("dst"), F.lit("runtime_covers").alias("type"), "freshness", seen).distinct()
-    keyed = rows.select(F.concat_ws("\u0001", "test", "session", "freshness", "file").alias("k"), "file", "start", "end").distinct()
-    spans = symbols.join(rows.select(F.concat_ws("\u0001", "test", "session", "freshness", "file").alias("k"), "file").distinct(), "file").select("k", "id", "start", "end")
-    met = overlaps(merge_ranges(keyed, ["k"]), spans, "k").select("k", "id").distinct()
-    part = F.split("k", "\u0001")
-    of_symbols = met.select(F.concat(F.lit("test:"), part[0]).alias("src"), F.col("id").alias("dst"), F.lit("runtime_covers").alias("type"), part[2].alias("freshness"), F.concat_ws("#", part[1], part[0]).alias("observation"))
+    spans = rows.select("file", "start", "end").distinct()  # tests share them, so symbols meet each once
+    met = overlaps(spans.withColumn("span", F.struct("start", "end")), symbols, "file", keep="span").select("file", "span.start", "span.end", "id").distinct()
+    each = rows.select("test", "session", "freshness", "file", "start", "end").join(met, ["file", "start", "end"]).select("test", "session", "freshness", "id").distinct()
+    of_symbols = each.select(src, F.col("id").alias("dst"), F.lit("runtime_covers").alias("type"), "freshness", seen)
     touched = now.select("test", "session", F.explode("tables").alias("table"))
     tables = touched.select(src, F.concat(F.lit("table:"), "table").alias("dst"), F.lit("runtime_touches_table").alias("type"), F.lit("unverified").alias("freshness"), seen).distinct()
     return files.unionByName(of_symbols).unionByName(tables)

@@ -36,3 +36,17 @@ def frames(spark):
     nodes = spark.createDataFrame(NODES, "id string, type string, label string, name string, file string, line int, end_line int")
     edges = spark.createDataFrame(EDGES, "src string, dst string, type string, confidence double").withColumn("confidence", F.col("confidence").cast("decimal(9,8)"))
     return nodes, edges
+
+
+def most(df, kind: str, metric: str) -> int:
+    """The largest value of a metric among the operators of a kind, in the plan that gives df's rows."""
+    df.collect()
+
+    def values(node):
+        name = node.nodeName()
+        yield from (node.metrics().apply(metric).value() for _ in range(kind in name and node.metrics().contains(metric)))
+        inner = node.executedPlan() if name == "AdaptiveSparkPlan" else node.plan() if "QueryStage" in name else None
+        for child in [inner] if inner else [node.children().apply(i) for i in range(node.children().size())]:
+            yield from values(child)
+
+    return max(values(df._jdf.queryExecution().executedPlan()))

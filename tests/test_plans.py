@@ -60,6 +60,16 @@ def test_captures_become_edges(spark, g, tmp_path):
     assert edges == {("test:T::a", "source_file:app/NoteService.src"): ("verified", 1.0), ("test:T::a", "NoteService::save"): ("verified", 1.0), ("test:T::a", "table:notes"): ("unverified", 0.7)}
 
 
+def test_symbols_are_paired_only_with_tests_that_meet_them(spark):
+    sources = [{"file": "f", "sha256": "h", "ranges": [[1, 9], [300, 600]]}]
+    captures = spark.createDataFrame([(f"t{i}", None, None, "s", 1, sources, [], []) for i in range(200)], observe.CAPTURE)
+    symbols = spark.createDataFrame([(f"m{i}", "f", 10 * i, 10 * i + 4) for i in range(1000)], "id string, file string, start int, end int")
+    edges = observe.observed_edges(captures, spark.createDataFrame([("f", "h")], "path string, hash string"), symbols)
+    met = {(r["src"], r["dst"]) for r in edges.collect() if r["dst"].startswith("m")}
+    assert met == {(f"test:t{i}", f"m{j}") for i in range(200) for j in (0, *range(30, 61))}
+    assert graphs.most(edges, "Join", "numOutputRows") <= 200 * 32
+
+
 def test_page_components(spark):
     df = spark.createDataFrame([('{"component":"A/B"}',), ('<div data-page="{&quot;component&quot;:&quot;C&quot;}">',), ("plain",)], "r string")
     assert [r[0] for r in df.select(observe.page_component(F.col("r"))).collect()] == ["A/B", "C", None]
