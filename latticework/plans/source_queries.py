@@ -233,16 +233,16 @@ e AS (SELECT DISTINCT registration, route FROM g JOIN r ON known AND composed =
 matches AS (SELECT registration, route, 'exact' AS certainty FROM e UNION ALL SELECT registration, min(route), 'possible' FROM l GROUP BY 1 HAVING count(*) = 1)"""
 
 
-def _registered(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _registered(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     k, o, c = F.col("c_custkey"), F.col("o_orderkey"), F.col("o_custkey")
     routes = read(spark, sf_dir, "customer").select(name("r", k).alias("route"), pick(("GET", "POST"), k % 2).alias("method"), F.concat(F.lit("/"), pick(("api", "web", "admin"), k % 3), name("/c", k % 400, "/edit")).alias("uri"), pick(("Closure", "ViewController"), F.expr("c_custkey div 7") % 2).alias("action"))
-    registrations = read(spark, sf_dir, "orders").select(o.alias("registration"), F.array(pick(("api", "web", "other"), c % 3)).alias("prefixes"), (c % 4 > 0).alias("known"), name("/c", c % 450, "/edit/").alias("uri"), F.when(o % 3 > 0, pick(("GET", "POST"), o % 2)).alias("method"), F.when(o % 5 > 0, "Closure").alias("action"))
-    return routing.registered_routes(registrations, routes)
+    registrations = read(spark, sf_dir, "orders").select(o.alias("registration"), F.array(pick(("api", "web", "other"), c % 3)).alias("prefixes"), (c % 4 > 0).alias("known"), name("/c", c % 450, "/edit/").alias("uri"), F.when(o % 3 > 0, pick(("GET", "POST"), o % 2)).alias("method"), F.when(o % 5 > 0, "Closure").alias("action"), F.when(o % 4 == 0, "view").otherwise("closure").alias("kind"))
+    return registrations, routes
 
 
 @query(f"{_REGISTERED} SELECT * FROM matches", on_graph=False)
 def registered_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _registered(spark, sf_dir)
+    return routing.registered_routes(*_registered(spark, sf_dir))
 
 
 @query(
@@ -251,7 +251,7 @@ def registered_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def route_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = read(spark, sf_dir, "orders")
-    found, lost = routing.route_templates(o.select(F.col("o_orderkey").alias("registration"), F.when(F.col("o_orderkey") % 4 == 0, "view").otherwise("closure").alias("kind")), _registered(spark, sf_dir), o.select(F.col("o_orderkey").alias("registration"), name("v", F.col("o_custkey") % 30).alias("view"), F.when(F.col("o_orderkey") % 2 == 0, 0.95).otherwise(0.8).alias("confidence")))
+    found, lost = routing.route_templates(o.select(F.col("o_orderkey").alias("registration"), F.when(F.col("o_orderkey") % 4 == 0, "view").otherwise("closure").alias("kind")), routing.registered_routes(*_registered(spark, sf_dir)), o.select(F.col("o_orderkey").alias("registration"), name("v", F.col("o_custkey") % 30).alias("view"), F.when(F.col("o_orderkey") % 2 == 0, 0.95).otherwise(0.8).alias("confidence")))
     return found.drop("type").unionByName(lost.select(F.col("registration").cast("string").alias("src"), *(F.lit(None).cast(t).alias(c) for c, t in (("dst", "string"), ("confidence", "double"), ("certainty", "string")))))
 
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from latticework.runtime import written
+
 
 def controller_actions(actions: DataFrame, bindings: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Actions through the container's bindings (route, class, requested, method, confidence) and warnings (route, requested, reason).
@@ -93,24 +95,51 @@ def middleware_provenance(resolved: DataFrame, candidates: DataFrame) -> tuple[D
     return rows.select("route", "position", "value", "declared"), rows.where("declared IS NULL").select("route", "position", "value", F.lit("middleware_provenance_unresolved").alias("reason"))
 
 
-def registered_routes(registrations: DataFrame, routes: DataFrame) -> DataFrame:
-    """(registration, route, certainty): the routes that registrations made: those of the composed URI, else the only one that ends in the URI.
+def _fits() -> Column:
+    """Whether the route (m, a) is of the method and action that a registration names, if any."""
+    return (F.col("method").isNull() | (F.col("method") == F.col("m"))) & (F.col("action").isNull() | (F.col("action") == F.col("a")))
 
-    registrations: (registration, prefixes array, known, uri, method, action), known telling whether the prefixes are; method null
-    for any; routes: (route, method, uri, action), a URI with its leading slash. The suffixes of registered URIs are exploded,
-    so both are equi-joins.
+
+def _answered(registrations: DataFrame, routes: DataFrame, *also: str) -> tuple[DataFrame, DataFrame]:
+    """Registrations with what answers them, and routes (route, m, u, a, repeated), both without copies.
+
+    Registrations come as (registration, also, composed, method, action, repeated: its id has other rows, exact: the composed URI
+    has routes; and of all rows of the id answered: one is exact, low and high: the least and greatest route that end in the
+    URI). Routes are looked up once for all registrations that ask the same, and only these ends of their order are kept: no
+    pairs are made here. The suffixes of registered URIs are exploded, so both lookups are equi-joins.
     """
+    each = lambda df, key: df.repartition(key).distinct().withColumn("repeated", F.count("*").over(Window.partitionBy(key)) > 1)
+    r = each(routes.select("route", F.col("method").alias("m"), F.col("uri").alias("u"), F.col("action").alias("a")), "route")
     trimmed = F.trim("uri", F.lit("/"))
-    composed = F.concat(F.lit("/"), F.ltrim(F.concat_ws("/", "prefixes", trimmed), F.lit("/")))
-    rows = registrations.select("registration", "known", "method", "action", F.when(F.rtrim(composed, F.lit("/")) == "", "/").otherwise(F.rtrim(composed, F.lit("/"))).alias("composed"), F.concat(F.lit("/"), trimmed).alias("suffix"))
-    r = routes.select("route", F.col("method").alias("m"), F.col("uri").alias("u"), F.col("action").alias("a"))
-    fits = (F.col("method").isNull() | (F.col("method") == F.col("m"))) & (F.col("action").isNull() | (F.col("action") == F.col("a")))
-    exact = rows.where("known").join(r, (F.col("composed") == F.col("u")) & fits).select("registration", "route").distinct()
+    composed = F.rtrim(F.concat(F.lit("/"), F.ltrim(F.concat_ws("/", "prefixes", trimmed), F.lit("/"))), F.lit("/"))
+    asked = F.struct("known", F.when(composed == "", "/").otherwise(composed).alias("composed"), F.concat(F.lit("/"), trimmed).alias("suffix"), "method", "action")
+    kinds = registrations.select(asked.alias("asked")).distinct().select("asked", "asked.*")
+    ends = r.groupBy("u", "m", "a").agg(F.min("route").alias("low"), F.max("route").alias("high"))
+    exact = kinds.where("known").join(ends, (F.col("composed") == F.col("u")) & _fits(), "left_semi").select("asked", F.lit(True).alias("exact"), F.lit(None).cast("string").alias("low"), F.lit(None).cast("string").alias("high"))
     segments = F.split(F.ltrim("u", F.lit("/")), "/")
     tails = F.transform(F.sequence(F.lit(1), F.size(segments)), lambda i: F.concat(F.lit("/"), F.array_join(F.slice(segments, i, F.size(segments)), "/")))
-    ends = r.select("route", "m", "a", F.explode(F.array_distinct(tails)).alias("tail"))
-    loose = rows.join(exact.select("registration").distinct(), "registration", "left_anti").where("suffix <> '/'").join(ends, (F.col("suffix") == F.col("tail")) & fits).select("registration", "route").distinct()
-    single = loose.groupBy("registration").agg(F.min("route").alias("route"), F.count("*").alias("n")).where("n = 1").select("registration", "route")
+    tailed = ends.select("m", "a", "low", "high", F.explode(F.array_distinct(tails)).alias("tail")).groupBy("tail", "m", "a").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    loose = kinds.where("suffix <> '/'").join(tailed, (F.col("suffix") == F.col("tail")) & _fits()).select("asked", F.lit(False).alias("exact"), "low", "high")
+    answers = written(exact.unionByName(loose).groupBy("asked").agg(F.max("exact").alias("exact"), F.min("low").alias("low"), F.max("high").alias("high")), "route-answers")
+    id_ = Window.partitionBy("registration")
+    rows = each(registrations.select("registration", *also, asked.alias("asked")), "registration").join(answers, "asked", "left").withColumn("exact", F.coalesce("exact", F.lit(False)))
+    rows = rows.withColumns({"answered": F.max("exact").over(id_), "low": F.min("low").over(id_), "high": F.max("high").over(id_)})
+    return rows.select("registration", *also, "asked.composed", "asked.method", "asked.action", "repeated", "exact", "answered", "low", "high"), r
+
+
+def registered_routes(registrations: DataFrame, routes: DataFrame) -> DataFrame:
+    """(registration, route, certainty): the routes that registrations made: those of the composed URI, else the only one that ends in the URI.
+
+    registrations: (registration, prefixes array, known, uri, method, action), known telling whether the prefixes are; method null
+    for any; routes: (route, method, uri, action), a URI with its leading slash. Pairs are made last and are not shuffled,
+    but for registrations and routes whose ids have several rows, which can give a pair more than once.
+    """
+    rows, r = _answered(registrations, routes)
+    asking = rows.where("exact").select("registration", "composed", "method", "action", F.col("repeated").alias("again"))
+    made = lambda x, y: x.join(y, (F.col("composed") == F.col("u")) & _fits()).select("registration", "route")
+    exact = made(asking.where("NOT again"), r.where("NOT repeated"))
+    exact = exact.unionByName(made(asking.where("again"), r).unionByName(made(asking.where("NOT again"), r.where("repeated"))).distinct())
+    single = rows.where("NOT answered AND low = high").select("registration", F.col("low").alias("route")).distinct()
     return exact.withColumn("certainty", F.lit("exact")).unionByName(single.withColumn("certainty", F.lit("possible")))
 
 

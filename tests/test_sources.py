@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from latticework.operators import store, verify
 from latticework.plans import api, source_queries
-from latticework.sources import accesses, facts, files, schema_dump
+from latticework.sources import accesses, facts, files, routing, schema_dump
 
 
 def test_statements_respect_quotes_and_comments():
@@ -70,6 +70,27 @@ def test_access_steps_of_items_in_any_order(spark, tmp_path):
         assert {(r["id"], r["operation"]) for r in source_queries.access_steps(spark, str(tmp_path)).collect()} == {(1, "where"), (2, "active")}
 
 
+_REGISTRATION = "registration int, prefixes array<string>, known boolean, uri string, method string, action string, kind string"
+_ROUTE = "route string, method string, uri string, action string"
+
+
+def test_pairs_of_registrations_and_routes_are_not_shuffled(spark):
+    registrations = spark.createDataFrame([(i, ["api"], True, "x/", None, None, "view") for i in range(300)], _REGISTRATION)
+    routes = spark.createDataFrame([(f"r{i}", "GET", "/api/x", "c") for i in range(300)], _ROUTE)
+    pairs = routing.registered_routes(registrations, routes)
+    assert graphs.most(pairs, "Exchange", "shuffleRecordsWritten") <= 1000
+    assert pairs.count() == pairs.distinct().count() == 300 * 300
+
+
+def test_registrations_and_routes_with_several_rows(spark):
+    asked = [(1, ["api"], True, "x/", None, None), (1, ["api"], True, "x/", "GET", None), (1, [], True, "/y", None, "c"), (2, ["no"], True, "x", "GET", None), (2, ["no"], True, "gone", None, None), (3, ["no"], False, "y", None, None), (3, ["no"], False, "x", None, None), (4, [], True, "/", None, None), (2, ["no"], True, "x", "GET", None)]
+    routes = [("a", "GET", "/api/x", "c"), ("a", "POST", "/api/x", "c"), ("a", "GET", "/y", "c"), ("b", "POST", "/api/x", "d"), ("b", "POST", "/api/x", "d")]
+    registrations = spark.createDataFrame([(*x, "closure") for x in asked], _REGISTRATION)
+    r = spark.createDataFrame(routes, _ROUTE)
+    matches = sorted(map(tuple, routing.registered_routes(registrations, r).collect()))
+    assert matches == [(1, "a", "exact"), (1, "b", "exact"), (2, "a", "possible")]  # 3 ends in a and b, 4 in none
+
+
 def test_listeners_handlers_and_modes(spark):
     rows = spark.createDataFrame([("L", "handle", "E", 0.85, 0.9, True), ("M", "handle", "E", 1.0, 1.0, False)], "listener string, method string, event string, confidence double, binding double, proven boolean")
     listens, handled = facts.listeners(rows)
