@@ -251,7 +251,7 @@ def registered_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def route_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = read(spark, sf_dir, "orders")
-    found, lost = routing.route_templates(o.select(F.col("o_orderkey").alias("registration"), F.when(F.col("o_orderkey") % 4 == 0, "view").otherwise("closure").alias("kind")), routing.registered_routes(*_registered(spark, sf_dir)), o.select(F.col("o_orderkey").alias("registration"), name("v", F.col("o_custkey") % 30).alias("view"), F.when(F.col("o_orderkey") % 2 == 0, 0.95).otherwise(0.8).alias("confidence")))
+    found, lost = routing.route_templates(*_registered(spark, sf_dir), o.select(F.col("o_orderkey").alias("registration"), name("v", F.col("o_custkey") % 30).alias("view"), F.when(F.col("o_orderkey") % 2 == 0, 0.95).otherwise(0.8).alias("confidence")))
     return found.drop("type").unionByName(lost.select(F.col("registration").cast("string").alias("src"), *(F.lit(None).cast(t).alias(c) for c, t in (("dst", "string"), ("confidence", "double"), ("certainty", "string")))))
 
 

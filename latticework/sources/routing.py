@@ -143,14 +143,19 @@ def registered_routes(registrations: DataFrame, routes: DataFrame) -> DataFrame:
     return exact.withColumn("certainty", F.lit("exact")).unionByName(single.withColumn("certainty", F.lit("possible")))
 
 
-def route_templates(registrations: DataFrame, matches: DataFrame, references: DataFrame) -> tuple[DataFrame, DataFrame]:
+def route_templates(registrations: DataFrame, routes: DataFrame, references: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Templates that registered routes render (src, dst, type, confidence, certainty) and registrations without a route.
 
-    registrations: (registration, kind: view or closure); matches: as registered_routes() gives them; references: (registration, view,
-    confidence). At most 0.95 for a view route and 0.9 for a closure, 0.7 where the route is only possible.
+    registrations and routes: as registered_routes() takes them, with a kind: view or closure; references: (registration, view,
+    confidence). At most 0.95 for a view route and 0.9 for a closure, 0.7 where the route is only possible. Of the registrations
+    that ask the same and render the same, only the best meets the routes.
     """
-    rows = registrations.select("registration", "kind").join(references, "registration").join(matches, "registration", "left")
-    most = F.when(F.col("kind") == "view", 0.95).otherwise(0.9)
-    found = rows.where("route IS NOT NULL").select(F.col("route").alias("src"), F.concat(F.lit("view:"), "view").alias("dst"), F.lit("renders").alias("type"), F.when(F.col("certainty") == "exact", F.least("confidence", most)).otherwise(0.7).alias("confidence"), "certainty")
-    best = found.groupBy("src", "dst", "type").agg(F.max("confidence").alias("confidence"), F.min("certainty").alias("certainty"))
-    return best, rows.where("route IS NULL").select("registration").distinct()
+    rows, r = _answered(registrations, routes, "kind")
+    rows = rows.join(references, "registration")
+    best = F.max(F.least("confidence", F.when(F.col("kind") == "view", 0.95).otherwise(0.9))).alias("confidence")
+    asking = rows.where("exact").groupBy("composed", "method", "action", "view").agg(best)
+    exact = asking.join(r, (F.col("composed") == F.col("u")) & _fits()).select("route", "view", "confidence", F.lit("exact").alias("certainty"))
+    single = rows.where("NOT answered AND low = high").select(F.col("low").alias("route"), "view", F.lit(0.7).alias("confidence"), F.lit("possible").alias("certainty"))
+    found = exact.unionByName(single).select(F.col("route").alias("src"), F.concat(F.lit("view:"), "view").alias("dst"), F.lit("renders").alias("type"), "confidence", "certainty")
+    lost = rows.where("NOT answered AND NOT coalesce(low = high, false)").select("registration").distinct()
+    return found.groupBy("src", "dst", "type").agg(F.max("confidence").alias("confidence"), F.min("certainty").alias("certainty")), lost

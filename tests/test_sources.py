@@ -82,6 +82,14 @@ def test_pairs_of_registrations_and_routes_are_not_shuffled(spark):
     assert pairs.count() == pairs.distinct().count() == 300 * 300
 
 
+def test_templates_of_registrations_that_ask_the_same(spark):
+    registrations = spark.createDataFrame([(i, ["api"], True, "x/", None, None, "view") for i in range(300)], _REGISTRATION)
+    routes = spark.createDataFrame([(f"r{i}", "GET", "/api/x", "c") for i in range(300)], _ROUTE)
+    found, lost = routing.route_templates(registrations, routes, registrations.selectExpr("registration", "'v' AS view", "0.9D AS confidence"))
+    assert graphs.most(found, "Exchange", "shuffleRecordsWritten") <= 1000
+    assert lost.count() == 0 and {tuple(r) for r in found.collect()} == {(f"r{i}", "view:v", "renders", 0.9, "exact") for i in range(300)}
+
+
 def test_registrations_and_routes_with_several_rows(spark):
     asked = [(1, ["api"], True, "x/", None, None), (1, ["api"], True, "x/", "GET", None), (1, [], True, "/y", None, "c"), (2, ["no"], True, "x", "GET", None), (2, ["no"], True, "gone", None, None), (3, ["no"], False, "y", None, None), (3, ["no"], False, "x", None, None), (4, [], True, "/", None, None), (2, ["no"], True, "x", "GET", None)]
     routes = [("a", "GET", "/api/x", "c"), ("a", "POST", "/api/x", "c"), ("a", "GET", "/y", "c"), ("b", "POST", "/api/x", "d"), ("b", "POST", "/api/x", "d")]
@@ -89,6 +97,9 @@ def test_registrations_and_routes_with_several_rows(spark):
     r = spark.createDataFrame(routes, _ROUTE)
     matches = sorted(map(tuple, routing.registered_routes(registrations, r).collect()))
     assert matches == [(1, "a", "exact"), (1, "b", "exact"), (2, "a", "possible")]  # 3 ends in a and b, 4 in none
+    found, lost = routing.route_templates(registrations, r, spark.createDataFrame([(i, "v", c) for i, c in ((1, 0.95), (2, 0.95), (3, 0.95), (4, 0.8))], "registration int, view string, confidence double"))
+    assert {(x["src"], x["confidence"], x["certainty"]) for x in found.collect()} == {("a", 0.9, "exact"), ("b", 0.9, "exact")}
+    assert sorted(x[0] for x in lost.collect()) == [3, 4]
 
 
 def test_listeners_handlers_and_modes(spark):
