@@ -70,6 +70,14 @@ def test_symbols_are_paired_only_with_tests_that_meet_them(spark):
     assert graphs.most(edges, "Join", "numOutputRows") <= 200 * 32
 
 
+def test_imported_edges_pair_symbols_only_with_tests_that_meet_them(spark):
+    captures = spark.createDataFrame([(f"t{i}", None, None, "s", 1, [{"file": "f", "sha256": "h", "ranges": [[41, 42]]}], [], []) for i in range(200)], observe.CAPTURE)
+    symbols = spark.createDataFrame([(f"m{i}", "f", 10 * i, 10 * i + 4) for i in range(1000)], "id string, file string, start int, end int")
+    edges = observe.import_edges(observe.observed_edges(captures, spark.createDataFrame([("f", "h")], "path string, hash string"), symbols))
+    assert graphs.most(edges, "Join", "numOutputRows") <= 200 * 2
+    assert {(r["dst"], r["verified"]) for r in edges.collect()} == {("m4", 1), ("source_file:f", 1)} and edges.count() == 400
+
+
 def test_page_components(spark):
     df = spark.createDataFrame([('{"component":"A/B"}',), ('<div data-page="{&quot;component&quot;:&quot;C&quot;}">',), ("plain",)], "r string")
     assert [r[0] for r in df.select(observe.page_component(F.col("r"))).collect()] == ["A/B", "C", None]
