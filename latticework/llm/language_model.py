@@ -38,6 +38,8 @@ FREQUENT, BUFFER, LEARN_LANES, BLOCK = 1 << 17, 3 << 19, 192, 1 << 13
 FLUSH = 1 << 19
 #: Shares that the sum of a block of parameters is computed in first.
 SALTS = 64
+#: Bits of a word's hash that lead to its place.
+LEADING = 18
 UNKNOWN = 1
 #: Stands for the end token among the hashes of words.
 END_HASH = np.int64(-0x61C8864680B583EB)
@@ -114,6 +116,9 @@ class Vocabulary:
         self.words = np.array([words[i][0] for i in order], np.int64)
         self.counts = np.array([words[i][1] for i in order], np.int64)
         self.ids = np.array([2 + i if i < len(own) else UNKNOWN for i in order], np.int32)
+        #: Model words by place, and the unknown one at -1; the place of the first word of each leading bits.
+        self.known = np.append(self.ids, UNKNOWN).astype(np.uint16)
+        self.first = np.searchsorted(self._leading(self.words), np.arange((1 << LEADING) + 1)).astype(np.int32)
         inside = ends + sum(n for _, n in own)
         #: Occurrences and distinct words (and one never seen) of the unknown word.
         self.rest, self.rest_words = tokens - inside, max(0, distinct - len(own) - (1 if ends else 0)) + 1
@@ -121,10 +126,22 @@ class Vocabulary:
 
     def places(self, hashes: np.ndarray) -> np.ndarray:
         """Places of words among those sent along, -1 for others."""
-        if not len(self.words):
-            return np.full(len(hashes), -1)
-        at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
-        return np.where(self.words[at] == hashes, at, -1)
+        out = np.full(len(hashes), -1)
+        leading = self._leading(hashes)
+        at, end = self.first[leading], self.first[1:][leading]
+        left = np.flatnonzero(at < end)
+        at, end, hashes = at[left], end[left], hashes[left]
+        while len(left):  # the words of the same leading bits, one after another: there are few
+            same = self.words[at] == hashes
+            out[left[same]] = at[same]
+            at += 1
+            more = np.flatnonzero(~same & (at < end))
+            left, at, end, hashes = left[more], at[more], end[more], hashes[more]
+        return out
+
+    @staticmethod
+    def _leading(hashes: np.ndarray) -> np.ndarray:
+        return (hashes >> (64 - LEADING)) + (1 << (LEADING - 1))
 
     @property
     def base_room(self) -> float:
@@ -143,7 +160,7 @@ def _buffers(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary, each: Ca
     keys, ids, lengths, kept, size = [], [], [], [], 0
     for k, hashes, counts in _texts(batches):
         at = vocabulary.places(hashes)
-        known = np.where(at >= 0, vocabulary.ids[at] if len(vocabulary.ids) else UNKNOWN, UNKNOWN).astype(np.uint16)
+        known = vocabulary.known[at]
         keys += k
         ids.append(np.insert(known, np.cumsum(counts), END))
         lengths.append(counts + 1)

@@ -773,3 +773,13 @@ def test_decontamination_equals_brute_force(spark, odd, nothing):
     assert len(decontamination.digests(decontamination.contamination(odd, bench)).collect()) == len(ODD) + 1
     assert decontamination.digests(decontamination.contamination(nothing, bench)).collect() == []
     assert {r["contaminated"] for r in decontamination.digests(decontamination.contamination(frame, bench.limit(0))).collect()} == {False}
+
+
+def test_places_of_words_with_the_same_leading_bits():
+    rng = np.random.default_rng(5)
+    words = np.unique(np.concatenate([rng.integers(-(2**63), 2**63 - 1, 500), np.arange(-40, 40), [-(2**63), 2**63 - 1]]))
+    own = rng.permutation(words)[:300]
+    v = language_model.Vocabulary([(int(w), 1000 - i) for i, w in enumerate(own)], 10**6, 1000, 5, 100)
+    assert [int(p) for p in v.places(words)] == [sorted(own.tolist()).index(w) if w in set(own.tolist()) else -1 for w in words.tolist()]
+    empty = language_model.Vocabulary([], 0, 0, 0)
+    assert (empty.places(words) == -1).all() and (empty.known[empty.places(words)] == language_model.UNKNOWN).all()
