@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from latticework import schema
+from latticework.runtime import written
 
 
 def line_ranges(lines: DataFrame, keys: list[str], line: str = "line") -> DataFrame:
@@ -121,21 +122,32 @@ def observed_edges(captures: DataFrame, manifest: DataFrame, symbols: DataFrame)
 
     File by file at the freshness of its hash against the manifest (path, hash), and symbol by symbol (id, file, start, end)
     where an executed range meets the symbol's span. Captures of a test that are older than its last do not count.
+    Captures are dealt by test once, ranges as numbers, and where symbols that meet and manifest are small, the edges come
+    about there: neither they nor import_edges() need another shuffle.
     """
-    last = captures.groupBy("test").agg(F.max(F.struct("captured_at", "session")).alias("k"))
-    now = captures.join(last, "test").where((F.col("captured_at") == F.col("k.captured_at")) & (F.col("session") == F.col("k.session"))).drop("k")
-    rows = captured_sources(now).join(manifest.select(F.col("path").alias("file"), F.col("hash").alias("current")), "file", "left")
-    rows = rows.withColumn("freshness", freshness(F.col("sha256"), F.col("current"), F.col("current").isNotNull()))
-    seen = F.concat_ws("#", "session", "test").alias("observation")
-    src = F.concat(F.lit("test:"), "test").alias("src")
-    files = rows.select(src, F.concat(F.lit("source_file:"), "file").alias("dst"), F.lit("runtime_covers").alias("type"), "freshness", seen).distinct()
-    spans = rows.select("file", "start", "end").distinct()  # tests share them, so symbols meet each once
+    spans = captured_sources(captures).select("file", "start", "end").distinct()  # tests share them, so symbols meet each once
     met = overlaps(spans.withColumn("span", F.struct("start", "end")), symbols, "file", keep="span").select("file", "span.start", "span.end", "id").distinct()
-    each = rows.select("test", "session", "freshness", "file", "start", "end").join(met, ["file", "start", "end"]).select("test", "session", "freshness", "id").distinct()
-    of_symbols = each.select(src, F.col("id").alias("dst"), F.lit("runtime_covers").alias("type"), "freshness", seen)
-    touched = now.select("test", "session", F.explode("tables").alias("table"))
-    tables = touched.select(src, F.concat(F.lit("table:"), "table").alias("dst"), F.lit("runtime_touches_table").alias("type"), F.lit("unverified").alias("freshness"), seen).distinct()
-    return files.unionByName(of_symbols).unionByName(tables)
+    met = written(met, "met").withColumn("is_met", F.lit(True))
+    good = lambda r: (F.size(r) == 2) & (r[0] >= 1) & (r[1] >= r[0])
+    packed = lambda r: F.shiftleft(r[0].cast("long"), 32).bitwiseOR(r[1].cast("long"))
+    item = "struct<touches:boolean,name:string,sha256:string,ranges:array<bigint>>"
+    of_sources = F.transform("sources", lambda s: F.struct(F.lit(False), s["file"], s["sha256"], F.transform(F.filter(s["ranges"], good), packed)).cast(item))
+    of_tables = F.transform("tables", lambda t: F.struct(F.lit(True), t, F.lit(None), F.lit(None)).cast(item))
+    none = F.array().cast(f"array<{item}>")
+    items = F.concat(F.coalesce(of_sources, none), F.coalesce(of_tables, none)).alias("items")
+    dealt = captures.where("test IS NOT NULL").select(F.concat(F.lit("test:"), "test").alias("src"), "test", "session", "captured_at", items)
+    now = dealt.withColumn("k", F.max(F.struct("captured_at", "session")).over(Window.partitionBy("src"))).where("captured_at = k.captured_at AND session = k.session")
+    each = now.select("src", F.concat_ws("#", "session", "test").alias("observation"), F.explode("items").alias("i")).select("src", "observation", "i.*").withColumn("file", F.when(~F.col("touches"), F.col("name")))
+    rows = each.join(manifest.select(F.col("path").alias("file"), F.col("hash").alias("current")), "file", "left")
+    state = F.when(F.col("touches"), "unverified").otherwise(freshness(F.col("sha256"), F.col("current"), F.col("current").isNotNull()))
+    rows = rows.select("src", "observation", "touches", "name", "file", state.alias("freshness"), F.posexplode_outer("ranges").alias("pos", "range")).where("touches OR pos IS NOT NULL")
+    rows = rows.withColumns({"start": F.shiftright("range", 32).cast("int"), "end": F.col("range").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")}).join(met, ["file", "start", "end"], "left")
+    # a file counts with its first range; a struct more than the edges there are is left out
+    whole = F.struct(F.lit(True).alias("is_met"), F.concat(F.when(F.col("touches"), "table:").otherwise("source_file:"), "name").alias("dst"))
+    symbol = F.struct("is_met", F.col("id").alias("dst"))
+    ends = F.when(F.col("touches"), F.array(whole)).when(F.col("pos") == 0, F.array(whole, symbol)).otherwise(F.array(symbol))
+    kind = F.when(F.col("touches"), "runtime_touches_table").otherwise("runtime_covers").alias("type")
+    return rows.select("src", kind, "freshness", "observation", F.explode(ends).alias("e")).where("e.is_met").select("src", "e.dst", "type", "freshness", "observation").distinct()
 
 
 def import_edges(observed: DataFrame, keep: int = 32) -> DataFrame:

@@ -344,12 +344,14 @@ def discovered_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Captures read from JSON lines: a test of each user, the kinds of its events as files, with ranges of ten lines."""
     e = read(spark, sf_dir, "events")
-    start = (F.col("event_id") % 300 + 1).cast("int")
-    source = e.groupBy("user_id", "event_type").agg(F.array_sort(F.collect_set(F.array(start, start + 9))).alias("ranges"))
-    good = F.struct(F.col("event_type").alias("file"), F.concat(F.lit("h"), "event_type").alias("sha256"), F.concat("ranges", F.array(F.array(F.lit(0), F.lit(3)), F.array(F.lit(9), F.lit(2)))).alias("ranges"))
-    rows = source.groupBy("user_id").agg(F.collect_list(good).alias("sources"))
+    start = (F.col("event_id") % 300 + 1).cast("short")  # small to group, and ranges afterwards
+    source = e.groupBy("user_id", "event_type").agg(F.collect_set(start).alias("starts"))
+    rows = source.groupBy("user_id").agg(F.collect_list(F.struct("event_type", "starts")).alias("by_type"))
+    ranges = lambda starts: F.transform(F.array_sort(starts), lambda x: F.array(x.cast("int"), x.cast("int") + 9))
+    good = lambda s: F.struct(s["event_type"].alias("file"), F.concat(F.lit("h"), s["event_type"]).alias("sha256"), F.concat(ranges(s["starts"]), F.array(F.array(F.lit(0), F.lit(3)), F.array(F.lit(9), F.lit(2)))).alias("ranges"))
+    rows = rows.withColumn("sources", F.transform("by_type", good))
     path = own_folder(spark, "captures")
-    rows.select(F.concat(F.lit("t"), F.col("user_id").cast("string")).alias("test"), F.lit("tests/a").alias("file"), F.concat(F.lit("s"), (F.col("user_id") % 3).cast("string")).alias("session"), (F.col("user_id") % 5).alias("captured_at"), "sources", F.array(F.lit("orders"), F.concat(F.lit("t"), (F.col("user_id") % 4).cast("string"))).alias("tables")).write.json(path)
+    rows.select(F.concat(F.lit("t"), F.col("user_id").cast("string")).alias("test"), F.lit("tests/a").alias("file"), F.concat(F.lit("s"), (F.col("user_id") % 3).cast("string")).alias("session"), (F.col("user_id") % 5).alias("captured_at"), "sources", F.array(F.lit("orders"), F.concat(F.lit("t"), (F.col("user_id") % 4).cast("string"))).alias("tables")).write.json(path, compression="gzip")
     return observe.read_captures(spark, path)
 
 
@@ -371,7 +373,7 @@ def _observed(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = spark.createDataFrame([(k, f"h{k}" if i else "other") for i, k in enumerate(kinds[:-1])], "path string, hash string")
     at = F.col("s_suppkey") * 3
     symbols = read(spark, sf_dir, "supplier").select(F.concat(F.lit("sym"), F.col("s_suppkey").cast("string")).alias("id"), F.lit(kinds[1]).alias("file"), at.cast("int").alias("start"), (at + 4).cast("int").alias("end"))
-    return observe.observed_edges(_captures(spark, sf_dir), manifest, symbols)
+    return observe.observed_edges(_captures(spark, sf_dir), F.broadcast(manifest), symbols)
 
 
 @query(f"{_OBSERVED} SELECT * FROM o", on_graph=False)

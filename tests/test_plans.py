@@ -78,6 +78,20 @@ def test_imported_edges_pair_symbols_only_with_tests_that_meet_them(spark):
     assert {(r["dst"], r["verified"]) for r in edges.collect()} == {("m4", 1), ("source_file:f", 1)} and edges.count() == 400
 
 
+def test_edges_of_captures_come_about_where_the_captures_of_a_test_are(spark):
+    sources = [{"file": "f", "sha256": "h", "ranges": [[1, 600]]}, {"file": None, "sha256": "h", "ranges": [[1, 2], None]}, {"file": "g", "sha256": "h", "ranges": [[0, 2], [3]]}]
+    rows = [(f"t{i}", None, None, "s", at, sources if at else [{"file": "f", "sha256": "h", "ranges": [[9, 9999]]}], ["a", None] if i == 7 else None, []) for i in range(100) for at in (0, 1, 1)]
+    captures = spark.createDataFrame([*rows, (None, None, None, "s", 1, sources, ["a"], []), ("x", None, None, None, 1, sources, ["a"], [])], observe.CAPTURE)
+    symbols = spark.createDataFrame([(f"m{i}", "f", 10 * i, 10 * i + 4) for i in range(1000)], "id string, file string, start int, end int")
+    manifest = F.broadcast(spark.createDataFrame([("f", "h")], "path string, hash string"))
+    edges = observe.import_edges(observe.observed_edges(captures, manifest, symbols))
+    assert graphs.most(edges, "Exchange", "shuffleRecordsWritten") <= len(rows) + 2
+    seen = {(r["src"], r["dst"], r["verified"], r["unverified"]) for r in edges.collect()}
+    assert seen == {(f"test:t{i}", d, 1, 0) for i in range(100) for d in ("source_file:f", *(f"m{j}" for j in range(61)))} | {("test:t7", "table:a", 0, 1), ("test:t7", None, 0, 1)}
+    missing = observe.observed_edges(captures, manifest, symbols).where("freshness = 'missing'").collect()
+    assert {(r["src"], r["dst"], r["observation"]) for r in missing} == {(f"test:t{i}", None, f"s#t{i}") for i in range(100)} and len(missing) == 100
+
+
 def test_page_components(spark):
     df = spark.createDataFrame([('{"component":"A/B"}',), ('<div data-page="{&quot;component&quot;:&quot;C&quot;}">',), ("plain",)], "r string")
     assert [r[0] for r in df.select(observe.page_component(F.col("r"))).collect()] == ["A/B", "C", None]
