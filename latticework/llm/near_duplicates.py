@@ -8,9 +8,9 @@
 3. Classes that share a band key and whose sketches (two bits of each slot) are not far below the threshold are joined to
    clusters. A large bucket is dealt out in blocks; every pair of blocks is compared in its own task, which returns no more
    links than it has rows.
-4. Clusters are verified on full sets of both hashes, and the confirmed links give the components. A cluster of one block is
-   compared whole. In a larger one each class is first compared with one other, which settles it if those links make it one
-   component; what is left is compared by pairs of blocks.
+4. The texts of clusters are taken out of all texts once. Clusters are verified on full sets of both hashes, and the
+   confirmed links give the components. A cluster of one block is compared whole. In a larger one each class is first
+   compared with one other, which settles it if those links make it one component; what is left is compared by pairs of blocks.
 
 A pair at the threshold shares no band with probability 5e-6 or less; later steps lose none.
 
@@ -38,6 +38,8 @@ SLOTS, ROWS = 128, 4
 SKETCH_AGREE = 70
 #: Members of a block when sketches and when sets are compared, and bytes of its sets.
 BLOCK, SET_BLOCK, SET_BYTES = 256, 256, 8 << 20
+#: Ids of clusters' members that are sent to all tasks at most.
+SENT = 1 << 20
 _C = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -249,6 +251,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     dealt = _block_pairs(members, "band", "class", F.ceil(F.col("size") / BLOCK)).select("band", "i", "j", "own", "class", "n", "sketch")
     links = written(dealt.mapInArrow(_sketch_links, "a long, b long").distinct(), "links")
     clusters = written(components(links), "clusters")
+    n_nodes = clusters.count()
+    # the texts of all clusters, found once: up to SENT ids go to where the texts are, more are met by a shuffle of all texts
+    ids = clusters.select(F.col("node").alias("class"))
+    held = written(plain.withColumnRenamed("doc_id", "class").join(F.broadcast(ids) if n_nodes <= SENT else ids, "class", "left_semi"), "texts")
 
     def sets_of(wanted: DataFrame) -> DataFrame:
         """wanted (class, and other long columns) with the set of each class's text."""
@@ -260,8 +266,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 out = {c: [k[c] for k in keys] for c in names} | {"set": [s.tobytes() for s in shingle_sets(texts, size)]}
                 yield record_batch(out, {c: pa.int64() for c in names} | {"set": pa.binary()})
 
-        texts = plain.join(wanted, plain["doc_id"] == wanted["class"]).select(*names, "text")
-        return texts.mapInArrow(run, ", ".join(f"{c} long" for c in names) + ", set binary")
+        return held.join(wanted, "class").select(*names, "text").mapInArrow(run, ", ".join(f"{c} long" for c in names) + ", set binary")
 
     def set_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def pairs() -> Iterator[tuple[int, int]]:
@@ -292,7 +297,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     weighed = clusters.select(F.col("node").alias("class"), F.col("component").alias("cluster")).join(classes.select("class", "n"), "class")
     load = weighed.groupBy("cluster").agg(F.count_distinct("class").alias("members"), F.greatest(F.ceil(F.count("*") / SET_BLOCK), F.ceil(F.sum("n") * 16 / SET_BYTES)).cast("long").alias("nb"))
     # clusters of more than most members are few, and their rows stay where they are; all others are shuffled
-    most = max(LEAST_HUB, clusters.count() // HUBS)
+    most = max(LEAST_HUB, n_nodes // HUBS)
     load = written(load, "load")
     heavy = F.broadcast(load.where(F.col("members") > most))
     rest = weighed.join(heavy.select("cluster"), "cluster", "left_anti").join(load.where(F.col("members") <= most), "cluster")

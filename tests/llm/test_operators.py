@@ -466,6 +466,32 @@ def test_large_buckets_are_compared_in_blocks(spark, monkeypatch):
     assert got == near_duplicates.brute_force(rows)
 
 
+@pytest.mark.parametrize("sent", [1 << 20, 0])
+def test_texts_are_read_for_signatures_and_for_clusters_alone(spark, tmp_path, monkeypatch, sent):
+    rows = list(enumerate(near_copies(random.Random(5), 60) + ["all other words are here", None]))
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "texts_of_this_test"))
+    plans = {}
+
+    def noted(f):
+        def run(df, *name):
+            plans[name or ("edges", len(plans))] = df._jdf.queryExecution().optimizedPlan().toString()
+            return f(df, *name)
+
+        return run
+
+    monkeypatch.setattr(near_duplicates, "SENT", sent, raising=False)
+    monkeypatch.setattr(near_duplicates, "SET_BLOCK", 6)
+    monkeypatch.setattr(near_duplicates, "LEAST_HUB", 20)
+    monkeypatch.setattr(near_duplicates, "written", noted(near_duplicates.written))
+    monkeypatch.setattr(near_duplicates, "components", noted(near_duplicates.components))
+    docs = spark.read.parquet(str(tmp_path / "texts_of_this_test"))
+    # columns of the documents' table are told by their number, as the table of all texts has no other name in a plan
+    column = docs._jdf.queryExecution().analyzed().output().apply(1).toString()
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_duplicates.near_duplicates(docs).collect()}
+    assert got == near_duplicates.brute_force(rows)
+    assert [name for name, plan in plans.items() if f"{column}]" in plan or f"{column}," in plan] == [("signatures",), ("texts",)]
+
+
 def test_signatures_estimate_similarity():
     rng = np.random.default_rng(1)
     pool = rng.integers(1, 2**63, 3000, dtype=np.uint64)
