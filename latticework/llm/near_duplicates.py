@@ -254,7 +254,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     n_nodes = clusters.count()
     # the texts of all clusters, found once: up to SENT ids go to where the texts are, more are met by a shuffle of all texts
     ids = clusters.select(F.col("node").alias("class"))
-    held = written(plain.withColumnRenamed("doc_id", "class").join(F.broadcast(ids) if n_nodes <= SENT else ids, "class", "left_semi"), "texts")
+    held = written(plain.withColumnRenamed("doc_id", "class").join(F.broadcast(ids) if n_nodes <= SENT else ids.hint("merge"), "class", "left_semi"), "texts")
 
     def sets_of(wanted: DataFrame) -> DataFrame:
         """wanted (class, and other long columns) with the set of each class's text."""
