@@ -51,35 +51,39 @@ class Gru:
     def run(self, x: np.ndarray, h: np.ndarray, keep: bool) -> tuple[np.ndarray, tuple]:
         """States after each input of a window (time, lane), and what backpropagation needs."""
         k = h.shape[1]
-        u = self.p["u"]
-        if hasattr(self, "table"):
-            inputs = self.table[x]
-        else:
-            inputs = self.p["e"][x]
-            inputs += self.p["b"]
-        live = (x != END)[..., None]
+        # the three gates lie apart, so that operations run over whole arrays
+        u = self._apart(self.p["u"])
+        table = self.table if hasattr(self, "table") else self._apart(self.p["e"] + self.p["b"])
+        inputs = np.take(table, x, axis=1)
+        ends = [np.flatnonzero(row == END) for row in x]
         shape = (len(x), len(h), k) if keep else (1, len(h), k)
         # a row for each time where backpropagation follows, else one that is written over
-        before, candidate, gates, inner = np.empty(shape, np.float32), np.empty(shape, np.float32), np.empty((*shape[:2], 2 * k), np.float32), np.empty((*shape[:2], 3 * k), np.float32)
+        before, candidate, gates, inner = np.empty(shape, np.float32), np.empty(shape, np.float32), np.empty((2, *shape), np.float32), np.empty((3, *shape), np.float32)
         out = np.empty((len(x), len(h), k), np.float32)
         for t in range(len(x)):
             i = t if keep else 0
-            a, b, n, g = inputs[t], before[i], candidate[i], inner[i]
-            np.multiply(h, live[t], out=b)
+            a, b, n, g = inputs[:, t], before[i], candidate[i], inner[:, i]
+            np.copyto(b, h)
+            b[ends[t]] = 0
             np.matmul(b, u, out=g)
-            gate = np.add(a[:, : 2 * k], g[:, : 2 * k], out=gates[i])
+            gate = np.add(a[:2], g[:2], out=gates[:, i])
             np.negative(gate, out=gate)
             np.exp(gate, out=gate)
             gate += 1
             np.reciprocal(gate, out=gate)
-            np.multiply(gate[:, k:], g[:, 2 * k :], out=n)
-            n += a[:, 2 * k :]
+            np.multiply(gate[1], g[2], out=n)
+            n += a[2]
             np.tanh(n, out=n)
             new = np.subtract(b, n, out=out[t])
-            new *= gate[:, :k]
+            new *= gate[0]
             new += n
             h = new
-        return out, (x, before, gates, candidate, inner[..., 2 * k :])
+        return out, (x, before, gates, candidate, inner[2])
+
+    @staticmethod
+    def _apart(v: np.ndarray) -> np.ndarray:
+        """(gate, row, unit) of (row, gate and unit)."""
+        return np.ascontiguousarray(v.reshape(len(v), 3, -1).transpose(1, 0, 2))
 
     # the output -------------------------------------------------------------------------------------------------------
 
@@ -95,15 +99,17 @@ class Gru:
         at = np.arange(len(y))
         chosen = logits[at, cls]
         np.exp(logits, out=logits)
-        total = logits.sum(1)
+        one = np.ones(max(len(y), len(self.cls)), np.float32)  # sums are products with it
+        total = logits @ one[: logits.shape[1]]
         ordered = chosen - np.log(total)
         dh = None
         if grad is not None:
             logits /= total[:, None]
             logits[at, cls] -= 1
             grad["wc"] += hs.T @ logits
-            grad["bc"] += logits.sum(0)
+            grad["bc"] += one[: len(y)] @ logits
             dh = logits @ self.p["wc"].T
+        sums = np.ones_like(ordered)
         cuts = np.searchsorted(cls, np.arange(len(self.size) + 1))
         for c in np.flatnonzero((np.diff(cuts) > 0) & (self.size > 1)).tolist():
             i = slice(cuts[c], cuts[c + 1])
@@ -114,14 +120,16 @@ class Gru:
             row, k = at[: len(h)], place[i]
             mine = inner[row, k]
             np.exp(inner, out=inner)
-            s = inner.sum(1)
-            ordered[i] += mine - np.log(s)
+            s = inner @ one[: b - a]
+            ordered[i] += mine
+            sums[i] = s
             if grad is not None:
                 inner /= s[:, None]
                 inner[row, k] -= 1
                 grad["wo"][a:b] += inner.T @ h
-                grad["bo"][a:b] += inner.sum(0)
+                grad["bo"][a:b] += one[: len(h)] @ inner
                 dh[i] += inner @ w
+        ordered -= np.log(sums)
         lp = np.empty_like(ordered)
         lp[order] = ordered
         if dh is not None:
@@ -133,32 +141,39 @@ class Gru:
     def backward(self, saved: tuple, dhs: np.ndarray, grad: dict) -> tuple[np.ndarray, np.ndarray]:
         """Adds the gradients of a window; returns the words whose rows of e have any, and these rows."""
         k = dhs.shape[2]
-        back = np.ascontiguousarray(self.p["u"].T)
-        x, h, gates, n, gn = saved
-        z, r = gates[..., :k], gates[..., k:]
-        live = (x != END)[..., None]
+        back = np.ascontiguousarray(self._apart(self.p["u"]).transpose(0, 2, 1))
+        x, h, (z, r), n, gn = saved
+        ends = [np.flatnonzero(row == END) for row in x]
         # what the gradient of a state is multiplied by, for each gate, over the whole window
-        by = np.empty((*dhs.shape[:2], 3 * k), np.float32)
-        new = by[..., 2 * k :]
+        by = np.empty((3, *dhs.shape), np.float32)
+        update, reset, new = by
+        rest = 1 - z
         np.multiply(n, n, out=new)
         np.subtract(1, new, out=new)
-        new *= 1 - z
-        np.multiply((h - n) * z, 1 - z, out=by[..., :k])
-        np.multiply(new * gn, r * (1 - r), out=by[..., k : 2 * k])
-        da, dg = np.empty_like(by), np.empty_like(by)
+        new *= rest
+        np.subtract(h, n, out=update)
+        update *= z
+        update *= rest
+        np.subtract(1, r, out=reset)
+        reset *= r
+        reset *= gn
+        reset *= new
+        da, dn = np.empty_like(by), np.empty_like(dhs)
         carried = np.zeros_like(dhs[0])
         for t in reversed(range(len(x))):
             d = dhs[t] + carried
-            np.multiply(by[t].reshape(-1, 3, k), d[:, None], out=da[t].reshape(-1, 3, k))
-            dg[t] = da[t]
-            dg[t, :, 2 * k :] *= r[t]
+            np.multiply(by[:, t], d, out=da[:, t])
+            np.multiply(da[2, t], r[t], out=dn[t])
             d *= z[t]
-            d += dg[t] @ back
-            d *= live[t]
+            d += da[0, t] @ back[0]
+            d += da[1, t] @ back[1]
+            d += dn[t] @ back[2]
+            d[ends[t]] = 0
             carried = d
-        da, dg = da.reshape(-1, 3 * k), dg.reshape(-1, 3 * k)
-        grad["u"] += h.reshape(-1, k).T @ dg
-        grad["b"] += da.sum(0)
+        da, across = da.reshape(3, -1, k), h.reshape(-1, k).T
+        grad["u"] += np.concatenate([across @ da[0], across @ da[1], across @ dn.reshape(-1, k)], axis=1)
+        grad["b"] += (np.ones(da.shape[1], np.float32) @ da).ravel()
+        da = np.ascontiguousarray(da.transpose(1, 0, 2)).reshape(-1, 3 * k)
         w = x.ravel()
         order = np.argsort(w.astype(np.uint16) if len(self.cls) <= 1 << 16 else w, kind="stable")
         w = w[order]
@@ -206,7 +221,7 @@ class Gru:
 
     def score(self, lanes: np.ndarray, window: int = 64) -> np.ndarray:
         """log10 probability of each word of the lanes, 0 where a lane is over."""
-        self.table = self.p["e"] + self.p["b"]
+        self.table = self._apart(self.p["e"] + self.p["b"])
         h = np.zeros((lanes.shape[1], self.p["u"].shape[0]), np.float32)
         out = np.zeros(lanes.shape, np.float32)
         x_all = np.concatenate([np.full((1, lanes.shape[1]), END), lanes[:-1]])

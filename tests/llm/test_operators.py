@@ -466,6 +466,19 @@ def test_large_buckets_are_compared_in_blocks(spark, monkeypatch):
     assert got == near_duplicates.brute_force(rows)
 
 
+def test_sums_of_many_words_keep_their_digits():
+    counts = np.array([400, 60000, *range(300, 100, -1)])
+    g = gru.Gru(counts, 12, hidden=8)
+    rng = np.random.default_rng(3)
+    hs, y = rng.normal(0, 0.5, (1 << 17, 8)).astype(np.float32), rng.choice(len(counts), 1 << 17, p=counts / counts.sum())
+    grad = {name: np.zeros_like(v) for name, v in g.p.items()}
+    g.log_prob(hs, y, grad)
+    p = np.exp((hs @ g.p["wc"] + g.p["bc"]).astype(float))
+    p /= p.sum(1, keepdims=True)
+    exact = p.sum(0) - np.bincount(g.cls[y], minlength=p.shape[1])
+    assert np.abs(grad["bc"] - exact).max() < 5  # of 60,000 a class
+
+
 @pytest.mark.parametrize("sent", [1 << 20, 0])
 def test_texts_are_read_for_signatures_and_for_clusters_alone(spark, tmp_path, monkeypatch, sent):
     rows = list(enumerate(near_copies(random.Random(5), 60) + ["all other words are here", None]))
